@@ -15,8 +15,17 @@ from cloakline.operators import mask as M
 from cloakline.operators import scan as SC
 from cloakline.operators import spans as SP
 from cloakline.plans import mask_job as MJ
-from cloakline.session import read_table
+from cloakline.session import read_table, spread
 from cloakline.sources import corpus
+from cloakline.functions.text import utility
+from cloakline.operators import control as CT
+from cloakline.operators import memory as MEM
+from cloakline.operators import metrics as MT
+from cloakline.operators import running as RUN
+from cloakline.operators import vault as V
+from cloakline.plans import evaluate as EV
+from cloakline.sources import patterns as PS
+from cloakline.sources import replies
 from cloakline.sources.patterns import seed_inline
 
 DEMO_KEY_ID = "demo"
@@ -27,7 +36,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.documents_as_samples(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return corpus.documents_as_samples(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _secret(spark: SparkSession):
@@ -102,6 +111,363 @@ def mask_all(spark, sf_dir):
     return _mask_report(_masked(spark, _notes(spark, sf_dir), all_occurrences=True))
 
 
+
+# ---------------------------------------------------------------- shared derived inputs
+def _replies(notes: DataFrame) -> DataFrame:
+    return replies.detect_raw(notes).unionByName(replies.critic_raw(notes))
+
+
+def _with_detector(spark, sf_dir) -> DataFrame:
+    n = _notes(spark, sf_dir)
+    d = MJ.attach_detections(n, replies.detect_raw(n))
+    return SC.scan(d, seed_inline(0.75))
+
+
+def _learned_table(spark, sf_dir) -> DataFrame:
+    """MK-10 over the detector spans of the notes corpus."""
+    d = _with_detector(spark, sf_dir)
+    learn = d.select("seq", F.posexplode(SP.learnable(F.col("hits"), F.col("detections"))).alias("pos", "s")).select(
+        "seq", "pos", F.col("s.span").alias("span"), F.col("s.phi_type").alias("phi_type"))
+    return MEM.learn_patterns(learn)
+
+
+def _warm_patterns(spark, sf_dir) -> DataFrame:
+    learned = _learned_table(spark, sf_dir).drop("support").withColumn("last_updated", F.lit(None).cast("date"))
+    return MEM.insert_if_absent(PS.seed_patterns(spark), learned)
+
+
+def _outputs(spark, sf_dir, systems=("cold", "warm", "regex", "full_encryption", "ner")) -> DataFrame:
+    n = _notes(spark, sf_dir)
+    secret = _secret(spark)
+    outs = []
+    if "cold" in systems:
+        outs.append(EV.pipeline_system(n, seed_inline(0.75), secret, "cold"))
+    if "warm" in systems:
+        outs.append(EV.pipeline_system(n, PS.inline_patterns(_warm_patterns(spark, sf_dir), 0.0), secret, "warm"))
+    if "regex" in systems:
+        outs.append(EV.regex_system(n, seed_inline(None), secret))
+    if "full_encryption" in systems:
+        outs.append(EV.full_encryption_system(n, secret))
+    if "ner" in systems:
+        outs.append(EV.offsets_system(n, replies.entities(n), secret))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+def _latency(spark, sf_dir) -> DataFrame:
+    """Per-sample latency measurements: ``events.value`` keyed by ``event_id``."""
+    return read_table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"),
+                                                      F.col("value").alias("latency_ms"))
+
+
+def _r(df: DataFrame) -> DataFrame:
+    return MT.round_cols(df, 6)
+
+
+# ---------------------------------------------------------------- detector side
+def detector_parse(spark, sf_dir):
+    """SRC-5 + SC-1/2 + FLT-1/2: valid detector spans, reply order kept."""
+    d = _with_detector(spark, sf_dir)
+    return d.select("doc_id", F.posexplode("detections").alias("pos", "s")).select(
+        "doc_id", "pos", F.col("s.span").alias("span"), F.col("s.phi_type").alias("phi_type"),
+        F.col("s.confidence").alias("confidence"), F.col("s.has_pattern").alias("has_pattern"))
+
+
+def cache_misses(spark, sf_dir):
+    """JN-2 / AG-18 / FLT-5 counters per document."""
+    d = _with_detector(spark, sf_dir)
+    return d.select("doc_id", "cache_hits", SP.cache_misses(F.col("hits"), F.col("detections")).alias("cache_misses"),
+                    F.size(SP.learnable(F.col("hits"), F.col("detections"))).alias("n_learnable"))
+
+
+def skip_gate(spark, sf_dir):
+    """FLT-4: documents whose promoted hits make the detector call unnecessary."""
+    s = SC.scan(_notes(spark, sf_dir).select("doc_id", "text"), seed_inline(0.75))
+    return s.select("doc_id", F.size(F.filter("hits", lambda h: h["promoted"])).alias("promoted_hits"),
+                    SP.skip_detector(F.col("hits")).alias("skip_detector"))
+
+
+def mask_with_detector(spark, sf_dir):
+    """MK-1 with detector spans merged (ST-1) and phrases looked up (JN-3)."""
+    n = _notes(spark, sf_dir)
+    d = MJ.attach_phrases(MJ.attach_detections(n, replies.detect_raw(n)), replies.phrases(n))
+    m = MJ.mask_corpus(d, seed_inline(0.75), _secret(spark), with_detections=True, with_phrases=True)
+    return m.select("doc_id", "masked", "cache_hits", "cache_misses", *M.mask_counts("spans"))
+
+
+# ---------------------------------------------------------------- other maskers
+def mask_regex_baseline(spark, sf_dir):
+    o = EV.regex_system(_notes(spark, sf_dir), seed_inline(None), _secret(spark))
+    return o.select("doc_id", "masked", F.size("pred").alias("n_pred"))
+
+
+def mask_full_encryption(spark, sf_dir):
+    o = EV.full_encryption_system(_notes(spark, sf_dir), _secret(spark))
+    return o.select("doc_id", "masked", F.size("pred").alias("n_pred"))
+
+
+def mask_offsets(spark, sf_dir):
+    n = _notes(spark, sf_dir)
+    o = EV.offsets_system(n, replies.entities(n), _secret(spark))
+    return o.select("doc_id", "masked", F.array_join(F.transform("pred", lambda p: F.concat_ws(":", p["phi_type"], p["span"])), "|").alias("pred"))
+
+
+def mask_sequential(spark, sf_dir):
+    """MK-2: truth texts encrypted in list order, first live occurrence each."""
+    n = _notes(spark, sf_dir).withColumn("_secret", _secret(spark))
+    r = M.sequential_encrypt(F.col("text"), F.transform("phi_spans", lambda s: s["span"]), F.col("doc_id"),
+                             F.col("_secret"))
+    return n.select("doc_id", r["text"].alias("masked"), F.size(r["applied"]).alias("n_applied"))
+
+
+def label_map(spark, sf_dir):
+    """PRJ-4 over the recogniser table."""
+    return EV.label_map(replies.entities(_notes(spark, sf_dir))).select(
+        "system", "doc_id", "start", "end", "entity_type", "phi_type")
+
+
+def corpus_load(spark, sf_dir):
+    """SRC-1 over a raw annotated layout derived from the notes corpus."""
+    a = corpus.load_annotated(corpus.raw_annotated(read_table(spark, sf_dir, "customer")))
+    return a.select("doc_id", "text", F.size("phi_spans").alias("n_spans"),
+                    F.array_join(F.transform("phi_spans", lambda s: F.concat_ws(":", s["phi_type"], s["span"])), "|")
+                    .alias("spans"))
+
+
+# ---------------------------------------------------------------- vault
+def vault_roundtrip(spark, sf_dir):
+    """MK-6/7/8 + JN-8: mask, write vault rows, restore from the vault."""
+    n = _notes(spark, sf_dir)
+    keys = M.demo_keys(spark, DEMO_KEY_ID)
+    key = M.key_column(keys, DEMO_KEY_ID)
+    m = MJ.mask_corpus(n, seed_inline(0.75), F.hex(key))
+    vault = MJ.vault_rows(m, key, DEMO_KEY_ID)
+    r = V.restore(m.select("doc_id", "masked"), vault, key)
+    return r.select("doc_id", "restored", "n_tokens", "n_restored")
+
+
+def vault_import(spark, sf_dir):
+    """ST-5: vault of compat mode overwritten by the vault of all-occurrences mode."""
+    n = _notes(spark, sf_dir)
+    keys = M.demo_keys(spark, DEMO_KEY_ID)
+    key = M.key_column(keys, DEMO_KEY_ID)
+    a = MJ.vault_rows(MJ.mask_corpus(n, seed_inline(0.75), F.hex(key)), key, DEMO_KEY_ID).withColumn("version", F.lit(1))
+    b = MJ.vault_rows(MJ.mask_corpus(n, seed_inline(0.75), F.hex(key), all_occurrences=True), key, DEMO_KEY_ID,
+                      applied_only=True).withColumn("version", F.lit(2))
+    return V.import_vault(a, b).select("doc_id", "token_id", "original_len", "version")
+
+
+# ---------------------------------------------------------------- metrics
+def exact_metrics(spark, sf_dir):
+    """JN-5 / SC-10 / SC-7 per sample for the cold system."""
+    o = _outputs(spark, sf_dir, ("cold",))
+    gt = F.transform("phi_spans", lambda s: s["span"])
+    pr = F.transform("pred", lambda s: s["span"])
+    r = o.select("doc_id", MT.exact_record(gt, pr).alias("m"), utility(F.col("text"), F.col("masked")).alias("utility"))
+    return _r(r.select("doc_id", "m.tp", "m.fp", "m.fn", "m.precision", "m.recall", "m.f1", "utility"))
+
+
+def overlap_metrics(spark, sf_dir):
+    """JN-6 / SC-11 / SC-9 / SC-12 per (system, sample)."""
+    rec = EV.records(_outputs(spark, sf_dir))
+    return _r(rec.select("system", "doc_id", "tp", "fp", "fn", "precision", "recall", "f1", "leakage",
+                         "quasi_risk", "utility"))
+
+
+def per_type_exact(spark, sf_dir):
+    """AG-4 for the cold system."""
+    o = _outputs(spark, sf_dir, ("cold",))
+    t = MT.type_long(o, "phi_spans", "in_gt")
+    p = MT.type_long(o, "pred", "in_pred")
+    return _r(MT.per_type_exact(t, p))
+
+
+def per_type_overlap(spark, sf_dir):
+    """AG-5 per (system, type)."""
+    o = _outputs(spark, sf_dir)
+    return _r(EV.per_type_overlap(o, _notes(spark, sf_dir)))
+
+
+def micro_macro(spark, sf_dir):
+    """AG-1/2/3/8/9 for the cold system with critic rewards."""
+    o = _outputs(spark, sf_dir, ("cold",))
+    gt = F.transform("phi_spans", lambda s: s["span"])
+    pr = F.transform("pred", lambda s: s["span"])
+    rec = o.select("doc_id", "seq", "cache_hits", MT.exact_record(gt, pr).alias("m"),
+                   utility(F.col("text"), F.col("masked")).alias("utility"),
+                   F.transform(F.filter("pred", lambda s: F.lit(True)), lambda s: s["span"]).alias("_p"))
+    n = _notes(spark, sf_dir)
+    enc = o.select("doc_id", F.col("pred").alias("_pred"))
+    val = CT.reward_columns(CT.parse_validation(replies.critic_raw(n), _critic_docs(spark, sf_dir)))
+    rec = rec.join(val.select("doc_id", "total_reward"), "doc_id", "left")
+    rec = rec.select("m.tp", "m.fp", "m.fn", "m.precision", "m.recall", "m.f1", "utility", "cache_hits",
+                     F.coalesce("total_reward", F.lit(0.0)).alias("total_reward"))
+    return _r(MT.micro_macro(rec))
+
+
+def security_by_system(spark, sf_dir):
+    return _r(MT.security_by_system(EV.records(_outputs(spark, sf_dir))))
+
+
+def detection_by_system(spark, sf_dir):
+    return _r(MT.detection_by_system(EV.records(_outputs(spark, sf_dir))))
+
+
+def latency_stats(spark, sf_dir):
+    """AG-6/7 over measured latencies (``events.value``) per event type."""
+    ev = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = ev.select("event_type", F.col("value").alias("latency_ms"), (k % 3).alias("cache_hits"),
+                  (k % 2).alias("cache_misses"))
+    return _r(MT.latency_stats(e, "latency_ms", ("event_type",)))
+
+
+def scale_windows(spark, sf_dir):
+    """WN-1 over the cold and warm systems with measured latencies."""
+    rec = EV.records(_outputs(spark, sf_dir, ("cold", "warm")), _latency(spark, sf_dir))
+    return _r(MT.scale_windows(rec))
+
+
+# ---------------------------------------------------------------- critic and control
+def _critic_docs(spark, sf_dir) -> DataFrame:
+    o = _outputs(spark, sf_dir, ("cold",))
+    n = _notes(spark, sf_dir)
+    m = MJ.mask_corpus(n, seed_inline(0.75), _secret(spark))
+    enc = F.transform(F.filter("spans", lambda s: s["action"] == "encrypt"), lambda s: s["span"])
+    return m.select("seq", "doc_id", "cache_hits", enc.alias("encrypted"))
+
+
+def critic_reward(spark, sf_dir):
+    """MK-14 + SC-22 + AG-15 per document."""
+    n = _notes(spark, sf_dir)
+    v = CT.reward_columns(CT.parse_validation(replies.critic_raw(n), _critic_docs(spark, sf_dir)))
+    return _r(v.select("doc_id", "is_clean", "is_fluent", "is_accurate", F.size("leaked_spans").alias("n_leaked"),
+                       F.size("over_encrypted").alias("n_over"), "fluency_score", "leakage_confidence",
+                       "r_correct_redaction", "r_missed_phi", "r_over_encryption", "r_cache_hit_bonus",
+                       "r_utility_preserved", "total_reward"))
+
+
+def _event_validations(spark, sf_dir) -> DataFrame:
+    """A validation stream derived from ``events`` (seq = event_id)."""
+    ev = read_table(spark, sf_dir, "events")
+    err = F.col("event_type") == "error"
+    pur = (F.col("event_type") == "purchase") & (F.col("value") > 100)
+    uid = F.col("user_id").cast("string")
+    return ev.select(
+        F.col("event_id").alias("seq"), F.col("event_id").alias("doc_id"), (~err).alias("is_clean"),
+        F.when(err & (F.col("value") > 50), F.array(F.col("props"), uid))
+        .when(err & (F.col("value") > 10), F.array(F.col("props"))).otherwise(F.array().cast("array<string>"))
+        .alias("leaked_spans"),
+        (~pur).alias("is_accurate"),
+        F.when(pur, F.array(uid)).otherwise(F.array().cast("array<string>")).alias("over_encrypted"),
+        (F.col("value") < 200).alias("is_fluent"),
+        (F.get_json_object("props", "$.k").cast("int") % 3).alias("cache_hits"),
+    )
+
+
+def param_control(spark, sf_dir):
+    """WN-5: sensitivity and threshold after every validation."""
+    return _r(CT.param_trace(_event_validations(spark, sf_dir)))
+
+
+def focus_list(spark, sf_dir):
+    """WN-4: missed-type focus list after every validation."""
+    ev = read_table(spark, sf_dir, "events")
+    spans = ev.select(F.col("event_id").alias("doc_id"), F.explode(F.array(
+        F.struct(F.lit(0).alias("pos"), F.col("props").alias("span"), F.upper("event_type").alias("phi_type")),
+        F.struct(F.lit(1).alias("pos"), F.col("user_id").cast("string").alias("span"), F.lit("USER").alias("phi_type")),
+    )).alias("s")).select("doc_id", "s.*")
+    f = CT.focus_trace(_event_validations(spark, sf_dir), spans)
+    return f.select("seq", F.array_join("phi_types_focus", ",").alias("phi_types_focus"))
+
+
+# ---------------------------------------------------------------- pattern memory
+def _event_feedback(spark, sf_dir, per_user: bool) -> tuple[DataFrame, DataFrame]:
+    ev = read_table(spark, sf_dir, "events")
+    label = F.concat_ws("_", "event_type", F.col("user_id").cast("string")) if per_user else F.col("event_type")
+    thr = 30.0 if per_user else 10.0
+    fb = ev.select(F.col("event_id").alias("seq"), label.alias("label"), (F.col("value") >= thr).alias("correct"))
+    labels = fb.groupBy("label").agg(F.min("seq").alias("first_seq"))
+    pats = labels.select(
+        "label", F.col("first_seq").cast("int").alias("pattern_seq"), F.lit(r"\d+").alias("regex"),
+        F.lit("ID_NUMBER").alias("phi_type"), F.lit(None).cast("string").alias("abstraction_role"),
+        F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("misses"),
+        F.lit(0.5).alias("confidence"), F.lit(False).alias("promoted"), F.lit(None).cast("date").alias("last_updated"))
+    return pats, fb
+
+
+def pattern_feedback(spark, sf_dir):
+    """AG-14: counters and confidence per label after the feedback stream."""
+    pats, fb = _event_feedback(spark, sf_dir, False)
+    out = MEM.apply_feedback(pats, fb, day="2026-01-01")
+    return _r(out.select("label", "hits", "misses", "confidence", "promoted"))
+
+
+def pattern_promote(spark, sf_dir):
+    """WN-3: first step at which each label is promoted (running counts)."""
+    pats, fb = _event_feedback(spark, sf_dir, True)
+    fbj = fb.withColumn("_h", F.col("correct").cast("long")).withColumn("_m", (~F.col("correct")).cast("long"))
+    run = RUN.running_sums(fbj, ["label"], "seq", ["_h", "_m"])
+    ok = (F.col("run__h") >= 20) & ((F.col("run__h") / (F.col("run__h") + F.col("run__m"))) > 0.75)
+    return run.groupBy("label").agg(F.min(F.when(ok, F.col("seq"))).alias("promoted_at"),
+                                    F.sum("_h").alias("hits"), F.sum("_m").alias("misses"))
+
+
+def pattern_prune_cap(spark, sf_dir):
+    """FLT-6 + SO-3 after feedback on per-user labels."""
+    pats, fb = _event_feedback(spark, sf_dir, True)
+    out = MEM.cap(MEM.prune(MEM.apply_feedback(pats, fb, day="2026-01-01")))
+    return _r(out.select("label", "hits", "misses", "confidence", "promoted"))
+
+
+def pattern_stats(spark, sf_dir):
+    """AG-11 over the seed table merged with learned patterns."""
+    return _r(MEM.stats(_warm_patterns(spark, sf_dir)))
+
+
+def pattern_learn(spark, sf_dir):
+    """MK-10: shapes learned from detector spans flagged as learnable."""
+    return _learned_table(spark, sf_dir).select("label", "regex", "phi_type", "support", "confidence", "promoted")
+
+
+def seed_merge(spark, sf_dir):
+    """SRC-7 / ST-4: seeds inserted where absent into the learned table."""
+    learned = _learned_table(spark, sf_dir).drop("support").withColumn("last_updated", F.lit(None).cast("date"))
+    merged = MEM.insert_if_absent(learned, PS.seed_patterns(spark))
+    return _r(merged.select("label", "pattern_seq", "phi_type", "hits", "misses", "confidence", "promoted"))
+
+
+def memory_growth(spark, sf_dir):
+    """WN-2: pattern-table stats at every 50th step of the feedback stream."""
+    pats, fb = _event_feedback(spark, sf_dir, False)
+    return _r(MEM.growth(pats, fb))
+
+
+# ---------------------------------------------------------------- audit and counters
+def attack_rate(spark, sf_dir):
+    """MK-13: reconstruction audit per system from guess replies."""
+    o = _outputs(spark, sf_dir)
+    return _r(EV.attack(o, replies.guesses_raw(o)))
+
+
+def run_counters(spark, sf_dir):
+    """AG-12/13: run totals over the masked table with validation."""
+    n = _notes(spark, sf_dir)
+    d = MJ.attach_detections(n, replies.detect_raw(n))
+    m = MJ.mask_corpus(d, seed_inline(0.75), _secret(spark), with_detections=True)
+    enc = F.transform(F.filter("spans", lambda s: s["action"] == "encrypt"), lambda s: s["span"])
+    v = CT.reward_columns(CT.parse_validation(replies.critic_raw(n), m.select("seq", "doc_id", "cache_hits", enc.alias("encrypted"))))
+    j = m.select("doc_id", "cache_hits", "cache_misses", *M.mask_counts("spans")).join(
+        v.select("doc_id", "total_reward", F.size("leaked_spans").alias("n_leaked")), "doc_id", "left")
+    return _r(j.agg(
+        F.count(F.lit(1)).alias("total_sentences"), F.sum("span_count").alias("total_spans"),
+        F.sum("encrypted_count").alias("total_encrypted"), F.sum("abstracted_count").alias("total_abstracted"),
+        F.sum("cache_hits").alias("total_cache_hits"), F.sum("cache_misses").alias("total_cache_misses"),
+        F.sum("total_reward").alias("total_reward"), F.sum("n_leaked").alias("missed_phi_count")))
+
+
 QUERIES = {
     "pattern_scan": pattern_scan,
     "pattern_offsets": pattern_offsets,
@@ -111,4 +477,37 @@ QUERIES = {
     "mask_routed": mask_routed,
     "mask_documents": mask_documents,
     "mask_all": mask_all,
+    "detector_parse": detector_parse,
+    "cache_misses": cache_misses,
+    "skip_gate": skip_gate,
+    "mask_with_detector": mask_with_detector,
+    "mask_regex_baseline": mask_regex_baseline,
+    "mask_full_encryption": mask_full_encryption,
+    "mask_offsets": mask_offsets,
+    "mask_sequential": mask_sequential,
+    "label_map": label_map,
+    "corpus_load": corpus_load,
+    "vault_roundtrip": vault_roundtrip,
+    "vault_import": vault_import,
+    "exact_metrics": exact_metrics,
+    "overlap_metrics": overlap_metrics,
+    "per_type_exact": per_type_exact,
+    "per_type_overlap": per_type_overlap,
+    "micro_macro": micro_macro,
+    "security_by_system": security_by_system,
+    "detection_by_system": detection_by_system,
+    "latency_stats": latency_stats,
+    "scale_windows": scale_windows,
+    "critic_reward": critic_reward,
+    "param_control": param_control,
+    "focus_list": focus_list,
+    "pattern_feedback": pattern_feedback,
+    "pattern_promote": pattern_promote,
+    "pattern_prune_cap": pattern_prune_cap,
+    "pattern_stats": pattern_stats,
+    "pattern_learn": pattern_learn,
+    "seed_merge": seed_merge,
+    "memory_growth": memory_growth,
+    "attack_rate": attack_rate,
+    "run_counters": run_counters,
 }

@@ -57,3 +57,283 @@ FROM merged, range(1, len(m) + 1) t(i)"""
 SQL["mask_routed"] = _mask_report(NOTES, "notes")
 SQL["mask_documents"] = _mask_report(DOCS, "docs")
 SQL["mask_all"] = _mask_report(NOTES, "notes", all_occ=True)
+
+
+# ====================================================================== shared CTEs
+from cloakline.plans.oracle import (critic_raw_sql, detect_raw_sql, detections_sql, hit_spans_sql,  # noqa: E402
+                                    leakage_sql, overlap_record_sql, quasi_sql, seed_rows, strip_sql,
+                                    token_sql, tokens_sql, utility_sql, validation_sql, WS)
+
+TOK = lambda d, i, s: "'<<ENC:' || " + token_sql(d, i, s) + " || ':ENC>>'"
+
+DET = detect_raw_sql() + f""",
+det AS (SELECT doc_id, seq, text, phi_spans, {hits_sql('text')} AS hits, {detections_sql('text', 'raw')} AS dets FROM detect)"""
+
+LABEL_CASE = ("CASE entity_type WHEN 'PERSON' THEN 'PERSON' WHEN 'ORG' THEN 'ORG' WHEN 'GPE' THEN 'LOCATION' "
+              "WHEN 'LOC' THEN 'LOCATION' WHEN 'DATE' THEN 'DATE' WHEN 'TIME' THEN 'DATE' WHEN 'CARDINAL' THEN 'AGE' "
+              "WHEN 'MONEY' THEN 'CREDIT_CARD' ELSE entity_type END")
+
+ENTITIES = """
+ent0 AS (
+  SELECT doc_id, text, phi_spans,
+    [{'s': 0, 'e': length(phi_spans[1].span), 't': 'PERSON'},
+     CASE doc_id % 4
+       WHEN 0 THEN {'s': strpos(text, phi_spans[3].span) - 1, 'e': strpos(text, phi_spans[3].span) - 1 + length(phi_spans[3].span), 't': 'DATE'}
+       WHEN 1 THEN {'s': strpos(text, phi_spans[2].span) - 1, 'e': strpos(text, phi_spans[2].span) - 1 + length(CAST(10 + doc_id % 90 AS VARCHAR)), 't': 'CARDINAL'}
+       WHEN 2 THEN {'s': strpos(text, 'wife') - 1, 'e': strpos(text, 'wife') - 1 + 4, 't': 'NORP'}
+       ELSE {'s': strpos(text, phi_spans[5].span) - 1, 'e': strpos(text, phi_spans[5].span) - 1 + 5, 't': 'GPE'}
+     END] AS ents
+  FROM notes),
+entities AS (
+  SELECT 'ner' AS system, doc_id, ents[i].s::INTEGER AS start, ents[i].e::INTEGER AS "end", ents[i].t AS entity_type
+  FROM ent0, range(1, 3) r(i))"""
+
+COLD = f"""
+scanned AS (SELECT doc_id, seq, text, phi_spans, {hits_sql('text')} AS hits FROM notes),
+cold AS (
+  SELECT 'cold' AS system, doc_id, seq, text, phi_spans, f.text AS masked,
+    list_transform(f.applied, lambda a: {{'span': a.span, 'phi_type': a.phi_type}}) AS pred,
+    len(hits) AS cache_hits, f.applied AS applied
+  FROM (SELECT *, {mask_fold_sql('text', dedup_sql('hits'), 'doc_id')} AS f FROM scanned))"""
+
+REGEX = f"""
+rx0 AS (SELECT doc_id, seq, text, phi_spans, {offsets_sql('text', seed_rows(None))} AS hoff FROM notes),
+rx1 AS (SELECT *, list_sort(list_transform(hoff, lambda h, i: {{'k': -h.start, 'i': i, 'span': h.span}})) AS keyed FROM rx0),
+rx2 AS (SELECT *, list_filter(keyed, lambda x, i: list_position(list_transform(keyed, lambda z: z.span), x.span) = i) AS dist FROM rx1),
+regex AS (
+  SELECT 'regex' AS system, doc_id, seq, text, phi_spans,
+    list_reduce(dist, lambda acc, x: CASE WHEN strpos(acc, x.span) > 0 THEN substr(acc, 1, strpos(acc, x.span) - 1)
+        || {TOK('doc_id', 'strpos(text, x.span) - 1', 'x.span')} || substr(acc, strpos(acc, x.span) + length(x.span))
+        ELSE acc END, text) AS masked,
+    list_transform(hoff, lambda h: {{'span': h.span, 'phi_type': h.phi_type}}) AS pred, 0 AS cache_hits
+  FROM rx2)"""
+
+FULLENC = f"""
+fe0 AS (SELECT *, list_sort(list_transform(list_filter(list_distinct(list_transform(phi_spans, lambda s: s.span)),
+          lambda g: g <> '' AND contains(text, g)), lambda g: {{'idx': strpos(text, g) - 1, 'span': g}}), 'DESC') AS srt
+        FROM notes),
+full_encryption AS (
+  SELECT 'full_encryption' AS system, doc_id, seq, text, phi_spans,
+    list_reduce(srt, lambda acc, x: substr(acc, 1, x.idx) || {TOK('doc_id', 'x.idx', 'x.span')}
+        || substr(acc, x.idx + length(x.span) + 1), text) AS masked,
+    list_transform(srt, lambda x: {{'span': x.span, 'phi_type': 'UNKNOWN'}}) AS pred, 0 AS cache_hits
+  FROM fe0)"""
+
+NER = ENTITIES + f""",
+ner0 AS (
+  SELECT e.doc_id, list_sort(list({{'k': -e.start, 's': e.start, 'e': e."end", 'phi_type': {LABEL_CASE}}})) AS ents
+  FROM entities e GROUP BY e.doc_id),
+ner AS (
+  SELECT 'ner' AS system, n.doc_id, n.seq, n.text, n.phi_spans,
+    list_reduce(ents, lambda acc, x: substr(acc, 1, x.s) || {TOK('n.doc_id', 'x.s', 'substr(n.text, x.s + 1, x.e - x.s)')}
+        || substr(acc, x.e + 1), n.text) AS masked,
+    list_transform(ents, lambda x: {{'span': substr(n.text, x.s + 1, x.e - x.s), 'phi_type': x.phi_type}}) AS pred,
+    0 AS cache_hits
+  FROM notes n JOIN ner0 USING (doc_id))"""
+
+OUTPUTS = COLD + "," + REGEX + "," + FULLENC + "," + NER + """,
+outputs AS (
+  SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
+  UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM regex
+  UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM full_encryption
+  UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM ner)"""
+
+RECORDS = f"""
+rec0 AS (SELECT *, list_transform(phi_spans, lambda s: s.span) AS gt, list_transform(pred, lambda s: s.span) AS pt
+         FROM outputs),
+records AS (
+  SELECT system, doc_id, seq, cache_hits, m.tp AS tp, m.fp AS fp, m.fn AS fn, m.precision AS precision,
+    m.recall AS recall, m.f1 AS f1, {leakage_sql('masked', 'gt')} AS leakage, {quasi_sql('text', 'masked')} AS quasi_risk,
+    {utility_sql('text', 'masked')} AS utility
+  FROM (SELECT *, {overlap_record_sql('gt', 'pt')} AS m FROM rec0))"""
+
+
+def R(x: str, n: int = 6) -> str:
+    return f"round({x}, {n})"
+
+
+# ====================================================================== detector side
+SQL["detector_parse"] = with_ctes(NOTES, DET) + """
+SELECT doc_id, (i - 1) AS pos, dets[i].span AS span, dets[i].phi_type AS phi_type,
+  dets[i].confidence AS confidence, dets[i].has_pattern AS has_pattern
+FROM det, range(1, len(dets) + 1) t(i)"""
+
+SQL["cache_misses"] = with_ctes(NOTES, DET) + """
+SELECT doc_id, len(hits) AS cache_hits,
+  len(list_filter(dets, lambda d: NOT list_contains(list_transform(hits, lambda h: h.span), d.span))) AS cache_misses,
+  len(list_filter(dets, lambda d: NOT list_contains(list_transform(hits, lambda h: h.span), d.span) AND d.has_pattern)) AS n_learnable
+FROM det"""
+
+SQL["skip_gate"] = with_ctes(NOTES, f"s AS (SELECT doc_id, {hits_sql('text')} AS hits FROM notes)") + """
+SELECT doc_id, len(list_filter(hits, lambda h: h.promoted)) AS promoted_hits,
+  len(list_filter(hits, lambda h: h.promoted)) >= 2 AS skip_detector
+FROM s"""
+
+_PHRASE = ("CASE WHEN doc_id % 3 = 0 AND SPAN = phi_spans[1].span THEN "
+           "CASE WHEN len(list_filter(regexp_split_to_array(" + strip_sql("'  the  patient on record in this file '") +
+           ", '" + WS + "'), lambda w: w <> '')) > 6 THEN array_to_string(list_filter(regexp_split_to_array(" +
+           strip_sql("'  the  patient on record in this file '") + ", '" + WS + "'), lambda w: w <> '')[1:6], ' ') "
+           "ELSE " + strip_sql("'  the  patient on record in this file '") + " END END")
+
+SQL["mask_with_detector"] = with_ctes(NOTES, DET, f"""
+m AS (SELECT doc_id, len(hits) AS cache_hits,
+        len(list_filter(dets, lambda d: NOT list_contains(list_transform(hits, lambda h: h.span), d.span))) AS cache_misses,
+        {mask_fold_sql('text', dedup_sql(f"list_concat({hit_spans_sql('hits')}, dets)"), 'doc_id', _PHRASE)} AS f
+      FROM det)""") + """
+SELECT doc_id, f.text AS masked, cache_hits, cache_misses, len(f.applied) AS span_count,
+  len(list_filter(f.applied, lambda a: a.action = 'encrypt')) AS encrypted_count,
+  len(list_filter(f.applied, lambda a: a.action = 'abstract')) AS abstracted_count
+FROM m"""
+
+# ====================================================================== other maskers
+SQL["mask_regex_baseline"] = with_ctes(NOTES, REGEX) + "SELECT doc_id, masked, len(pred) AS n_pred FROM regex"
+SQL["mask_full_encryption"] = with_ctes(NOTES, FULLENC) + "SELECT doc_id, masked, len(pred) AS n_pred FROM full_encryption"
+SQL["mask_offsets"] = with_ctes(NOTES, NER) + """
+SELECT doc_id, masked, array_to_string(list_transform(pred, lambda p: concat_ws(':', p.phi_type, p.span)), '|') AS pred
+FROM ner"""
+
+SQL["mask_sequential"] = with_ctes(NOTES, f"""
+sq AS (SELECT doc_id, list_reduce(list_transform(phi_spans, lambda s, i: {{'span': s.span, 'i': i - 1}}),
+    lambda acc, x: CASE WHEN strpos(acc.t, x.span) > 0 THEN {{'t': substr(acc.t, 1, strpos(acc.t, x.span) - 1)
+      || {TOK('doc_id', 'x.i', 'x.span')} || substr(acc.t, strpos(acc.t, x.span) + length(x.span)), 'n': acc.n + 1}}
+      ELSE acc END, {{'t': text, 'n': 0}}) AS f FROM notes)""") + """
+SELECT doc_id, f.t AS masked, f.n AS n_applied FROM sq"""
+
+SQL["label_map"] = with_ctes(NOTES, ENTITIES) + f"""
+SELECT system, doc_id, start, "end", entity_type, {LABEL_CASE} AS phi_type FROM entities"""
+
+SQL["corpus_load"] = with_ctes(NOTES, f"""
+raw AS (
+  SELECT doc_id AS row_id,
+    CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '   ' ELSE text END AS source_text,
+    CASE doc_id % 5 WHEN 2 THEN NULL WHEN 3 THEN 'ignored' ELSE text END AS text,
+    list_concat(list_transform(phi_spans, lambda s, i: {{
+        'value': CASE WHEN (i - 1) % 3 = 0 THEN s.span END,
+        'text': CASE WHEN (i - 1) % 3 = 1 THEN s.span WHEN i - 1 = 2 THEN '' END,
+        'span': CASE WHEN (i - 1) % 3 = 2 THEN s.span END,
+        'label': CASE WHEN (doc_id + i - 1) % 7 <> 0 THEN s.phi_type END}}),
+      [{{'value': 'not in text', 'text': NULL::VARCHAR, 'span': NULL::VARCHAR, 'label': 'PERSON'}}]) AS privacy_mask
+  FROM notes),
+ld AS (
+  SELECT row_id, coalesce(nullif(source_text, ''), nullif(text, ''), '') AS t, privacy_mask FROM raw),
+ld2 AS (
+  SELECT row_id AS doc_id, t AS text,
+    list_transform(list_filter(privacy_mask, lambda m: coalesce(nullif(m.value, ''), nullif(m.text, ''), coalesce(m.span, '')) <> ''
+        AND contains(t, coalesce(nullif(m.value, ''), nullif(m.text, ''), coalesce(m.span, '')))),
+      lambda m: {{'span': coalesce(nullif(m.value, ''), nullif(m.text, ''), coalesce(m.span, '')),
+                 'phi_type': coalesce(m.label, 'UNKNOWN')}}) AS spans
+  FROM ld WHERE {strip_sql('t')} <> '')""") + """
+SELECT doc_id, text, len(spans) AS n_spans,
+  array_to_string(list_transform(spans, lambda s: concat_ws(':', s.phi_type, s.span)), '|') AS spans
+FROM ld2"""
+
+# ====================================================================== vault
+SQL["vault_roundtrip"] = with_ctes(NOTES, COLD) + """
+SELECT doc_id,
+  list_reduce(list_filter(applied, lambda a: a.action = 'encrypt'), lambda acc, a: replace(acc, a.replacement, a.span), masked) AS restored,
+  len(list_distinct(regexp_extract_all(masked, '<<ENC:([^:]+):ENC>>', 1))) AS n_tokens,
+  len(list_distinct(regexp_extract_all(masked, '<<ENC:([^:]+):ENC>>', 1))) AS n_restored
+FROM cold"""
+
+_ALLOCC_FOLD = mask_fold_sql("text", dedup_sql("hits"), "doc_id").replace(
+    "{'text': substr(acc.text, 1, strpos(acc.text, x.span) - 1) || x.replacement || "
+    "substr(acc.text, strpos(acc.text, x.span) + length(x.span)), ",
+    "{'text': replace(acc.text, x.span, x.replacement), ")
+
+SQL["vault_import"] = with_ctes(NOTES, f"""
+scanned AS (SELECT doc_id, text, {hits_sql('text')} AS hits FROM notes),
+items AS (
+  SELECT doc_id, list_filter(list_transform(list_filter({dedup_sql('hits')}, lambda s: strpos(text, s.span) > 0),
+      lambda s: {{'token_id': {token_sql('doc_id', 'strpos(text, s.span) - 1', 's.span')}, 'span': s.span,
+                 'action': {route_sql('s.phi_type')}}}), lambda x: x.action = 'encrypt') AS v1,
+    list_transform(list_filter(({_ALLOCC_FOLD}).applied, lambda a: a.action = 'encrypt'),
+      lambda a: {{'token_id': regexp_extract(a.replacement, '<<ENC:([^:]+):ENC>>', 1), 'span': a.span}}) AS v2
+  FROM scanned),
+u AS (
+  SELECT doc_id, v1[i].token_id AS token_id, length(v1[i].span) AS original_len, 1 AS version
+  FROM items, range(1, len(v1) + 1) t(i)
+  UNION ALL
+  SELECT doc_id, v2[i].token_id AS token_id, length(v2[i].span) AS original_len, 2 AS version
+  FROM items, range(1, len(v2) + 1) t(i))""") + """
+SELECT doc_id, token_id, original_len, version FROM u
+QUALIFY row_number() OVER (PARTITION BY doc_id, token_id ORDER BY version DESC) = 1"""
+
+# ====================================================================== metrics
+SQL["exact_metrics"] = with_ctes(NOTES, COLD, """
+e0 AS (SELECT doc_id, text, masked, list_distinct(list_transform(phi_spans, lambda s: s.span)) AS g,
+         list_distinct(list_transform(pred, lambda s: s.span)) AS p FROM cold),
+e1 AS (SELECT doc_id, text, masked, len(list_intersect(g, p)) AS tp,
+         len(list_filter(p, lambda x: NOT list_contains(g, x))) AS fp,
+         len(list_filter(g, lambda x: NOT list_contains(p, x))) AS fn FROM e0),
+e2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 1.0::DOUBLE END AS precision,
+         CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 1.0::DOUBLE END AS recall FROM e1)""") + f"""
+SELECT doc_id, tp, fp, fn, {R('precision')} AS precision, {R('recall')} AS recall,
+  {R('CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END')} AS f1,
+  {R(utility_sql('text', 'masked'))} AS utility
+FROM e2"""
+
+SQL["overlap_metrics"] = with_ctes(NOTES, OUTPUTS, RECORDS) + f"""
+SELECT system, doc_id, tp, fp, fn, {R('precision')} AS precision, {R('recall')} AS recall, {R('f1')} AS f1,
+  leakage, {R('quasi_risk')} AS quasi_risk, {R('utility')} AS utility
+FROM records"""
+
+SQL["per_type_exact"] = with_ctes(NOTES, COLD, """
+t AS (SELECT DISTINCT doc_id, coalesce(s.phi_type, 'UNKNOWN') AS phi_type, s.span AS span, true AS in_gt
+      FROM (SELECT doc_id, unnest(phi_spans) AS s FROM cold)),
+p AS (SELECT DISTINCT doc_id, coalesce(s.phi_type, 'UNKNOWN') AS phi_type, s.span AS span, true AS in_pred
+      FROM (SELECT doc_id, unnest(pred) AS s FROM cold)),
+j AS (SELECT coalesce(t.phi_type, p.phi_type) AS phi_type, in_gt, in_pred
+      FROM t FULL OUTER JOIN p ON t.doc_id = p.doc_id AND t.phi_type = p.phi_type AND t.span = p.span),
+a AS (SELECT phi_type, count_if(in_gt AND in_pred) AS tp, count_if(in_pred AND in_gt IS NULL) AS fp,
+        count_if(in_gt AND in_pred IS NULL) AS fn FROM j GROUP BY phi_type),
+b AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+        CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall FROM a)""") + f"""
+SELECT phi_type, tp, fp, fn, {R('precision')} AS precision, {R('recall')} AS recall,
+  {R('CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END')} AS f1,
+  tp + fn AS support
+FROM b"""
+
+SQL["per_type_overlap"] = with_ctes(NOTES, OUTPUTS, """
+gl AS (SELECT o.system, o.doc_id, coalesce(s.phi_type, 'UNKNOWN') AS phi_type, list(s.span ORDER BY i) AS gt
+       FROM outputs o, range(1, len(o.phi_spans) + 1) r(i), LATERAL (SELECT o.phi_spans[i] AS s)
+       GROUP BY ALL),
+pl AS (SELECT o.system, o.doc_id, coalesce(s.phi_type, 'UNKNOWN') AS phi_type, list(s.span ORDER BY i) AS pred
+       FROM outputs o, range(1, len(o.pred) + 1) r(i), LATERAL (SELECT o.pred[i] AS s)
+       GROUP BY ALL),
+j AS (SELECT coalesce(gl.system, pl.system) AS system, coalesce(gl.phi_type, pl.phi_type) AS phi_type,
+        coalesce(gt, []::VARCHAR[]) AS gt, coalesce(pred, []::VARCHAR[]) AS pred
+      FROM gl FULL OUTER JOIN pl ON gl.system = pl.system AND gl.doc_id = pl.doc_id AND gl.phi_type = pl.phi_type),
+m AS (SELECT system, phi_type, """ + overlap_record_sql("gt", "pred") + """ AS m FROM j),
+a AS (SELECT system, phi_type, sum(m.tp) AS tp, sum(m.fp) AS fp, sum(m.fn) AS fn FROM m GROUP BY system, phi_type),
+b AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+        CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall FROM a)""") + f"""
+SELECT system, phi_type, tp, fp, fn, {R('precision')} AS precision, {R('recall')} AS recall,
+  {R('CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END')} AS f1
+FROM b"""
+
+SQL["security_by_system"] = with_ctes(NOTES, OUTPUTS, RECORDS) + f"""
+SELECT system, {R('avg(leakage)')} AS exact_leakage, {R('avg(quasi_risk)')} AS quasi_id_risk,
+  {R('avg(utility)')} AS utility_score, count(*) AS n
+FROM records GROUP BY system"""
+
+SQL["detection_by_system"] = with_ctes(NOTES, OUTPUTS, RECORDS) + f"""
+SELECT system, {R('avg(precision)')} AS precision, {R('avg(recall)')} AS recall, {R('avg(f1)')} AS f1
+FROM records GROUP BY system"""
+
+SQL["latency_stats"] = """
+WITH e AS (SELECT event_type, value AS latency_ms, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_type, """ + f"""{R('avg(latency_ms)')} AS mean_ms, {R('quantile_cont(latency_ms, 0.5)')} AS median_ms,
+  {R('quantile_cont(latency_ms, 0.95)')} AS p95_ms, {R('min(latency_ms)')} AS min_ms,
+  {R('coalesce(avg(latency_ms) FILTER (WHERE k % 3 > 0), 0.0)')} AS cache_hit_mean_ms,
+  {R('coalesce(avg(latency_ms) FILTER (WHERE k % 2 > 0), 0.0)')} AS cache_miss_mean_ms, count(*) AS n
+FROM e GROUP BY event_type"""
+
+SQL["scale_windows"] = with_ctes(NOTES, COLD, REGEX, """
+outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
+            UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM regex)""", RECORDS, """
+rl AS (SELECT r.*, coalesce(e.value, 0.0) AS latency_ms FROM records r LEFT JOIN events e ON e.event_id = r.doc_id),
+w AS (SELECT system, floor(seq / 100) AS bucket, count(*) AS n, avg(f1) AS f1, avg(latency_ms) AS latency_ms,
+        avg(CASE WHEN cache_hits > 0 THEN 1.0 ELSE 0.0 END) AS cache_hit_rate FROM rl GROUP BY ALL)""") + f"""
+SELECT system, CAST((bucket + 1) * 100 AS BIGINT) AS step, {R('f1')} AS f1, {R('latency_ms')} AS latency_ms,
+  {R('cache_hit_rate')} AS cache_hit_rate
+FROM w WHERE n = 100"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cloakline.plans.oracle import (DOCS, NOTES, dedup_sql, hits_sql, mask_fold_sql, offsets_sql, route_sql,
+from cloakline import constants as C
+from cloakline.plans.oracle import (DOCS, NOTES, q, dedup_sql, hits_sql, mask_fold_sql, offsets_sql, route_sql,
                                     with_ctes)
 
 SQL: dict[str, str] = {}
@@ -284,8 +285,9 @@ p AS (SELECT DISTINCT doc_id, coalesce(s.phi_type, 'UNKNOWN') AS phi_type, s.spa
       FROM (SELECT doc_id, unnest(pred) AS s FROM cold)),
 j AS (SELECT coalesce(t.phi_type, p.phi_type) AS phi_type, in_gt, in_pred
       FROM t FULL OUTER JOIN p ON t.doc_id = p.doc_id AND t.phi_type = p.phi_type AND t.span = p.span),
-a AS (SELECT phi_type, count_if(in_gt AND in_pred) AS tp, count_if(in_pred AND in_gt IS NULL) AS fp,
-        count_if(in_gt AND in_pred IS NULL) AS fn FROM j GROUP BY phi_type),
+a AS (SELECT phi_type, count_if(coalesce(in_gt AND in_pred, false)) AS tp,
+        count_if(coalesce(in_pred AND in_gt IS NULL, false)) AS fp,
+        count_if(coalesce(in_gt AND in_pred IS NULL, false)) AS fn FROM j GROUP BY phi_type),
 b AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
         CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall FROM a)""") + f"""
 SELECT phi_type, tp, fp, fn, {R('precision')} AS precision, {R('recall')} AS recall,
@@ -337,3 +339,203 @@ w AS (SELECT system, floor(seq / 100) AS bucket, count(*) AS n, avg(f1) AS f1, a
 SELECT system, CAST((bucket + 1) * 100 AS BIGINT) AS step, {R('f1')} AS f1, {R('latency_ms')} AS latency_ms,
   {R('cache_hit_rate')} AS cache_hit_rate
 FROM w WHERE n = 100"""
+
+# ====================================================================== critic and control
+CRITIC_DOCS = """
+cdocs AS (SELECT doc_id, cache_hits,
+  list_transform(list_filter(applied, lambda a: a.action = 'encrypt'), lambda a: a.span) AS encrypted FROM cold)"""
+
+SQL["critic_reward"] = with_ctes(NOTES, COLD, CRITIC_DOCS, critic_raw_sql(), validation_sql("cdocs")) + f"""
+SELECT doc_id, is_clean, is_fluent, is_accurate, len(leaked_spans) AS n_leaked, len(over_encrypted) AS n_over,
+  {R('fluency_score')} AS fluency_score, {R('leakage_confidence')} AS leakage_confidence,
+  {R('r_correct_redaction')} AS r_correct_redaction, {R('r_missed_phi')} AS r_missed_phi,
+  {R('r_over_encryption')} AS r_over_encryption, {R('r_cache_hit_bonus')} AS r_cache_hit_bonus,
+  {R('r_utility_preserved')} AS r_utility_preserved, {R('total_reward')} AS total_reward
+FROM valr"""
+
+SQL["micro_macro"] = with_ctes(NOTES, COLD, CRITIC_DOCS, critic_raw_sql(), validation_sql("cdocs"), """
+e0 AS (SELECT doc_id, text, masked, cache_hits, list_distinct(list_transform(phi_spans, lambda s: s.span)) AS g,
+         list_distinct(list_transform(pred, lambda s: s.span)) AS p FROM cold),
+e1 AS (SELECT *, len(list_intersect(g, p)) AS tp, len(list_filter(p, lambda x: NOT list_contains(g, x))) AS fp,
+         len(list_filter(g, lambda x: NOT list_contains(p, x))) AS fn FROM e0),
+e2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 1.0::DOUBLE END AS precision,
+         CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 1.0::DOUBLE END AS recall FROM e1),
+e3 AS (SELECT e2.*, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+         """ + utility_sql("text", "masked") + """ AS utility, coalesce(v.total_reward, 0.0) AS total_reward
+       FROM e2 LEFT JOIN valr v USING (doc_id)),
+a AS (SELECT count(*) AS n_samples, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(precision) AS macro_precision,
+        avg(recall) AS macro_recall, avg(f1) AS macro_f1, avg(utility) AS avg_utility_score,
+        avg(total_reward) AS avg_reward, avg(CASE WHEN cache_hits > 0 THEN 1.0 ELSE 0.0 END) AS cache_hit_rate FROM e3),
+b AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS mp,
+        CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS mr FROM a)""") + f"""
+SELECT n_samples, tp, fp, fn, {R('macro_precision')} AS macro_precision, {R('macro_recall')} AS macro_recall,
+  {R('macro_f1')} AS macro_f1, {R('mp')} AS micro_precision, {R('mr')} AS micro_recall,
+  {R('CASE WHEN mp + mr > 0 THEN 2 * mp * mr / (mp + mr) ELSE 0.0 END')} AS micro_f1,
+  {R('CASE WHEN tp + fn > 0 THEN fn::DOUBLE / (tp + fn) ELSE 0.0 END')} AS miss_rate,
+  {R('avg_utility_score')} AS avg_utility_score, {R('avg_reward')} AS avg_reward, {R('cache_hit_rate')} AS cache_hit_rate
+FROM b"""
+
+EVENT_VAL = """
+ev AS (
+  SELECT event_id AS seq, event_id AS doc_id, event_type <> 'error' AS is_clean,
+    CASE WHEN event_type = 'error' AND value > 50 THEN [props, CAST(user_id AS VARCHAR)]
+         WHEN event_type = 'error' AND value > 10 THEN [props] ELSE []::VARCHAR[] END AS leaked_spans,
+    NOT (event_type = 'purchase' AND value > 100) AS is_accurate,
+    CASE WHEN event_type = 'purchase' AND value > 100 THEN [CAST(user_id AS VARCHAR)] ELSE []::VARCHAR[] END AS over_encrypted,
+    event_type, props, user_id
+  FROM events)"""
+
+SQL["param_control"] = "WITH RECURSIVE " + EVENT_VAL.strip() + """,
+st AS (
+  SELECT seq, (NOT is_clean AND len(leaked_spans) > 0) AS leak, (NOT is_accurate AND len(over_encrypted) > 0) AS over,
+    (is_clean AND len(over_encrypted) = 0) AS loosen FROM ev),
+r(seq, s, m) AS (
+  SELECT -1::BIGINT, 700::BIGINT, 750::BIGINT
+  UNION ALL
+  SELECT st.seq,
+    CASE WHEN st.over THEN greatest(300, CASE WHEN st.leak THEN least(1000, r.s + 50) ELSE r.s END - 50)
+         ELSE CASE WHEN st.leak THEN least(1000, r.s + 50) ELSE r.s END END,
+    CASE WHEN st.loosen THEN greatest(500, CASE WHEN st.over THEN least(950, r.m + 20) ELSE r.m END - 10)
+         ELSE CASE WHEN st.over THEN least(950, r.m + 20) ELSE r.m END END
+  FROM r JOIN st ON st.seq = r.seq + 1)
+SELECT seq, round(s::DOUBLE / 1000.0::DOUBLE, 6) AS sensitivity, round(m::DOUBLE / 1000.0::DOUBLE, 6) AS min_confidence
+FROM r WHERE seq >= 0"""
+
+SQL["focus_list"] = with_ctes(EVENT_VAL, """
+isl AS (SELECT seq, is_clean, leaked_spans,
+          sum(CASE WHEN is_clean THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+        FROM ev),
+spans AS (
+  SELECT event_id AS doc_id, 0 AS pos, props AS span, upper(event_type) AS phi_type FROM events
+  UNION ALL SELECT event_id, 1, CAST(user_id AS VARCHAR), 'USER' FROM events),
+typed AS (
+  SELECT i.island, s.phi_type, i.seq, s.pos FROM isl i JOIN spans s ON s.doc_id = i.seq
+  WHERE NOT i.is_clean AND len(i.leaked_spans) > 0 AND list_contains(i.leaked_spans, s.span)
+    AND s.phi_type IS NOT NULL AND s.phi_type <> ''),
+first AS (SELECT island, phi_type, min({'seq': seq, 'pos': pos}) AS f FROM typed GROUP BY island, phi_type),
+lists AS (
+  SELECT i.seq, string_agg(f.phi_type, ',' ORDER BY f.f.seq, f.f.pos) AS l
+  FROM isl i JOIN first f ON f.island = i.island AND f.f.seq <= i.seq
+  WHERE NOT i.is_clean GROUP BY i.seq)""") + """
+SELECT isl.seq, coalesce(lists.l, '') AS phi_types_focus FROM isl LEFT JOIN lists USING (seq)"""
+
+
+def _feedback_sql(per_user: bool) -> str:
+    label = "event_type || '_' || CAST(user_id AS VARCHAR)" if per_user else "event_type"
+    thr = "30.0" if per_user else "10.0"
+    return f"""
+fb AS (SELECT event_id AS seq, {label} AS label, value >= {thr} AS correct FROM events),
+run AS (
+  SELECT *, sum(CASE WHEN correct THEN 1 ELSE 0 END) OVER w AS h, sum(CASE WHEN correct THEN 0 ELSE 1 END) OVER w AS m
+  FROM fb WINDOW w AS (PARTITION BY label ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+lab AS (
+  SELECT label, min(seq) AS first_seq, sum(CASE WHEN correct THEN 1 ELSE 0 END) AS hits,
+    sum(CASE WHEN correct THEN 0 ELSE 1 END) AS misses,
+    bool_or(h >= 20 AND h::DOUBLE / (h + m) > 0.75) AS promoted,
+    min(CASE WHEN h >= 20 AND h::DOUBLE / (h + m) > 0.75 THEN seq END) AS promoted_at
+  FROM run GROUP BY label),
+fbk AS (SELECT *, CASE WHEN hits + misses > 0 THEN hits::DOUBLE / (hits + misses) ELSE 0.5 END AS confidence FROM lab)"""
+
+
+SQL["pattern_feedback"] = with_ctes(_feedback_sql(False)) + f"""
+SELECT label, hits, misses, {R('confidence')} AS confidence, promoted FROM fbk"""
+
+SQL["pattern_promote"] = with_ctes(_feedback_sql(True)) + """
+SELECT label, promoted_at, hits, misses FROM fbk"""
+
+SQL["pattern_prune_cap"] = with_ctes(_feedback_sql(True), """
+pr AS (SELECT * FROM fbk WHERE NOT (confidence < 0.40 AND hits + misses > 10)),
+rk AS (SELECT *, count(*) OVER () AS total,
+         row_number() OVER (PARTITION BY promoted ORDER BY confidence, first_seq) AS rnk FROM pr)""") + f"""
+SELECT label, hits, misses, {R('confidence')} AS confidence, promoted FROM rk
+WHERE promoted OR rnk > greatest(total - 200, 0)"""
+
+# ====================================================================== pattern memory
+LEARN = """
+lrn0 AS (SELECT seq, list_filter(dets, lambda d: NOT list_contains(list_transform(hits, lambda h: h.span), d.span)
+           AND d.has_pattern) AS l FROM det),
+lrn AS (SELECT seq, i - 1 AS pos, l[i].span AS span, l[i].phi_type AS phi_type FROM lrn0, range(1, len(l) + 1) t(i)),
+shaped AS (
+  SELECT *, (CASE WHEN regexp_matches(span, '^[\\dA-Za-z]') THEN '\\b' ELSE '' END) ||
+    array_to_string(list_transform(regexp_extract_all(span, '\\d+|[A-Za-z]+|\\s+|[^\\dA-Za-z\\s]'), lambda p:
+      CASE WHEN regexp_full_match(p, '\\d+') THEN '\\d{' || CAST(length(p) AS VARCHAR) || '}'
+           WHEN regexp_full_match(p, '[A-Za-z]+') THEN '[A-Za-z]{' || CAST(length(p) AS VARCHAR) || '}'
+           WHEN regexp_full_match(p, '\\s+') THEN '\\s+' ELSE '\\' || p END), '') ||
+    (CASE WHEN regexp_matches(span, '[\\dA-Za-z]$') THEN '\\b' ELSE '' END) AS regex
+  FROM lrn),
+grp AS (
+  SELECT phi_type, regex, count(*) AS support, arg_min(span, {'seq': seq, 'pos': pos}) AS first_span,
+    min({'seq': seq, 'pos': pos}) AS first_at
+  FROM shaped GROUP BY phi_type, regex HAVING count(*) >= 2),
+learned AS (
+  SELECT phi_type || '_' || replace(substr(first_span, 1, 8), ' ', '_') AS label, regex, phi_type, support, first_at
+  FROM grp QUALIFY row_number() OVER (PARTITION BY phi_type || '_' || replace(substr(first_span, 1, 8), ' ', '_')
+                                      ORDER BY first_at) = 1),
+learned2 AS (SELECT *, row_number() OVER (ORDER BY first_at) - 1 AS pattern_seq FROM learned)"""
+
+SQL["pattern_learn"] = with_ctes(NOTES, DET, LEARN) + """
+SELECT label, regex, phi_type, support, 0.5::DOUBLE AS confidence, false AS promoted FROM learned2"""
+
+SQL["pattern_stats"] = with_ctes(NOTES, DET, LEARN) + f"""
+SELECT 17 + count(*) AS total, 17 AS promoted, {R('(17 * 0.96::DOUBLE + count(*) * 0.5::DOUBLE) / (17 + count(*))')} AS avg_confidence
+FROM learned2"""
+
+_SEEDS_VALUES = ", ".join(f"({i}, {q(lbl)}, {q(t)})" for i, (lbl, _rx, t, _r) in enumerate(C.SEED_PATTERNS))
+
+SQL["seed_merge"] = with_ctes(NOTES, DET, LEARN, f"""
+seeds(i, label, phi_type) AS (VALUES {_SEEDS_VALUES}),
+fresh AS (SELECT * FROM seeds WHERE label NOT IN (SELECT label FROM learned2))""") + """
+SELECT label, CAST(pattern_seq AS INTEGER) AS pattern_seq, phi_type, 0::BIGINT AS hits, 0::BIGINT AS misses,
+  0.5::DOUBLE AS confidence, false AS promoted FROM learned2
+UNION ALL
+SELECT label, CAST((SELECT coalesce(max(pattern_seq), -1) FROM learned2) + row_number() OVER (ORDER BY i, label) AS INTEGER),
+  phi_type, 48::BIGINT, 2::BIGINT, 0.96::DOUBLE, true FROM fresh"""
+
+SQL["memory_growth"] = with_ctes(_feedback_sql(False), """
+steps AS (SELECT range AS b FROM range(0, (SELECT max(seq) FROM fb) // 50 + 1)),
+labs AS (SELECT DISTINCT label FROM fb),
+grid AS (SELECT b, label FROM steps CROSS JOIN labs),
+st AS (
+  SELECT g.b, g.label, arg_max(r.h::DOUBLE / (r.h + r.m), r.seq) AS conf,
+    bool_or(r.h >= 20 AND r.h::DOUBLE / (r.h + r.m) > 0.75) AS promo
+  FROM grid g LEFT JOIN run r ON r.label = g.label AND r.seq <= g.b * 50 GROUP BY g.b, g.label)""") + f"""
+SELECT b * 50 AS step, count(*) AS total, count_if(coalesce(promo, false)) AS promoted,
+  {R('avg(coalesce(conf, 0.5))')} AS avg_conf
+FROM st GROUP BY b"""
+
+# ====================================================================== audit and counters
+from cloakline.plans.oracle import first_array_sql, repair_critic_sql, tokset_sql  # noqa: E402
+
+_GUESS = r"[0-9][0-9.()/-]*[0-9]|[A-Za-z0-9.]+@[A-Za-z0-9.]+"
+
+SQL["attack_rate"] = with_ctes(NOTES, OUTPUTS, f"""
+gs AS (SELECT *, regexp_extract_all(masked, '{_GUESS}') AS vals FROM outputs),
+gr AS (SELECT *, 'Here is my list: ' || CASE WHEN len(vals) = 0 THEN '[]' ELSE '["' || array_to_string(vals, '", "') || '"]' END
+         || ' and more [x]' AS raw FROM gs),
+gp AS (SELECT system, doc_id,
+         list_filter(list_transform(phi_spans, lambda s: s.span), lambda x: x IS NOT NULL AND x <> '') AS gt,
+         list_filter(coalesce(CASE WHEN json_valid({first_array_sql(repair_critic_sql('raw'))})
+           THEN from_json({first_array_sql(repair_critic_sql('raw'))}, '["VARCHAR"]') END, []::VARCHAR[]),
+           lambda x: x IS NOT NULL AND x <> '') AS g
+       FROM gr),
+per AS (SELECT system, len(gt) AS total_gt,
+          len(list_filter(gt, lambda t: len(list_filter(g, lambda q: len(list_intersect({tokset_sql('q')}, {tokset_sql('t')})) > 0)) > 0)) AS rec
+        FROM gp),
+a AS (SELECT system, sum(total_gt) AS total_spans, sum(rec) AS recovered_spans FROM per GROUP BY system)""") + f"""
+SELECT system, {R('CASE WHEN total_spans > 0 THEN recovered_spans::DOUBLE / total_spans ELSE 0.0 END')} AS attack_success_rate,
+  total_spans, recovered_spans FROM a"""
+
+SQL["run_counters"] = with_ctes(NOTES, DET, f"""
+mk AS (SELECT doc_id, len(hits) AS cache_hits,
+        len(list_filter(dets, lambda d: NOT list_contains(list_transform(hits, lambda h: h.span), d.span))) AS cache_misses,
+        {mask_fold_sql('text', dedup_sql(f"list_concat({hit_spans_sql('hits')}, dets)"), 'doc_id')} AS f
+      FROM det),
+mdocs AS (SELECT doc_id, cache_hits, cache_misses, f.applied AS applied,
+  list_transform(list_filter(f.applied, lambda a: a.action = 'encrypt'), lambda a: a.span) AS encrypted FROM mk)""",
+  critic_raw_sql(), validation_sql("mdocs")) + f"""
+SELECT count(*) AS total_sentences, sum(len(m.applied)) AS total_spans,
+  sum(len(list_filter(m.applied, lambda a: a.action = 'encrypt'))) AS total_encrypted,
+  sum(len(list_filter(m.applied, lambda a: a.action = 'abstract'))) AS total_abstracted,
+  sum(m.cache_hits) AS total_cache_hits, sum(m.cache_misses) AS total_cache_misses,
+  {R('sum(v.total_reward)')} AS total_reward, sum(len(v.leaked_spans)) AS missed_phi_count
+FROM mdocs m LEFT JOIN valr v USING (doc_id)"""

@@ -32,9 +32,17 @@ def token_set(x) -> Column:
     return F.array_distinct(tokens(x))
 
 
+# --- FIXED VALUES: the same whitespace set as characters, for trimming ---
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(x) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace runs."""
-    return F.regexp_replace(_c(x), r"^" + WHITESPACE_RUN + r"|" + WHITESPACE_RUN + r"$", "")
+    """Python ``str.strip()``: remove leading and trailing whitespace (linear ``trim``)."""
+    return F.trim(_c(x), F.lit(WHITESPACE_CHARS))
 
 
 def find(span, text) -> Column:
@@ -59,10 +67,13 @@ def utility(original, masked) -> Column:
 def quasi_risk(original, masked) -> Column:
     """SC-9: share of original tokens (with repeats) in the masked token set."""
     t = tokens(original)
-    ms = token_set(masked)
-    return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(
-        F.size(F.filter(t, lambda x: F.array_contains(ms, x))).cast("double") / F.size(t)
-    )
+    # the masked token set rides in the accumulator: computed once per row,
+    # not once per token (lambdas re-evaluate captured expressions)
+    init = F.struct(token_set(masked).alias("m"), F.lit(0).alias("n"))
+    hits = F.aggregate(t, init, lambda acc, x: F.struct(
+        acc["m"].alias("m"), (acc["n"] + F.when(F.array_contains(acc["m"], x), 1).otherwise(0)).alias("n")),
+        lambda acc: acc["n"])
+    return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(hits.cast("double") / F.size(t))
 
 
 def spans_overlap(pred, gt) -> Column:

@@ -149,8 +149,8 @@ def regex_baseline(text: Column, hits_off: Column, doc_id: Column, secret: Colum
     keyed = F.array_sort(F.transform(
         hits_off, lambda h, i: F.struct((-h["start"]).alias("k"), i.alias("i"), h["span"].alias("span"))
     ))
-    texts = F.transform(keyed, lambda x: x["span"])
-    distinct = F.filter(keyed, lambda x, i: F.array_position(texts, x["span"]) == i + 1)
+    from cloakline.operators.spans import first_wins
+    distinct = first_wins(keyed, "struct<k:int,i:int,span:string>")
     items = F.transform(
         distinct,
         lambda x: F.struct(

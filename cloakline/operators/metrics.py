@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.functions import scoring as S
-from cloakline.functions.text import exact_leakage, quasi_risk, shares_token, spans_overlap, utility
+from cloakline.functions.text import exact_leakage, quasi_risk, shares_token, spans_overlap, token_set, utility
 
 
 def _c(x) -> Column:
@@ -27,25 +27,37 @@ def exact_counts(gt_texts, pred_texts) -> tuple[Column, Column, Column]:
     return F.size(F.array_intersect(g, p)), F.size(F.array_except(p, g)), F.size(F.array_except(g, p))
 
 
-def greedy_overlap(gt_texts, pred_texts) -> Column:
+def with_tokens(texts) -> Column:
+    """Pair every text with its token set once (lambdas re-evaluate captured expressions)."""
+    return F.transform(_c(texts), lambda x: F.struct(x.alias("t"), token_set(x).alias("k")))
+
+
+def _overlaps(p, g) -> Column:
+    """SC-8 on pre-tokenised structs (t = text, k = token set)."""
+    return (F.coalesce(F.arrays_overlap(p["k"], g["k"]), F.lit(False))
+            | F.contains(g["t"], p["t"]) | F.contains(p["t"], g["t"]))
+
+
+def greedy_overlap(gt_tok, pred_tok) -> Column:
     """JN-6: truth in order takes the first free prediction that overlaps.
 
-    Returns the used prediction indexes (0-based); tp = their count.
+    Inputs are ``with_tokens`` arrays held in their own columns; returns the
+    used prediction indexes (0-based); tp = their count.
     """
-    g, p = _c(gt_texts), _c(pred_texts)
-    idx = F.sequence(F.lit(0), F.size(p) - 1)
+    g, p = _c(gt_tok), _c(pred_tok)
     init = F.array().cast("array<int>")
 
     def take(used, gt):
-        free = F.filter(idx, lambda j: ~F.array_contains(used, j) & spans_overlap(F.element_at(p, j + 1), gt))
-        return F.when(F.size(free) > 0, F.array_append(used, free[0])).otherwise(used)
+        free = F.filter(F.transform(p, lambda x, j: F.struct(j.alias("j"), x.alias("x"))),
+                        lambda e: ~F.array_contains(used, e["j"]) & _overlaps(e["x"], gt))
+        return F.when(F.size(free) > 0, F.array_append(used, free[0]["j"])).otherwise(used)
 
     return F.when(F.size(p) == 0, init).otherwise(F.aggregate(g, init, take))
 
 
-def overlap_record(gt_texts, pred_texts) -> Column:
+def overlap_record(gt_tok, pred_tok) -> Column:
     """Per-sample overlap tp/fp/fn and P/R/F1 with the SC-11 edge cases."""
-    g, p = _c(gt_texts), _c(pred_texts)
+    g, p = _c(gt_tok), _c(pred_tok)
     tp = F.size(greedy_overlap(g, p))
     fp = F.size(p) - tp
     fn = F.size(g) - tp
@@ -106,8 +118,8 @@ def per_type_overlap(truth_lists: DataFrame, pred_lists: DataFrame, keys: tuple[
     """
     j = truth_lists.withColumnRenamed("texts", "gt").join(
         pred_lists.withColumnRenamed("texts", "pred"), [*keys, "phi_type"], "full_outer")
-    j = j.select(*keys, "phi_type", F.coalesce("gt", F.array().cast("array<string>")).alias("gt"),
-                 F.coalesce("pred", F.array().cast("array<string>")).alias("pred"))
+    j = j.select(*keys, "phi_type", with_tokens(F.coalesce("gt", F.array().cast("array<string>"))).alias("gt"),
+                 with_tokens(F.coalesce("pred", F.array().cast("array<string>"))).alias("pred"))
     return j.select(*keys, "phi_type", overlap_record("gt", "pred").alias("m"))
 
 

@@ -92,10 +92,21 @@ def hits_as_spans(hits) -> Column:
     )
 
 
-def first_wins(spans) -> Column:
-    """WN-6: keep the first span of each text (array order decides)."""
-    texts = F.transform(spans, lambda s: s["span"])
-    return F.filter(spans, lambda s, i: F.array_position(texts, s["span"]) == i + 1)
+def first_wins(spans, elem_type: str = SPAN_TYPE) -> Column:
+    """WN-6: keep the first span of each text (array order decides).
+
+    The text list rides in the fold accumulator so it is built once per row.
+    """
+    init = F.struct(F.transform(spans, lambda s: s["span"]).alias("texts"),
+                    F.array().cast(f"array<{elem_type}>").alias("out"), F.lit(1).cast("long").alias("i"))
+
+    def step(acc, s):
+        keep = F.array_position(acc["texts"], s["span"]) == acc["i"]
+        return F.struct(acc["texts"].alias("texts"),
+                        F.when(keep, F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"),
+                        (acc["i"] + 1).alias("i"))
+
+    return F.aggregate(spans, init, step, lambda acc: acc["out"])
 
 
 def merge(hits, detections=None) -> Column:

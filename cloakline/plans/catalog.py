@@ -32,7 +32,7 @@ DEMO_KEY_ID = "demo"
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.notes(read_table(spark, sf_dir, "customer"))
+    return corpus.notes(spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,8 +94,9 @@ def records(outputs: DataFrame, latency: DataFrame | None = None) -> DataFrame:
     """Per (system, sample): overlap P/R/F1, leakage, quasi risk, utility, latency."""
     gt = F.transform("phi_spans", lambda s: s["span"])
     pr = F.transform("pred", lambda s: s["span"])
-    r = outputs.select("*", MT.overlap_record(gt, pr).alias("m"),
-                       *MT.security_columns(F.col("text"), F.col("masked"), gt))
+    tok = outputs.select("*", MT.with_tokens(gt).alias("_gt"), MT.with_tokens(pr).alias("_pr"))
+    r = tok.select("*", MT.overlap_record("_gt", "_pr").alias("m"),
+                   *MT.security_columns(F.col("text"), F.col("masked"), gt))
     if latency is not None:
         r = r.join(latency, "doc_id", "left")
     else:

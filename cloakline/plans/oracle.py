@@ -82,7 +82,7 @@ WS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}|{WS}$', '', 'g')"
+    return f"regexp_replace({x}, '^{WS}|{WS}$', '', 'g')"  # independent of the Spark trim
 
 
 DOCS = f"""

@@ -55,6 +55,23 @@ def splice(text, pos1, span_len, replacement) -> Column:
     return F.overlay(_c(text), _c(replacement), _c(pos1), _c(span_len))
 
 
+def utility_from_tokens(orig_tokens, masked_set) -> Column:
+    """SC-7 on pre-computed token columns (original token list, masked token set)."""
+    o = F.array_distinct(_c(orig_tokens))
+    return F.when(F.size(o) == 0, F.lit(1.0)).otherwise(
+        F.size(F.array_intersect(o, _c(masked_set))).cast("double") / F.size(o))
+
+
+def quasi_from_tokens(orig_tokens, masked_set) -> Column:
+    """SC-9 on pre-computed token columns; the set rides in the fold accumulator."""
+    t = _c(orig_tokens)
+    init = F.struct(_c(masked_set).alias("m"), F.lit(0).alias("n"))
+    n = F.aggregate(t, init, lambda acc, x: F.struct(
+        acc["m"].alias("m"), (acc["n"] + F.when(F.array_contains(acc["m"], x), 1).otherwise(0)).alias("n")),
+        lambda acc: acc["n"])
+    return F.when(F.size(t) == 0, F.lit(0.0)).otherwise(n.cast("double") / F.size(t))
+
+
 def utility(original, masked) -> Column:
     """SC-7: share of distinct original tokens still present; 1.0 if none."""
     o = token_set(original)

@@ -55,10 +55,19 @@ def greedy_overlap(gt_tok, pred_tok) -> Column:
     return F.when(F.size(p) == 0, init).otherwise(F.aggregate(g, init, take))
 
 
-def overlap_record(gt_tok, pred_tok) -> Column:
-    """Per-sample overlap tp/fp/fn and P/R/F1 with the SC-11 edge cases."""
+def overlap_tp(gt_tok, pred_tok) -> Column:
+    """Matched count of JN-6; keep it in its own column (it is read six times)."""
+    return F.size(greedy_overlap(gt_tok, pred_tok))
+
+
+def overlap_record(gt_tok, pred_tok, tp0=None) -> Column:
+    """Per-sample overlap tp/fp/fn and P/R/F1 with the SC-11 edge cases.
+
+    ``tp0``: a column holding ``overlap_tp`` (computed in an earlier
+    projection so that the fold runs once per row).
+    """
     g, p = _c(gt_tok), _c(pred_tok)
-    tp = F.size(greedy_overlap(g, p))
+    tp = _c(tp0) if tp0 is not None else overlap_tp(g, p)
     fp = F.size(p) - tp
     fn = F.size(g) - tp
     n_g, n_p = F.size(g), F.size(p)
@@ -90,7 +99,7 @@ def security_columns(text, masked, gt_texts) -> list[Column]:
 # ------------------------------------------------------------- per type
 def type_long(df: DataFrame, spans_col: str, side: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Explode ``(span, phi_type)`` structs to distinct ``(keys, phi_type, span)`` rows."""
-    return (df.select(*keys, F.explode(spans_col).alias("s"))
+    return (df.select(*keys, F.explode_outer(spans_col).alias("s")).filter(F.col("s").isNotNull())
             .select(*keys, F.coalesce(F.col("s.phi_type"), F.lit("UNKNOWN")).alias("phi_type"),
                     F.col("s.span").alias("span"))
             .distinct().withColumn(side, F.lit(True)))
@@ -120,7 +129,8 @@ def per_type_overlap(truth_lists: DataFrame, pred_lists: DataFrame, keys: tuple[
         pred_lists.withColumnRenamed("texts", "pred"), [*keys, "phi_type"], "full_outer")
     j = j.select(*keys, "phi_type", with_tokens(F.coalesce("gt", F.array().cast("array<string>"))).alias("gt"),
                  with_tokens(F.coalesce("pred", F.array().cast("array<string>"))).alias("pred"))
-    return j.select(*keys, "phi_type", overlap_record("gt", "pred").alias("m"))
+    j = j.select("*", overlap_tp("gt", "pred").alias("_tp0"))
+    return j.select(*keys, "phi_type", overlap_record("gt", "pred", "_tp0").alias("m"))
 
 
 # ------------------------------------------------------------- summaries

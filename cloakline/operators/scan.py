@@ -96,4 +96,7 @@ def hits_long(docs: DataFrame, patterns: list[InlinePattern], text_col: str = "t
               keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The long ``hits`` table: one row per match with offsets (no shuffle)."""
     scanned = docs.select(*keep, hits_with_offsets_expr(F.col(text_col), patterns).alias("h"))
-    return scanned.select(*keep, F.posexplode("h").alias("hit_pos", "hit")).select(*keep, "hit_pos", "hit.*")
+    # outer generator: a plain one makes the optimizer add size(h) > 0 below the
+    # repartition, evaluating the whole scan twice
+    exploded = scanned.select(*keep, F.posexplode_outer("h").alias("hit_pos", "hit")).filter("hit_pos IS NOT NULL")
+    return exploded.select(*keep, "hit_pos", "hit.*")

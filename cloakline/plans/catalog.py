@@ -55,7 +55,7 @@ def _mask_report(df: DataFrame) -> DataFrame:
 def pattern_scan(spark, sf_dir):
     """JN-1 over ``documents``: every match of every seed, long form."""
     scanned = SC.scan(_docs(spark, sf_dir).select("doc_id", "text"), seed_inline(0.75))
-    return scanned.select("doc_id", F.posexplode("hits").alias("hit_pos", "h")).select(
+    return scanned.select("doc_id", F.posexplode_outer("hits").alias("hit_pos", "h")).filter("hit_pos IS NOT NULL").select(
         "doc_id", "hit_pos", F.col("h.label").alias("label"), F.col("h.span").alias("span"),
         F.col("h.phi_type").alias("phi_type"))
 
@@ -69,7 +69,7 @@ def pattern_offsets(spark, sf_dir):
 def pattern_scan_notes(spark, sf_dir):
     """JN-1 over the notes corpus, where every seed fires."""
     scanned = SC.scan(_notes(spark, sf_dir).select("doc_id", "text"), seed_inline(0.75), offsets=True)
-    return scanned.select("doc_id", F.posexplode("hits").alias("hit_pos", "h")).select(
+    return scanned.select("doc_id", F.posexplode_outer("hits").alias("hit_pos", "h")).filter("hit_pos IS NOT NULL").select(
         "doc_id", "hit_pos", F.col("h.label").alias("label"), F.col("h.span").alias("span"),
         F.col("h.start").alias("start"), F.col("h.end").alias("end"))
 
@@ -90,7 +90,7 @@ def span_dedup(spark, sf_dir):
 def span_route(spark, sf_dir):
     """PRJ-1: action per distinct span."""
     scanned = SC.scan(_notes(spark, sf_dir).select("doc_id", "text"), seed_inline(0.75))
-    return scanned.select("doc_id", F.posexplode(SP.merge(F.col("hits"))).alias("pos", "s")).select(
+    return scanned.select("doc_id", F.posexplode_outer(SP.merge(F.col("hits"))).alias("pos", "s")).filter("pos IS NOT NULL").select(
         "doc_id", "pos", F.col("s.span").alias("span"), F.col("s.phi_type").alias("phi_type"),
         route(F.col("s.phi_type")).alias("action"))
 
@@ -126,7 +126,7 @@ def _with_detector(spark, sf_dir) -> DataFrame:
 def _learned_table(spark, sf_dir) -> DataFrame:
     """MK-10 over the detector spans of the notes corpus."""
     d = _with_detector(spark, sf_dir)
-    learn = d.select("seq", F.posexplode(SP.learnable(F.col("hits"), F.col("detections"))).alias("pos", "s")).select(
+    learn = d.select("seq", F.posexplode_outer(SP.learnable(F.col("hits"), F.col("detections"))).alias("pos", "s")).filter("pos IS NOT NULL").select(
         "seq", "pos", F.col("s.span").alias("span"), F.col("s.phi_type").alias("phi_type"))
     return MEM.learn_patterns(learn)
 
@@ -170,7 +170,7 @@ def _r(df: DataFrame) -> DataFrame:
 def detector_parse(spark, sf_dir):
     """SRC-5 + SC-1/2 + FLT-1/2: valid detector spans, reply order kept."""
     d = _with_detector(spark, sf_dir)
-    return d.select("doc_id", F.posexplode("detections").alias("pos", "s")).select(
+    return d.select("doc_id", F.posexplode_outer("detections").alias("pos", "s")).filter("pos IS NOT NULL").select(
         "doc_id", "pos", F.col("s.span").alias("span"), F.col("s.phi_type").alias("phi_type"),
         F.col("s.confidence").alias("confidence"), F.col("s.has_pattern").alias("has_pattern"))
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakline import constants as C
-from cloakline.functions.text import token_text
+from cloakline.functions.text import (exact_leakage, quasi_from_tokens, token_set, token_text, tokens,
+                                      utility_from_tokens)
 from cloakline.operators import mask as M
 from cloakline.operators import metrics as MT
 from cloakline.operators import scan as SC
@@ -94,9 +95,14 @@ def records(outputs: DataFrame, latency: DataFrame | None = None) -> DataFrame:
     """Per (system, sample): overlap P/R/F1, leakage, quasi risk, utility, latency."""
     gt = F.transform("phi_spans", lambda s: s["span"])
     pr = F.transform("pred", lambda s: s["span"])
-    tok = outputs.select("*", MT.with_tokens(gt).alias("_gt"), MT.with_tokens(pr).alias("_pr"))
-    r = tok.select("*", MT.overlap_record("_gt", "_pr").alias("m"),
-                   *MT.security_columns(F.col("text"), F.col("masked"), gt))
+    # every text is tokenised once, in its own column, and reused below
+    tok = outputs.select("*", MT.with_tokens(gt).alias("_gt"), MT.with_tokens(pr).alias("_pr"),
+                         tokens(F.col("text")).alias("_ot"), token_set(F.col("masked")).alias("_ms"))
+    tok = tok.select("*", MT.overlap_tp("_gt", "_pr").alias("_tp0"))
+    r = tok.select("*", MT.overlap_record("_gt", "_pr", "_tp0").alias("m"),
+                   F.when(exact_leakage(F.col("masked"), gt), 1).otherwise(0).alias("leakage"),
+                   quasi_from_tokens("_ot", "_ms").alias("quasi_risk"),
+                   utility_from_tokens("_ot", "_ms").alias("utility"))
     if latency is not None:
         r = r.join(latency, "doc_id", "left")
     else:
@@ -108,14 +114,14 @@ def records(outputs: DataFrame, latency: DataFrame | None = None) -> DataFrame:
 
 def truth_lists(samples: DataFrame, keys=("doc_id",)) -> DataFrame:
     """Truth texts per (doc, type) in list order (duplicates kept)."""
-    e = samples.select(*keys, F.posexplode("phi_spans").alias("i", "s"))
+    e = samples.select(*keys, F.posexplode_outer("phi_spans").alias("i", "s")).filter(F.col("i").isNotNull())
     return e.groupBy(*keys, F.coalesce(F.col("s.phi_type"), F.lit("UNKNOWN")).alias("phi_type")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("s.span").alias("t")))), lambda x: x["t"])
         .alias("texts"))
 
 
 def pred_lists(outputs: DataFrame) -> DataFrame:
-    e = outputs.select("system", "doc_id", F.posexplode("pred").alias("i", "s"))
+    e = outputs.select("system", "doc_id", F.posexplode_outer("pred").alias("i", "s")).filter(F.col("i").isNotNull())
     return e.groupBy("system", "doc_id", F.coalesce(F.col("s.phi_type"), F.lit("UNKNOWN")).alias("phi_type")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("s.span").alias("t")))), lambda x: x["t"])
         .alias("texts"))

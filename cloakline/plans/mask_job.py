@@ -57,7 +57,7 @@ def mask_corpus(
 def vault_rows(masked: DataFrame, key: Column, key_id: str, applied_only: bool = False) -> DataFrame:
     """MK-6 vault records for encrypt-routed spans (compat: skipped ones too)."""
     src = "spans" if applied_only else "mask_items"
-    items = masked.select("doc_id", F.explode(src).alias("it")).filter(F.col("it.action") == "encrypt")
+    items = masked.select("doc_id", F.explode_outer(src).alias("it")).filter(F.col("it.action") == "encrypt")
     if applied_only:
         items = items.withColumn("tid", F.regexp_extract(F.col("it.replacement"), r"<<ENC:([^:]+):ENC>>", 1))
     else:

@@ -468,6 +468,46 @@ def run_counters(spark, sf_dir):
         F.sum("total_reward").alias("total_reward"), F.sum("n_leaked").alias("missed_phi_count")))
 
 
+
+def span_feedback(spark, sf_dir):
+    """FLT-8 + JN-9 + AG-14: applied spans with a label scored by the critic's
+    leaked/over-encrypted lists, folded into the seed table."""
+    n = _notes(spark, sf_dir)
+    m = MJ.mask_corpus(n, seed_inline(0.75), _secret(spark))
+    enc = F.transform(F.filter("spans", lambda s: s["action"] == "encrypt"), lambda s: s["span"])
+    v = CT.parse_validation(replies.critic_raw(n), m.select("seq", "doc_id", "cache_hits", enc.alias("encrypted")))
+    sp = m.select("doc_id", "seq", F.posexplode_outer("spans").alias("pos", "s")).filter("pos IS NOT NULL")
+    sp = sp.join(v.select("doc_id", "leaked_spans", "over_encrypted"), "doc_id").select(
+        (F.col("seq") * 1000 + F.col("pos")).alias("seq"), F.col("s.span").alias("span"),
+        F.col("s.label").alias("label"), "leaked_spans", "over_encrypted")
+    fb = MEM.feedback_from_spans(sp)
+    out = MEM.apply_feedback(PS.seed_patterns(spark), fb, day="2026-01-01")
+    return _r(out.select("label", "hits", "misses", "confidence", "promoted"))
+
+
+def role_writeback(spark, sf_dir):
+    """JN-4: abstraction phrases of spans found by a role-less learned pattern
+    become that pattern's role (latest phrase wins)."""
+    n = _notes(spark, sf_dir)
+    warm = _warm_patterns(spark, sf_dir)
+    m = MJ.mask_corpus(MJ.attach_phrases(n, replies.phrases(n)), PS.inline_patterns(warm, 0.0), _secret(spark),
+                       with_phrases=True)
+    ph = m.select("seq", F.explode_outer("spans").alias("s")).filter(
+        F.col("s.label").isNotNull() & (F.col("s.action") == "abstract") & (F.col("s.replacement") != "[REDACTED]")) \
+        .select("seq", F.col("s.label").alias("label"), F.col("s.replacement").alias("phrase"))
+    roleless = warm.filter(F.col("abstraction_role").isNull()).select("label")
+    ph = ph.join(roleless, "label", "left_semi")
+    return MEM.write_back_roles(warm, ph).select("label", "phi_type", "abstraction_role")
+
+
+def system_fallback(spark, sf_dir):
+    """PRJ-6: every (system, sample) present; missing outputs fall back to the text."""
+    n = _notes(spark, sf_dir)
+    o = _outputs(spark, sf_dir, ("ner",))
+    fb = EV.with_fallback(n, o, ["ner", "absent_system"])
+    return fb.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_if("fallback").alias("n_fallback"))
+
+
 QUERIES = {
     "pattern_scan": pattern_scan,
     "pattern_offsets": pattern_offsets,
@@ -510,4 +550,7 @@ QUERIES = {
     "memory_growth": memory_growth,
     "attack_rate": attack_rate,
     "run_counters": run_counters,
+    "span_feedback": span_feedback,
+    "role_writeback": role_writeback,
+    "system_fallback": system_fallback,
 }

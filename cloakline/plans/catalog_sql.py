@@ -539,3 +539,20 @@ SELECT count(*) AS total_sentences, sum(len(m.applied)) AS total_spans,
   sum(m.cache_hits) AS total_cache_hits, sum(m.cache_misses) AS total_cache_misses,
   {R('sum(v.total_reward)')} AS total_reward, sum(len(v.leaked_spans)) AS missed_phi_count
 FROM mdocs m LEFT JOIN valr v USING (doc_id)"""
+
+SQL["span_feedback"] = with_ctes(NOTES, COLD, CRITIC_DOCS, critic_raw_sql(), validation_sql("cdocs"), f"""
+sp AS (SELECT c.doc_id, c.applied[i] AS a, v.leaked_spans, v.over_encrypted
+       FROM cold c JOIN valr v USING (doc_id), range(1, len(c.applied) + 1) t(i)),
+fb AS (SELECT a.label AS label, NOT coalesce(list_contains(leaked_spans, a.span), false)
+              AND NOT coalesce(list_contains(over_encrypted, a.span), false) AS correct
+       FROM sp WHERE a.label IS NOT NULL AND a.label <> ''),
+agg AS (SELECT label, count_if(correct) AS h, count_if(NOT correct) AS m FROM fb GROUP BY label),
+seeds(label) AS (VALUES {", ".join("(" + q(lbl) + ")" for lbl, _r, _t, _o in C.SEED_PATTERNS)})""") + f"""
+SELECT s.label, 48 + coalesce(h, 0) AS hits, 2 + coalesce(m, 0) AS misses,
+  {R('CASE WHEN h IS NULL THEN 0.96::DOUBLE ELSE (48 + h)::DOUBLE / (50 + h + m) END')} AS confidence,
+  true AS promoted
+FROM seeds s LEFT JOIN agg USING (label)"""
+
+SQL["system_fallback"] = with_ctes(NOTES) + """
+SELECT 'ner' AS system, count(*) AS n, 0 AS n_fallback FROM notes
+UNION ALL SELECT 'absent_system', count(*), count(*) FROM notes"""

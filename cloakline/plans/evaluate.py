@@ -151,3 +151,21 @@ def attack(outputs: DataFrame, guesses: DataFrame) -> DataFrame:
     from cloakline.functions.scoring import ratio
     return agg.select("system", ratio(F.col("recovered_spans"), F.col("total_spans"), 0.0).alias("attack_success_rate"),
                       "total_spans", "recovered_spans")
+
+
+def with_fallback(samples: DataFrame, outputs: DataFrame, systems: list[str]) -> DataFrame:
+    """PRJ-6: a (system, sample) without output falls back to the original
+    text, no predictions, zero latency (one literal-tagged copy of the
+    samples per system, left-joined to the outputs)."""
+    frames = [samples.select(F.lit(s).alias("system"), "doc_id", "seq", "text", "phi_spans") for s in systems]
+    grid = frames[0]
+    for f in frames[1:]:
+        grid = grid.unionByName(f)
+    o = outputs.select("system", "doc_id", F.col("masked").alias("_m"), F.col("pred").alias("_p"),
+                       F.col("cache_hits").alias("_h"), F.col("cache_misses").alias("_x"))
+    j = grid.join(o, ["system", "doc_id"], "left")
+    return j.select("system", "doc_id", "seq", "text", "phi_spans",
+                    F.coalesce("_m", "text").alias("masked"),
+                    F.coalesce("_p", F.array().cast(PRED_T)).alias("pred"),
+                    F.coalesce("_h", F.lit(0)).alias("cache_hits"), F.coalesce("_x", F.lit(0)).alias("cache_misses"),
+                    F.col("_m").isNull().alias("fallback"))

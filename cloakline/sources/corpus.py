@@ -145,3 +145,8 @@ def load_annotated(raw: DataFrame, dataset: str = "annotated") -> DataFrame:
         F.col("row_id").alias("doc_id"), F.col("row_id").alias("seq"), F.lit(dataset).alias("dataset"),
         F.col("text"), spans.alias("phi_spans"),
     )
+
+
+def first_n(samples: DataFrame, n: int) -> DataFrame:
+    """SO-5: the first ``n`` samples in corpus order (a top-n, the feature itself)."""
+    return samples.orderBy("seq").limit(n)

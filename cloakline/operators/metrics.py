@@ -198,3 +198,15 @@ def recovered(gt_texts, guesses) -> Column:
     """JN-7: truth spans for which some guess shares a token."""
     g = F.filter(_c(gt_texts), lambda x: x != "")
     return F.size(F.filter(g, lambda t: F.exists(_c(guesses), lambda q: shares_token(q, t))))
+
+
+def recovered_tokens(gt_sets, guess_sets) -> Column:
+    """JN-7 on token sets: truth spans sharing a token with some guess.
+
+    The guess sets ride in the fold accumulator (computed once per row).
+    """
+    init = F.struct(_c(guess_sets).alias("g"), F.lit(0).alias("n"))
+    return F.aggregate(_c(gt_sets), init, lambda acc, t: F.struct(
+        acc["g"].alias("g"),
+        (acc["n"] + F.when(F.exists(acc["g"], lambda q: F.coalesce(F.arrays_overlap(q, t), F.lit(False))), 1)
+         .otherwise(0)).alias("n")), lambda acc: acc["n"])

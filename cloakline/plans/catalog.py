@@ -449,7 +449,8 @@ def memory_growth(spark, sf_dir):
 def attack_rate(spark, sf_dir):
     """MK-13: reconstruction audit per system from guess replies."""
     o = _outputs(spark, sf_dir)
-    return _r(EV.attack(o, replies.guesses_raw(o)))
+    # the adversary replies are derived from the same rows: attach, do not re-join
+    return _r(EV.attack(o.withColumn("raw", replies.guess_raw_column(F.col("masked")))))
 
 
 def run_counters(spark, sf_dir):

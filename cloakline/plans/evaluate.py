@@ -139,14 +139,25 @@ def per_type_overlap(outputs: DataFrame, samples: DataFrame) -> DataFrame:
     return agg.select("system", "phi_type", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
-def attack(outputs: DataFrame, guesses: DataFrame) -> DataFrame:
-    """MK-13: parse guess replies (SC-1/2), JN-7 recovered spans, AG-16 per system."""
-    parsed = guesses.select("system", "doc_id", F.from_json(
-        SP.first_array(SP.repair_critic(F.col("raw"))), "array<string>").alias("g"))
-    j = outputs.join(parsed, ["system", "doc_id"], "left")
+def attack(outputs: DataFrame, guesses: DataFrame | None = None) -> DataFrame:
+    """MK-13: parse guess replies (SC-1/2), JN-7 recovered spans, AG-16 per system.
+
+    ``guesses``: a reply table ``(system, doc_id, raw)`` joined on
+    ``(system, doc_id)``; when None, ``outputs`` already carries ``raw``.
+    """
+    parse = lambda c: F.from_json(SP.first_array(SP.repair_critic(c)), "array<string>")
+    if guesses is None:
+        j = outputs.withColumn("g", parse(F.col("raw")))
+    else:
+        parsed = guesses.select("system", "doc_id", parse(F.col("raw")).alias("g"))
+        j = outputs.join(parsed, ["system", "doc_id"], "left")
     gt = F.filter(F.transform("phi_spans", lambda s: s["span"]), lambda x: x.isNotNull() & (x != ""))
     g = F.filter(F.coalesce(F.col("g"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    per = j.select("system", "doc_id", MT.recovered(gt, g).alias("recovered"), F.size(gt).alias("total_gt"))
+    # token sets computed once per text, in their own columns
+    tok = j.select("system", "doc_id", F.transform(gt, token_set).alias("_gt"),
+                   F.transform(g, token_set).alias("_g"))
+    per = tok.select("system", "doc_id", MT.recovered_tokens("_gt", "_g").alias("recovered"),
+                     F.size("_gt").alias("total_gt"))
     agg = per.groupBy("system").agg(F.sum("total_gt").alias("total_spans"), F.sum("recovered").alias("recovered_spans"))
     from cloakline.functions.scoring import ratio
     return agg.select("system", ratio(F.col("recovered_spans"), F.col("total_spans"), 0.0).alias("attack_success_rate"),

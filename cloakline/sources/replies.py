@@ -111,11 +111,15 @@ def entities(notes: DataFrame) -> DataFrame:
 GUESS_VALUE = r"[0-9][0-9.()/-]*[0-9]|[A-Za-z0-9.]+@[A-Za-z0-9.]+"
 
 
-def guesses_raw(masked: DataFrame) -> DataFrame:
-    """kind='guess' replies: an adversary listing the values still visible,
+def guess_raw_column(masked: Column) -> Column:
+    """An adversary's reply listing the values still visible in ``masked``,
     wrapped in prose so that the first-array extraction is exercised."""
-    vals = F.regexp_extract_all(F.col("masked"), F.lit(GUESS_VALUE), 0)
+    vals = F.regexp_extract_all(masked, F.lit(GUESS_VALUE), 0)
     arr = F.when(F.size(vals) == 0, _lit("[]")).otherwise(
         F.concat(_lit('["'), F.array_join(vals, '", "'), _lit('"]')))
-    return masked.select("system", "doc_id", _lit("guess").alias("kind"),
-                         F.concat(_lit("Here is my list: "), arr, _lit(" and more [x]")).alias("raw"))
+    return F.concat(_lit("Here is my list: "), arr, _lit(" and more [x]"))
+
+
+def guesses_raw(masked: DataFrame) -> DataFrame:
+    """kind='guess' replies as a table ``(system, doc_id, kind, raw)``."""
+    return masked.select("system", "doc_id", _lit("guess").alias("kind"), guess_raw_column(F.col("masked")).alias("raw"))

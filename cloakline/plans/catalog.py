@@ -509,6 +509,21 @@ def system_fallback(spark, sf_dir):
     return fb.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_if("fallback").alias("n_fallback"))
 
 
+def _normalized(fn):
+    """Integer outputs widened to bigint so both engines report one integer type."""
+    from pyspark.sql import types as T
+
+    def run(spark, sf_dir):
+        df = fn(spark, sf_dir)
+        small = (T.IntegerType, T.ShortType, T.ByteType)
+        return df.select(*[F.col(f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, small)
+                           else F.col(f.name) for f in df.schema.fields])
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 QUERIES = {
     "pattern_scan": pattern_scan,
     "pattern_offsets": pattern_offsets,
@@ -555,3 +570,4 @@ QUERIES = {
     "role_writeback": role_writeback,
     "system_fallback": system_fallback,
 }
+QUERIES = {k: _normalized(v) for k, v in QUERIES.items()}

@@ -556,3 +556,19 @@ FROM seeds s LEFT JOIN agg USING (label)"""
 SQL["system_fallback"] = with_ctes(NOTES) + """
 SELECT 'ner' AS system, count(*) AS n, 0 AS n_fallback FROM notes
 UNION ALL SELECT 'absent_system', count(*), count(*) FROM notes"""
+
+# ====================================================================== one integer type on both sides
+_BIGINT_COLS = {
+    "pattern_offsets": ["start", "end"], "pattern_scan_notes": ["start", "end"], "mask_sequential": ["n_applied"],
+    "label_map": ["start", "end"], "vault_import": ["version"], "overlap_metrics": ["leakage"],
+    "per_type_exact": ["tp", "fp", "fn", "support"], "per_type_overlap": ["tp", "fp", "fn"],
+    "micro_macro": ["tp", "fp", "fn"], "pattern_feedback": ["hits", "misses"], "pattern_promote": ["hits", "misses"],
+    "pattern_prune_cap": ["hits", "misses"], "pattern_stats": ["promoted"], "seed_merge": ["pattern_seq"],
+    "memory_growth": ["promoted"], "attack_rate": ["total_spans", "recovered_spans"],
+    "run_counters": ["total_spans", "total_encrypted", "total_abstracted", "total_cache_hits",
+                     "total_cache_misses", "missed_phi_count"],
+    "span_feedback": ["hits", "misses"],
+}
+for _name, _cols in _BIGINT_COLS.items():
+    _rep = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in _cols)
+    SQL[_name] = f"SELECT * REPLACE ({_rep}) FROM (\n{SQL[_name]}\n)"

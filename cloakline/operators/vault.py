@@ -41,8 +41,11 @@ def restore(masked: DataFrame, vault: DataFrame, key: Column, masked_col: str =
     """
     wanted = masked.select("doc_id")
     dec = decrypt(vault.join(wanted, "doc_id", "left_semi"), key)
-    per_doc = dec.filter(F.col("status") == "ok").groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("token_id", "plaintext"))).alias("_plain")
+    # collect_list skips the nulls of rejected rows; a filter on the
+    # plaintext would be pushed below and decrypt every row twice
+    per_doc = dec.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("plaintext").isNotNull(),
+                                                 F.struct("token_id", "plaintext")))).alias("_plain")
     )
     j = masked.join(per_doc, "doc_id", "left")
     ids = F.array_distinct(F.regexp_extract_all(F.col(masked_col), F.lit(TOKEN_REGEX), 1))

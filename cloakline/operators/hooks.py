@@ -59,3 +59,16 @@ def python_scan(docs: DataFrame, patterns: list[InlinePattern], ascii_classes: b
                                               "start", "end"])
 
     return docs.select("doc_id", "text").mapInPandas(run, PY_HIT_SCHEMA)
+
+
+def reply_column(scorer: Callable[[pd.Series], pd.Series]):
+    """UDF-1 as a column: an Arrow-batched ``pandas_udf`` turning the text
+    column into raw replies on the same row.  Replies born next to their
+    document need no join, hence no shuffle of the text."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def _reply(text: pd.Series) -> pd.Series:
+        return scorer(text).astype(str)
+
+    return _reply

@@ -25,6 +25,14 @@ def attach_detections(docs: DataFrame, replies: DataFrame, sensitivity: Column |
     return joined.withColumn("detections", SP.detector_spans(parsed, F.col("text"), sens)).drop("_detect_raw")
 
 
+def detections_from_column(docs: DataFrame, raw_col: str, sensitivity: Column | float = 0.7) -> DataFrame:
+    """Detector replies already on the document row (e.g. from
+    ``hooks.reply_column``): parsed and validated in-row, no join."""
+    sens = sensitivity if isinstance(sensitivity, Column) else F.lit(float(sensitivity))
+    parsed = SP.parse_detect(F.col(raw_col))
+    return docs.withColumn("detections", SP.detector_spans(parsed, F.col("text"), sens)).drop(raw_col)
+
+
 def attach_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Abstraction phrases per (doc_id, span) as a per-document map (SC-14 cap applied)."""
     from cloakline.functions.text import cap_words

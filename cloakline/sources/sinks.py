@@ -71,3 +71,13 @@ def save_params(params: DataFrame, root: str, version: int) -> None:
 def export_vault(vault: DataFrame, path: str) -> None:
     """SNK-8 export; import is ``operators.vault.import_vault`` (ST-5)."""
     vault.write.mode("overwrite").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "doc_id", path: str | None = None) -> None:
+    """Co-located storage: the masked table and the vault written bucketed by
+    ``doc_id`` with the same bucket count make the restore join (and its
+    per-document grouping) shuffle-free."""
+    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

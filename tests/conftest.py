@@ -20,6 +20,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", ckpt)
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="cloakline-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -56,3 +56,37 @@ def test_params_defaults_and_versions(spark):
                       root + "/p", 3)
     r = params.load_params(spark, root + "/p").collect()[0]
     assert r.version == 3 and r.sensitivity == 0.75 and r.phi_types_focus == ["PERSON"]
+
+
+def test_reply_column_needs_no_join(spark, secret):
+    from cloakline.plans import mask_job as MJ
+    docs = spark.createDataFrame([(1, 1, "Call Ann Lee at 555-867-5309."), (2, 2, "Nothing here.")],
+                                 "doc_id long, seq long, text string")
+
+    def scorer(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: '[{"span": "Ann Lee", "phi_type": "person", "confidence": 0.9}]'
+                        if "Ann Lee" in t else "[]")
+
+    d = MJ.detections_from_column(docs.withColumn("raw", hooks.reply_column(scorer)("text")), "raw")
+    m = MJ.mask_corpus(d, seed_inline(0.75), secret, with_detections=True)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Join" not in plan
+    r = {x.doc_id: x.masked for x in m.select("doc_id", "masked").collect()}
+    assert "Ann Lee" not in r[1] and "[REDACTED]" in r[1] and "555-867-5309" not in r[1]
+    assert r[2] == "Nothing here."
+
+
+def test_bucketed_restore_is_shuffle_free(spark):
+    from cloakline.operators import mask as M
+    from cloakline.operators import vault as V
+    from cloakline.plans import mask_job as MJ
+    keys = M.demo_keys(spark)
+    key = M.key_column(keys, "demo")
+    docs = corpus.notes(spark.read.parquet(f"{SF001}/customer.parquet"))
+    m = MJ.mask_corpus(docs, seed_inline(0.75), F.hex(key))
+    sinks.write_bucketed(m.select("doc_id", "masked"), "t_masked", 4)
+    sinks.write_bucketed(MJ.vault_rows(m, key, "demo"), "t_vault", 4)
+    r = V.restore(spark.table("t_masked"), spark.table("t_vault"), key)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert r.filter(F.col("n_restored") != F.col("n_tokens")).count() == 0

@@ -4,12 +4,12 @@ reward (AG-15), parameter fold (WN-5) and the missed-type focus list (WN-4).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakline import constants as C
 from cloakline import schemas as S
-from cloakline.operators.running import apply_step, prefix_clamp, running_sums, step
+from cloakline.operators.running import apply_step, compose, prefix_clamp, running_sums, step
 from cloakline.operators.spans import repair_critic
 
 
@@ -71,12 +71,11 @@ def param_trace(v: DataFrame, sensitivity0: float = C.SENSITIVITY_DEFAULT,
     up = step(int(round(C.SENSITIVITY_STEP * 1000)), None, int(round(C.SENSITIVITY_MAX * 1000)))
     down = step(-int(round(C.SENSITIVITY_STEP * 1000)), int(round(C.SENSITIVITY_MIN * 1000)), None)
     ident = step(0)
-    from cloakline.operators.running import _compose  # local composition of the two sub-steps
-    s_step = _compose(F.when(leak, up).otherwise(ident), F.when(over, down).otherwise(ident))
+    s_step = compose(F.when(leak, up).otherwise(ident), F.when(over, down).otherwise(ident))
     mc_up = step(int(round(C.MIN_CONFIDENCE_UP * 1000)), None, int(round(C.MIN_CONFIDENCE_MAX * 1000)))
     mc_dn = step(-int(round(C.MIN_CONFIDENCE_DOWN * 1000)), int(round(C.MIN_CONFIDENCE_MIN * 1000)), None)
     loosen = F.col("is_clean") & (F.size("over_encrypted") == 0)
-    m_step = _compose(F.when(over, mc_up).otherwise(ident), F.when(loosen, mc_dn).otherwise(ident))
+    m_step = compose(F.when(over, mc_up).otherwise(ident), F.when(loosen, mc_dn).otherwise(ident))
     base = v.select("seq", s_step.alias("s_step"), m_step.alias("m_step"))
     s = prefix_clamp(base.select("seq", "s_step"), "seq", "s_step", fanout).select(
         "seq", apply_step(F.col("prefix"), F.lit(int(round(sensitivity0 * 1000)))).alias("s_milli"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from cloakline import constants as C
 from cloakline.functions.text import route, token_text
-from cloakline.operators.spans import SPAN_TYPE
 
 APPLIED_TYPE = (
     "array<struct<label:string,span:string,phi_type:string,action:string,replacement:string,source:int>>"

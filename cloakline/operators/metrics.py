@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.functions import scoring as S
-from cloakline.functions.text import exact_leakage, quasi_risk, shares_token, spans_overlap, token_set, utility
+from cloakline.functions.text import exact_leakage, quasi_risk, shares_token, token_set, utility
 
 
 def _c(x) -> Column:

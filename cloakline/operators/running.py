@@ -40,7 +40,7 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
 
 
 # ------------------------------------------------------------------ clamp steps
-def _compose(f: Column, g: Column) -> Column:
+def compose(f: Column, g: Column) -> Column:
     """g after f for steps struct<a, lo, hi> (x -> min(hi, max(lo, x + a)))."""
     a2, l2, h2 = g["a"], g["lo"], g["hi"]
     return F.struct(
@@ -73,7 +73,7 @@ def _local_prefix(df: DataFrame, group: list[str], order: str, stepcol: str) ->
     init = F.struct(_identity().alias("acc"), F.array().cast(f"array<struct<o:bigint,ex:{STEP_T}>>").alias("out"))
     folded = F.aggregate(
         F.col("xs"), init,
-        lambda st, x: F.struct(_compose(st["acc"], x["t"]).alias("acc"),
+        lambda st, x: F.struct(compose(st["acc"], x["t"]).alias("acc"),
                                F.array_append(st["out"], F.struct(x["o"].cast("long").alias("o"),
                                                                   st["acc"].alias("ex"))).alias("out")))
     return g.select(*group, folded["acc"].alias("total"), folded["out"].alias("out"))
@@ -104,6 +104,6 @@ def prefix_clamp(df: DataFrame, order: str, stepcol: str, fanout: int = 256) ->
         ex = loc.select("gid", F.explode("out").alias("e")).select(
             "gid", F.col("e.o").alias("id"), F.col("e.ex").alias("local_ex"))
         excl = ex.join(excl.withColumnRenamed("id", "gid").withColumnRenamed("ex", "parent_ex"), "gid") \
-            .select("id", _compose(F.col("parent_ex"), F.col("local_ex")).alias("ex"))
+            .select("id", compose(F.col("parent_ex"), F.col("local_ex")).alias("ex"))
     out = df.join(excl.withColumnRenamed("id", order), order)
-    return out.withColumn("prefix", _compose(F.col("ex"), F.col(stepcol))).drop("ex")
+    return out.withColumn("prefix", compose(F.col("ex"), F.col(stepcol))).drop("ex")

@@ -296,10 +296,8 @@ def micro_macro(spark, sf_dir):
     gt = F.transform("phi_spans", lambda s: s["span"])
     pr = F.transform("pred", lambda s: s["span"])
     rec = o.select("doc_id", "seq", "cache_hits", MT.exact_record(gt, pr).alias("m"),
-                   utility(F.col("text"), F.col("masked")).alias("utility"),
-                   F.transform(F.filter("pred", lambda s: F.lit(True)), lambda s: s["span"]).alias("_p"))
+                   utility(F.col("text"), F.col("masked")).alias("utility"))
     n = _notes(spark, sf_dir)
-    enc = o.select("doc_id", F.col("pred").alias("_pred"))
     val = CT.reward_columns(CT.parse_validation(replies.critic_raw(n), _critic_docs(spark, sf_dir)))
     rec = rec.join(val.select("doc_id", "total_reward"), "doc_id", "left")
     rec = rec.select("m.tp", "m.fp", "m.fn", "m.precision", "m.recall", "m.f1", "utility", "cache_hits",
@@ -332,7 +330,6 @@ def scale_windows(spark, sf_dir):
 
 # ---------------------------------------------------------------- critic and control
 def _critic_docs(spark, sf_dir) -> DataFrame:
-    o = _outputs(spark, sf_dir, ("cold",))
     n = _notes(spark, sf_dir)
     m = MJ.mask_corpus(n, seed_inline(0.75), _secret(spark))
     enc = F.transform(F.filter("spans", lambda s: s["action"] == "encrypt"), lambda s: s["span"])

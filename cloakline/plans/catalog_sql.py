@@ -63,7 +63,7 @@ SQL["mask_all"] = _mask_report(NOTES, "notes", all_occ=True)
 # ====================================================================== shared CTEs
 from cloakline.plans.oracle import (critic_raw_sql, detect_raw_sql, detections_sql, hit_spans_sql,  # noqa: E402
                                     leakage_sql, overlap_record_sql, quasi_sql, seed_rows, strip_sql,
-                                    token_sql, tokens_sql, utility_sql, validation_sql, WS)
+                                    token_sql, utility_sql, validation_sql, WS)
 
 TOK = lambda d, i, s: "'<<ENC:' || " + token_sql(d, i, s) + " || ':ENC>>'"
 

@@ -17,7 +17,8 @@ from cloakline.operators import spans as SP
 from cloakline.plans import mask_job as MJ
 from cloakline.session import read_table, spread
 from cloakline.sources import corpus
-from cloakline.functions.text import utility
+from cloakline.functions.text import exact_leakage as leak_expr
+from cloakline.functions.text import quasi_from_tokens, token_set, tokens, utility, utility_from_tokens
 from cloakline.operators import control as CT
 from cloakline.operators import memory as MEM
 from cloakline.operators import metrics as MT
@@ -506,6 +507,28 @@ def system_fallback(spark, sf_dir):
     return fb.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_if("fallback").alias("n_fallback"))
 
 
+
+def utility_scores(spark, sf_dir):
+    """SC-7 per document of the masked ``documents`` corpus (whole texts)."""
+    m = _masked(spark, _docs(spark, sf_dir))
+    t = m.select("doc_id", tokens(F.col("text")).alias("_ot"), token_set(F.col("masked")).alias("_ms"))
+    return _r(t.select("doc_id", utility_from_tokens("_ot", "_ms").alias("utility")))
+
+
+def quasi_risk_scores(spark, sf_dir):
+    """SC-9 per document of the masked ``documents`` corpus (whole texts)."""
+    m = _masked(spark, _docs(spark, sf_dir))
+    t = m.select("doc_id", tokens(F.col("text")).alias("_ot"), token_set(F.col("masked")).alias("_ms"))
+    return _r(t.select("doc_id", quasi_from_tokens("_ot", "_ms").alias("quasi_risk")))
+
+
+def exact_leakage(spark, sf_dir):
+    """SC-12 per note and system: a truth value still verbatim in the masked text."""
+    o = _outputs(spark, sf_dir, ("cold", "regex"))
+    gt = F.transform("phi_spans", lambda s: s["span"])
+    return o.select("system", "doc_id", F.when(leak_expr(F.col("masked"), gt), 1).otherwise(0).alias("leakage"))
+
+
 def _normalized(fn):
     """Integer outputs widened to bigint so both engines report one integer type."""
     from pyspark.sql import types as T
@@ -566,5 +589,8 @@ QUERIES = {
     "span_feedback": span_feedback,
     "role_writeback": role_writeback,
     "system_fallback": system_fallback,
+    "utility": utility_scores,
+    "quasi_risk": quasi_risk_scores,
+    "exact_leakage": exact_leakage,
 }
 QUERIES = {k: _normalized(v) for k, v in QUERIES.items()}

@@ -63,7 +63,7 @@ SQL["mask_all"] = _mask_report(NOTES, "notes", all_occ=True)
 # ====================================================================== shared CTEs
 from cloakline.plans.oracle import (critic_raw_sql, detect_raw_sql, detections_sql, hit_spans_sql,  # noqa: E402
                                     leakage_sql, overlap_record_sql, quasi_sql, seed_rows, strip_sql,
-                                    token_sql, utility_sql, validation_sql, WS)
+                                    token_sql, tokens_sql, utility_sql, validation_sql, WS)
 
 TOK = lambda d, i, s: "'<<ENC:' || " + token_sql(d, i, s) + " || ':ENC>>'"
 
@@ -572,3 +572,21 @@ _BIGINT_COLS = {
 for _name, _cols in _BIGINT_COLS.items():
     _rep = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in _cols)
     SQL[_name] = f"SELECT * REPLACE ({_rep}) FROM (\n{SQL[_name]}\n)"
+
+_DOC_MASK = with_ctes(DOCS, f"""
+scanned AS (SELECT doc_id, text, {hits_sql('text')} AS hits FROM docs),
+folded AS (SELECT doc_id, text, ({mask_fold_sql('text', dedup_sql('hits'), 'doc_id')}).text AS masked FROM scanned)""")
+
+SQL["utility"] = _DOC_MASK + f"SELECT doc_id, {R(utility_sql('text', 'masked'))} AS utility FROM folded"
+SQL["quasi_risk"] = _DOC_MASK.rstrip() + f""",
+ot AS (SELECT doc_id, unnest({tokens_sql('text')}) AS t FROM folded),
+ms AS (SELECT DISTINCT doc_id, unnest({tokens_sql('masked')}) AS t FROM folded),
+cnt AS (SELECT ot.doc_id, count(*) AS n_all, count(ms.t) AS n_in
+        FROM ot LEFT JOIN ms ON ms.doc_id = ot.doc_id AND ms.t = ot.t GROUP BY ot.doc_id)
+SELECT f.doc_id, {R('CASE WHEN coalesce(n_all, 0) = 0 THEN 0.0 ELSE n_in::DOUBLE / n_all END')} AS quasi_risk
+FROM folded f LEFT JOIN cnt USING (doc_id)"""
+SQL["exact_leakage"] = with_ctes(NOTES, COLD, REGEX, """
+outputs AS (SELECT system, doc_id, phi_spans, masked FROM cold
+            UNION ALL SELECT system, doc_id, phi_spans, masked FROM regex)""") + f"""
+SELECT system, doc_id, CAST({leakage_sql('masked', 'list_transform(phi_spans, lambda s: s.span)')} AS BIGINT) AS leakage
+FROM outputs"""

@@ -529,6 +529,15 @@ def exact_leakage(spark, sf_dir):
     return o.select("system", "doc_id", F.when(leak_expr(F.col("masked"), gt), 1).otherwise(0).alias("leakage"))
 
 
+
+def cold_warm_detection(spark, sf_dir):
+    """MK-12: seed-only (cold) against seeds + learned patterns (warm)."""
+    rec = EV.records(_outputs(spark, sf_dir, ("cold", "warm")))
+    return _r(rec.groupBy("system").agg(
+        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
+        F.sum("tp").alias("tp"), F.avg("utility").alias("utility"), F.count(F.lit(1)).alias("n")))
+
+
 def _normalized(fn):
     """Integer outputs widened to bigint so both engines report one integer type."""
     from pyspark.sql import types as T
@@ -592,5 +601,6 @@ QUERIES = {
     "utility": utility_scores,
     "quasi_risk": quasi_risk_scores,
     "exact_leakage": exact_leakage,
+    "cold_warm_detection": cold_warm_detection,
 }
 QUERIES = {k: _normalized(v) for k, v in QUERIES.items()}

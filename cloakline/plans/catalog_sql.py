@@ -590,3 +590,25 @@ outputs AS (SELECT system, doc_id, phi_spans, masked FROM cold
             UNION ALL SELECT system, doc_id, phi_spans, masked FROM regex)""") + f"""
 SELECT system, doc_id, CAST({leakage_sql('masked', 'list_transform(phi_spans, lambda s: s.span)')} AS BIGINT) AS leakage
 FROM outputs"""
+
+_WARM = f"""
+lh0 AS (SELECT n.doc_id, l.pattern_seq,
+          list_transform(regexp_extract_all(n.text, l.regex), lambda m: {{'pattern_rank': 0, 'label': l.label, 'span': m,
+            'phi_type': l.phi_type, 'abstraction_role': NULL::VARCHAR, 'promoted': false, 'confidence': 0.5::DOUBLE}}) AS hs
+        FROM notes n, learned2 l),
+lh AS (SELECT doc_id, flatten(list(hs ORDER BY pattern_seq)) AS lhits FROM lh0 GROUP BY doc_id),
+wscan AS (SELECT n.doc_id, n.seq, n.text, n.phi_spans,
+            list_concat({hits_sql('n.text')}, coalesce(lh.lhits, [])) AS hits
+          FROM notes n LEFT JOIN lh USING (doc_id)),
+warm AS (
+  SELECT 'warm' AS system, doc_id, seq, text, phi_spans, f.text AS masked,
+    list_transform(f.applied, lambda a: {{'span': a.span, 'phi_type': a.phi_type}}) AS pred, len(hits) AS cache_hits
+  FROM (SELECT *, {mask_fold_sql('text', dedup_sql('hits'), 'doc_id')} AS f FROM wscan))"""
+
+SQL["cold_warm_detection"] = with_ctes(NOTES, DET, LEARN, COLD, _WARM, """
+outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
+            UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM warm)""",
+                                       RECORDS) + f"""
+SELECT system, {R('avg(precision)')} AS precision, {R('avg(recall)')} AS recall, {R('avg(f1)')} AS f1,
+  CAST(sum(tp) AS BIGINT) AS tp, {R('avg(utility)')} AS utility, count(*) AS n
+FROM records GROUP BY system"""

@@ -485,14 +485,16 @@ def span_feedback(spark, sf_dir):
 
 
 def role_writeback(spark, sf_dir):
-    """JN-4: abstraction phrases of spans found by a role-less learned pattern
-    become that pattern's role (latest phrase wins)."""
+    """JN-4: the replacement chosen for a span found by a role-less pattern
+    becomes that pattern's role; the latest one wins.  A span without a
+    phrase gets ``[REDACTED]``, which is written back too (as the reference
+    does when its phrase call fails)."""
     n = _notes(spark, sf_dir)
     warm = _warm_patterns(spark, sf_dir)
     m = MJ.mask_corpus(MJ.attach_phrases(n, replies.phrases(n)), PS.inline_patterns(warm, 0.0), _secret(spark),
                        with_phrases=True)
     ph = m.select("seq", F.explode_outer("spans").alias("s")).filter(
-        F.col("s.label").isNotNull() & (F.col("s.action") == "abstract") & (F.col("s.replacement") != "[REDACTED]")) \
+        F.col("s.label").isNotNull() & (F.col("s.action") == "abstract")) \
         .select("seq", F.col("s.label").alias("label"), F.col("s.replacement").alias("phrase"))
     roleless = warm.filter(F.col("abstraction_role").isNull()).select("label")
     ph = ph.join(roleless, "label", "left_semi")

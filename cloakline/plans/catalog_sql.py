@@ -612,3 +612,23 @@ outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hit
 SELECT system, {R('avg(precision)')} AS precision, {R('avg(recall)')} AS recall, {R('avg(f1)')} AS f1,
   CAST(sum(tp) AS BIGINT) AS tp, {R('avg(utility)')} AS utility, count(*) AS n
 FROM records GROUP BY system"""
+
+_WARM_PH = _WARM.replace(
+    "warm AS (", "warm_ph AS (").replace(
+    mask_fold_sql('text', dedup_sql('hits'), 'doc_id'), mask_fold_sql('text', dedup_sql('hits'), 'doc_id', _PHRASE)).replace(
+    "list_transform(f.applied, lambda a: {'span': a.span, 'phi_type': a.phi_type}) AS pred, len(hits) AS cache_hits",
+    "f.applied AS applied")
+
+_SEED_ROLES = ", ".join(f"({i}, {q(lbl)}, {q(t)}, {q(role)})" for i, (lbl, _rx, t, role) in enumerate(C.SEED_PATTERNS))
+
+SQL["role_writeback"] = with_ctes(NOTES, DET, LEARN, _WARM_PH, f"""
+seedr(i, label, phi_type, role) AS (VALUES {_SEED_ROLES}),
+pats AS (SELECT label, phi_type, role FROM seedr
+         UNION ALL SELECT label, phi_type, NULL::VARCHAR FROM learned2 WHERE label NOT IN (SELECT label FROM seedr)),
+ph AS (SELECT w.seq, a.label AS label, a.replacement AS phrase
+       FROM (SELECT seq, unnest(applied) AS a FROM warm_ph) w
+       WHERE a.label IS NOT NULL AND a.action = 'abstract'
+         AND a.label IN (SELECT label FROM pats WHERE role IS NULL)),
+latest AS (SELECT label, arg_max(phrase, seq) AS new_role FROM ph GROUP BY label)""") + """
+SELECT p.label, p.phi_type, coalesce(l.new_role, p.role) AS abstraction_role
+FROM pats p LEFT JOIN latest l USING (label)"""

@@ -23,6 +23,13 @@ def test_mask_stream_equals_batch(spark, secret):
     batch = MJ.mask_corpus(docs.select("doc_id", "text"), seed_inline(0.75), secret).select("doc_id", "masked")
     assert got.count() == batch.count()
     assert got.exceptAll(batch).count() == 0
+    # SM-2 a second query validates the masked sink
+    from cloakline.sources import corpus, replies
+    notes = corpus.notes(spark.read.parquet(f"{SF001}/customer.parquet"))
+    vq = ST.validate_stream(spark, out + "/masked", replies.critic_raw(notes), out + "/validation", name="t_val")
+    vq.awaitTermination()
+    v = spark.read.parquet(out + "/validation")
+    assert v.count() == batch.count() and v.filter(F.col("total_reward").isNull()).count() == 0
     # SM-5 counters over the masked sink
     c = ST.counters_stream(spark, out + "/masked", name="t_counters", query_name="t_counters")
     c.awaitTermination()

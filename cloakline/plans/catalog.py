@@ -540,6 +540,18 @@ def cold_warm_detection(spark, sf_dir):
         F.sum("tp").alias("tp"), F.avg("utility").alias("utility"), F.count(F.lit(1)).alias("n")))
 
 
+
+def negative_control(spark, sf_dir):
+    """The corpus job over ``conversations`` (every turn, whole text): a
+    negative control where the seeds should find (almost) nothing."""
+    conv = spread(read_table(spark, sf_dir, "conversations"))
+    docs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text") \
+        .filter(F.col("text").isNotNull())
+    m = MJ.mask_corpus(docs, seed_inline(0.75), _secret(spark))
+    return m.select("conv_id", "turn", "cache_hits", *M.mask_counts("spans"),
+                    (F.col("masked") == F.col("text")).alias("unchanged"))
+
+
 def _normalized(fn):
     """Integer outputs widened to bigint so both engines report one integer type."""
     from pyspark.sql import types as T
@@ -604,5 +616,6 @@ QUERIES = {
     "quasi_risk": quasi_risk_scores,
     "exact_leakage": exact_leakage,
     "cold_warm_detection": cold_warm_detection,
+    "negative_control": negative_control,
 }
 QUERIES = {k: _normalized(v) for k, v in QUERIES.items()}

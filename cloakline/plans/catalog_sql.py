@@ -632,3 +632,13 @@ ph AS (SELECT w.seq, a.label AS label, a.replacement AS phrase
 latest AS (SELECT label, arg_max(phrase, seq) AS new_role FROM ph GROUP BY label)""") + """
 SELECT p.label, p.phi_type, coalesce(l.new_role, p.role) AS abstraction_role
 FROM pats p LEFT JOIN latest l USING (label)"""
+
+SQL["negative_control"] = with_ctes(f"""
+cv AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, text, {hits_sql('text')} AS hits
+       FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT conv_id, turn, text, len(hits) AS cache_hits, {mask_fold_sql('text', dedup_sql('hits'), 'doc_id')} AS f FROM cv)""") + """
+SELECT conv_id, turn, cache_hits, len(f.applied) AS span_count,
+  len(list_filter(f.applied, lambda a: a.action = 'encrypt')) AS encrypted_count,
+  len(list_filter(f.applied, lambda a: a.action = 'abstract')) AS abstracted_count,
+  f.text = text AS unchanged
+FROM f"""

@@ -85,13 +85,22 @@ def ranked(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("pattern_rank", F.row_number().over(w))
 
 
-def inline_patterns(patterns: DataFrame, min_confidence: float | None = None) -> list[InlinePattern]:
+def inline_patterns(patterns: DataFrame, min_confidence: float | None = None,
+                    engine: str = "jvm") -> list[InlinePattern]:
     """FLT-3 + FLT-9 + SO-1, then the bounded driver read used by the scan.
 
     The threshold is applied on the pattern side *before* the scan, so
-    documents never see a pattern below it.
+    documents never see a pattern below it.  When the table has an
+    ``engine`` column, rows marked ``'py'`` (features Java regexes lack) are
+    left to the Python scanner (UDF-3, ``hooks.python_scan``) and skip the
+    Java validation; ``engine='py'`` selects exactly those rows.
     """
-    df = valid_patterns(patterns)
+    if "engine" in patterns.columns:
+        is_py = F.coalesce(F.col("engine"), F.lit("jvm")) == "py"
+        patterns = patterns.filter(is_py if engine == "py" else ~is_py)
+    elif engine == "py":
+        return []
+    df = valid_patterns(patterns) if engine != "py" else patterns
     if min_confidence is not None:
         df = df.filter(F.col("confidence") >= F.lit(float(min_confidence)))
     df = df.select("label", "regex", "phi_type", "abstraction_role", "promoted", "confidence", "pattern_seq")

@@ -90,3 +90,18 @@ def test_bucketed_restore_is_shuffle_free(spark):
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     assert r.filter(F.col("n_restored") != F.col("n_tokens")).count() == 0
+
+
+def test_engine_routing(spark):
+    import datetime as dt
+    from cloakline import schemas as S
+    from cloakline.sources import patterns as PS
+    rows = [("jvm_ssn", 0, r"\b\d{3}-\d{2}-\d{4}\b", "SSN", None, 0, 0, 0.9, True, dt.date(2026, 1, 1), "jvm"),
+            # look-behind plus a conditional group: Python-only syntax
+            ("py_id", 1, r"(?<=ID )(<)?\d{4}(?(1)>)", "ID_NUMBER", None, 0, 0, 0.9, True, dt.date(2026, 1, 1), "py")]
+    t = spark.createDataFrame(rows, S.PATTERNS.add("engine", "string"))
+    assert [p.label for p in PS.inline_patterns(t, 0.5)] == ["jvm_ssn"]
+    py = PS.inline_patterns(t, 0.5, engine="py")
+    assert [p.label for p in py] == ["py_id"]
+    docs = spark.createDataFrame([(1, "ID 1234 and ID <5678>")], "doc_id long, text string")
+    assert [r.span for r in hooks.python_scan(docs, py).orderBy("hit_pos").collect()] == ["1234", "<5678>"]

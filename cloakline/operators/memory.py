@@ -31,12 +31,17 @@ def feedback_from_spans(spans: DataFrame, leaked: str = "leaked_spans", over: st
     )
 
 
-def apply_feedback(patterns: DataFrame, feedback: DataFrame, day=None) -> DataFrame:
+def apply_feedback(patterns: DataFrame, feedback: DataFrame, day=None, exact_prune: bool = False) -> DataFrame:
     """AG-14 + WN-3 + JN-9: new counters, confidence and promotion per label.
 
     Unknown labels are ignored (inner join).  Promotion is tested at every
     step with running counts (exact, never revoked).  Feedback order is
     ``seq`` (unique per label); the running counts are skew-safe.
+
+    ``exact_prune``: FLT-6 tested at every step as well; a label is removed
+    at the first step where it qualifies, even if later feedback would
+    lift it (the per-sentence behaviour).  Default: prune the final state
+    once per batch (``prune``).
     """
     fb = feedback.join(patterns.select("label", F.col("hits").alias("h0"), F.col("misses").alias("m0")),
                        "label", "inner")
@@ -45,11 +50,15 @@ def apply_feedback(patterns: DataFrame, feedback: DataFrame, day=None) -> DataFr
     hk = F.col("h0") + F.col("run__h")
     tk = hk + F.col("m0") + F.col("run__m")
     promo_step = (hk >= C.HIT_PROMOTE_THRESHOLD) & ((hk.cast("double") / tk) > C.PROMOTE_CONFIDENCE_ABOVE)
+    prune_step = ((hk.cast("double") / tk) < C.CONFIDENCE_PRUNE_BELOW) & (tk > C.PRUNE_MIN_OBSERVATIONS)
     per_label = run.groupBy("label").agg(
         F.sum("_h").alias("d_hits"), F.sum("_m").alias("d_misses"),
         F.min(F.when(promo_step, F.col("seq"))).alias("promoted_at"),
+        F.min(F.when(prune_step, F.col("seq"))).alias("pruned_at"),
     )
     j = patterns.join(per_label, "label", "left")
+    if exact_prune:
+        j = j.filter(F.col("pruned_at").isNull())
     touched = F.col("d_hits").isNotNull()
     hits = F.col("hits") + F.coalesce(F.col("d_hits"), F.lit(0))
     misses = F.col("misses") + F.coalesce(F.col("d_misses"), F.lit(0))

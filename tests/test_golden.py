@@ -102,3 +102,13 @@ def test_label_and_phrase_cap(spark):
     r = one(df.select(learned_label("t", "s").alias("l"), cap_words(F.col("p")).alias("c")))
     assert r.l == "PERSON_Mary_Joh"
     assert r.c == "one two three four five six"
+
+
+def test_exact_prune_catches_a_transient_dip(spark):
+    # 3 hits then 9 misses (0.25 with 12 observations: prunable) then 30 hits (0.79)
+    pats = _pattern(spark, "L", 0, 0, 0.5, False)
+    seq = [True] * 3 + [False] * 9 + [True] * 30
+    fb = spark.createDataFrame([(i, "L", c) for i, c in enumerate(seq)], S.FEEDBACK)
+    batch = MEM.prune(MEM.apply_feedback(pats, fb, day="2026-01-02")).collect()
+    exact = MEM.apply_feedback(pats, fb, day="2026-01-02", exact_prune=True).collect()
+    assert len(batch) == 1 and batch[0].promoted and len(exact) == 0

@@ -37,20 +37,27 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     return spark
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, local runs) a scratch folder is
-    created and registered; on a cluster the deployment names a shared path.
+    The setting is read from the session (it cannot be changed at run time).
+    Only when it is absent (tests, local runs) a scratch folder is created
+    once per application.  The returned base path is stable across restarts
+    when configured, which streaming checkpoints rely on; the SparkContext
+    is pointed at it for ``DataFrame.checkpoint``.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    path = tempfile.mkdtemp(prefix="cloakline-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+        base = configured
+    else:
+        base = _SCRATCH.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="cloakline-ckpt-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
+    return base
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -77,3 +77,20 @@ def vault_rows(masked: DataFrame, key: Column, key_id: str, applied_only: bool =
         F.aes_encrypt(F.col("it.span").cast("binary"), key, F.lit("GCM")).alias("ciphertext"),
         F.length(F.col("it.span")).alias("original_len"),
     )
+
+
+def output_records(masked: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+    """PRJ-3: one output record per document: text, masked text, applied
+    spans, counters, and a nested ``validation`` struct only when the
+    document was validated (null otherwise)."""
+    from cloakline.operators.mask import mask_counts
+
+    base = masked.select("doc_id", F.col("text").alias("original"), "masked", "spans", "cache_hits",
+                         "cache_misses", *mask_counts("spans"))
+    if validation is None:
+        return base.withColumn("validation", F.lit(None).cast(
+            "struct<is_clean:boolean,is_fluent:boolean,is_accurate:boolean,leaked_spans:array<string>,"
+            "over_encrypted:array<string>,fluency_score:double,leakage_confidence:double,total_reward:double>"))
+    v = validation.select("doc_id", F.struct("is_clean", "is_fluent", "is_accurate", "leaked_spans", "over_encrypted",
+                                             "fluency_score", "leakage_confidence", "total_reward").alias("validation"))
+    return base.join(v, "doc_id", "left")

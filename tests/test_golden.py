@@ -112,3 +112,16 @@ def test_exact_prune_catches_a_transient_dip(spark):
     batch = MEM.prune(MEM.apply_feedback(pats, fb, day="2026-01-02")).collect()
     exact = MEM.apply_feedback(pats, fb, day="2026-01-02", exact_prune=True).collect()
     assert len(batch) == 1 and batch[0].promoted and len(exact) == 0
+
+
+def test_output_record_validation_only_when_validated(spark, secret):
+    from cloakline.sources import replies
+    docs = samples(spark, [(1, "SSN 123-45-6789", []), (2, "no data", [])])
+    m = MJ.mask_corpus(docs, seed_inline(0.75), secret)
+    crit = replies.critic_raw(docs.withColumn("phi_spans", F.array(F.struct(F.lit("x").alias("span"), F.lit("T").alias("phi_type")),
+                                                                   F.struct(F.lit("y").alias("span"), F.lit("T").alias("phi_type"))))).filter("doc_id = 1")
+    enc = F.transform(F.filter("spans", lambda s: s["action"] == "encrypt"), lambda s: s["span"])
+    v = CT.reward_columns(CT.parse_validation(crit, m.filter("doc_id = 1").select("seq", "doc_id", "cache_hits", enc.alias("encrypted"))))
+    out = {r.doc_id: r for r in MJ.output_records(m, v).collect()}
+    assert out[1].validation is not None and out[1].encrypted_count == 1
+    assert out[2].validation is None and out[2].span_count == 0

@@ -36,6 +36,27 @@ SEED_PATTERNS: list[tuple[str, str, str, str | None]] = [
     ("RELATIONSHIP_child", r"\b(?:son|daughter|child|children)\b", "RELATIONSHIP", "a family member"),
 ]
 
+# --- FIXED VALUES: a character every match of a seed must contain ---
+# (a mandatory \d, or the mandatory '@' of the e-mail seed); used only as an
+# exact prefilter, and only when a pattern's regex is exactly the seed text.
+SEED_REQUIRES = {
+    "SSN_standard": "digit",
+    "PHONE_us_dashes": "digit",
+    "PHONE_us_dots": "digit",
+    "PHONE_us_parens": "digit",
+    "EMAIL_standard": "at",
+    "DATE_mdy_slash": "digit",
+    "DATE_mdy_dash": "digit",
+    "DATE_month_name": "digit",
+    "AGE_year_old": "digit",
+    "AGE_years_of_age": "digit",
+    "LOCATION_zip": "digit",
+    "CREDIT_CARD_visa": "digit",
+    "CREDIT_CARD_generic": "digit",
+    "ID_NUMBER_mrn": "digit",
+    "ID_NUMBER_patient": "digit",
+}
+
 # --- FIXED VALUES: seed row counters ---
 SEED_HITS = 48
 SEED_MISSES = 2

@@ -40,13 +40,40 @@ def _order(fields: list[Column], span: Column, extra: list[Column] | None = None
     return F.struct(fields[0], fields[1], span.alias("span"), *fields[2:], *(extra or []))
 
 
-def hits_expr(text: Column, patterns: list[InlinePattern]) -> Column:
-    """All non-overlapping matches of every pattern, rank order then match order."""
+# Prefilter flags, computed once per row in their own projection.  A
+# pattern whose required character is absent cannot match, so its regex
+# is skipped (exact: the skipped call would return an empty array).
+FLAG_COLS = {"digit": "_has_digit", "at": "_has_at"}
+
+
+def with_flags(df: DataFrame, text_col: str, patterns: list[InlinePattern]) -> DataFrame:
+    needed = {p.requires for p in patterns if p.requires}
+    text = F.col(text_col)
+    if "digit" in needed:
+        df = df.withColumn(FLAG_COLS["digit"], F.coalesce(text.rlike("[0-9]"), F.lit(False)))
+    if "at" in needed:
+        df = df.withColumn(FLAG_COLS["at"], F.coalesce(F.instr(text, "@") > 0, F.lit(False)))
+    return df
+
+
+def _gated(p: InlinePattern, expr: Column, empty_type: str, gated: bool) -> Column:
+    if gated and p.requires in FLAG_COLS:
+        return F.when(F.col(FLAG_COLS[p.requires]), expr).otherwise(F.array().cast(empty_type))
+    return expr
+
+
+def hits_expr(text: Column, patterns: list[InlinePattern], gated: bool = False) -> Column:
+    """All non-overlapping matches of every pattern, rank order then match order.
+
+    ``gated``: the prefilter flag columns of ``with_flags`` are present.
+    """
     if not patterns:
         return F.array().cast(HIT_TYPE)
+
     def one(p: InlinePattern) -> Column:
         meta = _meta(p)
-        return F.transform(F.regexp_extract_all(text, F.lit(p.regex), 0), lambda m: _order(meta, m))
+        e = F.transform(F.regexp_extract_all(text, F.lit(p.regex), 0), lambda m: _order(meta, m))
+        return _gated(p, e, HIT_TYPE, gated)
 
     parts = [one(p) for p in patterns]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
@@ -77,10 +104,10 @@ def _offsets(text: Column, p: InlinePattern) -> Column:
     )
 
 
-def hits_with_offsets_expr(text: Column, patterns: list[InlinePattern]) -> Column:
+def hits_with_offsets_expr(text: Column, patterns: list[InlinePattern], gated: bool = False) -> Column:
     if not patterns:
         return F.array().cast(HIT_OFFSET_TYPE)
-    parts = [_offsets(text, p) for p in patterns]
+    parts = [_gated(p, _offsets(text, p), HIT_OFFSET_TYPE, gated) for p in patterns]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
@@ -88,14 +115,18 @@ def scan(docs: DataFrame, patterns: list[InlinePattern], text_col: str = "text",
          offsets: bool = False, out: str = "hits") -> DataFrame:
     """Adds ``hits`` (nested) and ``cache_hits`` (AG-18, counted before dedup)."""
     text = F.col(text_col)
-    expr = hits_with_offsets_expr(text, patterns) if offsets else hits_expr(text, patterns)
-    return docs.withColumn(out, expr).withColumn("cache_hits", F.size(F.col(out)))
+    flagged = with_flags(docs, text_col, patterns)
+    expr = hits_with_offsets_expr(text, patterns, True) if offsets else hits_expr(text, patterns, True)
+    res = flagged.withColumn(out, expr).withColumn("cache_hits", F.size(F.col(out)))
+    return res.drop(*[c for c in FLAG_COLS.values() if c in res.columns and c not in docs.columns])
 
 
 def hits_long(docs: DataFrame, patterns: list[InlinePattern], text_col: str = "text",
               keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The long ``hits`` table: one row per match with offsets (no shuffle)."""
-    scanned = docs.select(*keep, hits_with_offsets_expr(F.col(text_col), patterns).alias("h"))
+    flagged = with_flags(docs.select(*keep, text_col) if text_col not in keep else docs.select(*keep), text_col,
+                         patterns)
+    scanned = flagged.select(*keep, hits_with_offsets_expr(F.col(text_col), patterns, True).alias("h"))
     # outer generator: a plain one makes the optimizer add size(h) > 0 below the
     # repartition, evaluating the whole scan twice
     exploded = scanned.select(*keep, F.posexplode_outer("h").alias("hit_pos", "hit")).filter("hit_pos IS NOT NULL")

@@ -30,6 +30,17 @@ class InlinePattern:
     abstraction_role: str | None
     promoted: bool
     confidence: float
+    requires: str | None = None  # exact prefilter hint ("digit" / "at"), see constants.SEED_REQUIRES
+
+
+_SEED_REGEX = {label: rx for label, rx, _t, _r in C.SEED_PATTERNS}
+
+
+def requirement(label: str, regex: str) -> str | None:
+    """Prefilter hint for a pattern: only for an unmodified seed regex."""
+    if _SEED_REGEX.get(label) == regex:
+        return C.SEED_REQUIRES.get(label)
+    return None
 
 
 def seed_patterns(spark: SparkSession) -> DataFrame:
@@ -112,7 +123,7 @@ def inline_patterns(patterns: DataFrame, min_confidence: float | None = None,
     rows.sort(key=lambda r: (not r["promoted"], -r["confidence"], r["pattern_seq"]))
     return [
         InlinePattern(i + 1, r["label"], r["regex"], r["phi_type"], r["abstraction_role"],
-                      bool(r["promoted"]), float(r["confidence"]))
+                      bool(r["promoted"]), float(r["confidence"]), requirement(r["label"], r["regex"]))
         for i, r in enumerate(rows)
     ]
 
@@ -123,5 +134,6 @@ def seed_inline(min_confidence: float | None = None) -> list[InlinePattern]:
     for i, (label, regex, phi_type, role) in enumerate(C.SEED_PATTERNS):
         if min_confidence is not None and C.SEED_CONFIDENCE < min_confidence:
             continue
-        out.append(InlinePattern(len(out) + 1, label, regex, phi_type, role, C.SEED_PROMOTED, C.SEED_CONFIDENCE))
+        out.append(InlinePattern(len(out) + 1, label, regex, phi_type, role, C.SEED_PROMOTED, C.SEED_CONFIDENCE,
+                                 requirement(label, regex)))
     return out

@@ -99,7 +99,9 @@ def test_engine_routing(spark):
     rows = [("jvm_ssn", 0, r"\b\d{3}-\d{2}-\d{4}\b", "SSN", None, 0, 0, 0.9, True, dt.date(2026, 1, 1), "jvm"),
             # look-behind plus a conditional group: Python-only syntax
             ("py_id", 1, r"(?<=ID )(<)?\d{4}(?(1)>)", "ID_NUMBER", None, 0, 0, 0.9, True, dt.date(2026, 1, 1), "py")]
-    t = spark.createDataFrame(rows, S.PATTERNS.add("engine", "string"))
+    from pyspark.sql import types as T
+    schema = T.StructType(S.PATTERNS.fields + [T.StructField("engine", T.StringType())])  # copy, not .add()
+    t = spark.createDataFrame(rows, schema)
     assert [p.label for p in PS.inline_patterns(t, 0.5)] == ["jvm_ssn"]
     py = PS.inline_patterns(t, 0.5, engine="py")
     assert [p.label for p in py] == ["py_id"]

@@ -189,19 +189,19 @@ def growth(patterns: DataFrame, feedback: DataFrame, every: int = C.SNAPSHOT_EVE
     first_promo = rows.filter("promo").groupBy("label").agg(F.min("b").alias("b"))
     d_b = per_lb.groupBy("b").agg(F.sum("d").alias("d"))
     p_b = first_promo.groupBy("b").agg(F.count(F.lit(1)).alias("p"))
-    base = patterns.agg(F.count(F.lit(1)).alias("total"), F.count_if("promoted").alias("p0"),
-                        F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("c0"))
+    # three scalars of the (bounded) pattern table, read once
+    b = patterns.agg(F.count(F.lit(1)).alias("total"), F.count_if("promoted").alias("p0"),
+                     F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("c0")).first()
     last = feedback.agg(F.max("seq")).first()[0]
     n_steps = 0 if last is None else int(last) // every + 1
     steps = patterns.sparkSession.range(n_steps).select(F.col("id").alias("b"))
     g = steps.join(d_b, "b", "left").join(p_b, "b", "left").select(
         "b", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("p", F.lit(0)).cast("long").alias("p"))
     g = running_sums(g, [], "b", ["d", "p"])
+    total = int(b["total"])
     return g.select(
         (F.col("b") * every).alias("step"),
-        base.select("total").scalar().alias("total"),
-        (base.select("p0").scalar() + F.col("run_p")).alias("promoted"),
-        F.when(base.select("total").scalar() > 0,
-               (base.select("c0").scalar() + F.col("run_d")) / base.select("total").scalar())
-        .otherwise(F.lit(0.0)).alias("avg_conf"),
+        F.lit(total).cast("long").alias("total"),
+        (F.lit(int(b["p0"])) + F.col("run_p")).alias("promoted"),
+        ((F.lit(float(b["c0"])) + F.col("run_d")) / total if total > 0 else F.lit(0.0)).alias("avg_conf"),
     )

@@ -84,14 +84,19 @@ def cap(patterns: DataFrame, limit: int = C.MAX_MEMORY_ENTRIES) -> DataFrame:
     """SO-3: over ``limit`` rows, drop the lowest-confidence unpromoted rows
     (ties in insertion order); promoted rows are never dropped.
 
-    The pattern table is bounded by this very rule, so the global window
-    runs over at most a few hundred rows.
+    Exact rank without a single-partition window: a distributed sort on
+    (confidence, pattern_seq), order-preserving ids, and the blocked running
+    count of ``running_sums``.
     """
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    w = Window.partitionBy("promoted").orderBy(F.col("confidence").asc(), F.col("pattern_seq").asc())
-    r = patterns.withColumn("_total", total).withColumn("_rank", F.row_number().over(w))
-    excess = F.greatest(F.col("_total") - limit, F.lit(0))
-    return r.filter(F.col("promoted") | (F.col("_rank") > excess)).drop("_total", "_rank")
+    total = patterns.count()
+    excess = total - limit
+    if excess <= 0:
+        return patterns
+    unp = patterns.filter(~F.col("promoted")).orderBy("confidence", "pattern_seq") \
+        .withColumn("_id", F.monotonically_increasing_id()).withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_sums(unp, [], "_id", ["_one"])
+    kept = ranked.filter(F.col("run__one") > excess).select(*patterns.columns)
+    return patterns.filter(F.col("promoted")).unionByName(kept)
 
 
 def insert_if_absent(patterns: DataFrame, new: DataFrame) -> DataFrame:

@@ -125,3 +125,13 @@ def test_output_record_validation_only_when_validated(spark, secret):
     out = {r.doc_id: r for r in MJ.output_records(m, v).collect()}
     assert out[1].validation is not None and out[1].encrypted_count == 1
     assert out[2].validation is None and out[2].span_count == 0
+
+
+def test_cap_keeps_promoted_and_drops_lowest_first(spark):
+    rows = [(f"p{i}", i, r"\\d", "X", None, 1, 0, 0.1, True, dt.date(2026, 1, 1)) for i in range(3)]
+    rows += [(f"u{i}", 10 + i, r"\\d", "X", None, 1, 0, 0.5 if i % 2 else 0.4, False, dt.date(2026, 1, 1))
+             for i in range(6)]
+    t = spark.createDataFrame(rows, S.PATTERNS)
+    kept = {r.label for r in MEM.cap(t, limit=5).collect()}
+    # 9 rows, 4 over: all promoted stay; the three 0.4 rows go, then the earliest 0.5 row (u1)
+    assert kept == {"p0", "p1", "p2", "u3", "u5"}

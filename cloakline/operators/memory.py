@@ -80,23 +80,36 @@ def prune(patterns: DataFrame) -> DataFrame:
                              & ((F.col("hits") + F.col("misses")) > C.PRUNE_MIN_OBSERVATIONS)))
 
 
+# Tables up to this many rows are ranked in one window partition (a proven
+# bound); larger ones by a distributed sort and a blocked running count.
+CAP_WINDOW_MAX_ROWS = 1_000_000
+
+
 def cap(patterns: DataFrame, limit: int = C.MAX_MEMORY_ENTRIES) -> DataFrame:
     """SO-3: over ``limit`` rows, drop the lowest-confidence unpromoted rows
     (ties in insertion order); promoted rows are never dropped.
 
-    Exact rank without a single-partition window: a distributed sort on
-    (confidence, pattern_seq), order-preserving ids, and the blocked running
-    count of ``running_sums``.
+    The incoming table (the next pattern version) is checkpointed first into
+    the shared ``spark.checkpoint.dir``: the row count and the ranking then
+    read it once instead of recomputing the feedback pipeline, and the
+    lineage of a long-running loop is cut.
     """
+    from cloakline.session import cut_lineage
+
+    patterns = cut_lineage(patterns)
     total = patterns.count()
     excess = total - limit
     if excess <= 0:
         return patterns
-    unp = patterns.filter(~F.col("promoted")).orderBy("confidence", "pattern_seq") \
-        .withColumn("_id", F.monotonically_increasing_id()).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_sums(unp, [], "_id", ["_one"])
-    kept = ranked.filter(F.col("run__one") > excess).select(*patterns.columns)
-    return patterns.filter(F.col("promoted")).unionByName(kept)
+    unp = patterns.filter(~F.col("promoted"))
+    if total <= CAP_WINDOW_MAX_ROWS:
+        w = Window.orderBy(F.col("confidence").asc(), F.col("pattern_seq").asc())
+        kept = unp.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") > excess)
+    else:
+        ordered = unp.orderBy("confidence", "pattern_seq") \
+            .withColumn("_id", F.monotonically_increasing_id()).withColumn("_one", F.lit(1).cast("long"))
+        kept = running_sums(ordered, [], "_id", ["_one"]).filter(F.col("run__one") > excess)
+    return patterns.filter(F.col("promoted")).unionByName(kept.select(*patterns.columns))
 
 
 def insert_if_absent(patterns: DataFrame, new: DataFrame) -> DataFrame:

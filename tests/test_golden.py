@@ -135,3 +135,13 @@ def test_cap_keeps_promoted_and_drops_lowest_first(spark):
     kept = {r.label for r in MEM.cap(t, limit=5).collect()}
     # 9 rows, 4 over: all promoted stay; the three 0.4 rows go, then the earliest 0.5 row (u1)
     assert kept == {"p0", "p1", "p2", "u3", "u5"}
+
+
+def test_cap_distributed_path_agrees(spark, monkeypatch):
+    rows = [(f"u{i}", i, r"\\d", "X", None, 1, 0, (i * 37 % 11) / 10.0, i % 9 == 0, dt.date(2026, 1, 1))
+            for i in range(60)]
+    t = spark.createDataFrame(rows, S.PATTERNS)
+    small = {r.label for r in MEM.cap(t, limit=25).collect()}
+    monkeypatch.setattr(MEM, "CAP_WINDOW_MAX_ROWS", 0)
+    big = {r.label for r in MEM.cap(t, limit=25).collect()}
+    assert small == big and len(small) == 25

@@ -138,17 +138,16 @@ def _warm_patterns(spark, sf_dir) -> DataFrame:
 
 
 def _outputs(spark, sf_dir, systems=("cold", "regex", "full_encryption", "ner")) -> DataFrame:
+    """System outputs keyed (system, doc_id): the row-local systems come from
+    one scan of the samples (``systems_wide``); the recogniser system joins
+    its entity table on doc_id."""
     n = _notes(spark, sf_dir)
     secret = _secret(spark)
+    local = tuple(x for x in systems if x != "ner")
+    warm = PS.inline_patterns(_warm_patterns(spark, sf_dir), 0.0) if "warm" in systems else None
     outs = []
-    if "cold" in systems:
-        outs.append(EV.pipeline_system(n, seed_inline(0.75), secret, "cold"))
-    if "warm" in systems:
-        outs.append(EV.pipeline_system(n, PS.inline_patterns(_warm_patterns(spark, sf_dir), 0.0), secret, "warm"))
-    if "regex" in systems:
-        outs.append(EV.regex_system(n, seed_inline(None), secret))
-    if "full_encryption" in systems:
-        outs.append(EV.full_encryption_system(n, secret))
+    if local:
+        outs.append(EV.systems_wide(n, secret, local, seed_inline(None), 0.75, warm))
     if "ner" in systems:
         outs.append(EV.offsets_system(n, replies.entities(n), secret))
     out = outs[0]

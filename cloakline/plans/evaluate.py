@@ -180,3 +180,46 @@ def with_fallback(samples: DataFrame, outputs: DataFrame, systems: list[str]) ->
                     F.coalesce("_p", F.array().cast(PRED_T)).alias("pred"),
                     F.coalesce("_h", F.lit(0)).alias("cache_hits"), F.coalesce("_x", F.lit(0)).alias("cache_misses"),
                     F.col("_m").isNull().alias("fallback"))
+
+
+def systems_wide(samples: DataFrame, secret: Column, names: tuple[str, ...],
+                 seed_patterns: list[InlinePattern], min_confidence: float = 0.75,
+                 warm_patterns: list[InlinePattern] | None = None) -> DataFrame:
+    """Row-local systems (cold, warm, regex, full_encryption) from ONE scan of
+    the samples: each system is a struct column of the same projection, then
+    the row is unpivoted into one row per system (``explode`` of a fixed-size
+    array).  Cold and regex share the seed scan; cold's FLT-3 threshold is a
+    filter on the hit array (order kept).
+    """
+    s = SC.scan(samples.withColumn("_secret", secret), seed_patterns, offsets=True, out="_hoff")
+    text, doc, sec = F.col("text"), F.col("doc_id"), F.col("_secret")
+
+    def pred_of(applied):
+        return F.transform(applied, lambda a: F.struct(a["span"].alias("span"), a["phi_type"].alias("phi_type")))
+
+    def pipeline(hits):
+        items = M.with_replacements(M.order_for_mask(SP.merge(hits), text), doc, sec, None)
+        return M.fold_first(text, items)
+
+    cols = {}
+    if "cold" in names:
+        cold_hits = F.filter("_hoff", lambda h: h["confidence"] >= F.lit(float(min_confidence)))
+        s = s.withColumn("_cold_hits", cold_hits)
+        f = pipeline(F.col("_cold_hits"))
+        cols["cold"] = (f["text"], pred_of(f["applied"]), F.size("_cold_hits"))
+    if "warm" in names and warm_patterns is not None:
+        s = s.withColumn("_warm_hits", SC.hits_expr(text, warm_patterns))
+        f = pipeline(F.col("_warm_hits"))
+        cols["warm"] = (f["text"], pred_of(f["applied"]), F.size("_warm_hits"))
+    if "regex" in names:
+        pred = F.transform("_hoff", lambda h: F.struct(h["span"].alias("span"), h["phi_type"].alias("phi_type")))
+        cols["regex"] = (M.regex_baseline(text, F.col("_hoff"), doc, sec), pred, F.lit(0))
+    if "full_encryption" in names:
+        r = M.full_encryption(text, F.transform("phi_spans", lambda x: x["span"]), doc, sec)
+        pred = F.transform(r["pred"], lambda x: F.struct(x.alias("span"), F.lit(C.UNKNOWN_TYPE).alias("phi_type")))
+        cols["full_encryption"] = (r["masked"], pred, F.lit(0))
+    arr = F.array(*[F.struct(F.lit(k).alias("system"), m.alias("masked"), p.cast(PRED_T).alias("pred"),
+                             h.cast("int").alias("cache_hits")) for k, (m, p, h) in cols.items()])
+    return s.select("doc_id", "seq", "text", "phi_spans", F.explode(arr).alias("o")).select(
+        F.col("o.system").alias("system"), "doc_id", "seq", "text", "phi_spans", F.col("o.masked").alias("masked"),
+        F.col("o.pred").alias("pred"), F.col("o.cache_hits").alias("cache_hits"), F.lit(0).alias("cache_misses"))

@@ -87,7 +87,9 @@ def _offsets(text: Column, p: InlinePattern) -> Column:
     """
     ms = F.regexp_extract_all(text, F.lit(p.regex), 0)
     gaps = F.split(text, p.regex, -1)
-    pairs = F.arrays_zip(ms.alias("m"), F.slice(gaps, 1, F.size(ms)).alias("g"))
+    # gaps has one more element than matches; sizing by gaps avoids a
+    # second evaluation of the match array (no CSE inside this expression)
+    pairs = F.arrays_zip(ms.alias("m"), F.slice(gaps, 1, F.size(gaps) - 1).alias("g"))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<m:string,s:int>>").alias("out"))
 
     def step(acc, x):

@@ -79,3 +79,29 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def scale_conf(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 128 << 20,
+               scan_split_bytes: int = 64 << 20) -> dict[str, str]:
+    """Size shuffles and splits from the input volume (spill-aware defaults).
+
+    * shuffle partitions = input / target size (at least 200), so a shuffle
+      of the whole corpus (a ``doc_id`` join) keeps ~128 MB per task; AQE
+      coalesces small ones and splits skewed ones;
+    * scan splits of 64 MB: the pattern scan is CPU-bound (regex), so
+      smaller splits spread it over more cores without more shuffle.
+    Returns the settings applied (runtime SQL confs only).
+    """
+    parts = max(200, -(-int(input_bytes) // target_partition_bytes))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

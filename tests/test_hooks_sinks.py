@@ -107,3 +107,15 @@ def test_engine_routing(spark):
     assert [p.label for p in py] == ["py_id"]
     docs = spark.createDataFrame([(1, "ID 1234 and ID <5678>")], "doc_id long, text string")
     assert [r.span for r in hooks.python_scan(docs, py).orderBy("hit_pos").collect()] == ["1234", "<5678>"]
+
+
+def test_scale_conf_sizes_shuffles(spark):
+    from cloakline.session import scale_conf
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = scale_conf(spark, 100 * (1 << 40))  # 100 TB
+        assert int(conf["spark.sql.shuffle.partitions"]) == 819200
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") in (str(64 << 20), "67108864b")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))

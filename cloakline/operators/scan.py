@@ -62,13 +62,48 @@ def _gated(p: InlinePattern, expr: Column, empty_type: str, gated: bool) -> Colu
     return expr
 
 
-def hits_expr(text: Column, patterns: list[InlinePattern], gated: bool = False) -> Column:
+def _raw(s: str | None) -> str | None:
+    """Spark SQL raw string literal, or None when it cannot carry the text."""
+    if s is None:
+        return "CAST(NULL AS STRING)"
+    if "'" in s or s.endswith("\\"):
+        return None
+    return "r'" + s + "'"
+
+
+def hits_sql(text_col: str, patterns: list[InlinePattern], gated: bool) -> str | None:
+    """The hits expression as one SQL text (parsed JVM-side in a single call,
+    instead of hundreds of Python-to-JVM calls for the Column tree).  None
+    when a pattern text cannot be written as a raw literal."""
+    parts = []
+    for p in patterns:
+        rx, label, typ, role = _raw(p.regex), _raw(p.label), _raw(p.phi_type), _raw(p.abstraction_role)
+        if None in (rx, label, typ, role):
+            return None
+        e = (f"transform(regexp_extract_all(`{text_col}`, {rx}, 0), m -> named_struct("
+             f"'pattern_rank', {int(p.rank)}, 'label', {label}, 'span', m, 'phi_type', {typ}, "
+             f"'abstraction_role', CAST({role} AS STRING), 'promoted', {str(bool(p.promoted)).lower()}, "
+             f"'confidence', CAST({float(p.confidence)!r} AS DOUBLE)))")
+        if gated and p.requires in FLAG_COLS:
+            e = f"CASE WHEN `{FLAG_COLS[p.requires]}` THEN {e} ELSE CAST(array() AS {HIT_TYPE}) END"
+        parts.append(e)
+    return "concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+
+def hits_expr(text: Column, patterns: list[InlinePattern], gated: bool = False,
+              text_col: str | None = None) -> Column:
     """All non-overlapping matches of every pattern, rank order then match order.
 
     ``gated``: the prefilter flag columns of ``with_flags`` are present.
+    ``text_col``: when the text is a plain column, the expression is built
+    from SQL text in one call.
     """
     if not patterns:
         return F.array().cast(HIT_TYPE)
+    if text_col is not None:
+        sql = hits_sql(text_col, patterns, gated)
+        if sql is not None:
+            return F.expr(sql)
 
     def one(p: InlinePattern) -> Column:
         meta = _meta(p)
@@ -106,9 +141,38 @@ def _offsets(text: Column, p: InlinePattern) -> Column:
     )
 
 
-def hits_with_offsets_expr(text: Column, patterns: list[InlinePattern], gated: bool = False) -> Column:
+def offsets_sql(text_col: str, patterns: list[InlinePattern], gated: bool) -> str | None:
+    """SQL text of ``hits_with_offsets_expr`` (same fold as ``_offsets``)."""
+    parts = []
+    t = f"`{text_col}`"
+    for p in patterns:
+        rx, label, typ, role = _raw(p.regex), _raw(p.label), _raw(p.phi_type), _raw(p.abstraction_role)
+        if None in (rx, label, typ, role):
+            return None
+        gaps = f"split({t}, {rx}, -1)"
+        pairs = (f"zip_with(regexp_extract_all({t}, {rx}, 0), slice({gaps}, 1, size({gaps}) - 1), "
+                 f"(m, g) -> named_struct('m', m, 'g', g))")
+        fold = (f"aggregate({pairs}, named_struct('pos', 0, 'out', CAST(array() AS array<struct<m:string,s:int>>)), "
+                f"(acc, x) -> named_struct('pos', acc.pos + length(x.g) + length(x.m), 'out', "
+                f"array_append(acc.out, named_struct('m', x.m, 's', acc.pos + length(x.g))))).out")
+        e = (f"transform({fold}, e -> named_struct('pattern_rank', {int(p.rank)}, 'label', {label}, 'span', e.m, "
+             f"'phi_type', {typ}, 'abstraction_role', CAST({role} AS STRING), "
+             f"'promoted', {str(bool(p.promoted)).lower()}, 'confidence', CAST({float(p.confidence)!r} AS DOUBLE), "
+             f"'start', e.s, 'end', e.s + length(e.m)))")
+        if gated and p.requires in FLAG_COLS:
+            e = f"CASE WHEN `{FLAG_COLS[p.requires]}` THEN {e} ELSE CAST(array() AS {HIT_OFFSET_TYPE}) END"
+        parts.append(e)
+    return "concat(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+
+def hits_with_offsets_expr(text: Column, patterns: list[InlinePattern], gated: bool = False,
+                           text_col: str | None = None) -> Column:
     if not patterns:
         return F.array().cast(HIT_OFFSET_TYPE)
+    if text_col is not None:
+        sql = offsets_sql(text_col, patterns, gated)
+        if sql is not None:
+            return F.expr(sql)
     parts = [_gated(p, _offsets(text, p), HIT_OFFSET_TYPE, gated) for p in patterns]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
@@ -118,7 +182,8 @@ def scan(docs: DataFrame, patterns: list[InlinePattern], text_col: str = "text",
     """Adds ``hits`` (nested) and ``cache_hits`` (AG-18, counted before dedup)."""
     text = F.col(text_col)
     flagged = with_flags(docs, text_col, patterns)
-    expr = hits_with_offsets_expr(text, patterns, True) if offsets else hits_expr(text, patterns, True)
+    expr = (hits_with_offsets_expr(text, patterns, True, text_col) if offsets
+            else hits_expr(text, patterns, True, text_col))
     res = flagged.withColumn(out, expr).withColumn("cache_hits", F.size(F.col(out)))
     return res.drop(*[c for c in FLAG_COLS.values() if c in res.columns and c not in docs.columns])
 
@@ -128,7 +193,7 @@ def hits_long(docs: DataFrame, patterns: list[InlinePattern], text_col: str = "t
     """The long ``hits`` table: one row per match with offsets (no shuffle)."""
     flagged = with_flags(docs.select(*keep, text_col) if text_col not in keep else docs.select(*keep), text_col,
                          patterns)
-    scanned = flagged.select(*keep, hits_with_offsets_expr(F.col(text_col), patterns, True).alias("h"))
+    scanned = flagged.select(*keep, hits_with_offsets_expr(F.col(text_col), patterns, True, text_col).alias("h"))
     # outer generator: a plain one makes the optimizer add size(h) > 0 below the
     # repartition, evaluating the whole scan twice
     exploded = scanned.select(*keep, F.posexplode_outer("h").alias("hit_pos", "hit")).filter("hit_pos IS NOT NULL")

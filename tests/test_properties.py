@@ -14,7 +14,7 @@ from cloakline.operators import vault as V
 from cloakline.plans import mask_job as MJ
 from cloakline.sources import corpus
 from cloakline.sources import patterns as PS
-from cloakline.sources.patterns import seed_inline
+from cloakline.sources.patterns import InlinePattern, seed_inline
 
 
 def _notes(spark):
@@ -117,3 +117,18 @@ def test_prefix_clamp_tree_scan(spark):
             x = min(hi, x)
         want[i] = x
     assert got == want
+
+
+def test_sql_built_scan_equals_column_built_scan(spark):
+    """The SQL-text construction of the scan equals the Column-API one
+    (a pattern with a quote forces the Column-API fallback)."""
+    docs = _notes(spark).select("doc_id", "text")
+    pats = seed_inline(0.75)
+    quoted = pats + [InlinePattern(len(pats) + 1, "Q", r"o'clock|\bcard\b", "X", None, False, 0.5)]
+    for offsets in (False, True):
+        a = SC.scan(docs, pats, offsets=offsets).select("doc_id", "hits")          # SQL text
+        b = docs.select("doc_id", (SC.hits_with_offsets_expr if offsets else SC.hits_expr)(
+            F.col("text"), pats).alias("hits"))                                      # Column API
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        c = SC.scan(docs, quoted, offsets=offsets)                                   # falls back
+        assert c.filter(F.exists("hits", lambda h: h["label"] == "Q")).count() > 0

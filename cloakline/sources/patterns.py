@@ -137,3 +137,36 @@ def seed_inline(min_confidence: float | None = None) -> list[InlinePattern]:
         out.append(InlinePattern(len(out) + 1, label, regex, phi_type, role, C.SEED_PROMOTED, C.SEED_CONFIDENCE,
                                  requirement(label, regex)))
     return out
+
+
+PATTERN_JSON_ENTRY = (
+    "map<string,struct<regex:string,phi_type:string,abstraction_role:string,hits:bigint,misses:bigint,"
+    "confidence:double,promoted:boolean,last_updated:string>>"
+)
+
+
+def load_pattern_json(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-3 from the label -> entry JSON object layout.
+
+    The file is one JSON object (a pattern table, bounded by its capacity
+    rule) read as whole text; entries keep the object's order, which becomes
+    ``pattern_seq`` (the insertion order SO-1 breaks ties with).  A missing
+    file gives an empty table.
+    """
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return spark.createDataFrame([], PATTERNS)
+        raise
+    m = raw.select(F.from_json("value", PATTERN_JSON_ENTRY).alias("m"))
+    e = m.select(F.posexplode_outer("m").alias("pos", "label", "v")).filter(F.col("pos").isNotNull())
+    return e.select(
+        "label", F.col("pos").cast("int").alias("pattern_seq"), F.col("v.regex").alias("regex"),
+        F.col("v.phi_type").alias("phi_type"), F.col("v.abstraction_role").alias("abstraction_role"),
+        F.coalesce("v.hits", F.lit(0)).cast("long").alias("hits"),
+        F.coalesce("v.misses", F.lit(0)).cast("long").alias("misses"),
+        F.coalesce("v.confidence", F.lit(C.NEW_PATTERN_CONFIDENCE)).alias("confidence"),
+        F.coalesce("v.promoted", F.lit(False)).alias("promoted"),
+        F.to_date("v.last_updated").alias("last_updated"),
+    )

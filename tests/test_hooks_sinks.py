@@ -119,3 +119,23 @@ def test_scale_conf_sizes_shuffles(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+
+
+def test_pattern_json_layout(spark):
+    import json
+    from cloakline.sources import patterns as PS
+    d = tempfile.mkdtemp(prefix="cloakline-pj-")
+    doc = {
+        "SSN_test": {"regex": r"\b\d{3}-\d{2}-\d{4}\b", "phi_type": "SSN", "abstraction_role": None,
+                     "hits": 3, "misses": 1, "confidence": 0.75, "promoted": False, "last_updated": "2026-04-02"},
+        "AGE_x": {"regex": r"\b\d{2} years\b", "phi_type": "AGE", "abstraction_role": "an adult",
+                  "hits": 48, "misses": 2, "confidence": 0.96, "promoted": True, "last_updated": "2026-04-03"},
+    }
+    with open(d + "/pattern_memory.json", "w") as f:
+        json.dump(doc, f, indent=2)
+    t = PS.load_pattern_json(spark, d + "/pattern_memory.json").orderBy("pattern_seq").collect()
+    assert [(r.label, r.pattern_seq, r.hits, r.promoted) for r in t] == [("SSN_test", 0, 3, False), ("AGE_x", 1, 48, True)]
+    assert str(t[1].last_updated) == "2026-04-03" and t[1].abstraction_role == "an adult"
+    assert [p.label for p in PS.inline_patterns(PS.load_pattern_json(spark, d + "/pattern_memory.json"))] == \
+        ["AGE_x", "SSN_test"]
+    assert PS.load_pattern_json(spark, d + "/missing.json").count() == 0

@@ -37,3 +37,26 @@ def load_params(spark: SparkSession, root: str | None) -> DataFrame:
         (F.coalesce("min_confidence", F.lit(C.MIN_CONFIDENCE_DEFAULT)) if "min_confidence" in cols
          else F.lit(C.MIN_CONFIDENCE_DEFAULT)).alias("min_confidence"),
     )
+
+
+PARAMS_JSON = ("struct<agent1:struct<sensitivity:double,phi_types_focus:array<string>>,"
+               "agent2:struct<min_confidence_to_apply:double>>")
+
+
+def load_params_json(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-4 from the nested JSON object layout (detector and masker
+    sections); defaults when the file is missing or unreadable and for
+    missing fields."""
+    try:
+        raw = spark.read.text(path, wholetext=True)
+        if raw.isEmpty():
+            return defaults(spark)
+    except Exception:
+        return defaults(spark)
+    p = raw.select(F.from_json("value", PARAMS_JSON).alias("p"))
+    return p.select(
+        F.lit(0).cast("long").alias("version"),
+        F.coalesce(F.col("p.agent1.sensitivity"), F.lit(C.SENSITIVITY_DEFAULT)).alias("sensitivity"),
+        F.coalesce(F.col("p.agent1.phi_types_focus"), F.array().cast("array<string>")).alias("phi_types_focus"),
+        F.coalesce(F.col("p.agent2.min_confidence_to_apply"), F.lit(C.MIN_CONFIDENCE_DEFAULT)).alias("min_confidence"),
+    )

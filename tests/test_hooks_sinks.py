@@ -139,3 +139,17 @@ def test_pattern_json_layout(spark):
     assert [p.label for p in PS.inline_patterns(PS.load_pattern_json(spark, d + "/pattern_memory.json"))] == \
         ["AGE_x", "SSN_test"]
     assert PS.load_pattern_json(spark, d + "/missing.json").count() == 0
+
+
+def test_params_json_layout(spark):
+    d = tempfile.mkdtemp(prefix="cloakline-pjs-")
+    with open(d + "/p.json", "w") as f:
+        f.write('{"agent1": {"sensitivity": 0.8, "phi_types_focus": ["PERSON"]}, '
+                '"agent2": {"min_confidence_to_apply": 0.77, "promote_threshold": 20}}')
+    with open(d + "/bad.json", "w") as f:
+        f.write("{not json")
+    r = params.load_params_json(spark, d + "/p.json").collect()[0]
+    assert (r.sensitivity, r.phi_types_focus, r.min_confidence) == (0.8, ["PERSON"], 0.77)
+    for name in ("bad.json", "missing.json"):
+        r = params.load_params_json(spark, d + "/" + name).collect()[0]
+        assert (r.sensitivity, r.min_confidence) == (0.7, 0.75)

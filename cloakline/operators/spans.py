@@ -92,16 +92,16 @@ def hits_as_spans(hits) -> Column:
     )
 
 
-def first_wins(spans, elem_type: str = SPAN_TYPE) -> Column:
-    """WN-6: keep the first span of each text (array order decides).
+def first_wins(spans, elem_type: str = SPAN_TYPE, key: str = "span") -> Column:
+    """WN-6: keep the first element of each ``key`` value (array order decides).
 
-    The text list rides in the fold accumulator so it is built once per row.
+    The key list rides in the fold accumulator so it is built once per row.
     """
-    init = F.struct(F.transform(spans, lambda s: s["span"]).alias("texts"),
+    init = F.struct(F.transform(spans, lambda s: s[key]).alias("texts"),
                     F.array().cast(f"array<{elem_type}>").alias("out"), F.lit(1).cast("long").alias("i"))
 
     def step(acc, s):
-        keep = F.array_position(acc["texts"], s["span"]) == acc["i"]
+        keep = F.array_position(acc["texts"], s[key]) == acc["i"]
         return F.struct(acc["texts"].alias("texts"),
                         F.when(keep, F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"),
                         (acc["i"] + 1).alias("i"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakline.functions.text import TOKEN_REGEX, token_text
+from cloakline.operators.spans import first_wins
 
 
 def encrypt_spans(items: DataFrame, key: Column, key_id: str) -> DataFrame:
@@ -43,9 +44,13 @@ def restore(masked: DataFrame, vault: DataFrame, key: Column, masked_col: str =
     dec = decrypt(vault.join(wanted, "doc_id", "left_semi"), key)
     # collect_list skips the nulls of rejected rows; a filter on the
     # plaintext would be pushed below and decrypt every row twice
+    # a vault written twice (a retried append) may repeat a token: the
+    # first usable record per token wins, so map keys stay unique
+    entries = F.array_sort(F.collect_list(F.when(F.col("plaintext").isNotNull(),
+                                                 F.struct("token_id", "plaintext"))))
     per_doc = dec.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("plaintext").isNotNull(),
-                                                 F.struct("token_id", "plaintext")))).alias("_plain")
+        F.map_from_entries(first_wins(entries, "struct<token_id:string,plaintext:string>", "token_id"))
+        .alias("_plain")
     )
     j = masked.join(per_doc, "doc_id", "left")
     ids = F.array_distinct(F.regexp_extract_all(F.col(masked_col), F.lit(TOKEN_REGEX), 1))

@@ -37,8 +37,11 @@ def attach_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Abstraction phrases per (doc_id, span) as a per-document map (SC-14 cap applied)."""
     from cloakline.functions.text import cap_words
 
+    # one phrase per (doc, span): repeated rows keep the smallest phrase
+    # (deterministic), so map keys stay unique
+    entries = F.array_sort(F.collect_list(F.struct(F.col("span"), cap_words(F.col("phrase")).alias("phrase"))))
     per_doc = phrases.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("span"), cap_words(F.col("phrase"))))).alias("phrase_map")
+        F.map_from_entries(SP.first_wins(entries, "struct<span:string,phrase:string>", "span")).alias("phrase_map")
     )
     return docs.join(per_doc, "doc_id", "left")
 

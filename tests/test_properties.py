@@ -132,3 +132,17 @@ def test_sql_built_scan_equals_column_built_scan(spark):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
         c = SC.scan(docs, quoted, offsets=offsets)                                   # falls back
         assert c.filter(F.exists("hits", lambda h: h["label"] == "Q")).count() > 0
+
+
+def test_restore_and_phrases_tolerate_duplicates(spark, secret):
+    keys = M.demo_keys(spark)
+    key = M.key_column(keys, "demo")
+    docs = samples(spark, [(1, "SSN 123-45-6789 and Ann", [])])
+    m = MJ.mask_corpus(docs, seed_inline(0.75), F.hex(key))
+    vault = MJ.vault_rows(m, key, "demo")
+    twice = vault.unionByName(vault)  # a retried append
+    r = V.restore(m.select("doc_id", "masked"), twice, key).collect()[0]
+    assert r.restored == "SSN 123-45-6789 and Ann"
+    ph = spark.createDataFrame([(1, "Ann", "a person"), (1, "Ann", "the patient")], "doc_id long, span string, phrase string")
+    d = MJ.attach_phrases(docs, ph)
+    assert d.collect()[0].phrase_map == {"Ann": "a person"}

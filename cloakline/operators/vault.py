@@ -71,3 +71,13 @@ def import_vault(current: DataFrame, incoming: DataFrame) -> DataFrame:
     both = current.withColumn("_src", F.lit(0)).unionByName(incoming.withColumn("_src", F.lit(1)))
     w = Window.partitionBy("doc_id", "token_id").orderBy(F.col("_src").desc())
     return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_src")
+
+
+def to_text_form(vault: DataFrame) -> DataFrame:
+    """SC-17: ciphertexts as base64 text (for JSON exports); ``from_text_form``
+    reverses it."""
+    return vault.withColumn("ciphertext", F.base64("ciphertext"))
+
+
+def from_text_form(vault: DataFrame) -> DataFrame:
+    return vault.withColumn("ciphertext", F.unbase64("ciphertext"))

@@ -316,7 +316,7 @@ def detection_by_system(spark, sf_dir):
 def latency_stats(spark, sf_dir):
     """AG-6/7 over measured latencies (``events.value``) per event type."""
     ev = read_table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     e = ev.select("event_type", F.col("value").alias("latency_ms"), (k % 3).alias("cache_hits"),
                   (k % 2).alias("cache_misses"))
     return _r(MT.latency_stats(e, "latency_ms", ("event_type",)))
@@ -360,7 +360,7 @@ def _event_validations(spark, sf_dir) -> DataFrame:
         (~pur).alias("is_accurate"),
         F.when(pur, F.array(uid)).otherwise(F.array().cast("array<string>")).alias("over_encrypted"),
         (F.col("value") < 200).alias("is_fluent"),
-        (F.get_json_object("props", "$.k").cast("int") % 3).alias("cache_hits"),
+        (F.get_json_object("props", "$.k").try_cast("int") % 3).alias("cache_hits"),
     )
 
 

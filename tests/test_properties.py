@@ -146,3 +146,14 @@ def test_restore_and_phrases_tolerate_duplicates(spark, secret):
     ph = spark.createDataFrame([(1, "Ann", "a person"), (1, "Ann", "the patient")], "doc_id long, span string, phrase string")
     d = MJ.attach_phrases(docs, ph)
     assert d.collect()[0].phrase_map == {"Ann": "a person"}
+
+
+def test_vault_text_form_round_trip(spark):
+    keys = M.demo_keys(spark)
+    key = M.key_column(keys, "demo")
+    docs = samples(spark, [(1, "SSN 123-45-6789", [])])
+    m = MJ.mask_corpus(docs, seed_inline(0.75), F.hex(key))
+    vault = MJ.vault_rows(m, key, "demo")
+    back = V.from_text_form(V.to_text_form(vault))
+    assert dict(V.to_text_form(vault).dtypes)["ciphertext"] == "string"
+    assert V.restore(m.select("doc_id", "masked"), back, key).collect()[0].restored == "SSN 123-45-6789"

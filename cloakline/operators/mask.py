@@ -100,6 +100,40 @@ def fold_at_offsets(text: Column, items: Column) -> Column:
     )
 
 
+def _enc_types_sql() -> str:
+    return ", ".join("'" + t + "'" for t in C.ENCRYPT_TYPES)
+
+
+def items_sql(spans_col: str, text_col: str, doc_col: str, secret_col: str, phrases_col: str | None) -> str:
+    """SQL text of SO-2 ordering + PRJ-1 routing + JN-3 replacements
+    (same semantics as ``order_for_mask`` + ``with_replacements``)."""
+    t = f"`{text_col}`"
+    ordered = (f"array_sort(filter(transform(`{spans_col}`, (s, i) -> named_struct('k', -(instr({t}, s.span) - 1), "
+               f"'i', i, 'idx', instr({t}, s.span) - 1, 's', s)), x -> x.idx >= 0))")
+    enc = f"upper(x.s.phi_type) IN ({_enc_types_sql()})"
+    tid = (f"substring(sha2(concat_ws('|', `{secret_col}`, CAST(`{doc_col}` AS STRING), CAST(x.idx AS STRING), "
+           f"x.s.span), 256), 1, 16)")
+    phrase = f"try_element_at(`{phrases_col}`, x.s.span)" if phrases_col else "CAST(NULL AS STRING)"
+    return (f"transform({ordered}, x -> named_struct('idx', x.idx, 'label', x.s.label, 'span', x.s.span, "
+            f"'phi_type', x.s.phi_type, 'action', CASE WHEN {enc} THEN 'encrypt' ELSE 'abstract' END, "
+            f"'token_id', CASE WHEN {enc} THEN {tid} END, "
+            f"'replacement', CASE WHEN {enc} THEN concat('{C.ENCRYPT_MARKER}', {tid}, '{C.ENCRYPT_END}') "
+            f"ELSE coalesce(nullif(x.s.abstraction_role, ''), {phrase}, '{C.REDACTED}') END, "
+            f"'source', x.s.source))")
+
+
+def fold_sql(text_col: str, items_col: str, all_occurrences: bool = False) -> str:
+    """SQL text of ``fold_first`` over named columns."""
+    new_text = ("replace(acc.text, x.span, x.replacement)" if all_occurrences else
+                "overlay(acc.text PLACING x.replacement FROM instr(acc.text, x.span) FOR length(x.span))")
+    rec = ("named_struct('label', x.label, 'span', x.span, 'phi_type', x.phi_type, 'action', x.action, "
+           "'replacement', x.replacement, 'source', x.source)")
+    return (f"aggregate(`{items_col}`, named_struct('text', `{text_col}`, 'applied', CAST(array() AS {APPLIED_TYPE})), "
+            f"(acc, x) -> named_struct('text', CASE WHEN instr(acc.text, x.span) > 0 THEN {new_text} ELSE acc.text END, "
+            f"'applied', CASE WHEN instr(acc.text, x.span) > 0 THEN array_append(acc.applied, {rec}) "
+            f"ELSE acc.applied END))")
+
+
 def routed_mask(df: DataFrame, spans_col: str, secret: Column, phrases_col: str | None = None,
                 all_occurrences: bool = False, text_col: str = "text") -> DataFrame:
     """MK-1: order (SO-2), route (PRJ-1), look up replacements (JN-3), fold.
@@ -107,16 +141,13 @@ def routed_mask(df: DataFrame, spans_col: str, secret: Column, phrases_col: str
     Adds ``mask_items`` (every positioned span with its token/replacement,
     used for the vault), ``masked`` and ``spans`` (the applied ones).
     """
-    text = F.col(text_col)
+    # built from SQL text over named columns: one parse on the JVM instead
+    # of hundreds of Python-to-JVM calls for the lambda trees
     df = df.withColumn("_secret", secret)  # subqueries cannot sit inside lambdas
-    ordered = order_for_mask(F.col(spans_col), text)
-    phrases = F.col(phrases_col) if phrases_col else None
-    items = with_replacements(ordered, F.col("doc_id"), F.col("_secret"), phrases)
-    out = df.withColumn("mask_items", items).drop("_secret")
-    folded = fold_first(text, F.col("mask_items"), all_occurrences)
-    return out.withColumn("_fold", folded).select(
-        "*", F.col("_fold.text").alias("masked"), F.col("_fold.applied").alias("spans")
-    ).drop("_fold")
+    out = df.withColumn("mask_items", F.expr(items_sql(spans_col, text_col, "doc_id", "_secret", phrases_col)))
+    out = out.withColumn("_fold", F.expr(fold_sql(text_col, "mask_items", all_occurrences)))
+    return out.select("*", F.col("_fold.text").alias("masked"), F.col("_fold.applied").alias("spans")) \
+        .drop("_fold", "_secret")
 
 
 def mask_counts(spans: str = "spans") -> list[Column]:

@@ -109,6 +109,24 @@ def first_wins(spans, elem_type: str = SPAN_TYPE, key: str = "span") -> Column:
     return F.aggregate(spans, init, step, lambda acc: acc["out"])
 
 
+def first_wins_sql(arr_sql: str, elem_type: str = SPAN_TYPE, key: str = "span") -> str:
+    """SQL text of ``first_wins`` (``arr_sql`` is evaluated twice: keep it cheap)."""
+    return (f"aggregate({arr_sql}, named_struct('texts', transform({arr_sql}, s -> s.{key}), "
+            f"'out', CAST(array() AS array<{elem_type}>), 'i', CAST(1 AS BIGINT)), "
+            f"(acc, s) -> named_struct('texts', acc.texts, 'out', CASE WHEN array_position(acc.texts, s.{key}) = acc.i "
+            f"THEN array_append(acc.out, s) ELSE acc.out END, 'i', acc.i + 1), acc -> acc.out)")
+
+
+def merge_sql(hits_col: str, det_col: str | None = None) -> str:
+    """SQL text of ``merge`` over named columns."""
+    h = (f"transform(`{hits_col}`, h -> named_struct('source', 0, 'label', h.label, 'span', h.span, "
+         f"'phi_type', h.phi_type, 'abstraction_role', h.abstraction_role, 'confidence', h.confidence, "
+         f"'promoted', h.promoted, 'has_pattern', false))")
+    if det_col is None:
+        return first_wins_sql(h)
+    return first_wins_sql(f"concat({h}, coalesce(`{det_col}`, CAST(array() AS array<{SPAN_TYPE}>)))")
+
+
 def merge(hits, detections=None) -> Column:
     """ST-1: cache hits before detector spans, first wins by text."""
     h = hits_as_spans(hits)

@@ -197,20 +197,21 @@ def systems_wide(samples: DataFrame, secret: Column, names: tuple[str, ...],
     def pred_of(applied):
         return F.transform(applied, lambda a: F.struct(a["span"].alias("span"), a["phi_type"].alias("phi_type")))
 
-    def pipeline(hits):
-        items = M.with_replacements(M.order_for_mask(SP.merge(hits), text), doc, sec, None)
-        return M.fold_first(text, items)
+    def pipeline(df, name):
+        # merge -> order/route/replace -> fold, each a named column built from SQL text
+        df = df.withColumn(f"_{name}_merged", F.expr(SP.merge_sql(f"_{name}_hits")))
+        df = df.withColumn(f"_{name}_items", F.expr(M.items_sql(f"_{name}_merged", "text", "doc_id", "_secret", None)))
+        return df.withColumn(f"_{name}_fold", F.expr(M.fold_sql("text", f"_{name}_items")))
 
     cols = {}
     if "cold" in names:
-        cold_hits = F.filter("_hoff", lambda h: h["confidence"] >= F.lit(float(min_confidence)))
-        s = s.withColumn("_cold_hits", cold_hits)
-        f = pipeline(F.col("_cold_hits"))
-        cols["cold"] = (f["text"], pred_of(f["applied"]), F.size("_cold_hits"))
+        s = s.withColumn("_cold_hits", F.filter("_hoff", lambda h: h["confidence"] >= F.lit(float(min_confidence))))
+        s = pipeline(s, "cold")
+        cols["cold"] = (F.col("_cold_fold.text"), pred_of(F.col("_cold_fold.applied")), F.size("_cold_hits"))
     if "warm" in names and warm_patterns is not None:
-        s = s.withColumn("_warm_hits", SC.hits_expr(text, warm_patterns))
-        f = pipeline(F.col("_warm_hits"))
-        cols["warm"] = (f["text"], pred_of(f["applied"]), F.size("_warm_hits"))
+        s = s.withColumn("_warm_hits", SC.hits_expr(text, warm_patterns, False, "text"))
+        s = pipeline(s, "warm")
+        cols["warm"] = (F.col("_warm_fold.text"), pred_of(F.col("_warm_fold.applied")), F.size("_warm_hits"))
     if "regex" in names:
         pred = F.transform("_hoff", lambda h: F.struct(h["span"].alias("span"), h["phi_type"].alias("phi_type")))
         cols["regex"] = (M.regex_baseline(text, F.col("_hoff"), doc, sec), pred, F.lit(0))

@@ -56,8 +56,7 @@ def mask_corpus(
 ) -> DataFrame:
     """Masked table: doc_id, masked, spans, mask_items, counters."""
     scanned = SC.scan(docs, patterns)
-    det = F.col("detections") if with_detections else None
-    merged = scanned.withColumn("merged", SP.merge(F.col("hits"), det))
+    merged = scanned.withColumn("merged", F.expr(SP.merge_sql("hits", "detections" if with_detections else None)))
     if with_detections:
         merged = merged.withColumn("cache_misses", SP.cache_misses(F.col("hits"), F.col("detections")))
     else:

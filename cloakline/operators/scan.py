@@ -40,6 +40,10 @@ def _order(fields: list[Column], span: Column, extra: list[Column] | None = None
     return F.struct(fields[0], fields[1], span.alias("span"), *fields[2:], *(extra or []))
 
 
+# Patterns per projection when a list is long (keeps each expression and its
+# generated code of a manageable size; order across chunks is kept).
+CHUNK = 1000
+
 # Prefilter flags, computed once per row in their own projection.  A
 # pattern whose required character is absent cannot match, so its regex
 # is skipped (exact: the skipped call would return an empty array).
@@ -182,9 +186,17 @@ def scan(docs: DataFrame, patterns: list[InlinePattern], text_col: str = "text",
     """Adds ``hits`` (nested) and ``cache_hits`` (AG-18, counted before dedup)."""
     text = F.col(text_col)
     flagged = with_flags(docs, text_col, patterns)
-    expr = (hits_with_offsets_expr(text, patterns, True, text_col) if offsets
-            else hits_expr(text, patterns, True, text_col))
-    res = flagged.withColumn(out, expr).withColumn("cache_hits", F.size(F.col(out)))
+    build = hits_with_offsets_expr if offsets else hits_expr
+    chunks = [patterns[i:i + CHUNK] for i in range(0, len(patterns), CHUNK)] or [[]]
+    if len(chunks) == 1:
+        res = flagged.withColumn(out, build(text, patterns, True, text_col))
+    else:
+        # long pattern lists: one column per chunk (rank order kept), then concat
+        names = [f"_{out}_{i}" for i in range(len(chunks))]
+        for n, ch in zip(names, chunks):
+            flagged = flagged.withColumn(n, build(text, ch, True, text_col))
+        res = flagged.withColumn(out, F.concat(*[F.col(n) for n in names])).drop(*names)
+    res = res.withColumn("cache_hits", F.size(F.col(out)))
     return res.drop(*[c for c in FLAG_COLS.values() if c in res.columns and c not in docs.columns])
 
 

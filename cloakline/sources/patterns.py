@@ -2,8 +2,8 @@
 
 The pattern table is small by construction: the capacity rule (SO-3) keeps
 at most ``MAX_MEMORY_ENTRIES`` unpromoted rows.  Scans inline the patterns
-as literal regex expressions, so the table is read once on the driver behind
-an explicit size check (``MAX_INLINE_PATTERNS``) instead of being joined.
+as literal regex expressions (chunked for long lists), so the table is read
+once on the driver instead of being joined.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from cloakline import constants as C
 from cloakline.schemas import PATTERNS
 
-# Driver-side bound on the number of patterns turned into literal expressions.
-MAX_INLINE_PATTERNS = 5000
 
 
 @dataclass(frozen=True)
@@ -115,11 +113,9 @@ def inline_patterns(patterns: DataFrame, min_confidence: float | None = None,
     if min_confidence is not None:
         df = df.filter(F.col("confidence") >= F.lit(float(min_confidence)))
     df = df.select("label", "regex", "phi_type", "abstraction_role", "promoted", "confidence", "pattern_seq")
-    rows = df.limit(MAX_INLINE_PATTERNS + 1).collect()
-    if len(rows) > MAX_INLINE_PATTERNS:
-        raise ValueError(
-            f"pattern table has more than {MAX_INLINE_PATTERNS} rows; apply the capacity rule first"
-        )
+    # the pattern table is config-sized (SO-3 keeps <= 200 unpromoted rows);
+    # any size is handled exactly: the scan splits long lists into chunks
+    rows = df.collect()
     rows.sort(key=lambda r: (not r["promoted"], -r["confidence"], r["pattern_seq"]))
     return [
         InlinePattern(i + 1, r["label"], r["regex"], r["phi_type"], r["abstraction_role"],

@@ -157,3 +157,12 @@ def test_vault_text_form_round_trip(spark):
     back = V.from_text_form(V.to_text_form(vault))
     assert dict(V.to_text_form(vault).dtypes)["ciphertext"] == "string"
     assert V.restore(m.select("doc_id", "masked"), back, key).collect()[0].restored == "SSN 123-45-6789"
+
+
+def test_chunked_scan_equals_single_projection(spark, monkeypatch):
+    docs = _notes(spark).select("doc_id", "text")
+    pats = seed_inline(0.75)
+    one = SC.scan(docs, pats, offsets=True).select("doc_id", "hits")
+    monkeypatch.setattr(SC, "CHUNK", 4)
+    many = SC.scan(docs, pats, offsets=True).select("doc_id", "hits")
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0

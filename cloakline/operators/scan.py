@@ -203,10 +203,9 @@ def scan(docs: DataFrame, patterns: list[InlinePattern], text_col: str = "text",
 def hits_long(docs: DataFrame, patterns: list[InlinePattern], text_col: str = "text",
               keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The long ``hits`` table: one row per match with offsets (no shuffle)."""
-    flagged = with_flags(docs.select(*keep, text_col) if text_col not in keep else docs.select(*keep), text_col,
-                         patterns)
-    scanned = flagged.select(*keep, hits_with_offsets_expr(F.col(text_col), patterns, True, text_col).alias("h"))
+    cols = list(keep) + ([text_col] if text_col not in keep else [])
+    scanned = scan(docs.select(*cols), patterns, text_col, offsets=True, out="_h")
     # outer generator: a plain one makes the optimizer add size(h) > 0 below the
     # repartition, evaluating the whole scan twice
-    exploded = scanned.select(*keep, F.posexplode_outer("h").alias("hit_pos", "hit")).filter("hit_pos IS NOT NULL")
+    exploded = scanned.select(*keep, F.posexplode_outer("_h").alias("hit_pos", "hit")).filter("hit_pos IS NOT NULL")
     return exploded.select(*keep, "hit_pos", "hit.*")

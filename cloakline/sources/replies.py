@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from cloakline.sources.corpus import note_parts
 
-Q = '"'
-
-
 def _lit(s: str) -> Column:
     return F.lit(s)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cloakline import constants as C
 from cloakline.functions.text import learned_label
-from cloakline.operators.running import running_sums
+from cloakline.operators.running import ordinal, running_sums
 
 
 def feedback_from_spans(spans: DataFrame, leaked: str = "leaked_spans", over: str = "over_encrypted") -> DataFrame:
@@ -80,45 +80,32 @@ def prune(patterns: DataFrame) -> DataFrame:
                              & ((F.col("hits") + F.col("misses")) > C.PRUNE_MIN_OBSERVATIONS)))
 
 
-# Tables up to this many rows are ranked in one window partition (a proven
-# bound); larger ones by a distributed sort and a blocked running count.
-CAP_WINDOW_MAX_ROWS = 1_000_000
-
-
 def cap(patterns: DataFrame, limit: int = C.MAX_MEMORY_ENTRIES) -> DataFrame:
     """SO-3: over ``limit`` rows, drop the lowest-confidence unpromoted rows
     (ties in insertion order); promoted rows are never dropped.
 
-    The incoming table (the next pattern version) is checkpointed first into
-    the shared ``spark.checkpoint.dir``: the row count and the ranking then
-    read it once instead of recomputing the feedback pipeline, and the
-    lineage of a long-running loop is cut.
+    The incoming table (the next pattern version) is checkpointed into the
+    shared ``spark.checkpoint.dir`` and counted once; the unpromoted rows are
+    ranked by ``running.ordinal`` (one window up to a proven bound, a
+    distributed rank beyond it).
     """
     from cloakline.session import cut_lineage
 
     patterns = cut_lineage(patterns)
-    total = patterns.count()
-    excess = total - limit
+    excess = patterns.count() - limit
     if excess <= 0:
         return patterns
-    unp = patterns.filter(~F.col("promoted"))
-    if total <= CAP_WINDOW_MAX_ROWS:
-        w = Window.orderBy(F.col("confidence").asc(), F.col("pattern_seq").asc())
-        kept = unp.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") > excess)
-    else:
-        ordered = unp.orderBy("confidence", "pattern_seq") \
-            .withColumn("_id", F.monotonically_increasing_id()).withColumn("_one", F.lit(1).cast("long"))
-        kept = running_sums(ordered, [], "_id", ["_one"]).filter(F.col("run__one") > excess)
-    return patterns.filter(F.col("promoted")).unionByName(kept.select(*patterns.columns))
+    ranked_unp = ordinal(patterns.filter(~F.col("promoted")), ["confidence", "pattern_seq"], "_rank")
+    kept = ranked_unp.filter(F.col("_rank") > excess).select(*patterns.columns)
+    return patterns.filter(F.col("promoted")).unionByName(kept)
 
 
 def insert_if_absent(patterns: DataFrame, new: DataFrame) -> DataFrame:
     """ST-4: rows of ``new`` whose label is absent are appended after the
     existing ones, keeping their own order (``pattern_seq``)."""
     base = patterns.select(F.coalesce(F.max("pattern_seq"), F.lit(-1))).scalar()
-    fresh = new.join(patterns.select("label"), "label", "left_anti")
-    w = Window.orderBy("pattern_seq", "label")
-    fresh = fresh.withColumn("pattern_seq", (base + F.row_number().over(w)).cast("int"))
+    fresh = ordinal(new.join(patterns.select("label"), "label", "left_anti"), ["pattern_seq", "label"])
+    fresh = fresh.withColumn("pattern_seq", (base + F.col("_ordinal")).cast("int"))
     return patterns.unionByName(fresh.select(*patterns.columns))
 
 
@@ -171,9 +158,9 @@ def learn_patterns(learnable: DataFrame, min_support: int = 2) -> DataFrame:
     g = g.withColumn("label", learned_label(F.col("phi_type"), F.col("first_span")))
     w = Window.partitionBy("label").orderBy("first_at")
     g = g.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-    order = Window.orderBy("first_at")
+    g = ordinal(g.drop("_rn"), ["first_at"])
     return g.select(
-        "label", (F.row_number().over(order) - 1).cast("int").alias("pattern_seq"), "regex", "phi_type",
+        "label", (F.col("_ordinal") - 1).cast("int").alias("pattern_seq"), "regex", "phi_type",
         F.lit(None).cast("string").alias("abstraction_role"), F.lit(0).cast("long").alias("hits"),
         F.lit(0).cast("long").alias("misses"), F.lit(C.NEW_PATTERN_CONFIDENCE).alias("confidence"),
         F.lit(False).alias("promoted"), F.current_date().alias("last_updated"), "support",

@@ -107,3 +107,25 @@ def prefix_clamp(df: DataFrame, order: str, stepcol: str, fanout: int = 256) ->
             .select("id", compose(F.col("parent_ex"), F.col("local_ex")).alias("ex"))
     out = df.join(excl.withColumnRenamed("id", order), order)
     return out.withColumn("prefix", compose(F.col("ex"), F.col(stepcol))).drop("ex")
+
+
+# Up to this many rows an ordinal comes from one window partition (a proven
+# bound); larger inputs use a distributed sort and a blocked running count.
+ORDINAL_WINDOW_MAX_ROWS = 1_000_000
+
+
+def ordinal(df: DataFrame, order_cols: list[str], name: str = "_ordinal") -> DataFrame:
+    """1-based position of each row in ``order_cols`` order (a total order).
+
+    The input is checkpointed first (it is counted, then ranked), into the
+    shared ``spark.checkpoint.dir``.
+    """
+    from cloakline.session import cut_lineage
+
+    df = cut_lineage(df)
+    if df.count() <= ORDINAL_WINDOW_MAX_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
+    ordered = df.orderBy(*order_cols).withColumn("_oid", F.monotonically_increasing_id()) \
+        .withColumn("_one", F.lit(1).cast("long"))
+    out = running_sums(ordered, [], "_oid", ["_one"])
+    return out.withColumnRenamed("run__one", name).drop("_oid", "_one")

@@ -142,6 +142,7 @@ def test_cap_distributed_path_agrees(spark, monkeypatch):
             for i in range(60)]
     t = spark.createDataFrame(rows, S.PATTERNS)
     small = {r.label for r in MEM.cap(t, limit=25).collect()}
-    monkeypatch.setattr(MEM, "CAP_WINDOW_MAX_ROWS", 0)
+    from cloakline.operators import running as RUN2
+    monkeypatch.setattr(RUN2, "ORDINAL_WINDOW_MAX_ROWS", 0)
     big = {r.label for r in MEM.cap(t, limit=25).collect()}
     assert small == big and len(small) == 25

@@ -210,3 +210,60 @@ def recovered_tokens(gt_sets, guess_sets) -> Column:
         acc["g"].alias("g"),
         (acc["n"] + F.when(F.exists(acc["g"], lambda q: F.coalesce(F.arrays_overlap(q, t), F.lit(False))), 1)
          .otherwise(0)).alias("n")), lambda acc: acc["n"])
+
+
+# ------------------------------------------------------------- SQL-text builders
+# Same semantics as the Column builders above, written as Spark SQL over
+# named columns so that a query's expression tree is parsed on the JVM in
+# one call (the Column builders cost hundreds of Python-to-JVM calls).
+def _ws() -> str:
+    from cloakline.functions.text import WHITESPACE_RUN
+    return "r'" + WHITESPACE_RUN + "'"
+
+
+def tokens_sql(x: str) -> str:
+    return f"filter(split(lower({x}), {_ws()}, -1), t -> t != '')"
+
+
+def with_tokens_sql(arr: str) -> str:
+    return f"transform({arr}, x -> named_struct('t', x, 'k', array_distinct({tokens_sql('x')})))"
+
+
+def overlap_tp_sql(g: str, p: str) -> str:
+    free = (f"filter(transform({p}, (x, j) -> named_struct('j', j, 'x', x)), e -> NOT array_contains(used, e.j) "
+            f"AND (coalesce(arrays_overlap(e.x.k, gt.k), false) OR contains(gt.t, e.x.t) OR contains(e.x.t, gt.t)))")
+    fold = (f"aggregate({g}, CAST(array() AS array<int>), (used, gt) -> CASE WHEN size({free}) > 0 "
+            f"THEN array_append(used, {free}[0].j) ELSE used END)")
+    return f"size(CASE WHEN size({p}) = 0 THEN CAST(array() AS array<int>) ELSE {fold} END)"
+
+
+def overlap_record_sql(g: str, p: str, tp0: str) -> str:
+    ng, np_ = f"size({g})", f"size({p})"
+    both = f"({ng} = 0 AND {np_} = 0)"
+    tp = f"(CASE WHEN {both} OR {np_} = 0 OR {ng} = 0 THEN 0 ELSE {tp0} END)"
+    fp = f"(CASE WHEN {both} THEN 0 WHEN {np_} = 0 THEN 0 WHEN {ng} = 0 THEN {np_} ELSE {np_} - {tp0} END)"
+    fn = f"(CASE WHEN {both} THEN 0 WHEN {np_} = 0 THEN {ng} WHEN {ng} = 0 THEN 0 ELSE {ng} - {tp0} END)"
+    p0 = f"(CASE WHEN {tp} + {fp} > 0 THEN CAST({tp} AS DOUBLE) / ({tp} + {fp}) ELSE 0.0D END)"
+    r0 = f"(CASE WHEN {tp} + {fn} > 0 THEN CAST({tp} AS DOUBLE) / ({tp} + {fn}) ELSE 0.0D END)"
+    f0 = f"(CASE WHEN {p0} + {r0} > 0 THEN 2 * {p0} * {r0} / ({p0} + {r0}) ELSE 0.0D END)"
+    prec = f"CASE WHEN {both} THEN 1.0D WHEN {np_} = 0 THEN 0.0D WHEN {ng} = 0 THEN 0.0D ELSE {p0} END"
+    rec = f"CASE WHEN {both} THEN 1.0D WHEN {np_} = 0 THEN 0.0D WHEN {ng} = 0 THEN 1.0D ELSE {r0} END"
+    f1 = f"CASE WHEN {both} THEN 1.0D WHEN {np_} = 0 THEN 0.0D WHEN {ng} = 0 THEN 0.0D ELSE {f0} END"
+    return (f"named_struct('tp', {tp}, 'fp', {fp}, 'fn', {fn}, 'precision', {prec}, 'recall', {rec}, "
+            f"'f1', {f1})")
+
+
+def quasi_sql(ot: str, ms: str) -> str:
+    n_out = (f"aggregate({ot}, named_struct('e', array_except({ot}, {ms}), 'n', 0), "
+             f"(acc, x) -> named_struct('e', acc.e, 'n', acc.n + CASE WHEN array_contains(acc.e, x) THEN 1 ELSE 0 END), "
+             f"acc -> acc.n)")
+    return f"CASE WHEN size({ot}) = 0 THEN 0.0D ELSE CAST(size({ot}) - {n_out} AS DOUBLE) / size({ot}) END"
+
+
+def utility_sql(ot: str, ms: str) -> str:
+    o = f"array_distinct({ot})"
+    return f"CASE WHEN size({o}) = 0 THEN 1.0D ELSE CAST(size(array_intersect({o}, {ms})) AS DOUBLE) / size({o}) END"
+
+
+def leakage_sql(masked: str, gt: str) -> str:
+    return f"CASE WHEN exists({gt}, g -> g != '' AND contains({masked}, g)) THEN 1 ELSE 0 END"

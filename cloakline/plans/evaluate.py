@@ -92,17 +92,21 @@ def offsets_system(samples: DataFrame, entities: DataFrame, secret: Column) -> D
 
 
 def records(outputs: DataFrame, latency: DataFrame | None = None) -> DataFrame:
-    """Per (system, sample): overlap P/R/F1, leakage, quasi risk, utility, latency."""
-    gt = F.transform("phi_spans", lambda s: s["span"])
-    pr = F.transform("pred", lambda s: s["span"])
-    # every text is tokenised once, in its own column, and reused below
-    tok = outputs.select("*", MT.with_tokens(gt).alias("_gt"), MT.with_tokens(pr).alias("_pr"),
-                         tokens(F.col("text")).alias("_ot"), token_set(F.col("masked")).alias("_ms"))
-    tok = tok.select("*", MT.overlap_tp("_gt", "_pr").alias("_tp0"))
-    r = tok.select("*", MT.overlap_record("_gt", "_pr", "_tp0").alias("m"),
-                   F.when(exact_leakage(F.col("masked"), gt), 1).otherwise(0).alias("leakage"),
-                   quasi_from_tokens("_ot", "_ms").alias("quasi_risk"),
-                   utility_from_tokens("_ot", "_ms").alias("utility"))
+    """Per (system, sample): overlap P/R/F1, leakage, quasi risk, utility, latency.
+
+    Every text is tokenised once, in its own column, and reused; the
+    expressions are built from SQL text (``metrics.*_sql``).
+    """
+    gt = "transform(phi_spans, s -> s.span)"
+    pr = "transform(pred, s -> s.span)"
+    tok = outputs.select("*", F.expr(MT.with_tokens_sql(gt)).alias("_gt"), F.expr(MT.with_tokens_sql(pr)).alias("_pr"),
+                         F.expr(MT.tokens_sql("text")).alias("_ot"),
+                         F.expr(f"array_distinct({MT.tokens_sql('masked')})").alias("_ms"))
+    tok = tok.select("*", F.expr(MT.overlap_tp_sql("_gt", "_pr")).alias("_tp0"))
+    r = tok.select("*", F.expr(MT.overlap_record_sql("_gt", "_pr", "_tp0")).alias("m"),
+                   F.expr(MT.leakage_sql("masked", gt)).alias("leakage"),
+                   F.expr(MT.quasi_sql("_ot", "_ms")).alias("quasi_risk"),
+                   F.expr(MT.utility_sql("_ot", "_ms")).alias("utility"))
     if latency is not None:
         r = r.join(latency, "doc_id", "left")
     else:

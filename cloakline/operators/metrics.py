@@ -127,10 +127,11 @@ def per_type_overlap(truth_lists: DataFrame, pred_lists: DataFrame, keys: tuple[
     """
     j = truth_lists.withColumnRenamed("texts", "gt").join(
         pred_lists.withColumnRenamed("texts", "pred"), [*keys, "phi_type"], "full_outer")
-    j = j.select(*keys, "phi_type", with_tokens(F.coalesce("gt", F.array().cast("array<string>"))).alias("gt"),
-                 with_tokens(F.coalesce("pred", F.array().cast("array<string>"))).alias("pred"))
-    j = j.select("*", overlap_tp("gt", "pred").alias("_tp0"))
-    return j.select(*keys, "phi_type", overlap_record("gt", "pred", "_tp0").alias("m"))
+    j = j.select(*keys, "phi_type",
+                 F.expr(with_tokens_sql("coalesce(gt, CAST(array() AS array<string>))")).alias("gt"),
+                 F.expr(with_tokens_sql("coalesce(pred, CAST(array() AS array<string>))")).alias("pred"))
+    j = j.select("*", F.expr(overlap_tp_sql("gt", "pred")).alias("_tp0"))
+    return j.select(*keys, "phi_type", F.expr(overlap_record_sql("gt", "pred", "_tp0")).alias("m"))
 
 
 # ------------------------------------------------------------- summaries

@@ -287,7 +287,7 @@ def per_type_exact(spark, sf_dir):
 def per_type_overlap(spark, sf_dir):
     """AG-5 per (system, type)."""
     o = _outputs(spark, sf_dir)
-    return _r(EV.per_type_overlap(o, _notes(spark, sf_dir)))
+    return _r(EV.per_type_overlap(o))
 
 
 def micro_macro(spark, sf_dir):

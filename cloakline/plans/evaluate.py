@@ -116,26 +116,22 @@ def records(outputs: DataFrame, latency: DataFrame | None = None) -> DataFrame:
                     "quasi_risk", "utility")
 
 
-def truth_lists(samples: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """Truth texts per (doc, type) in list order (duplicates kept)."""
-    e = samples.select(*keys, F.posexplode_outer("phi_spans").alias("i", "s")).filter(F.col("i").isNotNull())
-    return e.groupBy(*keys, F.coalesce(F.col("s.phi_type"), F.lit("UNKNOWN")).alias("phi_type")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("s.span").alias("t")))), lambda x: x["t"])
-        .alias("texts"))
-
-
-def pred_lists(outputs: DataFrame) -> DataFrame:
-    e = outputs.select("system", "doc_id", F.posexplode_outer("pred").alias("i", "s")).filter(F.col("i").isNotNull())
-    return e.groupBy("system", "doc_id", F.coalesce(F.col("s.phi_type"), F.lit("UNKNOWN")).alias("phi_type")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("s.span").alias("t")))), lambda x: x["t"])
-        .alias("texts"))
-
-
-def per_type_overlap(outputs: DataFrame, samples: DataFrame) -> DataFrame:
-    """AG-5 per (system, type): JN-6 per (system, doc, type), then sums."""
-    systems = outputs.select("system", "doc_id").distinct()
-    gt = truth_lists(samples).join(systems, "doc_id")
-    m = MT.per_type_overlap(gt, pred_lists(outputs), ("system", "doc_id"))
+def per_type_overlap(outputs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """AG-5 per (system, type): the per-type truth and prediction lists are
+    cut in-row from each (system, doc) output (type union of both sides,
+    list order kept), exploded, matched by JN-6 in-row, then summed with
+    one partial-aggregated groupBy: no list-building shuffles or joins.
+    ``samples`` is accepted for signature compatibility and not needed."""
+    ty = "coalesce(s.phi_type, 'UNKNOWN')"
+    cut = (f"transform(array_distinct(concat(transform(phi_spans, s -> {ty}), transform(pred, s -> {ty}))), "
+           f"t -> named_struct('phi_type', t, "
+           f"'gt', transform(filter(phi_spans, s -> {ty} = t), s -> s.span), "
+           f"'pred', transform(filter(pred, s -> {ty} = t), s -> s.span)))")
+    e = outputs.select("system", F.explode_outer(F.expr(cut)).alias("c")).filter(F.col("c").isNotNull())
+    e = e.select("system", F.col("c.phi_type").alias("phi_type"),
+                 F.expr(MT.with_tokens_sql("c.gt")).alias("gt"), F.expr(MT.with_tokens_sql("c.pred")).alias("pred"))
+    e = e.select("*", F.expr(MT.overlap_tp_sql("gt", "pred")).alias("_tp0"))
+    m = e.select("system", "phi_type", F.expr(MT.overlap_record_sql("gt", "pred", "_tp0")).alias("m"))
     agg = m.groupBy("system", "phi_type").agg(F.sum("m.tp").alias("tp"), F.sum("m.fp").alias("fp"),
                                               F.sum("m.fn").alias("fn"))
     from cloakline.functions.scoring import plain_prf

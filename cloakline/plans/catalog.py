@@ -278,10 +278,7 @@ def overlap_metrics(spark, sf_dir):
 
 def per_type_exact(spark, sf_dir):
     """AG-4 for the cold system."""
-    o = _outputs(spark, sf_dir, ("cold",))
-    t = MT.type_long(o, "phi_spans", "in_gt")
-    p = MT.type_long(o, "pred", "in_pred")
-    return _r(MT.per_type_exact(t, p))
+    return _r(EV.per_type_exact(_outputs(spark, sf_dir, ("cold",))))
 
 
 def per_type_overlap(spark, sf_dir):

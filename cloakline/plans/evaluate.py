@@ -224,3 +224,25 @@ def systems_wide(samples: DataFrame, secret: Column, names: tuple[str, ...],
     return s.select("doc_id", "seq", "text", "phi_spans", F.explode(arr).alias("o")).select(
         F.col("o.system").alias("system"), "doc_id", "seq", "text", "phi_spans", F.col("o.masked").alias("masked"),
         F.col("o.pred").alias("pred"), F.col("o.cache_hits").alias("cache_hits"), F.lit(0).alias("cache_misses"))
+
+
+def per_type_exact(outputs: DataFrame) -> DataFrame:
+    """AG-4 in-row: per sample and type, distinct truth and predicted texts;
+    tp/fp/fn from set intersection and differences, then one partial-
+    aggregated groupBy(phi_type).  (``metrics.per_type_exact`` is the
+    long-table form for stored span tables.)"""
+    ty = "coalesce(s.phi_type, 'UNKNOWN')"
+    cut = (f"transform(array_distinct(concat(transform(phi_spans, s -> {ty}), transform(pred, s -> {ty}))), "
+           f"t -> named_struct('phi_type', t, "
+           f"'g', array_distinct(transform(filter(phi_spans, s -> {ty} = t), s -> s.span)), "
+           f"'p', array_distinct(transform(filter(pred, s -> {ty} = t), s -> s.span))))")
+    e = outputs.select(F.explode_outer(F.expr(cut)).alias("c")).filter(F.col("c").isNotNull())
+    e = e.select(F.col("c.phi_type").alias("phi_type"),
+                 F.size(F.array_intersect("c.g", "c.p")).alias("tp"),
+                 F.size(F.array_except("c.p", "c.g")).alias("fp"),
+                 F.size(F.array_except("c.g", "c.p")).alias("fn"))
+    agg = e.groupBy("phi_type").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    from cloakline.functions.scoring import plain_prf
+    p, r, f = plain_prf("tp", "fp", "fn")
+    return agg.select("phi_type", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"),
+                      (F.col("tp") + F.col("fn")).alias("support"))

@@ -166,3 +166,15 @@ def test_chunked_scan_equals_single_projection(spark, monkeypatch):
     monkeypatch.setattr(SC, "CHUNK", 4)
     many = SC.scan(docs, pats, offsets=True).select("doc_id", "hits")
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_per_type_exact_long_form_equals_in_row_form(spark, secret):
+    from cloakline.operators import metrics as MT
+    from cloakline.plans import evaluate as EV
+    n = _notes(spark)
+    o = EV.systems_wide(n, secret, ("cold",), seed_inline(None), 0.75)
+    inrow = EV.per_type_exact(o)
+    long = MT.per_type_exact(MT.type_long(o, "phi_spans", "in_gt"), MT.type_long(o, "pred", "in_pred"))
+    cols = ["phi_type", "tp", "fp", "fn", "support"]
+    assert inrow.select(*cols).exceptAll(long.select(*cols)).count() == 0
+    assert long.select(*cols).exceptAll(inrow.select(*cols)).count() == 0

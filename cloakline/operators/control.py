@@ -14,20 +14,28 @@ from cloakline.operators.spans import repair_critic
 
 
 def parse_validation(replies: DataFrame, docs: DataFrame) -> DataFrame:
-    """MK-14: pivot the three reply kinds per document (left joins on doc_id),
+    """MK-14: pivot the three reply kinds per document (one grouped pass, one join on doc_id),
     parse them with SC-2(b) repair, and fill the SC-22 defaults.
 
     ``docs``: (seq, doc_id, cache_hits, encrypted ARRAY<STRING>).
     The over-encryption check is skipped (accurate, nothing flagged) when
     nothing was encrypted.
     """
-    def kind(k, schema, name):
-        r = replies.filter(F.col("kind") == k).select("doc_id", F.col("raw").alias(f"_{name}"))
-        return r.withColumn(name, F.from_json(repair_critic(F.col(f"_{name}")), schema)).drop(f"_{name}")
-
-    j = docs.join(kind("leakage", S.LEAKAGE_REPLY, "lk"), "doc_id", "left") \
-        .join(kind("fluency", S.FLUENCY_REPLY, "fl"), "doc_id", "left") \
-        .join(kind("overencryption", S.OVERENC_REPLY, "oe"), "doc_id", "left")
+    # one pass over the replies: a conditional aggregate per doc_id pivots
+    # the three kinds (one shuffle of the reply rows, one join); duplicate
+    # replies of a kind keep the largest raw text (deterministic)
+    kinds = replies.filter(F.col("kind").isin("leakage", "fluency", "overencryption")).groupBy("doc_id").agg(
+        F.max(F.when(F.col("kind") == "leakage", F.col("raw"))).alias("_lk"),
+        F.max(F.when(F.col("kind") == "fluency", F.col("raw"))).alias("_fl"),
+        F.max(F.when(F.col("kind") == "overencryption", F.col("raw"))).alias("_oe"),
+    )
+    parsed = kinds.select(
+        "doc_id",
+        F.from_json(repair_critic(F.col("_lk")), S.LEAKAGE_REPLY).alias("lk"),
+        F.from_json(repair_critic(F.col("_fl")), S.FLUENCY_REPLY).alias("fl"),
+        F.from_json(repair_critic(F.col("_oe")), S.OVERENC_REPLY).alias("oe"),
+    )
+    j = docs.join(parsed, "doc_id", "left")
     none_enc = F.size(F.coalesce(F.col("encrypted"), F.array())) == 0
     empty = F.array().cast("array<string>")
     return j.select(

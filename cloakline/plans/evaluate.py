@@ -149,7 +149,8 @@ def attack(outputs: DataFrame, guesses: DataFrame | None = None) -> DataFrame:
     if guesses is None:
         j = outputs.withColumn("g", parse(F.col("raw")))
     else:
-        parsed = guesses.select("system", "doc_id", parse(F.col("raw")).alias("g"))
+        one = guesses.groupBy("system", "doc_id").agg(F.max("raw").alias("raw"))  # never multiply rows
+        parsed = one.select("system", "doc_id", parse(F.col("raw")).alias("g"))
         j = outputs.join(parsed, ["system", "doc_id"], "left")
     gt = F.filter(F.transform("phi_spans", lambda s: s["span"]), lambda x: x.isNotNull() & (x != ""))
     g = F.filter(F.coalesce(F.col("g"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))

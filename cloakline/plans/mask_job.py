@@ -19,7 +19,9 @@ from cloakline.sources.patterns import InlinePattern
 def attach_detections(docs: DataFrame, replies: DataFrame, sensitivity: Column | float = 0.7) -> DataFrame:
     """Join detector replies (kind='detect') on doc_id and validate them in-row."""
     sens = sensitivity if isinstance(sensitivity, Column) else F.lit(float(sensitivity))
-    det = replies.filter(F.col("kind") == "detect").select(F.col("doc_id"), F.col("raw").alias("_detect_raw"))
+    # one reply per document (duplicates keep the largest raw text), so the
+    # left join can never multiply documents
+    det = replies.filter(F.col("kind") == "detect").groupBy("doc_id").agg(F.max("raw").alias("_detect_raw"))
     joined = docs.join(det, "doc_id", "left")
     parsed = SP.parse_detect(F.col("_detect_raw"))
     return joined.withColumn("detections", SP.detector_spans(parsed, F.col("text"), sens)).drop("_detect_raw")

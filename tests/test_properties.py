@@ -178,3 +178,12 @@ def test_per_type_exact_long_form_equals_in_row_form(spark, secret):
     cols = ["phi_type", "tp", "fp", "fn", "support"]
     assert inrow.select(*cols).exceptAll(long.select(*cols)).count() == 0
     assert long.select(*cols).exceptAll(inrow.select(*cols)).count() == 0
+
+
+def test_duplicate_replies_do_not_multiply_documents(spark, secret):
+    from cloakline.sources import replies
+    n = _notes(spark)
+    det = replies.detect_raw(n)
+    once = MJ.attach_detections(n, det)
+    twice = MJ.attach_detections(n, det.unionByName(det))
+    assert once.count() == n.count() == twice.count()

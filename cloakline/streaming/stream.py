@@ -142,9 +142,8 @@ def params_stream(spark: SparkSession, validation_dir: str, params_root: str, na
             prev = bspark.read.parquet(params_root).filter(F.col("version") == v).first()
         s0 = prev["sensitivity"] if prev else 0.7
         m0 = prev["min_confidence"] if prev else 0.75
-        from pyspark.sql import Window
-        dense = batch.withColumn("_orig_seq", F.col("seq")).withColumn(
-            "seq", (F.row_number().over(Window.orderBy("_orig_seq")) - 1).cast("long"))
+        from cloakline.operators.running import ordinal
+        dense = ordinal(batch, ["seq"]).withColumn("seq", (F.col("_ordinal") - 1).cast("long"))
         trace = CT.param_trace(dense, s0, m0)
         last = trace.orderBy(F.col("seq").desc()).limit(1)
         last.select(F.lit(batch_id + 1).alias("version"), "sensitivity", "min_confidence").write.mode(

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakline import constants as C
 from cloakline import schemas as S
 from cloakline.operators import control as CT
 from cloakline.operators import mask as M
@@ -140,8 +141,8 @@ def params_stream(spark: SparkSession, validation_dir: str, params_root: str, na
         v = _latest_version(bspark, params_root)
         if v is not None:
             prev = bspark.read.parquet(params_root).filter(F.col("version") == v).first()
-        s0 = prev["sensitivity"] if prev else 0.7
-        m0 = prev["min_confidence"] if prev else 0.75
+        s0 = prev["sensitivity"] if prev else C.SENSITIVITY_DEFAULT
+        m0 = prev["min_confidence"] if prev else C.MIN_CONFIDENCE_DEFAULT
         from cloakline.operators.running import ordinal
         dense = ordinal(batch, ["seq"]).withColumn("seq", (F.col("_ordinal") - 1).cast("long"))
         trace = CT.param_trace(dense, s0, m0)

@@ -98,7 +98,10 @@ def validate_stream(spark: SparkSession, masked_dir: str, replies: DataFrame, ou
         enc = F.transform(F.filter("spans", lambda s: s["action"] == "encrypt"), lambda s: s["span"])
         docs = batch.select("seq", "doc_id", "cache_hits", enc.alias("encrypted"))
         v = CT.reward_columns(CT.parse_validation(replies, docs))
-        v.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        # the processed spans travel with the validation (the focus list needs their types)
+        typed = batch.select("doc_id", F.transform("spans", lambda s: F.struct(
+            s["span"].alias("span"), s["phi_type"].alias("phi_type"))).alias("spans"))
+        v.join(typed, "doc_id", "left").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, name))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -126,13 +129,17 @@ def memory_stream(spark: SparkSession, feedback_dir: str, patterns_root: str, na
 
 
 def params_stream(spark: SparkSession, validation_dir: str, params_root: str, name: str = "params",
-                  available_now: bool = True, schema=S.VALIDATION):
+                  available_now: bool = True, schema=None):
     """SM-4: control parameters evolving with a validation stream.
 
     A batch folds its validations (WN-5) starting from the previous version
     and appends version N+1 with the final values; ``seq`` is re-based to a
-    dense 0-based order inside the batch.
+    dense 0-based order inside the batch.  When the validations carry their
+    processed spans (``validate_stream`` output), the focus list (WN-4) is
+    carried across batches as well.
     """
+    # the files' own schema by default (validations may carry their spans)
+    schema = schema or spark.read.parquet(validation_dir).schema
     src = spark.readStream.schema(schema).parquet(validation_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -143,12 +150,25 @@ def params_stream(spark: SparkSession, validation_dir: str, params_root: str, na
             prev = bspark.read.parquet(params_root).filter(F.col("version") == v).first()
         s0 = prev["sensitivity"] if prev else C.SENSITIVITY_DEFAULT
         m0 = prev["min_confidence"] if prev else C.MIN_CONFIDENCE_DEFAULT
+        f0 = list(prev["phi_types_focus"] or []) if prev and "phi_types_focus" in prev.asDict() else []
         from cloakline.operators.running import ordinal
         dense = ordinal(batch, ["seq"]).withColumn("seq", (F.col("_ordinal") - 1).cast("long"))
         trace = CT.param_trace(dense, s0, m0)
-        last = trace.orderBy(F.col("seq").desc()).limit(1)
-        last.select(F.lit(batch_id + 1).alias("version"), "sensitivity", "min_confidence").write.mode(
-            "overwrite").parquet(f"{params_root}/version={batch_id + 1}")
+        last = trace.orderBy(F.col("seq").desc()).limit(1).first()
+        focus = f0
+        if "spans" in batch.columns:
+            # WN-4 across batches: the previous list continues until a clean
+            # validation; new leaked types are appended in first-seen order
+            spans = dense.select("doc_id", F.posexplode_outer("spans").alias("pos", "s")).filter("pos IS NOT NULL") \
+                .select("doc_id", "pos", F.col("s.span").alias("span"), F.col("s.phi_type").alias("phi_type"))
+            ft = CT.focus_trace(dense, spans).orderBy(F.col("seq").desc()).limit(1).first()
+            any_clean = dense.filter("is_clean").limit(1).count() > 0
+            tail = list(ft["phi_types_focus"] or [])
+            focus = tail if any_clean else f0 + [t for t in tail if t not in f0]
+        row = [(batch_id + 1, float(last["sensitivity"]), focus, float(last["min_confidence"]))]
+        bspark.createDataFrame(row, "version long, sensitivity double, phi_types_focus array<string>, "
+                                    "min_confidence double").write.mode("overwrite").parquet(
+            f"{params_root}/version={batch_id + 1}")
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, name))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

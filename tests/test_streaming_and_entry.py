@@ -51,6 +51,17 @@ def test_memory_and_params_streams(spark):
     val.write.parquet(root + "/val")
     ST.params_stream(spark, root + "/val", root + "/params", name="t_params").awaitTermination()
     assert spark.read.parquet(root + "/params").count() >= 1
+    # focus list across a batch: leaks after the last clean validation, first-seen order
+    from pyspark.sql import types as T
+    vs = T.StructType(S.VALIDATION.fields + [T.StructField("spans", T.ArrayType(T.StructType([
+        T.StructField("span", T.StringType()), T.StructField("phi_type", T.StringType())])))])
+    rows = [(0, 0, True, True, True, [], [], 0, [("a", "PERSON")]),
+            (1, 1, False, True, True, ["b"], [], 0, [("b", "PHONE"), ("c", "SSN")]),
+            (2, 2, False, True, True, ["c", "b"], [], 0, [("b", "PHONE"), ("c", "SSN")])]
+    spark.createDataFrame(rows, vs).write.parquet(root + "/val2")
+    ST.params_stream(spark, root + "/val2", root + "/params2", name="t_params2").awaitTermination()
+    p2 = spark.read.parquet(root + "/params2").collect()[0]
+    assert p2.phi_types_focus == ["PHONE", "SSN"] and p2.sensitivity == 0.8
 
 
 def test_entry_and_registry(spark):

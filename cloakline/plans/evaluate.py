@@ -29,7 +29,7 @@ def _out(df: DataFrame, system: str, masked: Column, pred: Column, hits: Column,
                      hits.cast("int").alias("cache_hits"), misses.cast("int").alias("cache_misses"))
 
 
-def pipeline_system(samples: DataFrame, patterns: list[InlinePattern], secret: Column, name: str,
+def memory_system(samples: DataFrame, patterns: list[InlinePattern], secret: Column, name: str,
                     replies: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """Seed-only (cold) or learned (warm) pattern memory, optional detector replies."""
     docs = samples
@@ -198,7 +198,7 @@ def systems_wide(samples: DataFrame, secret: Column, names: tuple[str, ...],
     def pred_of(applied):
         return F.transform(applied, lambda a: F.struct(a["span"].alias("span"), a["phi_type"].alias("phi_type")))
 
-    def pipeline(df, name):
+    def mask_system(df, name):
         # merge -> order/route/replace -> fold, each a named column built from SQL text
         df = df.withColumn(f"_{name}_merged", F.expr(SP.merge_sql(f"_{name}_hits")))
         df = df.withColumn(f"_{name}_items", F.expr(M.items_sql(f"_{name}_merged", "text", "doc_id", "_secret", None)))
@@ -207,11 +207,11 @@ def systems_wide(samples: DataFrame, secret: Column, names: tuple[str, ...],
     cols = {}
     if "cold" in names:
         s = s.withColumn("_cold_hits", F.filter("_hoff", lambda h: h["confidence"] >= F.lit(float(min_confidence))))
-        s = pipeline(s, "cold")
+        s = mask_system(s, "cold")
         cols["cold"] = (F.col("_cold_fold.text"), pred_of(F.col("_cold_fold.applied")), F.size("_cold_hits"))
     if "warm" in names and warm_patterns is not None:
         s = s.withColumn("_warm_hits", SC.hits_expr(text, warm_patterns, False, "text"))
-        s = pipeline(s, "warm")
+        s = mask_system(s, "warm")
         cols["warm"] = (F.col("_warm_fold.text"), pred_of(F.col("_warm_fold.applied")), F.size("_warm_hits"))
     if "regex" in names:
         pred = F.transform("_hoff", lambda h: F.struct(h["span"].alias("span"), h["phi_type"].alias("phi_type")))

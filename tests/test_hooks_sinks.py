@@ -153,3 +153,12 @@ def test_params_json_layout(spark):
     for name in ("bad.json", "missing.json"):
         r = params.load_params_json(spark, d + "/" + name).collect()[0]
         assert (r.sensitivity, r.min_confidence) == (0.7, 0.75)
+
+
+def test_first_n_and_missing_pattern_table(spark):
+    from cloakline.sources import patterns as PS
+    notes = corpus.notes(spark.read.parquet(f"{SF001}/customer.parquet"))
+    top = corpus.first_n(notes, 5).collect()
+    assert [r.seq for r in top] == [0, 1, 2, 3, 4]
+    assert PS.load_patterns(spark, tempfile.mkdtemp(prefix="cloakline-np-") + "/absent").count() == 0
+    assert PS.load_patterns(spark, None).count() == 0

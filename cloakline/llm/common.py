@@ -50,7 +50,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     """Left join ``rows`` to the one-row-per-key table ``groups``, with no hot task.
 
     Keys holding over ``total / HOT_SHARE`` rows (at most HOT_SHARE of them, a
-    proven bound) are broadcast; their rows leave the shuffle by a null key.
+    proven bound) are broadcast; their rows go to the shuffle under keys of their own.
     ``size`` is the column of ``groups`` with the number of rows of the key.
     """
     least = max(total // HOT_SHARE, 1)
@@ -59,7 +59,9 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     cold = groups.where(F.col(size) <= least).select(F.col(key).alias("_ck"), F.struct(*value).alias("_cold"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     out = out.withColumn("_j", F.when(F.col("_hk").isNull(), F.col(key)))
-    out = out.join(cold, F.col("_j") == F.col("_ck"), "left")
+    out = out.withColumn("_s", F.when(F.col("_hk").isNull(), 0).otherwise(F.monotonically_increasing_id()))
+    out = out.join(cold.withColumn("_z", F.lit(0).cast("long")),
+                   (F.col("_j") == F.col("_ck")) & (F.col("_s") == F.col("_z")), "left")
     return out.select(*rows.columns, *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in value])
 
 

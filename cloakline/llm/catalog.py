@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from cloakline.llm import exact_dedup
+from cloakline.llm import credentials, exact_dedup, fingerprints, licenses, mixing, packing, toxicity, warc
 
 QUERIES = {
+    "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_secret_scan": credentials.op6_secret_scan,
+    "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_warc": warc.op9_warc,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op7_mix_sources": mixing.SQL,
+    "op9_warc": warc.SQL,
 }

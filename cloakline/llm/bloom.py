@@ -13,7 +13,7 @@ the result, because everything reported is compared exactly afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,14 +40,17 @@ def filter_size(n: int) -> int:
     return SHARD * min(max(1, -(-n * BITS // SHARD)), MAX_BYTES * 8 // SHARD)
 
 
-def repeated(hashes: DataFrame, n: int) -> np.ndarray:
-    """The merged filter of the one long column of ``hashes``: bits of positions counted twice or more."""
+def first_column(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def counted(rows: DataFrame, n: int, least: int, hashes: Callable[[pa.RecordBatch], np.ndarray] = first_column) -> np.ndarray:
+    """The merged filter of about ``n`` hashes in ``rows``: bits of positions counted at least ``least`` (1 or 2) times."""
     size = filter_size(n)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at, count = np.unique(positions(h, size), return_counts=True)
+            at, count = np.unique(positions(hashes(batch), size), return_counts=True)
             if not len(at):
                 continue
             code = ((at % np.uint64(SHARD)).astype(np.uint32) << np.uint32(1)) | (count > 1).astype(np.uint32)
@@ -57,16 +60,16 @@ def repeated(hashes: DataFrame, n: int) -> np.ndarray:
                                    pa.array([c.tobytes() for c in np.split(code, cut)], pa.binary())],
                                   names=["shard", "codes"])
 
-    def merged(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         seen, twice = np.zeros(SHARD, bool), np.zeros(SHARD, bool)
         for codes in rows["codes"]:
             code = np.frombuffer(codes, np.uint32)
             at = code >> np.uint32(1)
             twice[at[(code & np.uint32(1)).astype(bool) | seen[at]]] = True
             seen[at] = True
-        return pd.DataFrame({"shard": [key[0]], "bits": [np.packbits(twice).tobytes()]})
+        return pd.DataFrame({"shard": [key[0]], "bits": [np.packbits(twice if least > 1 else seen).tobytes()]})
 
-    shards = (hashes.mapInArrow(local, "shard int, codes binary")
+    shards = (rows.mapInArrow(local, "shard int, codes binary")
               .groupBy("shard").applyInPandas(merged, "shard int, bits binary"))
     bits = np.zeros(size // 8, np.uint8)  # at most MAX_BYTES
     for row in shards.toLocalIterator():
@@ -75,7 +78,7 @@ def repeated(hashes: DataFrame, n: int) -> np.ndarray:
 
 
 def reported(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """True where the filter says the hash may occur twice."""
+    """True where all positions of the hash are set: it may occur as often as was asked for."""
     at = positions(hashes, len(bits) * 8)
     hit = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & np.uint8(1)
     return hit.reshape(PROBES, -1).all(axis=0)

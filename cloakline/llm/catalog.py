@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakline.llm import credentials, exact_dedup, fingerprints, licenses, mixing, packing, toxicity, warc
+from cloakline.llm import credentials, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, toxicity, warc
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_license_scan": licenses.op5_license_scan,
     "op6_secret_scan": credentials.op6_secret_scan,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
 }

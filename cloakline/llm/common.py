@@ -90,13 +90,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-SPACE = "[ \t-\r]+"  # \x20 and \x09-\x0D
-
-
 def word_lists(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words of each text (A-Z lower-cased, split at ``[\\x20\\x09-\\x0D]``): row offsets and the flat words."""
     lowered = pc.ascii_lower(pc.fill_null(text, ""))
-    lists = pc.split_pattern_regex(lowered, SPACE)
+    lists = pc.ascii_split_whitespace(lowered)  # runs of exactly these six characters
     flat = pc.list_flatten(lists)
     rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     full = pc.not_equal(flat, "")
@@ -126,14 +123,15 @@ def shingle_sets(text: pa.Array, width: int) -> list[np.ndarray]:
     hashes = word_hashes(flat)
     out = []
     with np.errstate(over="ignore"):
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            h = hashes[a:b]
-            n = min(width, len(h))
-            if not n:
-                out.append(h)
-                continue
-            s = np.full(len(h) - n + 1, n, np.uint64)
-            for k in range(n):
-                s = mix(s * np.uint64(0x9E3779B97F4A7C15) + h[k:len(h) - n + 1 + k])
-            out.append(np.unique(s))
+        rolled = np.full(max(len(hashes) - width + 1, 0), width, np.uint64)
+        for k in range(width):
+            rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k:len(rolled) + k])
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            if b - a >= width:
+                out.append(np.unique(rolled[a:b - width + 1]))
+            else:  # the whole sequence, if any
+                few = np.full(min(b - a, 1), b - a, np.uint64)
+                for h in hashes[a:b]:
+                    few = mix(few * np.uint64(0x9E3779B97F4A7C15) + h)
+                out.append(few)
     return out

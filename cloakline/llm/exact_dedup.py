@@ -36,7 +36,7 @@ def _marked(rows: DataFrame) -> DataFrame:
     """``rows`` (with the hex column ``text_sha256``) plus ``maybe``: the filter reports the hash."""
     key = F.conv(F.substring("text_sha256", 1, 16), 16, -10).cast("long")
     hashes = rows.select(key.alias("h"))
-    bits = bloom.repeated(hashes, rows.count())
+    bits = bloom.counted(hashes, rows.count(), 2)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
     schema = rows.withColumn("maybe", F.lit(True)).schema
     at = rows.columns.index("text_sha256")

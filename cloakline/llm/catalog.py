@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cloakline.llm import credentials, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, toxicity, warc
+from cloakline.llm import credentials, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_secret_scan": credentials.op6_secret_scan,

@@ -9,6 +9,8 @@ result with the same columns.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -66,6 +68,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
 
 
 # ------------------------------------------------------------------ text inside tasks
+def worker_store() -> dict:
+    """A dict that outlives the task in its Python worker.
+
+    Functions travel by value, so the globals of their module do not last from task to task.
+    """
+    name = "_cloakline_worker"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Zero-copy pieces of the batches with about SLICE_BYTES of ``text`` each (one row at least)."""
     for batch in batches:

@@ -17,7 +17,9 @@ which is not defined; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import documents, slices, written
+from cloakline.llm.common import documents, slices, worker_store, written
 
 WINDOW = 2048           # tokens in a sequence
 SEPARATOR = 0           # id after each document
-CACHE_UNITS = 300_000   # encoded units that a task remembers
+CACHE_UNITS = 250_000   # encoded units in a generation of a worker's cache
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task long, _nth long"
 
 
@@ -41,42 +43,59 @@ def tokenizer_path() -> str:
 
 
 # ------------------------------------------------------------------ tokens
+_BLANK_THEN_SPACE = re.compile(r"\s ")
+
+
 def units(text: str) -> list[str]:
-    """Cut ``text`` before each space that follows a non-blank character.
+    """Cut ``text`` at each space that follows a non-blank character.
 
-    The byte-level pattern never joins a non-blank character to a following
-    blank one and looks at nothing left of a match, so encoding the units one
-    by one gives the ids of the whole text.
+    Each unit but the first stands without the space it begins with.  The
+    byte-level pattern never joins a non-blank character to a following blank
+    one and looks at nothing left of a match, so encoding the units one by one
+    gives the ids of the whole text.
     """
     parts = text.split(" ")
+    if not _BLANK_THEN_SPACE.search(text) and parts[0]:
+        return parts
     out = [parts[0]]
     for part in parts[1:]:
         if out[-1] and not out[-1][-1].isspace():
-            out.append(" " + part)
+            out.append(part)
         else:
             out[-1] += " " + part
     return out
 
 
 def encoder(path: str):
-    """Function from a list of texts to their ids as little-endian unsigned 32-bit bytes."""
+    """Function from a list of texts to their ids as little-endian unsigned 32-bit bytes.
+
+    A worker keeps the tokenizer and two generations of encoded units from task to task.
+    """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a document is ordinary text throughout
-    known: dict[str, bytes] = {}
+    kept = worker_store().setdefault(path, {})
+    if not kept:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # a document is ordinary text throughout
+        kept.update(tokenizer=tokenizer, young={}, old={})
+
+    def ids(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in kept["tokenizer"].encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(texts: list[str]) -> list[bytes]:
         cut = [units(t) for t in texts]
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        new = list({u for row in cut for u in row if u not in known})
-        for u, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[u] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, row)) for row in cut]
+        heads = ids([row[0] for row in cut])
+        if len(kept["young"]) > CACHE_UNITS:
+            kept.update(young={}, old=kept["young"])
+        young, old = kept["young"], kept["old"]
+        new = set().union(*(row[1:] for row in cut)).difference(young)
+        young.update((u, old[u]) for u in new & old.keys())
+        new = list(new.difference(young))
+        young.update(zip(new, ids([" " + u for u in new]), strict=True))
+        return [head + b"".join(map(young.__getitem__, row[1:])) for head, row in zip(heads, cut, strict=True)]
 
     return encode
 

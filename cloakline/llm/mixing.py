@@ -145,6 +145,14 @@ def mixed(docs: DataFrame, mix: Mix | None = None, rows: DataFrame | None = None
     return clear.unionByName(last)
 
 
+def chosen(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The rows of ``docs`` that the mixture takes, as often as it takes them, all columns kept as they are."""
+    out = mixed(docs, mix).where("copies > 0")
+    if mix.epochs > 1:
+        out = out.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select("_row.*")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str, mix: Mix | None = None) -> DataFrame:
     """Per chosen document and epoch: doc_id, domain, lang, source, tokens, epoch."""
     docs = documents(spark, sf_dir)

@@ -77,8 +77,12 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_mark")
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_hash (null for an empty set), bands."""
+    """Per row: doc_id, n_shingles, set_hash (null for an empty set), bands, and the hash ``text_mark`` of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -90,10 +94,11 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([b.tobytes() for b in bands], pa.binary())], names=["doc_id", "n_shingles", "set_hash", "bands"])
+                pa.array([b.tobytes() for b in bands], pa.binary()), batch.column("text_mark")],
+                names=["doc_id", "n_shingles", "set_hash", "bands", "text_mark"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_hash binary, bands binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark()).mapInArrow(
+        run, "doc_id long, n_shingles long, set_hash binary, bands binary, text_mark long")
 
 
 # ------------------------------------------------------------------ candidates
@@ -262,7 +267,7 @@ def links(docs: DataFrame, classes: DataFrame, total: int, width: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, text_mark."""
     rows = written(sketched(docs, width), "sketches")
     total = rows.count()
     classes = rows.where("set_hash IS NOT NULL").groupBy("set_hash").agg(
@@ -276,8 +281,21 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     part = part.select("set_hash", "_copies", F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = attach(rows.drop("bands"), written(part, "labels"), "set_hash", "_copies", total)
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_mark")
+
+
+def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of their component, all columns kept as they are.
+
+    Dropped rows are named by id and text; their table is written first, so it
+    is broadcast if it is small and shuffled if not.
+    """
+    gone = near_duplicates(docs, width).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"))
+    gone = written(gone.distinct(), "dropped")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_mark() == F.col("_mark"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("text_mark")

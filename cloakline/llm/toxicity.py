@@ -3,11 +3,14 @@
 Grades come from ``labels``: 0 is not toxic, 1 toxic, 2 toxic and of low
 quality.  The model is P(grade > k) = sigmoid(w.x - theta_k) with one weight
 vector shared by the ordered thresholds theta_1 < theta_2; x marks the words
-that a text has.  The output is the expected severity, the sum of P(grade > k).
+that a text has, and the stems (proper beginnings of ``STEMS`` letters) of its
+words, since languages that compound words insult by stem.  The output is the
+expected severity, the sum of P(grade > k).
 
 The classifier is fitted on a bounded sample: the ``SAMPLE`` labelled documents
-with the smallest hash of their id, and the ``VOCABULARY`` words whose share
-differs most between toxic and other documents.  Every document of the table
+with the smallest hash of their id, and of the features whose share differs
+clearly (``LEAST_Z`` standard errors) between toxic and other documents the
+``VOCABULARY`` clearest.  Every document of the table
 is scored on its whole text, on its own, so no key can be hot.
 
 Defined cases: a null, empty or blank text has no features and gets the
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from cloakline.llm.common import documents, read_table, slices, written
 
 SAMPLE = 20_000       # labelled documents to fit on
-VOCABULARY = 4_000    # words with a weight
-LEAST_DOCS = 5        # a word must occur in so many labelled documents
+VOCABULARY = 4_000    # features with a weight
+LEAST_DOCS = 5        # a feature must occur in so many labelled documents
+LEAST_Z = 5.0
+STEMS = range(4, 9)
 GRADES = 2            # thresholds
 PENALTY = 2e-3        # L1 penalty on the shared weights
 STEPS = 400
@@ -41,13 +46,32 @@ REJECT = 0.5          # expected severity from which a document goes
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def features(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Row numbers and words, lower-cased, of all texts; a word may come more than once."""
+def word_features(word: str) -> list[str]:
+    return [word, *(word[:k] + "+" for k in STEMS if k < len(word))]
+
+
+def features(text: pa.Array, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Distinct (row, feature number) pairs of all texts, and the features; only ``known`` ones if given."""
     lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(text, "")), _SPLIT)
     flat = pc.list_flatten(lists)
     full = pc.not_equal(flat, "")
-    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    return rows[full.to_numpy(zero_copy_only=False)], flat.filter(full)
+    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[full.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(full).dictionary_encode()
+    numbers: dict[str, int] = {}
+    if known is None:
+        own = [[numbers.setdefault(f, len(numbers)) for f in word_features(w)] for w in coded.dictionary.to_pylist()]
+    else:
+        own = [[known[f] for f in word_features(w) if f in known] for w in coded.dictionary.to_pylist()]
+    count = np.array([len(x) for x in own], np.int64)
+    start = np.cumsum(count) - count
+    each = np.array([f for x in own for f in x], np.int64)
+    word = coded.indices.to_numpy(zero_copy_only=False)
+    pair = np.unique(rows.astype(np.int64) << 32 | word)  # each word of a text once
+    rows, word = pair >> 32, pair & 0xFFFFFFFF
+    n = count[word] if len(count) else np.zeros(0, np.int64)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[word] if len(count) else n, n)
+    pair = np.unique(np.repeat(rows, n) << 32 | each[at])
+    return pair >> 32, pair & 0xFFFFFFFF, list(numbers)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -99,48 +123,49 @@ def fit(rows: np.ndarray, words: np.ndarray, grades: np.ndarray, size: int) -> t
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, grade and the distinct words of the sampled documents, one row per document and word."""
+    """(doc_id, text, grade) of the sampled documents."""
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
     rated = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(grade).alias("grade"))
     chosen = written(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "rated")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows, flat = features(batch.column("text"))
-            coded = flat.dictionary_encode()
-            pair = np.unique(rows.astype(np.int64) << 32 | coded.indices.to_numpy(zero_copy_only=False))
-            at = pa.array(pair >> 32)
-            yield pa.record_batch([batch.column("doc_id").take(at), batch.column("grade").take(at),
-                                   coded.dictionary.take(pa.array(pair & 0xFFFFFFFF))], names=["doc_id", "grade", "word"])
-
     # ``chosen`` has at most ``sample`` rows of 12 bytes, so only its documents leave the scan
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return own.mapInArrow(distinct, "doc_id long, grade int, word string").distinct()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> dict:
-    """{"weights": {word: weight}, "thetas": [...]} fitted on the bounded sample."""
-    pairs = written(labelled(docs, labels, sample), "features")
-    per_doc = pairs.groupBy("doc_id").agg(F.max("grade").alias("grade")).toPandas()  # <= sample rows
-    grades = per_doc["grade"].to_numpy(np.int64)
-    n1 = int((grades > 0).sum())
-    n0 = len(grades) - n1
+    """{"weights": {feature: weight}, "thetas": [...]} fitted on the bounded sample."""
+    own = labelled(docs, labels, sample)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, number, names = features(batch.column("text"))
+            toxic = batch.column("grade").to_numpy(zero_copy_only=False) > 0
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.bincount(number[toxic[rows]], minlength=len(names))),
+                                   pa.array(np.bincount(number, minlength=len(names)))], names=["feature", "a", "n"])
+
+    sizes = own.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("grade") > 0, 1)).alias("a")).first()
+    n1, n0 = sizes.a, sizes.n - sizes.a
     if not n0 or not n1:
-        share = n1 / len(grades) if len(grades) else 0.0
-        odds = math.inf if share >= 1 else math.log(share / (1 - share)) if share else -math.inf
-        return {"weights": {}, "thetas": np.array([-odds, math.inf])}
-    both = pairs.groupBy("word").agg(F.count(F.when(F.col("grade") > 0, 1)).alias("a"), F.count(F.lit(1)).alias("all"))
-    p, q = F.col("a") / n1, (F.col("all") - F.col("a")) / n0
-    spread = F.sqrt((F.col("all") / (n0 + n1)) * (1 - F.col("all") / (n0 + n1) + 1e-6) * (1 / n1 + 1 / n0))
-    top = written(both.where(F.col("all") >= LEAST_DOCS).orderBy(F.abs((p - q) / spread).desc(), "word").limit(vocabulary)
-                  .select("word"), "vocabulary")
-    known = sorted(r.word for r in top.collect())  # <= vocabulary rows
-    number = docs.sparkSession.createDataFrame(list(enumerate(known)), "k int, word string")
-    used = pairs.join(F.broadcast(number), "word").select("doc_id", "k").toPandas()
-    place = {d: k for k, d in enumerate(per_doc["doc_id"])}
-    rows = np.array([place[d] for d in used["doc_id"]], np.int64)
-    w, thetas = fit(rows, used["k"].to_numpy(np.int64), grades, len(known))
+        share = n1 / sizes.n if sizes.n else 0.0
+        return {"weights": {}, "thetas": np.array([-math.inf if share else math.inf, math.inf])}
+    both = own.mapInArrow(counts, "feature string, a long, n long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    share = F.col("n") / (n0 + n1)
+    z = F.abs(F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(share * (1 - share + 1e-6) * (1 / n1 + 1 / n0))
+    top = both.where(F.col("n") >= LEAST_DOCS).select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z)
+    known = sorted(r.feature for r in top.orderBy(F.col("z").desc(), "feature").limit(vocabulary).collect())  # <= vocabulary rows
+    number = {f: k for k, f in enumerate(known)}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, at, _ = features(batch.column("text"), number)
+            cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            yield pa.record_batch([batch.column("grade"), pa.array([at[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+                                  names=["grade", "features"])
+
+    rated = own.mapInArrow(found, "grade int, features binary").toPandas()  # <= sample rows
+    each = [np.frombuffer(f, np.int32) for f in rated["features"]]
+    rows = np.repeat(np.arange(len(each)), [len(e) for e in each])
+    w, thetas = fit(rows, np.concatenate(each), rated["grade"].to_numpy(np.int64), len(known))
     return {"weights": {known[k]: float(w[k]) for k in np.flatnonzero(w)}, "thetas": thetas}
 
 
@@ -153,14 +178,11 @@ def graded(docs: DataFrame, model: dict) -> DataFrame:
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thetas = shared.value["weights"], shared.value["thetas"]
-        known = pa.array(list(weights), pa.string())
-        value = np.array([*weights.values(), 0.0])
+        known = {f: k for k, f in enumerate(weights)}
+        value = np.array(list(weights.values()))
         for batch in slices(batches, "_text"):
-            rows, flat = features(batch.column("_text"))
-            number = pc.fill_null(pc.index_in(flat, known), -1).to_numpy(zero_copy_only=False)
-            hit = number >= 0
-            pair = np.unique(rows[hit].astype(np.int64) << 32 | number[hit])
-            score = np.bincount(pair >> 32, weights=value[pair & 0xFFFFFFFF], minlength=batch.num_rows)
+            rows, number, _ = features(batch.column("_text"), known)
+            score = np.bincount(rows, weights=value[number], minlength=batch.num_rows)
             p = exceed(score, thetas)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(p.sum(axis=1)), pa.array(p[:, 0].copy()),
                                               pa.array(p[:, 1].copy())],
@@ -169,6 +191,11 @@ def graded(docs: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(grade, schema)
 
 
+def clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` whose expected severity is below ``reject``, all columns kept as they are."""
+    return graded(docs, train(docs, labels)).where(F.col("expected_severity") < reject).select("_row.*")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, expected_severity, p_toxic, p_severe, rejected."""
     docs = documents(spark, sf_dir).select("doc_id", "text")

@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
-Grades come from ``labels``: 0 is not toxic, 1 toxic, 2 toxic and of low
-quality.  The model is P(grade > k) = sigmoid(w.x - theta_k) with one weight
+``labels`` say which documents are toxic.  Their grades are ordered: 0 is not
+toxic, 1 toxic, 2 toxic with more markers (features that are clearly more
+frequent in toxic documents) than the median toxic document.  The model is P(grade > k) = sigmoid(w.x - theta_k) with one weight
 vector shared by the ordered thresholds theta_1 < theta_2; x marks the words
 that a text has, and the stems (proper beginnings of ``STEMS`` letters) of its
 words, since languages that compound words insult by stem.  The output is the
@@ -40,8 +41,8 @@ LEAST_DOCS = 5        # a feature must occur in so many labelled documents
 LEAST_Z = 5.0
 STEMS = range(4, 9)
 GRADES = 2            # thresholds
-PENALTY = 2e-3        # L1 penalty on the shared weights
-STEPS = 400
+PRIOR = 0.02          # precision of the weights' normal prior
+STEPS, CONJUGATE = 50, 100
 REJECT = 0.5          # expected severity from which a document goes
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -84,49 +85,75 @@ def exceed(score: np.ndarray, thetas: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: np.ndarray, words: np.ndarray, grades: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and ordered thresholds by proximal gradient steps on the likelihood.
+    """Shared weights and ordered thresholds of largest penalised likelihood, by Newton steps on all of them.
 
-    ``rows[i]`` has the word ``words[i]``; thresholds are a base and a positive
-    gap each, so they stay ordered.
+    ``rows[i]`` has the feature ``words[i]``.  A grade's likelihood is u - l with
+    u = P(grade >= own) and l = P(grade > own); its logarithm is concave, and
+    each step is solved by conjugate gradients.  The last parameters are the
+    base score and each further threshold's distance from the first.
     """
-    n = len(grades)
-    w = np.zeros(size)
-    share = [np.clip((grades > k).mean(), 0.5 / n, 1 - 0.5 / n) for k in range(GRADES)]
-    start = -np.log(np.array(share) / (1 - np.array(share)))
-    base, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
-    # scaled by each word's frequency, so that rare words learn as fast as frequent ones
-    freq = np.bincount(words, minlength=size) / n
-    rate_w = 1.0 / (0.25 * np.maximum(freq, 1 / n) * max(1.0, np.bincount(rows, minlength=n).mean() ** 0.5))
-    velocity, before = np.zeros(size), w.copy()
-    for step in range(STEPS):
-        look = w + (step / (step + 3)) * velocity
-        thetas = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(rows, weights=look[words], minlength=n)
-        p = exceed(score, thetas)
-        cum = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)  # P(grade >= k)
-        at = np.arange(n)
-        own = np.maximum(cum[at, grades] - cum[at, grades + 1], 1e-9)
-        slope = np.concatenate([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))], axis=1)
-        pull = (slope[at, grades] - slope[at, grades + 1]) / own  # d log likelihood / d score
-        grad = -np.bincount(words, weights=pull[rows], minlength=size) / n
-        moved = look - rate_w * grad
-        before, w = w, np.sign(moved) * np.maximum(np.abs(moved) - rate_w * PENALTY * np.sqrt(np.maximum(freq, 1 / n)), 0)
-        velocity = w - before
-        each = np.zeros((n, GRADES))  # d log likelihood / d theta_k
-        for k in range(GRADES):
-            s = p[:, k] * (1 - p[:, k]) / own
-            each[:, k] = np.where(grades == k, s, np.where(grades == k + 1, -s, 0.0))
-        up = each.mean(axis=0)
-        base += 0.5 * up.sum()
-        gaps += np.array([0.5 * up[k + 1:].sum() * np.exp(gaps[k]) for k in range(GRADES - 1)])
-    return w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+    n, at = len(grades), np.arange(len(grades))
+    share = np.array([np.clip((grades > k).mean(), 0.5 / n, 1 - 0.5 / n) for k in range(GRADES)])
+    start = -np.log(share / (1 - share))
+    v = np.concatenate([np.zeros(size), [-start[0]], np.maximum.accumulate(start[1:] - start[0] + 1e-2)])
+    ridge = np.concatenate([np.full(size, PRIOR / n), np.full(GRADES, 1e-6)])
+    upper, lower = grades > 0, grades < GRADES
+    above, below = np.maximum(grades - 1, 0), np.minimum(grades, GRADES - 1)
+
+    def scores(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores against the threshold below the own grade and the one above it."""
+        x, gap = np.bincount(rows, weights=v[words], minlength=n) + v[size], np.append(0.0, v[size + 1:])
+        return x - gap[above], x - gap[below]
+
+    def back(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = a + b
+        gap = np.bincount(above, weights=a, minlength=GRADES) + np.bincount(below, weights=b, minlength=GRADES)
+        return np.concatenate([np.bincount(words, weights=both[rows], minlength=size), [both.sum()], -gap[1:]]) / n
+
+    def shares(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = scores(v)
+        return np.where(upper, sigmoid(a), 1.0), np.where(lower, sigmoid(b), 0.0)
+
+    def loss(v: np.ndarray) -> float:
+        if (np.diff(np.append(0.0, v[size + 1:])) <= 0).any():
+            return np.inf
+        u, l = shares(v)
+        return -np.log(np.maximum(u - l, 1e-12)).mean() + 0.5 * (ridge * v * v).sum()
+
+    now = loss(v)
+    for _ in range(STEPS):
+        u, l = shares(v)
+        own, du, dl = np.maximum(u - l, 1e-12), u * (1 - u), l * (1 - l)
+        aa = du * du / own**2 - du * (1 - 2 * u) / own
+        bb = dl * dl / own**2 + dl * (1 - 2 * l) / own
+        ab = -du * dl / own**2
+        rest = back(du / own, -dl / own) - ridge * v
+        step, towards, size2 = np.zeros_like(v), rest.copy(), rest @ rest
+        for _ in range(CONJUGATE):
+            if size2 < 1e-20:
+                break
+            a, b = scores(towards)
+            bent = back(aa * a + ab * b, ab * a + bb * b) + ridge * towards
+            far = size2 / (towards @ bent)
+            step, rest = step + far * towards, rest - far * bent
+            size2, before = rest @ rest, size2
+            towards = rest + size2 / before * towards
+        scale = 1.0
+        while scale > 1e-6 and not loss(v + scale * step) < now:
+            scale /= 2
+        if scale <= 1e-6:
+            break
+        v = v + scale * step
+        last, now = now, loss(v)
+        if last - now < 1e-8:
+            break
+    return v[:size], np.append(0.0, v[size + 1:]) - v[size]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, grade) of the sampled documents."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
+    """(doc_id, text, toxic) of the sampled documents."""
     rated = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.max(grade).alias("grade"))
+        F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = written(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "rated")
     # ``chosen`` has at most ``sample`` rows of 12 bytes, so only its documents leave the scan
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
@@ -139,33 +166,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows, number, names = features(batch.column("text"))
-            toxic = batch.column("grade").to_numpy(zero_copy_only=False) > 0
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
             yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.bincount(number[toxic[rows]], minlength=len(names))),
                                    pa.array(np.bincount(number, minlength=len(names)))], names=["feature", "a", "n"])
 
-    sizes = own.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("grade") > 0, 1)).alias("a")).first()
+    sizes = own.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("toxic") > 0, 1)).alias("a")).first()
     n1, n0 = sizes.a, sizes.n - sizes.a
     if not n0 or not n1:
         share = n1 / sizes.n if sizes.n else 0.0
         return {"weights": {}, "thetas": np.array([-math.inf if share else math.inf, math.inf])}
     both = own.mapInArrow(counts, "feature string, a long, n long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     share = F.col("n") / (n0 + n1)
-    z = F.abs(F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(share * (1 - share + 1e-6) * (1 / n1 + 1 / n0))
-    top = both.where(F.col("n") >= LEAST_DOCS).select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z)
-    known = sorted(r.feature for r in top.orderBy(F.col("z").desc(), "feature").limit(vocabulary).collect())  # <= vocabulary rows
+    z = (F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(share * (1 - share + 1e-6) * (1 / n1 + 1 / n0))
+    top = both.where(F.col("n") >= LEAST_DOCS).select("feature", z.alias("z")).where(F.abs("z") >= LEAST_Z)
+    signs = {r.feature: r.z > 0 for r in top.orderBy(F.abs("z").desc(), "feature").limit(vocabulary).collect()}  # <= vocabulary rows
+    known = sorted(signs)
     number = {f: k for k, f in enumerate(known)}
+    marker = np.array([signs[f] for f in known], bool)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows, at, _ = features(batch.column("text"), number)
             cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            yield pa.record_batch([batch.column("grade"), pa.array([at[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                                  names=["grade", "features"])
+            yield pa.record_batch([batch.column("toxic"), pa.array(
+                [at[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+                names=["toxic", "features"])
 
-    rated = own.mapInArrow(found, "grade int, features binary").toPandas()  # <= sample rows
+    rated = own.mapInArrow(found, "toxic int, features binary").toPandas()  # <= sample rows
     each = [np.frombuffer(f, np.int32) for f in rated["features"]]
+    toxic = rated["toxic"].to_numpy(np.int64)
+    markers = np.array([marker[e].sum() for e in each])
+    shown = markers[(toxic > 0) & (markers > 0)]
+    grades = toxic + ((toxic > 0) & (markers > (np.median(shown) if len(shown) else np.inf)))
     rows = np.repeat(np.arange(len(each)), [len(e) for e in each])
-    w, thetas = fit(rows, np.concatenate(each), rated["grade"].to_numpy(np.int64), len(known))
+    w, thetas = fit(rows, np.concatenate(each), grades, len(known))
     return {"weights": {known[k]: float(w[k]) for k in np.flatnonzero(w)}, "thetas": thetas}
 
 

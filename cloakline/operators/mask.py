@@ -31,8 +31,9 @@ def demo_keys(spark, key_id: str = "demo", seed_text: str = "cloakline-demo-key"
 
 
 def key_column(keys: DataFrame, key_id: str) -> Column:
-    """The key as a scalar subquery: one row by construction, absent from plan text."""
-    return keys.filter(F.col("key_id") == key_id).select("key").scalar()
+    """The key as a scalar subquery, absent from plan text; a missing key stops the job before it masks anything."""
+    missing = F.raise_error(F.lit(f"no key for key id {key_id!r}")).cast("binary")
+    return F.coalesce(keys.filter(F.col("key_id") == key_id).select("key").scalar(), missing)
 
 
 def order_for_mask(spans: Column, text: Column) -> Column:

@@ -31,12 +31,14 @@ def feedback_from_spans(spans: DataFrame, leaked: str = "leaked_spans", over: st
     )
 
 
-def apply_feedback(patterns: DataFrame, feedback: DataFrame, day=None, exact_prune: bool = False) -> DataFrame:
+def apply_feedback(patterns: DataFrame, feedback: DataFrame, day=None, exact_prune: bool = False,
+                   block: int = 1 << 16) -> DataFrame:
     """AG-14 + WN-3 + JN-9: new counters, confidence and promotion per label.
 
     Unknown labels are ignored (inner join).  Promotion is tested at every
     step with running counts (exact, never revoked).  Feedback order is
-    ``seq`` (unique per label); the running counts are skew-safe.
+    ``seq`` (unique per label); the running counts are skew-safe, ``block``
+    being a range of ``seq`` that one task can hold.
 
     ``exact_prune``: FLT-6 tested at every step as well; a label is removed
     at the first step where it qualifies, even if later feedback would
@@ -46,7 +48,7 @@ def apply_feedback(patterns: DataFrame, feedback: DataFrame, day=None, exact_pru
     fb = feedback.join(patterns.select("label", F.col("hits").alias("h0"), F.col("misses").alias("m0")),
                        "label", "inner")
     fb = fb.withColumn("_h", F.col("correct").cast("long")).withColumn("_m", (~F.col("correct")).cast("long"))
-    run = running_sums(fb, ["label"], "seq", ["_h", "_m"])
+    run = running_sums(fb, ["label"], "seq", ["_h", "_m"], block)
     hk = F.col("h0") + F.col("run__h")
     tk = hk + F.col("m0") + F.col("run__m")
     promo_step = (hk >= C.HIT_PROMOTE_THRESHOLD) & ((hk.cast("double") / tk) > C.PROMOTE_CONFIDENCE_ABOVE)
@@ -84,19 +86,14 @@ def cap(patterns: DataFrame, limit: int = C.MAX_MEMORY_ENTRIES) -> DataFrame:
     """SO-3: over ``limit`` rows, drop the lowest-confidence unpromoted rows
     (ties in insertion order); promoted rows are never dropped.
 
-    The incoming table (the next pattern version) is checkpointed into the
-    shared ``spark.checkpoint.dir`` and counted once; the unpromoted rows are
-    ranked by ``running.ordinal`` (one window up to a proven bound, a
-    distributed rank beyond it).
+    What stays of the unpromoted rows are the best ``limit - promoted`` ones,
+    so a distributed top-``limit`` holds them all and only those are ranked.
     """
-    from cloakline.session import cut_lineage
-
-    patterns = cut_lineage(patterns)
-    excess = patterns.count() - limit
-    if excess <= 0:
-        return patterns
-    ranked_unp = ordinal(patterns.filter(~F.col("promoted")), ["confidence", "pattern_seq"], "_rank")
-    kept = ranked_unp.filter(F.col("_rank") > excess).select(*patterns.columns)
+    unpromoted = patterns.filter(~F.col("promoted"))
+    best = [F.col("confidence").desc(), F.col("pattern_seq").desc()]
+    top = unpromoted.orderBy(*best).limit(limit).withColumn("_rank", F.row_number().over(Window.orderBy(*best)))
+    room = patterns.agg(F.lit(limit) - F.count_if("promoted")).scalar()
+    kept = top.filter(F.col("_rank") <= room).select(*patterns.columns)
     return patterns.filter(F.col("promoted")).unionByName(kept)
 
 
@@ -110,14 +107,15 @@ def insert_if_absent(patterns: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def write_back_roles(patterns: DataFrame, phrases: DataFrame) -> DataFrame:
-    """JN-4: a phrase becomes the role of the pattern it came from; later phrases win.
+    """JN-4: the first phrase becomes the role of the pattern it came from; a
+    pattern that has a role keeps it.
 
-    ``phrases``: (seq, label, phrase).
+    ``phrases``: (seq, pos, label, phrase), in the order of ``seq``, ``pos``.
     """
-    latest = phrases.filter(F.col("label").isNotNull()).groupBy("label").agg(
-        F.max_by("phrase", "seq").alias("_new_role"))
-    return patterns.join(latest, "label", "left").withColumn(
-        "abstraction_role", F.coalesce(F.col("_new_role"), F.col("abstraction_role"))).drop("_new_role")
+    first = phrases.filter(F.col("label").isNotNull()).groupBy("label").agg(
+        F.min_by("phrase", F.struct("seq", "pos")).alias("_new_role"))
+    return patterns.join(first, "label", "left").withColumn(
+        "abstraction_role", F.coalesce(F.nullif(F.col("abstraction_role"), F.lit("")), F.col("_new_role"))).drop("_new_role")
 
 
 def stats(patterns: DataFrame) -> DataFrame:

@@ -186,8 +186,12 @@ def detection_by_system(records: DataFrame) -> DataFrame:
 
 
 def scale_windows(records: DataFrame, size: int = 100) -> DataFrame:
-    """WN-1: complete tumbling count windows over ``seq`` (dense, 0-based) per system."""
-    b = F.floor(F.col("seq") / size)
+    """WN-1: complete tumbling count windows in ``seq`` order per system; gaps in ``seq`` do not matter."""
+    from cloakline.operators.running import ordinal
+
+    place = ordinal(records.select("seq").distinct(), ["seq"], "_place")  # every system has every sample
+    records = records.join(place, "seq")
+    b = F.floor((F.col("_place") - 1) / size)
     agg = records.groupBy("system", b.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1"), F.avg("latency_ms").alias("latency_ms"),
         F.avg(F.when(F.col("cache_hits") > 0, 1.0).otherwise(0.0)).alias("cache_hit_rate"))

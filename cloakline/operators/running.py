@@ -109,23 +109,19 @@ def prefix_clamp(df: DataFrame, order: str, stepcol: str, fanout: int = 256) ->
     return out.withColumn("prefix", compose(F.col("ex"), F.col(stepcol))).drop("ex")
 
 
-# Up to this many rows an ordinal comes from one window partition (a proven
-# bound); larger inputs use a distributed sort and a blocked running count.
-ORDINAL_WINDOW_MAX_ROWS = 1_000_000
-
-
 def ordinal(df: DataFrame, order_cols: list[str], name: str = "_ordinal") -> DataFrame:
-    """1-based position of each row in ``order_cols`` order (a total order).
+    """1-based position of each row in ``order_cols`` order (a total order), for any number of rows.
 
-    The input is checkpointed first (it is counted, then ranked), into the
-    shared ``spark.checkpoint.dir``.
+    The rows are range-partitioned once and written, with their partition
+    number, to the shared ``spark.checkpoint.dir``; rows are numbered inside
+    each partition, and the sizes of the partitions before (one row per
+    partition) are added.  Both read the written rows, so they always agree.
     """
     from cloakline.session import cut_lineage
 
-    df = cut_lineage(df)
-    if df.count() <= ORDINAL_WINDOW_MAX_ROWS:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
-    ordered = df.orderBy(*order_cols).withColumn("_oid", F.monotonically_increasing_id()) \
-        .withColumn("_one", F.lit(1).cast("long"))
-    out = running_sums(ordered, [], "_oid", ["_one"])
-    return out.withColumnRenamed("run__one", name).drop("_oid", "_one")
+    ranged = cut_lineage(df.repartitionByRange(*order_cols).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order_cols)))
+    return numbered.join(before, "_part").select(*df.columns, (F.col("_before") + F.col("_nth")).cast("long").alias(name))

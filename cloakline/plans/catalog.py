@@ -30,6 +30,7 @@ from cloakline.sources import replies
 from cloakline.sources.patterns import seed_inline
 
 DEMO_KEY_ID = "demo"
+SPAN_ORDER = 1 << 32  # places between two samples in the order of their spans: no text has as many
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +211,8 @@ def mask_full_encryption(spark, sf_dir):
 
 def mask_offsets(spark, sf_dir):
     n = _notes(spark, sf_dir)
-    o = EV.offsets_system(n, replies.entities(n), _secret(spark))
-    return o.select("doc_id", "masked", F.array_join(F.transform("pred", lambda p: F.concat_ws(":", p["phi_type"], p["span"])), "|").alias("pred"))
+    o = EV.offsets_system(n, replies.entities(n), _secret(spark), ("ner", "pii"))
+    return o.select("system", "doc_id", "masked", F.array_join(F.transform("pred", lambda p: F.concat_ws(":", p["phi_type"], p["span"])), "|").alias("pred"))
 
 
 def mask_sequential(spark, sf_dir):
@@ -473,36 +474,37 @@ def span_feedback(spark, sf_dir):
     v = CT.parse_validation(replies.critic_raw(n), m.select("seq", "doc_id", "cache_hits", enc.alias("encrypted")))
     sp = m.select("doc_id", "seq", F.posexplode_outer("spans").alias("pos", "s")).filter("pos IS NOT NULL")
     sp = sp.join(v.select("doc_id", "leaked_spans", "over_encrypted"), "doc_id").select(
-        (F.col("seq") * 1000 + F.col("pos")).alias("seq"), F.col("s.span").alias("span"),
+        (F.col("seq") * F.lit(SPAN_ORDER) + F.col("pos")).alias("seq"), F.col("s.span").alias("span"),
         F.col("s.label").alias("label"), "leaked_spans", "over_encrypted")
     fb = MEM.feedback_from_spans(sp)
-    out = MEM.apply_feedback(PS.seed_patterns(spark), fb, day="2026-01-01")
+    out = MEM.apply_feedback(PS.seed_patterns(spark), fb, day="2026-01-01", block=SPAN_ORDER << 12)
     return _r(out.select("label", "hits", "misses", "confidence", "promoted"))
 
 
 def role_writeback(spark, sf_dir):
     """JN-4: the replacement chosen for a span found by a role-less pattern
-    becomes that pattern's role; the latest one wins.  A span without a
+    becomes that pattern's role; the first one stays.  A span without a
     phrase gets ``[REDACTED]``, which is written back too (as the reference
     does when its phrase call fails)."""
     n = _notes(spark, sf_dir)
     warm = _warm_patterns(spark, sf_dir)
     m = MJ.mask_corpus(MJ.attach_phrases(n, replies.phrases(n)), PS.inline_patterns(warm, 0.0), _secret(spark),
                        with_phrases=True)
-    ph = m.select("seq", F.explode_outer("spans").alias("s")).filter(
+    ph = m.select("seq", F.posexplode_outer("spans").alias("pos", "s")).filter(
         F.col("s.label").isNotNull() & (F.col("s.action") == "abstract")) \
-        .select("seq", F.col("s.label").alias("label"), F.col("s.replacement").alias("phrase"))
+        .select("seq", "pos", F.col("s.label").alias("label"), F.col("s.replacement").alias("phrase"))
     roleless = warm.filter(F.col("abstraction_role").isNull()).select("label")
     ph = ph.join(roleless, "label", "left_semi")
     return MEM.write_back_roles(warm, ph).select("label", "phi_type", "abstraction_role")
 
 
 def system_fallback(spark, sf_dir):
-    """PRJ-6: every (system, sample) present; missing outputs fall back to the text."""
+    """PRJ-6: every (system, sample) present; the text, without predictions, where a
+    system failed (here on every fifth document) or gave nothing at all."""
     n = _notes(spark, sf_dir)
-    o = _outputs(spark, sf_dir, ("ner",))
+    o = _outputs(spark, sf_dir, ("ner",)).filter(F.col("doc_id") % 5 != 2)
     fb = EV.with_fallback(n, o, ["ner", "absent_system"])
-    return fb.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_if("fallback").alias("n_fallback"))
+    return fb.select("system", "doc_id", "masked", F.size("pred").alias("n_pred"), "fallback")
 
 
 
@@ -541,7 +543,7 @@ def negative_control(spark, sf_dir):
     """The corpus job over ``conversations`` (every turn, whole text): a
     negative control where the seeds should find (almost) nothing."""
     conv = spread(read_table(spark, sf_dir, "conversations"))
-    docs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text") \
+    docs = conv.select((F.shiftleft("conv_id", 32) + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text") \
         .filter(F.col("text").isNotNull())
     m = MJ.mask_corpus(docs, seed_inline(0.75), _secret(spark))
     return m.select("conv_id", "turn", "cache_hits", *M.mask_counts("spans"),

@@ -70,9 +70,9 @@ TOK = lambda d, i, s: "'<<ENC:' || " + token_sql(d, i, s) + " || ':ENC>>'"  # no
 DET = detect_raw_sql() + f""",
 det AS (SELECT doc_id, seq, text, phi_spans, {hits_sql('text')} AS hits, {detections_sql('text', 'raw')} AS dets FROM detect)"""
 
-LABEL_CASE = ("CASE entity_type WHEN 'PERSON' THEN 'PERSON' WHEN 'ORG' THEN 'ORG' WHEN 'GPE' THEN 'LOCATION' "
+LABEL_CASE = ("CASE WHEN system <> 'ner' THEN entity_type ELSE CASE entity_type WHEN 'PERSON' THEN 'PERSON' WHEN 'ORG' THEN 'ORG' WHEN 'GPE' THEN 'LOCATION' "
               "WHEN 'LOC' THEN 'LOCATION' WHEN 'DATE' THEN 'DATE' WHEN 'TIME' THEN 'DATE' WHEN 'CARDINAL' THEN 'AGE' "
-              "WHEN 'MONEY' THEN 'CREDIT_CARD' ELSE entity_type END")
+              "WHEN 'MONEY' THEN 'CREDIT_CARD' ELSE entity_type END END")
 
 ENTITIES = """
 ent0 AS (
@@ -83,11 +83,13 @@ ent0 AS (
        WHEN 1 THEN {'s': strpos(text, phi_spans[2].span) - 1, 'e': strpos(text, phi_spans[2].span) - 1 + length(CAST(10 + doc_id % 90 AS VARCHAR)), 't': 'CARDINAL'}
        WHEN 2 THEN {'s': strpos(text, 'wife') - 1, 'e': strpos(text, 'wife') - 1 + 4, 't': 'NORP'}
        ELSE {'s': strpos(text, phi_spans[5].span) - 1, 'e': strpos(text, phi_spans[5].span) - 1 + 5, 't': 'GPE'}
-     END] AS ents
-  FROM notes),
+     END,
+     CASE doc_id % 3 WHEN 0 THEN {'s': 2, 'e': length(phi_spans[1].span) + 3, 't': 'ORG'}
+       WHEN 1 THEN {'s': 1, 'e': length(phi_spans[1].span) - 1, 't': 'ORG'} END] AS ents
+  FROM notes WHERE doc_id % 11 <> 5),
 entities AS (
-  SELECT 'ner' AS system, doc_id, ents[i].s::INTEGER AS start, ents[i].e::INTEGER AS "end", ents[i].t AS entity_type
-  FROM ent0, range(1, 3) r(i))"""
+  SELECT s.system, doc_id, ents[i].s::INTEGER AS start, ents[i].e::INTEGER AS "end", ents[i].t AS entity_type
+  FROM ent0, range(1, 4) r(i), (VALUES ('ner'), ('pii')) s(system) WHERE ents[i] IS NOT NULL)"""
 
 COLD = f"""
 scanned AS (SELECT doc_id, seq, text, phi_spans, {hits_sql('text')} AS hits FROM notes),
@@ -121,16 +123,21 @@ full_encryption AS (
   FROM fe0)"""
 
 NER = ENTITIES + f""",
+typed AS (SELECT system, doc_id, start AS s, "end" AS e, {LABEL_CASE} AS phi_type FROM entities),
+-- an entity goes if a longer one, or an equally long one further left, overlaps it and is itself kept
+lost1 AS (SELECT DISTINCT a.system, a.doc_id, a.s, a.e, a.phi_type FROM typed a JOIN typed b USING (system, doc_id)
+          WHERE a.s < b.e AND b.s < a.e AND (b.e - b.s > a.e - a.s OR (b.e - b.s = a.e - a.s AND b.s < a.s))),
 ner0 AS (
-  SELECT e.doc_id, list_sort(list({{'k': -e.start, 's': e.start, 'e': e."end", 'phi_type': {LABEL_CASE}}})) AS ents
-  FROM entities e GROUP BY e.doc_id),
-ner AS (
-  SELECT 'ner' AS system, n.doc_id, n.seq, n.text, n.phi_spans,
-    list_reduce(ents, lambda acc, x: substr(acc, 1, x.s) || {TOK('n.doc_id', 'x.s', 'substr(n.text, x.s + 1, x.e - x.s)')}
+  SELECT system, doc_id, list_sort(list({{'k': -s, 's': s, 'e': e, 'phi_type': phi_type}})) AS ents
+  FROM (SELECT * FROM typed EXCEPT SELECT * FROM lost1) GROUP BY system, doc_id),
+offs AS (
+  SELECT g.system, n.doc_id, n.seq, n.text, n.phi_spans,
+    list_reduce(coalesce(ents, []), lambda acc, x: substr(acc, 1, x.s) || {TOK('n.doc_id', 'x.s', 'substr(n.text, x.s + 1, x.e - x.s)')}
         || substr(acc, x.e + 1), n.text) AS masked,
-    list_transform(ents, lambda x: {{'span': substr(n.text, x.s + 1, x.e - x.s), 'phi_type': x.phi_type}}) AS pred,
+    coalesce(list_transform(ents, lambda x: {{'span': substr(n.text, x.s + 1, x.e - x.s), 'phi_type': x.phi_type}}), []) AS pred,
     0 AS cache_hits
-  FROM notes n JOIN ner0 USING (doc_id))"""
+  FROM notes n CROSS JOIN (VALUES ('ner'), ('pii')) g(system) LEFT JOIN ner0 ON ner0.doc_id = n.doc_id AND ner0.system = g.system),
+ner AS (SELECT * FROM offs WHERE system = 'ner')"""
 
 OUTPUTS = COLD + "," + REGEX + "," + FULLENC + "," + NER + """,
 outputs AS (
@@ -190,8 +197,8 @@ FROM m"""
 SQL["mask_regex_baseline"] = with_ctes(NOTES, REGEX) + "SELECT doc_id, masked, len(pred) AS n_pred FROM regex"
 SQL["mask_full_encryption"] = with_ctes(NOTES, FULLENC) + "SELECT doc_id, masked, len(pred) AS n_pred FROM full_encryption"
 SQL["mask_offsets"] = with_ctes(NOTES, NER) + """
-SELECT doc_id, masked, array_to_string(list_transform(pred, lambda p: concat_ws(':', p.phi_type, p.span)), '|') AS pred
-FROM ner"""
+SELECT system, doc_id, masked, array_to_string(list_transform(pred, lambda p: concat_ws(':', p.phi_type, p.span)), '|') AS pred
+FROM offs"""
 
 SQL["mask_sequential"] = with_ctes(NOTES, f"""
 sq AS (SELECT doc_id, list_reduce(list_transform(phi_spans, lambda s, i: {{'span': s.span, 'i': i - 1}}),
@@ -334,8 +341,9 @@ SQL["scale_windows"] = with_ctes(NOTES, COLD, REGEX, """
 outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
             UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM regex)""", RECORDS, """
 rl AS (SELECT r.*, coalesce(e.value, 0.0) AS latency_ms FROM records r LEFT JOIN events e ON e.event_id = r.doc_id),
-w AS (SELECT system, floor(seq / 100) AS bucket, count(*) AS n, avg(f1) AS f1, avg(latency_ms) AS latency_ms,
-        avg(CASE WHEN cache_hits > 0 THEN 1.0 ELSE 0.0 END) AS cache_hit_rate FROM rl GROUP BY ALL)""") + f"""
+rl2 AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY seq) - 1 AS place FROM rl),
+w AS (SELECT system, place // 100 AS bucket, count(*) AS n, avg(f1) AS f1, avg(latency_ms) AS latency_ms,
+        avg(CASE WHEN cache_hits > 0 THEN 1.0 ELSE 0.0 END) AS cache_hit_rate FROM rl2 GROUP BY ALL)""") + f"""
 SELECT system, CAST((bucket + 1) * 100 AS BIGINT) AS step, {R('f1')} AS f1, {R('latency_ms')} AS latency_ms,
   {R('cache_hit_rate')} AS cache_hit_rate
 FROM w WHERE n = 100"""
@@ -553,9 +561,10 @@ SELECT s.label, 48 + coalesce(h, 0) AS hits, 2 + coalesce(m, 0) AS misses,
   true AS promoted
 FROM seeds s LEFT JOIN agg USING (label)"""
 
-SQL["system_fallback"] = with_ctes(NOTES) + """
-SELECT 'ner' AS system, count(*) AS n, 0 AS n_fallback FROM notes
-UNION ALL SELECT 'absent_system', count(*), count(*) FROM notes"""
+SQL["system_fallback"] = with_ctes(NOTES, NER) + """
+SELECT system, doc_id, masked, len(pred) AS n_pred, false AS fallback FROM ner WHERE doc_id % 5 <> 2
+UNION ALL SELECT 'ner', doc_id, text, 0, true FROM notes WHERE doc_id % 5 = 2
+UNION ALL SELECT 'absent_system', doc_id, text, 0, true FROM notes"""
 
 # ====================================================================== one integer type on both sides
 _BIGINT_COLS = {
@@ -625,16 +634,16 @@ SQL["role_writeback"] = with_ctes(NOTES, DET, LEARN, _WARM_PH, f"""
 seedr(i, label, phi_type, role) AS (VALUES {_SEED_ROLES}),
 pats AS (SELECT label, phi_type, role FROM seedr
          UNION ALL SELECT label, phi_type, NULL::VARCHAR FROM learned2 WHERE label NOT IN (SELECT label FROM seedr)),
-ph AS (SELECT w.seq, a.label AS label, a.replacement AS phrase
-       FROM (SELECT seq, unnest(applied) AS a FROM warm_ph) w
+ph AS (SELECT w.seq, w.i, a.label AS label, a.replacement AS phrase
+       FROM (SELECT seq, unnest(applied) AS a, unnest(range(len(applied))) AS i FROM warm_ph) w
        WHERE a.label IS NOT NULL AND a.action = 'abstract'
          AND a.label IN (SELECT label FROM pats WHERE role IS NULL)),
-latest AS (SELECT label, arg_max(phrase, seq) AS new_role FROM ph GROUP BY label)""") + """
-SELECT p.label, p.phi_type, coalesce(l.new_role, p.role) AS abstraction_role
+latest AS (SELECT label, arg_min(phrase, seq * 1000000 + i) AS new_role FROM ph GROUP BY label)""") + """
+SELECT p.label, p.phi_type, coalesce(nullif(p.role, ''), l.new_role) AS abstraction_role
 FROM pats p LEFT JOIN latest l USING (label)"""
 
 SQL["negative_control"] = with_ctes(f"""
-cv AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, text, {hits_sql('text')} AS hits
+cv AS (SELECT (conv_id << 32) + turn AS doc_id, conv_id, turn, text, {hits_sql('text')} AS hits
        FROM conversations WHERE text IS NOT NULL),
 f AS (SELECT conv_id, turn, text, len(hits) AS cache_hits, {mask_fold_sql('text', dedup_sql('hits'), 'doc_id')} AS f FROM cv)""") + """
 SELECT conv_id, turn, cache_hits, len(f.applied) AS span_count,

@@ -60,25 +60,41 @@ def full_encryption_system(samples: DataFrame, secret: Column) -> DataFrame:
     return _out(s, "full_encryption", F.col("_r.masked"), pred, F.lit(0), F.lit(0))
 
 
-def label_map(entities: DataFrame) -> DataFrame:
-    """PRJ-4: mapped entity type, unmapped labels kept (small fixed map, broadcast)."""
+def label_map(entities: DataFrame, mapped: tuple[str, ...] = ("ner",)) -> DataFrame:
+    """PRJ-4: entity types of the ``mapped`` systems in this library's names, unmapped
+    labels and other systems' labels kept (small fixed map, broadcast)."""
     spark = entities.sparkSession
     m = spark.createDataFrame(C.ENTITY_LABEL_MAP, "entity_type string, mapped string")
     return entities.join(F.broadcast(m), "entity_type", "left").withColumn(
-        "phi_type", F.coalesce(F.col("mapped"), F.col("entity_type"))).drop("mapped")
+        "phi_type", F.when(F.col("system").isin(*mapped), F.coalesce("mapped", "entity_type"))
+        .otherwise(F.col("entity_type"))).drop("mapped")
 
 
-def offsets_system(samples: DataFrame, entities: DataFrame, secret: Column) -> DataFrame:
-    """MK-3: recorded entities replaced right to left at their offsets.
+def resolved(entities: Column) -> Column:
+    """Entities without overlaps: the longest first, then the leftmost, each kept if it meets none kept before."""
+    ranked = F.array_sort(F.transform(entities, lambda e: F.struct(
+        (e["start"] - e["end"]).alias("rank"), e["start"].alias("start"), e["end"].alias("end"), e["phi_type"].alias("phi_type"))))
+    kept = F.aggregate(ranked, F.filter(ranked, lambda e: F.lit(False)), lambda done, e: F.when(
+        F.exists(done, lambda k: (k["start"] < e["end"]) & (e["start"] < k["end"])), done).otherwise(F.array_append(done, e)))
+    return F.reverse(F.array_sort(F.transform(kept, lambda e: F.struct(
+        e["start"].alias("start"), e["end"].alias("end"), e["phi_type"].alias("phi_type")))))
 
-    Entities are grouped once per document (bounded by the document) and
-    joined on ``doc_id``.
+
+def offsets_system(samples: DataFrame, entities: DataFrame, secret: Column, systems: tuple[str, ...] = ("ner",),
+                   mapped: tuple[str, ...] = ("ner",)) -> DataFrame:
+    """MK-3: recorded entities replaced right to left at their offsets, one row per sample and system.
+
+    Entities are grouped once per document (bounded by the document), joined on
+    ``doc_id`` (a sample without entities keeps its text), and overlaps are
+    resolved before anything is replaced.  Offsets outside the text are ignored.
     """
-    mapped = label_map(entities)
-    per_doc = mapped.groupBy("system", "doc_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("start")).alias("k"), "start", "end", "phi_type")))
-        .alias("ents"))
-    j = samples.join(per_doc, "doc_id").withColumn("_secret", secret)
+    named = label_map(entities.filter(F.col("system").isin(*systems)), mapped)
+    per_doc = named.groupBy("system", "doc_id").agg(F.collect_list(F.struct("start", "end", "phi_type")).alias("_all"))
+    grid = samples.withColumn("system", F.explode(F.array(*[F.lit(x) for x in systems])))
+    j = grid.join(per_doc, ["system", "doc_id"], "left").withColumn("_secret", secret)
+    inside = F.filter(F.coalesce("_all", F.array().cast("array<struct<start:int,end:int,phi_type:string>>")),
+                      lambda e: (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= F.length("text")))
+    j = j.withColumn("_in", inside).withColumn("ents", resolved(F.col("_in")))
     items = F.transform("ents", lambda e: F.struct(
         e["start"].alias("start"), e["end"].alias("end"),
         token_text(M.token_id(F.col("_secret"), F.col("doc_id"), e["start"],
@@ -86,9 +102,8 @@ def offsets_system(samples: DataFrame, entities: DataFrame, secret: Column) -> D
     masked = M.fold_at_offsets(F.col("text"), items)
     pred = F.transform("ents", lambda e: F.struct(
         F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"]).alias("span"), e["phi_type"].alias("phi_type")))
-    out = j.select(F.col("system").alias("_sys"), "*")
-    return out.select(F.col("_sys").alias("system"), "doc_id", "seq", "text", "phi_spans", masked.alias("masked"),
-                      pred.cast(PRED_T).alias("pred"), F.lit(0).alias("cache_hits"), F.lit(0).alias("cache_misses"))
+    return j.select("system", "doc_id", "seq", "text", "phi_spans", masked.alias("masked"),
+                    pred.cast(PRED_T).alias("pred"), F.lit(0).alias("cache_hits"), F.lit(0).alias("cache_misses"))
 
 
 def records(outputs: DataFrame, latency: DataFrame | None = None) -> DataFrame:

@@ -53,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         base = configured
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     else:
         base = _SCRATCH.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="cloakline-ckpt-"))
     if sc.getCheckpointDir() is None:

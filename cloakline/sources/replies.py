@@ -47,7 +47,7 @@ def detect_raw(notes: DataFrame) -> DataFrame:
     )
     w = k % 5
     raw = (F.when(w == 0, F.concat(_lit("```json\n"), items, _lit("\n```")))
-           .when(w == 1, F.concat(_lit("["), F.expr("chr(1)"), F.substring(items, 2, 1 << 20)))
+           .when(w == 1, F.concat(_lit("["), F.expr("chr(1)"), F.substr(items, F.lit(2))))
            .when(w == 2, F.substring(items, F.lit(1), F.length(items) - 1))
            .otherwise(items))
     return notes.select("doc_id", _lit("detect").alias("kind"), raw.alias("raw"))
@@ -98,9 +98,14 @@ def entities(notes: DataFrame) -> DataFrame:
               .when(v == 1, F.struct(pos(p["age_old"]).alias("start"), (pos(p["age_old"]) + F.length(age)).alias("end"), _lit("CARDINAL").alias("t")))
               .when(v == 2, F.struct(pos(_lit("wife")).alias("start"), (pos(_lit("wife")) + 4).alias("end"), _lit("NORP").alias("t")))
               .otherwise(F.struct(pos(p["zip"]).alias("start"), (pos(p["zip"]) + 5).alias("end"), _lit("GPE").alias("t"))))
-    rows = notes.select("doc_id", F.array(
-        F.struct(F.lit(0).alias("start"), F.length(name).alias("end"), _lit("PERSON").alias("t")), second).alias("e"))
-    return rows.select(_lit("ner").alias("system"), "doc_id", F.explode("e").alias("x")).select(
+    # every third document has an entity that overlaps the name and is longer, every other third a shorter one
+    third = (F.when(k % 3 == 0, F.struct(F.lit(2).alias("start"), (F.length(name) + 3).alias("end"), _lit("ORG").alias("t")))
+             .when(k % 3 == 1, F.struct(F.lit(1).alias("start"), (F.length(name) - 1).alias("end"), _lit("ORG").alias("t"))))
+    rows = notes.filter(k % 11 != 5).select("doc_id", F.array(  # some documents have none
+        F.struct(F.lit(0).alias("start"), F.length(name).alias("end"), _lit("PERSON").alias("t")), second, third).alias("e"))
+    found = rows.select("doc_id", F.explode(F.filter("e", lambda x: x.isNotNull())).alias("x")).select(
+        "doc_id", F.explode(F.array(_lit("ner"), _lit("pii"))).alias("system"), "x")
+    return found.select(
         "system", "doc_id", F.col("x.start").cast("int").alias("start"), F.col("x.end").cast("int").alias("end"),
         F.col("x.t").alias("entity_type"))
 

@@ -4,8 +4,10 @@ Every micro-batch runs the batch operators unchanged inside
 ``foreachBatch``.  Writes go to paths keyed by the batch id with overwrite
 mode, so a replayed batch (after an executor or driver loss) rewrites the
 same output instead of duplicating it.  The pattern table and the control
-parameters are versioned tables: a batch reads the latest version written
-before it and writes version ``batch_id + 1``.
+parameters are versioned tables with a lineage for each run (the checkpoint
+name): batch N of a run reads that run's highest version up to N, or the seeds
+when it has none, and writes version N + 1.  So a batch that is replayed reads
+what it read before, and another run neither reads nor overwrites it.
 
 Checkpoints live under ``spark.checkpoint.dir`` (the shared folder the
 cluster names); a local scratch folder is registered only when the setting
@@ -35,30 +37,37 @@ def _ckpt(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", name)
 
 
-def _latest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest ``version=N`` folder under ``root`` (listing through Hadoop FS)."""
-    try:
-        df = spark.read.parquet(root)
-    except Exception:
-        return None
-    if "version" not in df.columns:
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, in whatever store it names; every other failure is an error."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def read_version(spark: SparkSession, root: str, run: str, upto: int | None = None) -> DataFrame | None:
+    """The run's table of the highest version (up to ``upto``, if given), or None when it has none."""
+    path = f"{root}/run={run}"
+    if not _exists(spark, path):
         return None
-    v = df.agg(F.max("version")).first()[0]
-    return None if v is None else int(v)
+    versions = spark.read.parquet(path)
+    if upto is not None:
+        versions = versions.filter(F.col("version") <= upto)
+    last = versions.agg(F.max("version")).first()[0]
+    return None if last is None else versions.filter(F.col("version") == last).drop("version")
+
+
+def write_version(table: DataFrame, root: str, run: str, version: int) -> None:
+    table.write.mode("overwrite").parquet(f"{root}/run={run}/version={version}")
 
 
-def read_patterns(spark: SparkSession, root: str | None) -> DataFrame:
-    """Latest pattern-table version, or the seed table when none exists yet."""
-    if root:
-        v = _latest_version(spark, root)
-        if v is not None:
-            return spark.read.parquet(root).filter(F.col("version") == v).drop("version")
-    return PS.seed_patterns(spark)
+def read_patterns(spark: SparkSession, root: str | None, run: str = "memory", upto: int | None = None) -> DataFrame:
+    """The pattern table of a memory run, or the seed table when it has written none yet."""
+    found = read_version(spark, root, run, upto) if root else None
+    return PS.seed_patterns(spark) if found is None else found
 
 
 def mask_stream(spark: SparkSession, source_dir: str, out_dir: str, keys: DataFrame, key_id: str,
                 patterns_root: str | None = None, min_confidence: float = 0.75, name: str = "mask",
-                available_now: bool = True, schema: str = DOC_SCHEMA):
+                available_now: bool = True, schema: str = DOC_SCHEMA, patterns_run: str = "memory"):
     """SM-1: mask every arriving document; masked rows and vault rows per batch.
 
     The pattern table is read per micro-batch (a static side would be frozen
@@ -69,7 +78,7 @@ def mask_stream(spark: SparkSession, source_dir: str, out_dir: str, keys: DataFr
 
     def run(batch: DataFrame, batch_id: int) -> None:
         bspark = batch.sparkSession
-        pats = PS.inline_patterns(read_patterns(bspark, patterns_root), min_confidence)
+        pats = PS.inline_patterns(read_patterns(bspark, patterns_root, patterns_run), min_confidence)
         key = M.key_column(keys, key_id)
         docs = batch.select("doc_id", F.col("doc_id").alias("seq"), "text")
         masked = MJ.mask_corpus(docs, pats, F.hex(key)).persist()
@@ -97,7 +106,8 @@ def validate_stream(spark: SparkSession, masked_dir: str, replies: DataFrame, ou
     def run(batch: DataFrame, batch_id: int) -> None:
         enc = F.transform(F.filter("spans", lambda s: s["action"] == "encrypt"), lambda s: s["span"])
         docs = batch.select("seq", "doc_id", "cache_hits", enc.alias("encrypted"))
-        v = CT.reward_columns(CT.parse_validation(replies, docs))
+        own = replies.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # not the whole reply table
+        v = CT.reward_columns(CT.parse_validation(own, docs))
         # the processed spans travel with the validation (the focus list needs their types)
         typed = batch.select("doc_id", F.transform("spans", lambda s: F.struct(
             s["span"].alias("span"), s["phi_type"].alias("phi_type"))).alias("spans"))
@@ -112,16 +122,14 @@ def memory_stream(spark: SparkSession, feedback_dir: str, patterns_root: str, na
                   available_now: bool = True, schema=S.FEEDBACK):
     """SM-3: pattern memory evolving with a feedback stream ``(seq, label, correct)``.
 
-    Per batch: latest version -> AG-14/WN-3 -> prune -> cap -> version N+1.
+    Per batch N: version up to N -> AG-14/WN-3 -> prune -> cap -> version N+1.
     """
     src = spark.readStream.schema(schema).parquet(feedback_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         bspark = batch.sparkSession
-        current = read_patterns(bspark, patterns_root)
-        nxt = MEM.cap(MEM.prune(MEM.apply_feedback(current, batch)))
-        nxt.withColumn("version", F.lit(batch_id + 1)).write.mode("overwrite").parquet(
-            f"{patterns_root}/version={batch_id + 1}")
+        current = read_patterns(bspark, patterns_root, name, batch_id)
+        write_version(MEM.cap(MEM.prune(MEM.apply_feedback(current, batch))), patterns_root, name, batch_id + 1)
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, name))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -132,11 +140,12 @@ def params_stream(spark: SparkSession, validation_dir: str, params_root: str, na
                   available_now: bool = True, schema=None):
     """SM-4: control parameters evolving with a validation stream.
 
-    A batch folds its validations (WN-5) starting from the previous version
-    and appends version N+1 with the final values; ``seq`` is re-based to a
-    dense 0-based order inside the batch.  When the validations carry their
-    processed spans (``validate_stream`` output), the focus list (WN-4) is
-    carried across batches as well.
+    A batch folds its validations (WN-5) starting from the version before it
+    and appends version N+1 with the final values (the same values if the
+    batch is empty); ``seq`` is re-based to a dense 0-based order inside the
+    batch.  When the validations carry their processed spans
+    (``validate_stream`` output), the focus list (WN-4) is carried across
+    batches as well.
     """
     # the files' own schema by default (validations may carry their spans)
     schema = schema or spark.read.parquet(validation_dir).schema
@@ -144,17 +153,15 @@ def params_stream(spark: SparkSession, validation_dir: str, params_root: str, na
 
     def run(batch: DataFrame, batch_id: int) -> None:
         bspark = batch.sparkSession
-        prev = None
-        v = _latest_version(bspark, params_root)
-        if v is not None:
-            prev = bspark.read.parquet(params_root).filter(F.col("version") == v).first()
+        before = read_version(bspark, params_root, name, batch_id)
+        prev = before.first() if before is not None else None
         s0 = prev["sensitivity"] if prev else C.SENSITIVITY_DEFAULT
         m0 = prev["min_confidence"] if prev else C.MIN_CONFIDENCE_DEFAULT
-        f0 = list(prev["phi_types_focus"] or []) if prev and "phi_types_focus" in prev.asDict() else []
+        f0 = list(prev["phi_types_focus"] or []) if prev else []
         from cloakline.operators.running import ordinal
         dense = ordinal(batch, ["seq"]).withColumn("seq", (F.col("_ordinal") - 1).cast("long"))
         trace = CT.param_trace(dense, s0, m0)
-        last = trace.orderBy(F.col("seq").desc()).limit(1).first()
+        last = trace.orderBy(F.col("seq").desc()).limit(1).first() or {"sensitivity": s0, "min_confidence": m0}
         focus = f0
         if "spans" in batch.columns:
             # WN-4 across batches: the previous list continues until a clean
@@ -163,12 +170,11 @@ def params_stream(spark: SparkSession, validation_dir: str, params_root: str, na
                 .select("doc_id", "pos", F.col("s.span").alias("span"), F.col("s.phi_type").alias("phi_type"))
             ft = CT.focus_trace(dense, spans).orderBy(F.col("seq").desc()).limit(1).first()
             any_clean = dense.filter("is_clean").limit(1).count() > 0
-            tail = list(ft["phi_types_focus"] or [])
+            tail = list(ft["phi_types_focus"] or []) if ft else []
             focus = tail if any_clean else f0 + [t for t in tail if t not in f0]
-        row = [(batch_id + 1, float(last["sensitivity"]), focus, float(last["min_confidence"]))]
-        bspark.createDataFrame(row, "version long, sensitivity double, phi_types_focus array<string>, "
-                                    "min_confidence double").write.mode("overwrite").parquet(
-            f"{params_root}/version={batch_id + 1}")
+        row = [(float(last["sensitivity"]), focus, float(last["min_confidence"]))]
+        write_version(bspark.createDataFrame(row, "sensitivity double, phi_types_focus array<string>, min_confidence double"),
+                      params_root, name, batch_id + 1)
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, name))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

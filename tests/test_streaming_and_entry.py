@@ -46,11 +46,20 @@ def test_memory_and_params_streams(spark):
     v = p.agg(F.max("version")).first()[0]
     row = p.filter((F.col("version") == v) & (F.col("label") == "SSN_standard")).collect()[0]
     assert row.hits == 48 + 32 and row.misses == 2 + 8
+    # another run (a new checkpoint name) starts from the seeds and leaves the first run's versions alone
+    ST.memory_stream(spark, root + "/fb", root + "/patterns", name="t_mem2").awaitTermination()
+    again = {run: ST.read_patterns(spark, root + "/patterns", run).filter("label = 'SSN_standard'").first().hits
+             for run in ("t_mem", "t_mem2", "t_none")}
+    assert again == {"t_mem": 80, "t_mem2": 80, "t_none": 48}
+    # a batch reads the version before it, so writing its own twice changes nothing
+    assert ST.read_patterns(spark, root + "/patterns", "t_mem", 0).filter("label = 'SSN_standard'").first().hits == 48
     val = spark.createDataFrame([(i, i, i % 3 != 0, True, True, [] if i % 3 else ["x"], [], 0) for i in range(30)],
                                 S.VALIDATION)
     val.write.parquet(root + "/val")
     ST.params_stream(spark, root + "/val", root + "/params", name="t_params").awaitTermination()
     assert spark.read.parquet(root + "/params").count() >= 1
+    spark.createDataFrame([], S.VALIDATION).write.parquet(root + "/val0")
+    ST.params_stream(spark, root + "/val0", root + "/params0", name="t_params0").awaitTermination()
     # focus list across a batch: leaks after the last clean validation, first-seen order
     from pyspark.sql import types as T
     vs = T.StructType(S.VALIDATION.fields + [T.StructField("spans", T.ArrayType(T.StructType([

@@ -7,7 +7,9 @@ the SQL twin in ``catalog_sql``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakline.functions.text import route
@@ -15,7 +17,7 @@ from cloakline.operators import mask as M
 from cloakline.operators import scan as SC
 from cloakline.operators import spans as SP
 from cloakline.plans import mask_job as MJ
-from cloakline.session import read_table, spread
+from cloakline.session import checkpoint_dir, read_table, spread
 from cloakline.sources import corpus
 from cloakline.functions.text import exact_leakage as leak_expr
 from cloakline.functions.text import quasi_from_tokens, token_set, tokens, utility, utility_from_tokens
@@ -303,6 +305,58 @@ def micro_macro(spark, sf_dir):
     return _r(MT.micro_macro(rec))
 
 
+def evaluation_records(spark, sf_dir):
+    """PRJ-5 / SNK-1: the runner's record of each sample, failed samples named in ``error``."""
+    n = _notes(spark, sf_dir)
+    m = _masked(spark, n)
+    gt = F.transform("phi_spans", lambda s: s["span"])
+    pr = F.transform("spans", lambda s: s["span"])
+    rec = m.select("doc_id", "seq", F.length("text").alias("text_len"), F.size("phi_spans").alias("gt_count"),
+                   *M.mask_counts("spans"), MT.exact_record(gt, pr).alias("m"), utility(F.col("text"), F.col("masked")).alias("utility"),
+                   "cache_hits", "cache_misses", "masked",
+                   F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty text").alias("error"))
+    val = CT.reward_columns(CT.parse_validation(replies.critic_raw(n), _critic_docs(spark, sf_dir)))
+    rec = rec.join(val.select("doc_id", "is_clean", "total_reward"), "doc_id", "left")
+    return _r(rec.select("doc_id", "seq", "text_len", "gt_count", "span_count", "encrypted_count", "abstracted_count", "m.tp", "m.fp",
+                         "m.fn", "m.precision", "m.recall", "m.f1", "utility", "cache_hits", "cache_misses", "is_clean",
+                         F.coalesce("total_reward", F.lit(0.0)).alias("total_reward"), "masked", "error"))
+
+
+def system_latency(spark, sf_dir):
+    """Measured latency per system: mean, 95th percentile, least."""
+    rec = EV.records(_outputs(spark, sf_dir, ("cold", "regex")), _latency(spark, sf_dir))
+    return _r(rec.groupBy("system").agg(F.avg("latency_ms").alias("mean_ms"), F.percentile("latency_ms", 0.95).alias("p95_ms"),
+                                        F.min("latency_ms").alias("min_ms"), F.count(F.lit(1)).alias("n")))
+
+
+def mean_latencies(spark, sf_dir):
+    """AG-13: mean latency over all sentences, and over those that were validated."""
+    n = _notes(spark, sf_dir).select("doc_id").join(_latency(spark, sf_dir), "doc_id", "left")
+    seen = replies.critic_raw(_notes(spark, sf_dir)).filter(
+        (F.col("kind") == "leakage") & F.col("raw").startswith("{")).select("doc_id").distinct()
+    j = n.join(seen.withColumn("_seen", F.lit(True)), "doc_id", "left")
+    lat = F.coalesce("latency_ms", F.lit(0.0))
+    return _r(j.agg(F.count(F.lit(1)).alias("n"), F.avg(lat).alias("avg_latency_ms"), F.count("_seen").alias("n_validated"),
+                    F.avg(F.when(F.col("_seen"), lat)).alias("avg_validated_ms")))
+
+
+def report_by_type(spark, sf_dir):
+    """SC-20: the per-type table as the report prints it, three places, with its place by support."""
+    t = EV.per_type_exact(_outputs(spark, sf_dir, ("cold",)))
+    place = F.row_number().over(Window.orderBy(F.col("support").desc(), "phi_type"))  # one row per type
+    return t.select(place.alias("place"), "phi_type", *[F.round(c, 3).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def pattern_state(spark, sf_dir):
+    """MK-11 with SNK-6: learn, insert, feedback, promote, prune, cap, written as a table and read back."""
+    pats, fb = _event_feedback(spark, sf_dir, True)
+    table = MEM.insert_if_absent(_warm_patterns(spark, sf_dir), pats)
+    out = MEM.cap(MEM.prune(MEM.apply_feedback(table, fb, day="2026-01-01")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pattern-state-{uuid.uuid4().hex}"
+    out.write.parquet(path)
+    return _r(spark.read.parquet(path).select("label", "hits", "misses", "confidence", "promoted"))
+
+
 def security_by_system(spark, sf_dir):
     return _r(MT.security_by_system(EV.records(_outputs(spark, sf_dir))))
 
@@ -593,6 +647,11 @@ QUERIES = {
     "micro_macro": micro_macro,
     "security_by_system": security_by_system,
     "detection_by_system": detection_by_system,
+    "evaluation_records": evaluation_records,
+    "system_latency": system_latency,
+    "mean_latencies": mean_latencies,
+    "report_by_type": report_by_type,
+    "pattern_state": pattern_state,
     "latency_stats": latency_stats,
     "scale_windows": scale_windows,
     "critic_reward": critic_reward,

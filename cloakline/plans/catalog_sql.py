@@ -383,6 +383,37 @@ SELECT n_samples, tp, fp, fn, {R('macro_precision')} AS macro_precision, {R('mac
   {R('avg_utility_score')} AS avg_utility_score, {R('avg_reward')} AS avg_reward, {R('cache_hit_rate')} AS cache_hit_rate
 FROM b"""
 
+SQL["evaluation_records"] = with_ctes(NOTES, COLD, CRITIC_DOCS, critic_raw_sql(), validation_sql("cdocs"), """
+e0 AS (SELECT *, list_distinct(list_transform(phi_spans, lambda s: s.span)) AS g,
+         list_distinct(list_transform(pred, lambda s: s.span)) AS p FROM cold),
+e1 AS (SELECT *, len(list_intersect(g, p)) AS tp, len(list_filter(p, lambda x: NOT list_contains(g, x))) AS fp,
+         len(list_filter(g, lambda x: NOT list_contains(p, x))) AS fn FROM e0),
+e2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 1.0::DOUBLE END AS precision,
+         CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 1.0::DOUBLE END AS recall FROM e1)""") + f"""
+SELECT e.doc_id, e.seq, length(text) AS text_len, len(phi_spans) AS gt_count, len(applied) AS span_count,
+  len(list_filter(applied, lambda a: a.action = 'encrypt')) AS encrypted_count,
+  len(list_filter(applied, lambda a: a.action = 'abstract')) AS abstracted_count, tp, fp, fn,
+  {R('precision')} AS precision, {R('recall')} AS recall,
+  {R('CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END')} AS f1,
+  {R(utility_sql("text", "masked"))} AS utility, e.cache_hits, 0 AS cache_misses, v.is_clean,
+  {R('coalesce(v.total_reward, 0.0)')} AS total_reward, masked,
+  CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty text' END AS error
+FROM e2 e LEFT JOIN valr v USING (doc_id)"""
+
+SQL["system_latency"] = with_ctes(NOTES, COLD, REGEX) + f"""
+SELECT system, {R('avg(l)')} AS mean_ms, {R('quantile_cont(l, 0.95)')} AS p95_ms, {R('min(l)')} AS min_ms, count(*) AS n
+FROM (SELECT system, coalesce(e.value, 0.0) AS l FROM (SELECT system, doc_id FROM cold UNION ALL SELECT system, doc_id FROM regex) s
+      LEFT JOIN events e ON e.event_id = s.doc_id) GROUP BY system"""
+
+SQL["mean_latencies"] = with_ctes(NOTES, critic_raw_sql()) + f"""
+SELECT count(*) AS n, {R('avg(l)')} AS avg_latency_ms, count_if(seen) AS n_validated, {R('avg(l) FILTER (WHERE seen)')} AS avg_validated_ms
+FROM (SELECT coalesce(e.value, 0.0) AS l, n.doc_id IN (SELECT doc_id FROM critic WHERE starts_with(leakage, '{{')) AS seen
+      FROM notes n LEFT JOIN events e ON e.event_id = n.doc_id)"""
+
+SQL["report_by_type"] = f"""
+SELECT row_number() OVER (ORDER BY support DESC, phi_type) AS place, phi_type, round(precision, 3) AS precision,
+  round(recall, 3) AS recall, round(f1, 3) AS f1, support FROM ({SQL["per_type_exact"]})"""
+
 EVENT_VAL = """
 ev AS (
   SELECT event_id AS seq, event_id AS doc_id, event_type <> 'error' AS is_clean,
@@ -499,6 +530,17 @@ UNION ALL
 SELECT label, CAST((SELECT coalesce(max(pattern_seq), -1) FROM learned2) + row_number() OVER (ORDER BY i, label) AS INTEGER),
   phi_type, 48::BIGINT, 2::BIGINT, 0.96::DOUBLE, true FROM fresh"""
 
+SQL["pattern_state"] = with_ctes(NOTES, DET, LEARN, _feedback_sql(True), f"""
+seeds(i, label, phi_type) AS (VALUES {_SEEDS_VALUES}),
+table0 AS (SELECT label, 48 AS hits, 2 AS misses, 0.96::DOUBLE AS confidence, true AS promoted, 0 AS part, i AS place FROM seeds
+  UNION ALL SELECT label, 0, 0, 0.5, false, 1, pattern_seq FROM learned2 WHERE label NOT IN (SELECT label FROM seeds)
+  UNION ALL SELECT label, hits, misses, confidence, promoted, 2, first_seq FROM fbk),
+pr AS (SELECT * FROM table0 WHERE NOT (confidence < 0.40 AND hits + misses > 10)),
+rk AS (SELECT *, count(*) OVER () AS total,
+         row_number() OVER (PARTITION BY promoted ORDER BY confidence, part, place) AS rnk FROM pr)""") + f"""
+SELECT label, hits::BIGINT AS hits, misses::BIGINT AS misses, {R('confidence')} AS confidence, promoted FROM rk
+WHERE promoted OR rnk > greatest(total - 200, 0)"""
+
 SQL["memory_growth"] = with_ctes(_feedback_sql(False), """
 steps AS (SELECT range AS b FROM range(0, (SELECT max(seq) FROM fb) // 50 + 1)),
 labs AS (SELECT DISTINCT label FROM fb),

@@ -19,6 +19,8 @@ QUERIES = {
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_suffix_array_dedup": suffix_dedup.SQL,
     "op7_mix_sources": mixing.SQL,
+    "op8_minhash_near_dedup": near_dedup.SQL,
     "op9_warc": warc.SQL,
 }

@@ -45,16 +45,6 @@ def strip(x) -> Column:
     return F.trim(_c(x), F.lit(WHITESPACE_CHARS))
 
 
-def find(span, text) -> Column:
-    """SC-4: 0-based first position of ``span`` in ``text``; -1 if absent."""
-    return F.instr(_c(text), _c(span)) - 1
-
-
-def splice(text, pos1, span_len, replacement) -> Column:
-    """SC-5: replace ``span_len`` characters at 1-based ``pos1``."""
-    return F.overlay(_c(text), _c(replacement), _c(pos1), _c(span_len))
-
-
 def utility_from_tokens(orig_tokens, masked_set) -> Column:
     """SC-7 on pre-computed token columns (original token list, masked token set)."""
     o = F.array_distinct(_c(orig_tokens))
@@ -94,16 +84,6 @@ def quasi_risk(original, masked) -> Column:
     return quasi_from_tokens(tokens(original), token_set(masked))
 
 
-def spans_overlap(pred, gt) -> Column:
-    """SC-8: a shared lower-case token, or either text contains the other."""
-    p, g = _c(pred), _c(gt)
-    return (
-        F.coalesce(F.arrays_overlap(token_set(p), token_set(g)), F.lit(False))
-        | F.contains(g, p)
-        | F.contains(p, g)
-    )
-
-
 def exact_leakage(masked, gt_spans) -> Column:
     """SC-12: some non-empty truth text occurs verbatim in the masked text."""
     m = _c(masked)
@@ -130,11 +110,6 @@ def token_text(token_id) -> Column:
 TOKEN_REGEX = r"<<ENC:([^:]+):ENC>>"
 
 
-def token_ids(text) -> Column:
-    """SC-15 inverse: every token id in a text, in order."""
-    return F.regexp_extract_all(_c(text), F.lit(TOKEN_REGEX), 1)
-
-
 def learned_label(phi_type, span) -> Column:
     """SC-16: type + ``_`` + first 8 characters with spaces as ``_``."""
     return F.concat(
@@ -143,11 +118,6 @@ def learned_label(phi_type, span) -> Column:
     )
 
 
-def normalize_type(x) -> Column:
-    """PRJ-2: upper case, ``UNKNOWN`` when missing."""
-    return F.upper(F.coalesce(_c(x), F.lit(C.UNKNOWN_TYPE)))
-
-
 def route(phi_type) -> Column:
     """PRJ-1: encrypt set decides; everything else is abstracted."""
     return F.when(F.upper(_c(phi_type)).isin(*C.ENCRYPT_TYPES), F.lit("encrypt")).otherwise(F.lit("abstract"))

@@ -87,15 +87,6 @@ def exact_record(gt_texts, pred_texts) -> Column:
                     r.alias("recall"), f.alias("f1"))
 
 
-def security_columns(text, masked, gt_texts) -> list[Column]:
-    """SC-7, SC-9, SC-12 per sample."""
-    return [
-        F.when(exact_leakage(masked, gt_texts), 1).otherwise(0).alias("leakage"),
-        quasi_risk(text, masked).alias("quasi_risk"),
-        utility(text, masked).alias("utility"),
-    ]
-
-
 # ------------------------------------------------------------- per type
 def type_long(df: DataFrame, spans_col: str, side: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Explode ``(span, phi_type)`` structs to distinct ``(keys, phi_type, span)`` rows."""
@@ -199,12 +190,6 @@ def scale_windows(records: DataFrame, size: int = 100) -> DataFrame:
         "system", ((F.col("bucket") + 1) * size).alias("step"), "f1", "latency_ms", "cache_hit_rate")
 
 
-def recovered(gt_texts, guesses) -> Column:
-    """JN-7: truth spans for which some guess shares a token."""
-    g = F.filter(_c(gt_texts), lambda x: x != "")
-    return F.size(F.filter(g, lambda t: F.exists(_c(guesses), lambda q: shares_token(q, t))))
-
-
 def recovered_tokens(gt_sets, guess_sets) -> Column:
     """JN-7 on token sets: truth spans sharing a token with some guess.
 

@@ -21,7 +21,6 @@ SPAN_TYPE = (
 
 # --- FIXED VALUES: reply clean-up expressions ---
 FENCE = r"```json|```"
-FENCE_BLOCK = r"(?s)```.*?```"
 CTRL_DROP = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 CTRL_ALL = r"[\x00-\x1f\x7f]"
 STRAY_BACKSLASH = r"""\\(?!["\\/bfnrtu])"""
@@ -153,7 +152,3 @@ def skip_detector(hits) -> Column:
     """FLT-4: at least two promoted hits (counted, not distinct) -> skip the detector."""
     return F.size(F.filter(hits, lambda h: h["promoted"])) >= 2
 
-
-def parse_replies(replies: DataFrame, kind: str) -> DataFrame:
-    """Rows of one reply kind; the raw text stays, parsing is per operator."""
-    return replies.filter(F.col("kind") == kind).select("doc_id", "raw")

@@ -29,19 +29,6 @@ def _out(df: DataFrame, system: str, masked: Column, pred: Column, hits: Column,
                      hits.cast("int").alias("cache_hits"), misses.cast("int").alias("cache_misses"))
 
 
-def memory_system(samples: DataFrame, patterns: list[InlinePattern], secret: Column, name: str,
-                    replies: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
-    """Seed-only (cold) or learned (warm) pattern memory, optional detector replies."""
-    docs = samples
-    if replies is not None:
-        docs = MJ.attach_detections(docs, replies)
-    if phrases is not None:
-        docs = MJ.attach_phrases(docs, phrases)
-    m = MJ.mask_corpus(docs, patterns, secret, with_detections=replies is not None, with_phrases=phrases is not None)
-    pred = F.transform("spans", lambda s: F.struct(s["span"].alias("span"), s["phi_type"].alias("phi_type")))
-    return _out(m, name, F.col("masked"), pred, F.col("cache_hits"), F.col("cache_misses"))
-
-
 def regex_system(samples: DataFrame, patterns: list[InlinePattern], secret: Column) -> DataFrame:
     """MK-4: every seed, no threshold, duplicates kept in the predictions."""
     s = SC.scan(samples, patterns, offsets=True).withColumn("_secret", secret)

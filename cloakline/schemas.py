@@ -108,5 +108,4 @@ FLUENCY_REPLY = T.StructType([
 OVERENC_REPLY = T.StructType([
     T.StructField("over_encrypted", T.ArrayType(T.StringType())),
     T.StructField("is_accurate", T.BooleanType()),
-])
-GUESS_REPLY = T.ArrayType(T.StringType())
+])
\ No newline at end of file

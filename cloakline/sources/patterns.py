@@ -68,15 +68,20 @@ def with_validity(patterns: DataFrame) -> DataFrame:
 
     ``try_reflect`` runs ``Pattern.matches(regex, '')`` on the executors:
     null means the regex does not compile, 'true' means it accepts the
-    empty string (which would make match offsets ambiguous).
+    empty string (which would make match offsets ambiguous).  Regexes such as
+    ``\\b`` that match no characters inside a text are found with a sample text.
     """
     probe = F.expr("try_reflect('java.util.regex.Pattern', 'matches', regex, '')")
+    # a match of no characters leaves as much text after it as before it (regexes with back references aside)
+    inside = F.when(~F.col("regex").rlike(r"\\[1-9]"), F.expr(
+        r"""try_reflect('java.util.regex.Pattern', 'matches', concat('(?s)(.*)(?=(.*)$)(?:', regex, ')(?=\\2$).*'), 'Ab 1-2.')"""))
+    patterns = patterns.withColumn("_inside", inside)
     return patterns.withColumn("_probe", probe).withColumn(
         "reject_reason",
         F.when(F.col("regex").isNull(), F.lit("null regex"))
         .when(F.col("_probe").isNull(), F.lit("does not compile"))
-        .when(F.col("_probe") == "true", F.lit("matches empty string")),
-    ).drop("_probe")
+        .when((F.col("_probe") == "true") | (F.col("_inside") == "true"), F.lit("matches empty string")),
+    ).drop("_probe", "_inside")
 
 
 def valid_patterns(patterns: DataFrame) -> DataFrame:
@@ -88,12 +93,6 @@ def quarantine(patterns: DataFrame) -> DataFrame:
     return with_validity(patterns).filter(F.col("reject_reason").isNotNull())
 
 
-def ranked(patterns: DataFrame) -> DataFrame:
-    """SO-1: promoted first, confidence descending, insertion order on ties."""
-    w = Window.orderBy(F.col("promoted").desc(), F.col("confidence").desc(), F.col("pattern_seq").asc())
-    return patterns.withColumn("pattern_rank", F.row_number().over(w))
-
-
 def inline_patterns(patterns: DataFrame, min_confidence: float | None = None,
                     engine: str = "jvm") -> list[InlinePattern]:
     """FLT-3 + FLT-9 + SO-1, then the bounded driver read used by the scan.

@@ -121,7 +121,3 @@ def guess_raw_column(masked: Column) -> Column:
         F.concat(_lit('["'), F.array_join(vals, '", "'), _lit('"]')))
     return F.concat(_lit("Here is my list: "), arr, _lit(" and more [x]"))
 
-
-def guesses_raw(masked: DataFrame) -> DataFrame:
-    """kind='guess' replies as a table ``(system, doc_id, kind, raw)``."""
-    return masked.select("system", "doc_id", _lit("guess").alias("kind"), guess_raw_column(F.col("masked")).alias("raw"))

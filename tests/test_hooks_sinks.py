@@ -162,3 +162,12 @@ def test_first_n_and_missing_pattern_table(spark):
     assert [r.seq for r in top] == [0, 1, 2, 3, 4]
     assert PS.load_patterns(spark, tempfile.mkdtemp(prefix="cloakline-np-") + "/absent").count() == 0
     assert PS.load_patterns(spark, None).count() == 0
+
+
+def test_patterns_that_match_nothing_inside_a_text_are_rejected(spark):
+    from cloakline.sources import patterns as PS
+    regexes = [r"\b", r"(?=\d)", "x*", r"\d+", r"\bMRN\b", "[", r"(a)\1", r"(?<=-)\d"]
+    df = spark.createDataFrame([(r,) for r in regexes], "regex string")
+    got = {r.regex: r.reject_reason for r in PS.with_validity(df).collect()}
+    assert {k for k, v in got.items() if v is None} == {r"\d+", r"\bMRN\b", r"(a)\1", r"(?<=-)\d"}
+    assert got["["] == "does not compile"

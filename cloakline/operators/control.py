@@ -85,12 +85,10 @@ def param_trace(v: DataFrame, sensitivity0: float = C.SENSITIVITY_DEFAULT,
     loosen = F.col("is_clean") & (F.size("over_encrypted") == 0)
     m_step = compose(F.when(over, mc_up).otherwise(ident), F.when(loosen, mc_dn).otherwise(ident))
     base = v.select("seq", s_step.alias("s_step"), m_step.alias("m_step"))
-    s = prefix_clamp(base.select("seq", "s_step"), "seq", "s_step", fanout).select(
-        "seq", apply_step(F.col("prefix"), F.lit(int(round(sensitivity0 * 1000)))).alias("s_milli"))
-    m = prefix_clamp(base.select("seq", "m_step"), "seq", "m_step", fanout).select(
-        "seq", apply_step(F.col("prefix"), F.lit(int(round(min_conf0 * 1000)))).alias("m_milli"))
-    return s.join(m, "seq").select(
-        "seq", (F.col("s_milli") / 1000.0).alias("sensitivity"), (F.col("m_milli") / 1000.0).alias("min_confidence"))
+    after = prefix_clamp(base, "seq", ["s_step", "m_step"], fanout)  # both parameters in one fold
+    s_milli = apply_step(F.col("prefix_s_step"), F.lit(int(round(sensitivity0 * 1000))))
+    m_milli = apply_step(F.col("prefix_m_step"), F.lit(int(round(min_conf0 * 1000))))
+    return after.select("seq", (s_milli / 1000.0).alias("sensitivity"), (m_milli / 1000.0).alias("min_confidence"))
 
 
 def focus_trace(v: DataFrame, spans: DataFrame) -> DataFrame:

@@ -229,17 +229,11 @@ def overlap_tp_sql(g: str, p: str) -> str:
 
 def overlap_record_sql(g: str, p: str, tp0: str) -> str:
     ng, np_ = f"size({g})", f"size({p})"
-    both = f"({ng} = 0 AND {np_} = 0)"
-    tp = f"(CASE WHEN {both} OR {np_} = 0 OR {ng} = 0 THEN 0 ELSE {tp0} END)"
-    fp = f"(CASE WHEN {both} THEN 0 WHEN {np_} = 0 THEN 0 WHEN {ng} = 0 THEN {np_} ELSE {np_} - {tp0} END)"
-    fn = f"(CASE WHEN {both} THEN 0 WHEN {np_} = 0 THEN {ng} WHEN {ng} = 0 THEN 0 ELSE {ng} - {tp0} END)"
-    p0 = f"(CASE WHEN {tp} + {fp} > 0 THEN CAST({tp} AS DOUBLE) / ({tp} + {fp}) ELSE 0.0D END)"
-    r0 = f"(CASE WHEN {tp} + {fn} > 0 THEN CAST({tp} AS DOUBLE) / ({tp} + {fn}) ELSE 0.0D END)"
-    f0 = f"(CASE WHEN {p0} + {r0} > 0 THEN 2 * {p0} * {r0} / ({p0} + {r0}) ELSE 0.0D END)"
-    prec = f"CASE WHEN {both} THEN 1.0D WHEN {np_} = 0 THEN 0.0D WHEN {ng} = 0 THEN 0.0D ELSE {p0} END"
-    rec = f"CASE WHEN {both} THEN 1.0D WHEN {np_} = 0 THEN 0.0D WHEN {ng} = 0 THEN 1.0D ELSE {r0} END"
-    f1 = f"CASE WHEN {both} THEN 1.0D WHEN {np_} = 0 THEN 0.0D WHEN {ng} = 0 THEN 0.0D ELSE {f0} END"
-    return (f"named_struct('tp', {tp}, 'fp', {fp}, 'fn', {fn}, 'precision', {prec}, 'recall', {rec}, "
+    none, one = f"({ng} = 0 AND {np_} = 0)", f"({ng} = 0 OR {np_} = 0)"  # nothing matches an empty side: tp0 is 0
+    prec = f"CASE WHEN {none} THEN 1.0D WHEN {one} THEN 0.0D ELSE CAST({tp0} AS DOUBLE) / {np_} END"
+    rec = f"CASE WHEN {ng} = 0 THEN 1.0D WHEN {np_} = 0 THEN 0.0D ELSE CAST({tp0} AS DOUBLE) / {ng} END"
+    f1 = f"CASE WHEN {none} THEN 1.0D WHEN {one} THEN 0.0D ELSE 2.0D * {tp0} / ({ng} + {np_}) END"
+    return (f"named_struct('tp', {tp0}, 'fp', {np_} - {tp0}, 'fn', {ng} - {tp0}, 'precision', {prec}, 'recall', {rec}, "
             f"'f1', {f1})")
 
 

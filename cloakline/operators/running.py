@@ -66,47 +66,50 @@ def step(a, lo=None, hi=None) -> Column:
                     F.lit(BIG if hi is None else hi).cast("long").alias("hi"))
 
 
-def _local_prefix(df: DataFrame, group: list[str], order: str, stepcol: str) -> DataFrame:
-    """Within each group (<= fanout rows): exclusive prefix per row and the group total."""
-    g = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
-                                                                        F.col(stepcol).alias("t")))).alias("xs"))
-    init = F.struct(_identity().alias("acc"), F.array().cast(f"array<struct<o:bigint,ex:{STEP_T}>>").alias("out"))
+def _each(names: list[str], fn) -> Column:
+    return F.struct(*[fn(n).alias(n) for n in names])
+
+
+def _local_prefix(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (gid, id, t) with a struct ``t`` of steps; per group (<= fanout rows): the
+    group's ``total`` and the exclusive prefix of each row (``out``)."""
+    kind = "struct<" + ",".join(f"{n}:{STEP_T}" for n in names) + ">"
+    g = df.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("id", "t"))).alias("xs"))
+    start = _each(names, lambda n: _identity())
+    init = F.struct(start.alias("acc"), F.array().cast(f"array<struct<id:bigint,ex:{kind}>>").alias("out"))
     folded = F.aggregate(
         F.col("xs"), init,
-        lambda st, x: F.struct(compose(st["acc"], x["t"]).alias("acc"),
-                               F.array_append(st["out"], F.struct(x["o"].cast("long").alias("o"),
-                                                                  st["acc"].alias("ex"))).alias("out")))
-    return g.select(*group, folded["acc"].alias("total"), folded["out"].alias("out"))
+        lambda st, x: F.struct(_each(names, lambda n: compose(st["acc"][n], x["t"][n])).alias("acc"),
+                               F.array_append(st["out"], F.struct(x["id"].alias("id"), st["acc"].alias("ex"))).alias("out")))
+    return g.select("gid", folded.alias("f")).select("gid", F.col("f.acc").alias("total"), F.col("f.out").alias("out"))
 
 
-def prefix_clamp(df: DataFrame, order: str, stepcol: str, fanout: int = 256) -> DataFrame:
-    """Adds ``prefix`` = composition of all steps with order <= this row's (inclusive).
+def prefix_clamp(df: DataFrame, order: str, steps: str | list[str], fanout: int = 256) -> DataFrame:
+    """Adds ``prefix`` = composition of all steps with order <= this row's (inclusive); with
+    several step columns, folded together, one ``prefix_<column>`` each.
 
     ``order`` must be a dense 0-based sequence (``seq``).  Depth of the tree
-    is log_fanout(n); every group holds at most ``fanout`` elements.
+    is log_fanout(n); every group holds at most ``fanout`` elements.  A level's
+    local prefixes serve the way up (totals) and the way down.
     """
+    names = [steps] if isinstance(steps, str) else list(steps)
     n = df.agg(F.max(order)).first()[0]
     n = 0 if n is None else int(n) + 1
     levels = max(1, math.ceil(math.log(max(n, 2), fanout)))
-    # level tables: (lvl_id, step) where lvl_id = order // fanout**L
-    base = df.select(F.col(order).cast("long").alias("_o"), F.col(stepcol).alias("_t"))
-    tables = [base.select(F.col("_o").alias("id"), F.col("_t").alias("t"))]
-    for lvl in range(1, levels + 1):
-        prev = tables[-1]
-        grp = prev.withColumn("gid", F.floor(F.col("id") / fanout).cast("long"))
-        loc = _local_prefix(grp, ["gid"], "id", "t")
-        tables.append(loc.select(F.col("gid").alias("id"), F.col("total").alias("t")))
+    rows = df.select(F.col(order).cast("long").alias("id"), F.struct(*names).alias("t"))
+    local = []
+    for _ in range(levels):
+        local.append(_local_prefix(rows.withColumn("gid", F.floor(F.col("id") / fanout).cast("long")), names))
+        rows = local[-1].select(F.col("gid").alias("id"), F.col("total").alias("t"))
     # top: exclusive prefix of the single top-level group is identity
-    excl = tables[-1].select("id", _identity().alias("ex"))
-    for lvl in range(levels, 0, -1):
-        child = tables[lvl - 1].withColumn("gid", F.floor(F.col("id") / fanout).cast("long"))
-        loc = _local_prefix(child, ["gid"], "id", "t")
-        ex = loc.select("gid", F.explode("out").alias("e")).select(
-            "gid", F.col("e.o").alias("id"), F.col("e.ex").alias("local_ex"))
-        excl = ex.join(excl.withColumnRenamed("id", "gid").withColumnRenamed("ex", "parent_ex"), "gid") \
-            .select("id", compose(F.col("parent_ex"), F.col("local_ex")).alias("ex"))
-    out = df.join(excl.withColumnRenamed("id", order), order)
-    return out.withColumn("prefix", compose(F.col("ex"), F.col(stepcol))).drop("ex")
+    excl = rows.select(F.col("id").alias("gid"), _each(names, lambda c: _identity()).alias("parent"))
+    for loc in reversed(local):
+        down = loc.join(excl, "gid").select("parent", F.explode("out").alias("e"))
+        excl = down.select(F.col("e.id").alias("gid"), _each(
+            names, lambda c: compose(F.col("parent")[c], F.col("e.ex")[c])).alias("parent"))
+    out = df.join(excl.withColumnRenamed("gid", order).withColumnRenamed("parent", "_ex"), order)
+    named = {c: "prefix" if isinstance(steps, str) else f"prefix_{c}" for c in names}
+    return out.select(*df.columns, *[compose(F.col("_ex")[c], F.col(c)).alias(x) for c, x in named.items()])
 
 
 def ordinal(df: DataFrame, order_cols: list[str], name: str = "_ordinal") -> DataFrame:

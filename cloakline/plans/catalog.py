@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cloakline import constants as C
 from cloakline.functions.text import route
 from cloakline.operators import mask as M
 from cloakline.operators import scan as SC
@@ -140,6 +141,15 @@ def _warm_patterns(spark, sf_dir) -> DataFrame:
     return MEM.insert_if_absent(PS.seed_patterns(spark), learned)
 
 
+def _lifted_patterns(spark, sf_dir) -> DataFrame:
+    """The warm table after feedback from the notes: each sighting of a learned shape
+    was correct, and every note found one seed wrong, so that it falls below the threshold."""
+    sightings = _learned_table(spark, sf_dir).select(
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("support"))).alias("seq"), "label", F.lit(True).alias("correct"))
+    doubts = _notes(spark, sf_dir).select("seq", F.lit(C.DOUBTED_SEED).alias("label"), F.lit(False).alias("correct"))
+    return MEM.apply_feedback(_warm_patterns(spark, sf_dir), sightings.unionByName(doubts), day="2026-01-01")
+
+
 def _outputs(spark, sf_dir, systems=("cold", "regex", "full_encryption", "ner")) -> DataFrame:
     """System outputs keyed (system, doc_id): the row-local systems come from
     one scan of the samples (``systems_wide``); the recogniser system joins
@@ -147,7 +157,7 @@ def _outputs(spark, sf_dir, systems=("cold", "regex", "full_encryption", "ner"))
     n = _notes(spark, sf_dir)
     secret = _secret(spark)
     local = tuple(x for x in systems if x != "ner")
-    warm = PS.inline_patterns(_warm_patterns(spark, sf_dir), 0.0) if "warm" in systems else None
+    warm = PS.inline_patterns(_lifted_patterns(spark, sf_dir), C.MIN_CONFIDENCE_DEFAULT) if "warm" in systems else None
     outs = []
     if local:
         outs.append(EV.systems_wide(n, secret, local, seed_inline(None), 0.75, warm))
@@ -376,7 +386,7 @@ def latency_stats(spark, sf_dir):
 
 def scale_windows(spark, sf_dir):
     """WN-1 over the cold and warm systems with measured latencies."""
-    rec = EV.records(_outputs(spark, sf_dir, ("cold", "regex")), _latency(spark, sf_dir))
+    rec = EV.records(_outputs(spark, sf_dir, ("cold", "warm")), _latency(spark, sf_dir))
     return _r(MT.scale_windows(rec))
 
 

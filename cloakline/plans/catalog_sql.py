@@ -337,17 +337,6 @@ SELECT event_type, """ + f"""{R('avg(latency_ms)')} AS mean_ms, {R('quantile_con
   {R('coalesce(avg(latency_ms) FILTER (WHERE k % 2 > 0), 0.0)')} AS cache_miss_mean_ms, count(*) AS n
 FROM e GROUP BY event_type"""
 
-SQL["scale_windows"] = with_ctes(NOTES, COLD, REGEX, """
-outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
-            UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM regex)""", RECORDS, """
-rl AS (SELECT r.*, coalesce(e.value, 0.0) AS latency_ms FROM records r LEFT JOIN events e ON e.event_id = r.doc_id),
-rl2 AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY seq) - 1 AS place FROM rl),
-w AS (SELECT system, place // 100 AS bucket, count(*) AS n, avg(f1) AS f1, avg(latency_ms) AS latency_ms,
-        avg(CASE WHEN cache_hits > 0 THEN 1.0 ELSE 0.0 END) AS cache_hit_rate FROM rl2 GROUP BY ALL)""") + f"""
-SELECT system, CAST((bucket + 1) * 100 AS BIGINT) AS step, {R('f1')} AS f1, {R('latency_ms')} AS latency_ms,
-  {R('cache_hit_rate')} AS cache_hit_rate
-FROM w WHERE n = 100"""
-
 # ====================================================================== critic and control
 CRITIC_DOCS = """
 cdocs AS (SELECT doc_id, cache_hits,
@@ -642,7 +631,7 @@ outputs AS (SELECT system, doc_id, phi_spans, masked FROM cold
 SELECT system, doc_id, CAST({leakage_sql('masked', 'list_transform(phi_spans, lambda s: s.span)')} AS BIGINT) AS leakage
 FROM outputs"""
 
-_WARM = f"""
+_WARM_MERGED = f"""
 lh0 AS (SELECT n.doc_id, l.pattern_seq,
           list_transform(regexp_extract_all(n.text, l.regex), lambda m: {{'pattern_rank': 0, 'label': l.label, 'span': m,
             'phi_type': l.phi_type, 'abstraction_role': NULL::VARCHAR, 'promoted': false, 'confidence': 0.5::DOUBLE}}) AS hs
@@ -656,6 +645,34 @@ warm AS (
     list_transform(f.applied, lambda a: {{'span': a.span, 'phi_type': a.phi_type}}) AS pred, len(hits) AS cache_hits
   FROM (SELECT *, {mask_fold_sql('text', dedup_sql('hits'), 'doc_id')} AS f FROM wscan))"""
 
+# after feedback: a learned pattern's misses are none, so it fires at confidence 1 (promoted from 20 hits on, and then
+# ahead of the seeds); the seed below the threshold does not fire
+_WARM = f"""
+lh0 AS (SELECT n.doc_id, l.pattern_seq, l.support >= 20 AS ahead,
+          list_transform(regexp_extract_all(n.text, l.regex), lambda m: {{'pattern_rank': 0, 'label': l.label, 'span': m,
+            'phi_type': l.phi_type, 'abstraction_role': NULL::VARCHAR, 'promoted': l.support >= 20, 'confidence': 1.0::DOUBLE}}) AS hs
+        FROM notes n, learned2 l),
+lh AS (SELECT doc_id, flatten(list(hs ORDER BY pattern_seq) FILTER (WHERE ahead)) AS lfirst,
+         flatten(list(hs ORDER BY pattern_seq) FILTER (WHERE NOT ahead)) AS llast FROM lh0 GROUP BY doc_id),
+wscan AS (SELECT n.doc_id, n.seq, n.text, n.phi_spans, list_concat(list_concat(coalesce(lh.lfirst, []),
+            list_filter({hits_sql('n.text')}, lambda h: h.label <> {q(C.DOUBTED_SEED)})), coalesce(lh.llast, [])) AS hits
+          FROM notes n LEFT JOIN lh USING (doc_id)),
+warm AS (
+  SELECT 'warm' AS system, doc_id, seq, text, phi_spans, f.text AS masked,
+    list_transform(f.applied, lambda a: {{'span': a.span, 'phi_type': a.phi_type}}) AS pred, len(hits) AS cache_hits
+  FROM (SELECT *, {mask_fold_sql('text', dedup_sql('hits'), 'doc_id')} AS f FROM wscan))"""
+
+SQL["scale_windows"] = with_ctes(NOTES, DET, LEARN, COLD, _WARM, """
+outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
+            UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM warm)""", RECORDS, """
+rl AS (SELECT r.*, coalesce(e.value, 0.0) AS latency_ms FROM records r LEFT JOIN events e ON e.event_id = r.doc_id),
+rl2 AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY seq) - 1 AS place FROM rl),
+w AS (SELECT system, place // 100 AS bucket, count(*) AS n, avg(f1) AS f1, avg(latency_ms) AS latency_ms,
+        avg(CASE WHEN cache_hits > 0 THEN 1.0 ELSE 0.0 END) AS cache_hit_rate FROM rl2 GROUP BY ALL)""") + f"""
+SELECT system, CAST((bucket + 1) * 100 AS BIGINT) AS step, {R('f1')} AS f1, {R('latency_ms')} AS latency_ms,
+  {R('cache_hit_rate')} AS cache_hit_rate
+FROM w WHERE n = 100"""
+
 SQL["cold_warm_detection"] = with_ctes(NOTES, DET, LEARN, COLD, _WARM, """
 outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
             UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM warm)""",
@@ -664,7 +681,7 @@ SELECT system, {R('avg(precision)')} AS precision, {R('avg(recall)')} AS recall,
   CAST(sum(tp) AS BIGINT) AS tp, {R('avg(utility)')} AS utility, count(*) AS n
 FROM records GROUP BY system"""
 
-_WARM_PH = _WARM.replace(
+_WARM_PH = _WARM_MERGED.replace(
     "warm AS (", "warm_ph AS (").replace(
     mask_fold_sql('text', dedup_sql('hits'), 'doc_id'), mask_fold_sql('text', dedup_sql('hits'), 'doc_id', _PHRASE)).replace(
     "list_transform(f.applied, lambda a: {'span': a.span, 'phi_type': a.phi_type}) AS pred, len(hits) AS cache_hits",

@@ -38,7 +38,8 @@ def restore(masked: DataFrame, vault: DataFrame, key: Column, masked_col: str =
     The vault is read only for the documents asked for (semi join), grouped
     once per document (bounded by the document's own spans) and joined back
     on ``doc_id``; both sides are hash partitioned on ``doc_id`` only.
-    Tokens without a usable vault record are kept and counted.
+    Tokens without a usable vault record are kept, counted and listed in
+    ``unmatched`` (``unmatched_tokens`` has them as rows).
     """
     wanted = masked.select("doc_id")
     dec = decrypt(vault.join(wanted, "doc_id", "left_semi"), key)
@@ -59,13 +60,18 @@ def restore(masked: DataFrame, vault: DataFrame, key: Column, masked_col: str =
         lambda acc, t: F.when(F.element_at(F.col("_plain"), t).isNotNull(),
                               F.replace(acc, token_text(t), F.element_at(F.col("_plain"), t))).otherwise(acc),
     )
-    found = F.size(F.filter(ids, lambda t: F.element_at(F.col("_plain"), t).isNotNull()))
+    lost = F.filter(ids, lambda t: F.element_at(F.col("_plain"), t).isNull())
     return j.select(
         "*", restored.alias("restored"), F.size(ids).alias("n_tokens"),
-        F.coalesce(found, F.lit(0)).alias("n_restored"),
+        (F.size(ids) - F.size(lost)).alias("n_restored"), lost.alias("unmatched"),
     ).drop("_plain")
 
 
+def unmatched_tokens(restored: DataFrame) -> DataFrame:
+    """JN-8: one row (doc_id, token_id) per token of a restored table without a usable vault record."""
+    return restored.select("doc_id", F.explode("unmatched").alias("token_id"))
+
+
 def import_vault(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """ST-5: union; on an equal (doc_id, token_id) the incoming row wins."""
     both = current.withColumn("_src", F.lit(0)).unionByName(incoming.withColumn("_src", F.lit(1)))

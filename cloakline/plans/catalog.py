@@ -261,6 +261,15 @@ def vault_roundtrip(spark, sf_dir):
     return r.select("doc_id", "restored", "n_tokens", "n_restored")
 
 
+def vault_unmatched(spark, sf_dir):
+    """JN-8: the tokens left in the text when vault rows are missing or do not decrypt."""
+    key = M.key_column(M.demo_keys(spark, DEMO_KEY_ID), DEMO_KEY_ID)
+    m = _masked(spark, _notes(spark, sf_dir))
+    vault = MJ.vault_rows(m, key, DEMO_KEY_ID).filter(F.col("doc_id") % 7 != 3)
+    broken = F.when(F.col("doc_id") % 11 == 4, F.concat(F.col("ciphertext"), F.lit("x").cast("binary"))).otherwise(F.col("ciphertext"))
+    return V.unmatched_tokens(V.restore(m.select("doc_id", "masked"), vault.withColumn("ciphertext", broken), key))
+
+
 def vault_import(spark, sf_dir):
     """ST-5: vault of compat mode overwritten by the vault of all-occurrences mode."""
     n = _notes(spark, sf_dir)
@@ -649,6 +658,7 @@ QUERIES = {
     "label_map": label_map,
     "corpus_load": corpus_load,
     "vault_roundtrip": vault_roundtrip,
+    "vault_unmatched": vault_unmatched,
     "vault_import": vault_import,
     "exact_metrics": exact_metrics,
     "overlap_metrics": overlap_metrics,

@@ -243,6 +243,10 @@ SELECT doc_id,
   len(list_distinct(regexp_extract_all(masked, '<<ENC:([^:]+):ENC>>', 1))) AS n_restored
 FROM cold"""
 
+SQL["vault_unmatched"] = with_ctes(NOTES, COLD) + """
+SELECT doc_id, unnest(list_distinct(regexp_extract_all(masked, '<<ENC:([^:]+):ENC>>', 1))) AS token_id
+FROM cold WHERE doc_id % 7 = 3 OR doc_id % 11 = 4"""
+
 _ALLOCC_FOLD = mask_fold_sql("text", dedup_sql("hits"), "doc_id").replace(
     "{'text': substr(acc.text, 1, strpos(acc.text, x.span) - 1) || x.replacement || "
     "substr(acc.text, strpos(acc.text, x.span) + length(x.span)), ",

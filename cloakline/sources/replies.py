@@ -121,3 +121,12 @@ def guess_raw_column(masked: Column) -> Column:
         F.concat(_lit('["'), F.array_join(vals, '", "'), _lit('"]')))
     return F.concat(_lit("Here is my list: "), arr, _lit(" and more [x]"))
 
+
+def duplicates(table: DataFrame) -> DataFrame:
+    """SRC-5: the replies that the jobs pass over, for a rejects table: of several
+    replies of one kind to a document only the largest raw text is used."""
+    used = table.groupBy("doc_id", "kind").agg(F.max("raw").alias("_used"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    extra = table.join(used, ["doc_id", "kind"])
+    same = extra.groupBy("doc_id", "kind", "raw", "_used").agg(F.count(F.lit(1)).alias("_n"))
+    times = F.col("_n") - F.when(F.col("raw").eqNullSafe(F.col("_used")), 1).otherwise(0)
+    return same.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), times))).filter("_k > 0").select("doc_id", "kind", "raw")

@@ -171,3 +171,21 @@ def test_patterns_that_match_nothing_inside_a_text_are_rejected(spark):
     got = {r.regex: r.reject_reason for r in PS.with_validity(df).collect()}
     assert {k for k, v in got.items() if v is None} == {r"\d+", r"\bMRN\b", r"(a)\1", r"(?<=-)\d"}
     assert got["["] == "does not compile"
+
+
+def test_duplicate_replies_are_listed(spark):
+    from cloakline.sources import replies
+    rows = [(1, "detect", "a"), (1, "detect", "b"), (1, "detect", "b"), (1, "leakage", "a"), (2, "detect", "z"), (3, "detect", None)]
+    got = replies.duplicates(spark.createDataFrame(rows, "doc_id long, kind string, raw string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "detect", "a"), (1, "detect", "b")]
+
+
+def test_unmatched_tokens_are_rows(spark, secret):
+    from cloakline.operators import mask as M
+    from cloakline.operators import vault as V
+    key = M.key_column(M.demo_keys(spark), "demo")
+    masked = spark.createDataFrame([(1, "x <<ENC:aa:ENC>> <<ENC:bb:ENC>>"), (2, "none")], "doc_id long, masked string")
+    items = spark.createDataFrame([(1, "aa", "word")], "doc_id long, token_id string, span string")
+    out = V.restore(masked, V.encrypt_spans(items, key, "demo"), key)
+    assert [tuple(r) for r in V.unmatched_tokens(out).collect()] == [(1, "bb")]
+    assert {r.doc_id: (r.n_tokens, r.n_restored) for r in out.collect()} == {1: (2, 1), 2: (0, 0)}

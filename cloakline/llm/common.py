@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cloakline.session import checkpoint_dir, read_table
 
 #: Rows of text handed to numpy at once inside a task, in bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A key with at least 1/HOT_SHARE of all rows is hot, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 
@@ -37,15 +37,21 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     A lost executor loses nothing of it, and the planner knows its size, so a
-    small one is broadcast in a later join and a large one is shuffled.
+    small one is broadcast in a later join and a large one is shuffled.  With
+    ``batch``, at most so many rows at a time reach Python while it is written.
     """
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path, rows = df.sparkSession, shared_path(df.sparkSession, what), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(min(int(before), batch or int(before)) if int(before) > 0 else batch or before))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -60,10 +66,10 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     hot = groups.where(F.col(size) > least).select(F.col(key).alias("_hk"), F.struct(*value).alias("_hot"))
     cold = groups.where(F.col(size) <= least).select(F.col(key).alias("_ck"), F.struct(*value).alias("_cold"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    out = out.withColumn("_j", F.when(F.col("_hk").isNull(), F.col(key)))
-    out = out.withColumn("_s", F.when(F.col("_hk").isNull(), 0).otherwise(F.monotonically_increasing_id()))
-    out = out.join(cold.withColumn("_z", F.lit(0).cast("long")),
-                   (F.col("_j") == F.col("_ck")) & (F.col("_s") == F.col("_z")), "left")
+    own = F.when(F.col("_hk").isNull(), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    out = out.withColumn("_j", F.struct(F.when(F.col("_hk").isNull(), F.col(key)).alias("key"), own.alias("own")))
+    out = out.join(cold.withColumn("_c", F.struct(F.col("_ck").alias("key"), F.lit(-1).cast("long").alias("own"))),
+                   F.col("_j") == F.col("_c"), "left")
     return out.select(*rows.columns, *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in value])
 
 
@@ -77,8 +83,8 @@ def worker_store() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Zero-copy pieces of the batches with about SLICE_BYTES of ``text`` each (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Zero-copy pieces of the batches with about ``most`` bytes of ``text`` each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -87,7 +93,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
 

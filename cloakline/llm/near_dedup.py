@@ -49,6 +49,7 @@ BANDS, ROWS = 42, 6           # 252 coordinates
 SLOTS = 1 << 21
 SEED = 20
 BLOCK = 150_000               # shingles in a block
+BATCH = 1000                  # rows with texts or sets that reach a task's Python at a time
 NEAR = 80                     # percent: intersection against union
 COLUMNS = 1 << 14             # shingles compared at once
 
@@ -226,12 +227,14 @@ def links(docs: DataFrame, classes: DataFrame, total: int, width: int) -> DataFr
     members = grouped.join(classes.select("node", "doc_id", "set_hash", "n_shingles"), "node")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_all"))
     members = written(attach(members, written(sizes, "groups"), "root", "_n", total), "members")
-    sets = written(member_sets(docs, members.withColumn("blocks", _pieces("_all")).drop("_n", "_all"), width), "sets")
+    sets = written(member_sets(docs, members.withColumn("blocks", _pieces("_all")).drop("_n", "_all"), width), "sets", BATCH)
 
     one = sets.where("blocks = 1").select(F.struct("root", F.lit("one").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("key"),
                                           F.lit(0).alias("side"), "node", F.col("node").alias("cluster"), "shingles")
-    small = written(verified(one), "near")
+    small = written(verified(one), "near", BATCH)
     large = sets.where("blocks > 1")
+    if large.isEmpty():
+        return small
 
     # each member against the first leader it met; leaders go to all blocks of their members
     led = large.join(star.groupBy("node").agg(F.min("leader").alias("leader")), "node")
@@ -242,7 +245,7 @@ def links(docs: DataFrame, classes: DataFrame, total: int, width: int) -> DataFr
     plain = ["node", F.col("node").alias("cluster"), "shingles"]
     to_leader = follow.select(key("leader", _block("_b")), F.lit(1).alias("side"), *plain).unionByName(
         first.select(key("node", F.col("_i")), F.lit(0).alias("side"), *plain))
-    near = written(verified(to_leader), "near")
+    near = written(verified(to_leader), "near", BATCH)
 
     # what is outside the largest cluster of its group, against all that is outside its own cluster
     clustered = components(near).withColumnRenamed("root", "cluster")
@@ -268,7 +271,7 @@ def links(docs: DataFrame, classes: DataFrame, total: int, width: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept, text_mark."""
-    rows = written(sketched(docs, width), "sketches")
+    rows = written(sketched(docs, width), "sketches", BATCH)
     total = rows.count()
     classes = rows.where("set_hash IS NOT NULL").groupBy("set_hash").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_copies"), F.first("n_shingles").alias("n_shingles"),

@@ -33,6 +33,7 @@ from cloakline.llm.common import documents, slices, worker_store, written
 WINDOW = 2048           # tokens in a sequence
 SEPARATOR = 0           # id after each document
 CACHE_UNITS = 250_000   # encoded units in a generation of a worker's cache
+SLICE = 4 << 20         # bytes of text whose new units are encoded together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task long, _nth long"
 
 
@@ -105,7 +106,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             out = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):

@@ -40,6 +40,7 @@ from cloakline.llm.byte_names import THRESHOLD, runs
 from cloakline.llm.common import documents, mix, slices, written
 
 LENGTHS = (32, 64, 100)   # of the names, doubling up to the threshold
+SLICE = 4 << 20           # bytes in which copies are settled before anything is shuffled
 #: name, region: of a run, or where it goes; at: start * 256 + number of strings; spans: several of them, settled
 RUN = "name long, region long, doc_id long, tie long, at long, spans binary"
 MARK = "doc_id long, tie long, at long, spans binary, name long, id long"
@@ -100,7 +101,7 @@ def _pairs(docs: DataFrame, opened: list[np.ndarray], bits: np.ndarray) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, bits = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             r = ranked(batch, opened)
             on = np.flatnonzero(r["on"])
             on = on[bloom.reported(r["name"][on], bits)]
@@ -176,7 +177,7 @@ def settled(docs: DataFrame) -> DataFrame:
         before = list(opened)
 
         def names(batch: pa.RecordBatch) -> np.ndarray:
-            parts = [ranked(piece, before) for piece in slices([batch])]
+            parts = [ranked(piece, before) for piece in slices([batch], most=SLICE)]
             return np.concatenate([np.zeros(0, np.uint64), *(r["name"][r["on"]] for r in parts)])
 
         again = bloom.counted(rows, expected, 2, names)

@@ -206,15 +206,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
 def graded(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` as ``_row`` with ``expected_severity`` and the P(grade > k)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    schema = rows.drop("_text").withColumns({"expected_severity": F.lit(0.0), "p_toxic": F.lit(0.0),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    at = docs.columns.index("text")
+    schema = rows.withColumns({"expected_severity": F.lit(0.0), "p_toxic": F.lit(0.0),
                                              "p_severe": F.lit(0.0)}).schema
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thetas = shared.value["weights"], shared.value["thetas"]
         known = {f: k for k, f in enumerate(weights)}
         value = np.array(list(weights.values()))
-        for batch in slices(batches, "_text"):
+        texts = (pa.record_batch([b.column(0), b.column(0).field(at)], names=["_row", "_text"]) for b in batches)
+        for batch in slices(texts, "_text"):
             rows, number, _ = features(batch.column("_text"), known)
             score = np.bincount(rows, weights=value[number], minlength=batch.num_rows)
             p = exceed(score, thetas)

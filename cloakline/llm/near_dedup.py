@@ -13,7 +13,7 @@ Stages, all linear in the documents unless said otherwise:
     Each band bucket links its members to its first one (a star, never all
     pairs); connected stars are candidate groups, outside of which no two
     classes share a band.
-3.  Groups are verified on full sets, in blocks of bounded size.  A group of
+3.  Groups are verified on full sets, in blocks of bounded shingles and rows.  A group of
     one block is compared at once.  In a larger one, members are first compared
     with their bucket's first member; what that does not join to the largest
     cluster is compared, block by block, with everything outside its own
@@ -51,7 +51,9 @@ SEED = 20
 BLOCK = 150_000               # shingles in a block
 BATCH = 1000                  # rows with texts or sets that reach a task's Python at a time
 NEAR = 80                     # percent: intersection against union
-COLUMNS = 1 << 14             # shingles compared at once
+MEMBERS = 5000                # rows in a block
+STRIPE, TILE = 512, 2048      # rows compared at once with how many others
+COLUMNS = 1 << 12             # shingles compared at once
 
 
 # ------------------------------------------------------------------ signatures
@@ -135,39 +137,72 @@ def _links(rows: list[dict]) -> list[tuple[int, int]]:
     """Connecting links of at least NEAR percent between rows of different ``cluster``.
 
     Rows of ``side`` 0 are compared with those of side 1, or with each other
-    if there is no side 1.
+    if there is no side 1: a stripe of rows with a tile of rows at a time, so
+    the matrices are bounded whatever the rows and their shingles.
     """
     sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     both = count[inverse] > 1  # shingles of one row alone are in no intersection
-    _, column = np.unique(inverse[both], return_inverse=True)
-    owner = owner[both]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    inter = np.zeros((len(sets), len(sets)))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, [at, at + COLUMNS])
-        held = np.zeros((len(sets), int(column[b - 1]) - at + 1 if b > a else 0), np.float32)
-        held[owner[a:b], column[a:b] - at] = 1
-        inter += held @ held.T
-    near = 100 * inter >= NEAR * (size[:, None] + size[None, :] - inter)
+    owner, column = owner[both], inverse[both]
+    ends = np.searchsorted(owner, np.arange(len(sets) + 1))  # entries of row k: ends[k] to ends[k + 1]
     side = np.array([r["side"] for r in rows])
-    near &= (side[:, None] < side[None, :]) if side.any() else np.triu(np.ones_like(near), 1)
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side)) if side.any() else (np.arange(len(rows)),) * 2
+    label = np.unique(np.array([r["cluster"] for r in rows]), return_inverse=True)[1]
+    local = np.full(len(values), -1)
+
+    def entries(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``chosen`` and shared shingles of its rows."""
+        n = ends[chosen + 1] - ends[chosen]
+        place = np.repeat(np.arange(len(chosen)), n)
+        return place, column[np.arange(len(place)) + np.repeat(ends[chosen] - (np.cumsum(n) - n), n)]
+
+    def held(place: np.ndarray, at: np.ndarray, height: int, first: int, width: int) -> np.ndarray:
+        out = np.zeros((height, width), np.float32)
+        here = (at >= first) & (at < first + width)
+        out[place[here], at[here] - first] = 1
+        return out
 
     out = []
-    for i, j in np.argwhere(near).tolist():
-        a, b = find(rows[i]["cluster"]), find(rows[j]["cluster"])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((rows[i]["node"], rows[j]["node"]))
+    for i in range(0, len(left), STRIPE):
+        mine = left[i:i + STRIPE]
+        my_place, my_columns = entries(mine)
+        known = np.unique(my_columns)
+        local[known] = np.arange(len(known))
+        my_columns = local[my_columns]
+        for j in range(0 if side.any() else i, len(right), TILE):
+            other = right[j:j + TILE]
+            place, at = entries(other)
+            at = local[at]  # -1: in no row of the stripe
+            inter = np.zeros((len(mine), len(other)))
+            for first in range(0, len(known), COLUMNS):
+                width = min(COLUMNS, len(known) - first)
+                inter += held(my_place, my_columns, len(mine), first, width) @ held(place, at, len(other), first, width).T
+            near = (100 + NEAR) * inter >= NEAR * (size[mine][:, None] + size[other][None, :])
+            while True:  # each row and column with a near one of another label takes one link, so labels at least halve
+                near &= label[mine][:, None] != label[other][None, :]
+                by_row, by_column = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(by_row):
+                    break
+                a = mine[np.concatenate([by_row, near[:, by_column].argmax(0)])]
+                b = other[np.concatenate([near[by_row].argmax(1), by_column])]
+                parent = {}
+
+                def find(x: int) -> int:
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                for x, y, p, q in zip(a.tolist(), b.tolist(), label[a].tolist(), label[b].tolist(), strict=True):
+                    p, q = find(p), find(q)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        out.append((rows[x]["node"], rows[y]["node"]))
+                renamed = np.arange(label.max() + 1)
+                renamed[list(parent)] = [find(x) for x in list(parent)]
+                label = renamed[label]
+        local[known] = -1
     return out
 
 
@@ -185,9 +220,9 @@ def verified(blocks: DataFrame) -> DataFrame:
         run, "a long, b long")
 
 
-def _pieces(shingles: str) -> Column:
-    """Number of blocks for so many shingles."""
-    return F.greatest(F.ceil(F.col(shingles) / BLOCK), F.lit(1)).cast("int")
+def _pieces(shingles: Column, rows: Column) -> Column:
+    """Number of blocks for so many shingles in so many rows; none for no rows."""
+    return F.greatest(F.ceil(shingles / BLOCK), F.ceil(rows / MEMBERS)).cast("int")
 
 
 def _block(blocks: str) -> Column:
@@ -227,7 +262,7 @@ def links(docs: DataFrame, classes: DataFrame, total: int, width: int) -> DataFr
     members = grouped.join(classes.select("node", "doc_id", "set_hash", "n_shingles"), "node")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_all"))
     members = written(attach(members, written(sizes, "groups"), "root", "_n", total), "members")
-    sets = written(member_sets(docs, members.withColumn("blocks", _pieces("_all")).drop("_n", "_all"), width), "sets", BATCH)
+    sets = written(member_sets(docs, members.withColumn("blocks", _pieces(F.col("_all"), F.col("_n"))).drop("_n", "_all"), width), "sets", BATCH)
 
     one = sets.where("blocks = 1").select(F.struct("root", F.lit("one").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("key"),
                                           F.lit(0).alias("side"), "node", F.col("node").alias("cluster"), "shingles")
@@ -240,8 +275,8 @@ def links(docs: DataFrame, classes: DataFrame, total: int, width: int) -> DataFr
     led = large.join(star.groupBy("node").agg(F.min("leader").alias("leader")), "node")
     heads = written(led.groupBy("leader").agg(F.sum("n_shingles").alias("_led"), F.count(F.lit(1)).alias("_m")), "heads")
     key = lambda who, i: F.struct(F.col(who).alias("root"), F.lit("led").alias("kind"), i.alias("i"), F.lit(0).alias("j")).alias("key")
-    follow = attach(led, heads, "leader", "_m", total).withColumn("_b", _pieces("_led"))
-    first = large.join(heads, F.col("node") == F.col("leader")).withColumn("_i", F.explode(F.sequence(F.lit(0), _pieces("_led") - 1)))
+    follow = attach(led, heads, "leader", "_m", total).withColumn("_b", _pieces(F.col("_led"), F.col("_m")))
+    first = large.join(heads, F.col("node") == F.col("leader")).withColumn("_i", F.explode(F.sequence(F.lit(0), _pieces(F.col("_led"), F.col("_m")) - 1)))
     plain = ["node", F.col("node").alias("cluster"), "shingles"]
     to_leader = follow.select(key("leader", _block("_b")), F.lit(1).alias("side"), *plain).unionByName(
         first.select(key("node", F.col("_i")), F.lit(0).alias("side"), *plain))
@@ -252,9 +287,9 @@ def links(docs: DataFrame, classes: DataFrame, total: int, width: int) -> DataFr
     large = large.join(clustered, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     bulk = large.groupBy("root", "cluster").agg(F.count(F.lit(1)).alias("_c"), F.sum("n_shingles").alias("_s"))
     bulk = bulk.groupBy("root").agg(F.max_by("cluster", F.struct("_c", "cluster")).alias("_bulk"), F.sum("_c").alias("_n"),
-                                    F.max(F.struct("_c", "cluster", "_s")).getField("_s").alias("_in"), F.sum("_s").alias("_all"))
-    bulk = bulk.select("root", "_n", "_bulk", F.greatest(F.ceil(F.col("_in") / BLOCK), F.lit(1)).cast("int").alias("_ins"),
-                       F.ceil((F.col("_all") - F.col("_in")) / BLOCK).cast("int").alias("_outs"))
+                                    F.max(F.struct("_c", "cluster", "_s")).alias("_in"), F.sum("_s").alias("_all"))
+    bulk = bulk.select("root", "_n", "_bulk", _pieces(F.col("_in._s"), F.col("_in._c")).alias("_ins"),
+                       _pieces(F.col("_all") - F.col("_in._s"), F.col("_n") - F.col("_in._c")).alias("_outs"))
     large = attach(large, written(bulk, "bulk"), "root", "_n", total)
     inside = F.col("cluster") == F.col("_bulk")
     at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))

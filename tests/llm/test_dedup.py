@@ -152,3 +152,61 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (300, 200), (300, 400), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {200: 100, 300: 100, 400: 100}
+
+
+def block_rows(sets, cluster=None, side=None):
+    return [{"node": k, "cluster": k if cluster is None else cluster[k], "side": 0 if side is None else side[k],
+             "shingles": np.array(sorted(s), np.uint64).tobytes()} for k, s in enumerate(sets)]
+
+
+def test_a_block_of_many_short_rows_stays_small():
+    """Templated texts: few shingles each, so a block bounded by shingles alone holds very many rows."""
+    import tracemalloc
+
+    far = block_rows([{*range(4), 10 + 3 * k, 11 + 3 * k, 12 + 3 * k} for k in range(6000)])
+    near = block_rows([{*range(30), 100 + k} for k in range(6000)])
+    for rows, want in ((far, 0), (near, 5999)):
+        tracemalloc.start()
+        links = near_dedup._links(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(links) == want and peak < 150 << 20
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_connect_what_all_pairs_connect(seed, monkeypatch):
+    import random
+
+    monkeypatch.setattr(near_dedup, "STRIPE", 3)
+    monkeypatch.setattr(near_dedup, "TILE", 5)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    rng = random.Random(seed)
+    sets = [set(rng.sample(range(24), 20)) | {100 + k % 9} for k in range(40)]
+    side = [rng.randrange(2) for _ in sets] if seed % 2 else None
+    cluster = [rng.randrange(30) for _ in sets]
+
+    def joined(pairs):
+        root = list(cluster)
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    pairs = [(a, b) for a in range(40) for b in range(40) if (side[a] < side[b] if side else a < b)
+             and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    links = near_dedup._links(block_rows(sets, cluster, side))
+    assert {tuple(sorted(x)) for x in links} <= {tuple(sorted(x)) for x in pairs}
+    assert joined(links) == joined(pairs) and len(links) < 30
+
+
+def test_near_dedup_of_groups_with_more_rows_than_a_block(spark, monkeypatch):
+    rows = [(k, "the order of the client with the number " + str(k // 2) + " was sent on the day" + " x" * (k % 2) + " and paid in full")
+            for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 7, raising=False)
+    seen = []
+    pieces = near_dedup._pieces
+    monkeypatch.setattr(near_dedup, "_pieces", lambda *a: seen.append(a) or pieces(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 4).collect()}
+    assert got == brute_near(rows, 4)
+    assert len(seen) > 1  # the group was dealt over several blocks

@@ -10,7 +10,8 @@ Spark then looks up each piece's sequence and offset from its length and its
 rank among pieces of that length; no group of pieces meets in one task.
 
 Defined cases: a null or empty text is one piece holding only the separator; a
-null ``doc_id`` and repeated rows are packed like any other row; pieces of
+null ``doc_id`` and repeated rows are packed like any other row; ``<|endoftext|>``
+inside a text is the tokenizer's added token; pieces of
 equal length are interchangeable, so which of them shares a sequence with
 which is not defined; an empty table gives an empty result.
 """
@@ -52,8 +53,9 @@ def units(text: str) -> list[str]:
 
     Each unit but the first stands without the space it begins with.  The
     byte-level pattern never joins a non-blank character to a following blank
-    one and looks at nothing left of a match, so encoding the units one by one
-    gives the ids of the whole text.
+    one and looks at nothing left of a match, and the tokenizer's added token
+    ``<|endoftext|>`` holds no space, so encoding the units one by one gives the
+    ids of the whole text.
     """
     parts = text.split(" ")
     if not _BLANK_THEN_SPACE.search(text) and parts[0]:
@@ -79,9 +81,7 @@ def encoder(path: str):
 
     kept = worker_store().setdefault(path, {})
     if not kept:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # a document is ordinary text throughout
-        kept.update(tokenizer=tokenizer, young={}, old={})
+        kept.update(tokenizer=Tokenizer.from_file(path), young={}, old={})
 
     def ids(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in kept["tokenizer"].encode_batch_fast(texts, add_special_tokens=False)]

@@ -119,6 +119,18 @@ def test_packing_matches_whole_text_ids(docs):
     assert max(filled.values()) <= window
 
 
+def test_packing_keeps_the_added_token(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"a{mark}b c", f"a  {mark}  b", f" {mark} ", f"a\n {mark}\n\n b", f"{mark}{mark} x", "a <|endof text|> b"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    ids = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    assert sum(50256 in x for x in ids.values()) == len(texts) - 1
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {k: (len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for k, x in ids.items()}
+
+
 def one_by_one(lengths, window):
     free = []
     for n in sorted(lengths, reverse=True):

@@ -68,16 +68,29 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def told(field: str, url: str | None) -> list[tuple[str, str]]:
+    """Header fields of a URL, as a valid URI; one that unquoting would change also has an exact form."""
+    plain = "-" if url is None else quote(url, safe="/:?&=#%+,;@!$'()*[]~")
+    exact = [] if url is None or (plain != "-" and unquote(plain) == url) else [(f"X-Exact-{field}", quote(url))]
+    return [(field, plain), *exact]
+
+
+def heard(field: str, fields: dict) -> str | None:
+    """The URL that ``told`` put into ``fields``."""
+    if exact := fields.get(f"X-Exact-{field}"):
+        return unquote(exact)
+    return None if fields.get(field, "-") == "-" else unquote(fields[field])
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers: tuple[int | None, str | None] | None) -> bytes:
     """One WARC record as a gzip member; ``refers`` makes it a revisit without payload."""
     urn = lambda n: f"<urn:page:{'' if n is None else n}>"
-    told = lambda u: "-" if u is None else quote(u, safe="/:?&=#%+,;@!$'()*[]~")
     block = HTTP if refers else HTTP + payload
     head = [("WARC-Type", "revisit" if refers else "response"), ("WARC-Record-ID", urn(page_id)), ("WARC-Date", DATE),
-            ("WARC-Target-URI", told(url)), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
+            *told("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
             ("Content-Type", "application/http; msgtype=response")]
     if refers:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers[0])), ("WARC-Refers-To-Target-URI", told(refers[1]))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers[0])), *told("WARC-Refers-To-Target-URI", refers[1])]
     head.append(("Content-Length", str(len(block))))
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
     return gzip.compress(text.encode() + block + b"\r\n\r\n", 6, mtime=0)
@@ -90,12 +103,11 @@ def parsed(member: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     payload = rest[:int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
     number = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
-    plain = lambda u: None if u in (None, "-") else unquote(u)
     revisit = fields["WARC-Type"] == "revisit"
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": plain(fields["WARC-Target-URI"]), "record_type": fields["WARC-Type"],
+    return {"page_id": number(fields["WARC-Record-ID"]), "url": heard("WARC-Target-URI", fields), "record_type": fields["WARC-Type"],
             "payload_bytes": None if revisit else len(payload),
             "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else digest(payload),
-            "refers_to": number(fields.get("WARC-Refers-To")), "refers_url": plain(fields.get("WARC-Refers-To-Target-URI")),
+            "refers_to": number(fields.get("WARC-Refers-To")), "refers_url": heard("WARC-Refers-To-Target-URI", fields),
             "payload": None if revisit else payload}
 
 
@@ -262,12 +274,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     read = written(lookup(pages.select("url", "page_id"), top, base).drop("payload"), "records")
     revisits = read.where("record_type = 'revisit'")
-    targets = revisits.groupBy("refers_to", "refers_url").agg(F.count(F.lit(1)).alias("_n"))
+    targets = revisits.groupBy("refers_to", "refers_url", "payload_digest").agg(F.count(F.lit(1)).alias("_n"))
     sizes = lookup(targets.select(F.col("refers_url").alias("url"), F.col("refers_to").alias("page_id")), top, base)
-    sizes = sizes.groupBy("page_id").agg(F.max("payload_bytes").alias("_bytes"))
-    known = written(targets.groupBy("refers_to").agg(F.sum("_n").alias("_n"))
-                    .join(sizes, F.col("refers_to") == F.col("page_id")).select("refers_to", "_n", "_bytes"), "targets")
-    full = attach(revisits.drop("payload_bytes"), known, "refers_to", "_n", read.count())
+    sizes = sizes.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
+    known = written(targets.groupBy("refers_to", "payload_digest").agg(F.sum("_n").alias("_n")).join(sizes, ["refers_to", "payload_digest"])
+                    .select(F.struct("refers_to", "payload_digest").alias("_target"), "_n", "_bytes"), "targets")
+    full = attach(revisits.drop("payload_bytes").withColumn("_target", F.struct("refers_to", "payload_digest")), known, "_target", "_n", read.count())
     return read.where("record_type = 'response'").select(columns).unionByName(
         full.withColumnRenamed("_bytes", "payload_bytes").select(columns))
 

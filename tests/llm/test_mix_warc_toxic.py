@@ -1,6 +1,7 @@
 """Mixing, WARC archives and toxicity grades: brute force, exact round trips and held-out accuracy."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -188,3 +189,27 @@ def test_toxicity_edges(spark):
     assert toxicity.clean(df, labels([(1, 1, 1)])).count() == 0
     assert toxicity.clean(df, labels([(1, 1, 1), (0, 1, 0)])).columns == df.columns
     assert toxicity.clean(empty(spark), labels([(1, 1, 1)])).count() == 0
+
+
+# ------------------------------------------------------------------ WARC: escaped URLs, repeated ids
+ESCAPED = ["http://a.org/x%2Fy", "http://a.org/%7Euser", "http://a.org/?u=http%3A%2F%2Fb.org", "http://a.org/caf%c3%a9", "http://a.org/café",
+           "http://a.org/100%", "-", "", None, "http://a.org/a b%20c"]
+
+
+def test_urls_survive_the_archive():
+    for url in ESCAPED:
+        r = warc.parsed(warc.record(1, url, b"x", (2, url)))
+        assert (r["url"], r["refers_url"]) == (url, url)
+        assert warc.url_key(r["url"]) == warc.url_key(url)
+    assert b"\r\nWARC-Target-URI: http://a.org/x%2Fy\r\n" in gzip.decompress(warc.record(1, ESCAPED[0], b"x", None))
+
+
+def test_revisits_of_escaped_urls_and_repeated_ids(spark, tmp_path):
+    rows = [(2 * k + j, url, f"payload {k}") for k, url in enumerate(ESCAPED) for j in (0, 1)]
+    # page 900 holds two payloads, each with a revisit
+    rows += [(900, "http://r.org/%41", "long " * 9), (900, "http://r.org/%41", "s"), (800, "http://q.org/", "long " * 9), (801, "http://q.org/", "s")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.payload_bytes, r.record_type) for r in warc.op9_warc(spark, str(tmp_path)).collect())
+    last = {html: max(i for i, _, h in rows if h == html) for _, _, html in rows}
+    assert got == Counter((i, len(html), "response" if i == last[html] else "revisit") for i, _, html in rows)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cloakline.llm import credentials, exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, suffix_dedup, toxicity, warc
+from cloakline.llm import (credentials, exact_dedup, extraction, fingerprints, licenses, mixing, near_dedup, packing, periodic, suffix_dedup,
+                           toxicity, warc, whitening)
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_html_extraction": extraction.op12_html_extraction,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 SQL = {

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from cloakline.llm import bloom, byte_names, components, exact_dedup, near_dedup, suffix_dedup
-from fixtures import SCHEMA, documents, empty
+from llm_rows import SCHEMA, documents, empty
 
 
 def table(df):

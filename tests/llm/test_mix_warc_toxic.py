@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from cloakline.llm import mixing, toxicity, warc
-from fixtures import documents, empty
+from llm_rows import documents, empty
 
 
 # ------------------------------------------------------------------ mixing

@@ -8,7 +8,7 @@ import zlib
 import pytest
 
 from cloakline.llm import credentials, fingerprints, licenses, packing
-from fixtures import documents, empty
+from llm_rows import documents, empty
 
 
 @pytest.fixture(scope="module")

@@ -6,8 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -32,10 +30,3 @@ def secret(spark):
     from pyspark.sql import functions as F
     from cloakline.operators import mask as M
     return F.hex(M.key_column(M.demo_keys(spark), "demo"))
-
-
-def samples(spark, rows):
-    """rows: list of (doc_id, text, [(span, type), ...])."""
-    from cloakline.schemas import SAMPLES
-    return spark.createDataFrame(
-        [(d, d, "t", t, [{"span": s, "phi_type": ty} for s, ty in spans]) for d, t, spans in rows], SAMPLES)

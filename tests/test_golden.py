@@ -3,7 +3,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import samples
+from mask_samples import samples
 from cloakline import schemas as S
 from cloakline.functions import scoring
 from cloakline.functions.text import cap_words, learned_label, quasi_risk, utility

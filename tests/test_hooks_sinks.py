@@ -5,7 +5,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from mask_samples import SF001
 from cloakline.operators import hooks
 from cloakline.operators import scan as SC
 from cloakline.sources import corpus, params, sinks

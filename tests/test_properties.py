@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, samples
+from mask_samples import SF001, samples
 from cloakline import schemas as S
 from cloakline.operators import mask as M
 from cloakline.operators import running as RUN

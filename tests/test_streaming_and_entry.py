@@ -3,7 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from mask_samples import SF001
 from cloakline import schemas as S
 from cloakline.operators import mask as M
 from cloakline.plans import mask_job as MJ

@@ -1,11 +1,11 @@
 """Pattern-memory life cycle as batch operators (MK-10, MK-11):
 feedback (AG-14), promotion (WN-3), prune (FLT-6), capacity (SO-3),
-insert-if-absent (ST-4), role write-back (JN-4), stats (AG-11) and the
-memory-growth snapshots (WN-2).
+insert-if-absent (ST-4), role write-back (JN-4) and stats (AG-11).
 
 Batch semantics: a batch reads one version of the pattern table and
-produces the next; the reference prunes after every sentence, this code
-prunes once at the end of the batch (documented departure).
+produces the next, pruned once at the end (documented departure).  The table
+as each sentence found it, pruned after every sentence, and its growth (WN-2)
+are in ``lifecycle``.
 """
 
 from __future__ import annotations
@@ -163,48 +163,3 @@ def learn_patterns(learnable: DataFrame, min_support: int = 2) -> DataFrame:
         F.lit(0).cast("long").alias("misses"), F.lit(C.NEW_PATTERN_CONFIDENCE).alias("confidence"),
         F.lit(False).alias("promoted"), F.current_date().alias("last_updated"), "support",
     )
-
-
-def growth(patterns: DataFrame, feedback: DataFrame, every: int = C.SNAPSHOT_EVERY) -> DataFrame:
-    """WN-2: (step, total, promoted, avg_conf) at steps 0, every, 2*every, ...
-
-    A snapshot at step i sees all feedback with seq <= i.  No label x step
-    grid is built: each (label, bucket) contributes the change of its
-    confidence over the bucket and the bucket of its first promotion; the
-    per-bucket sums are then prefix-summed over the steps.
-    """
-    fb = feedback.join(patterns.select("label", F.col("hits").alias("h0"), F.col("misses").alias("m0"),
-                                       F.col("confidence").alias("c0"), F.col("promoted").alias("p0")), "label")
-    fb = fb.withColumn("_h", F.col("correct").cast("long")).withColumn("_m", (~F.col("correct")).cast("long"))
-    run = running_sums(fb, ["label"], "seq", ["_h", "_m"])
-    h = F.col("h0") + F.col("run__h")
-    t = h + F.col("m0") + F.col("run__m")
-    conf_after = F.when(t > 0, h.cast("double") / t).otherwise(F.lit(C.NEW_PATTERN_CONFIDENCE))
-    hb = h - F.col("_h")
-    tb = t - 1
-    conf_before = F.when(F.col("run__h") + F.col("run__m") == 1, F.col("c0")) \
-        .otherwise(F.when(tb > 0, hb.cast("double") / tb).otherwise(F.lit(C.NEW_PATTERN_CONFIDENCE)))
-    promo = ~F.col("p0") & (h >= C.HIT_PROMOTE_THRESHOLD) & ((h.cast("double") / t) > C.PROMOTE_CONFIDENCE_ABOVE)
-    bucket = F.ceil(F.col("seq") / F.lit(every)).cast("long")
-    rows = run.select("label", "seq", bucket.alias("b"), conf_after.alias("ca"), conf_before.alias("cb"),
-                      promo.alias("promo"))
-    per_lb = rows.groupBy("label", "b").agg((F.max_by("ca", "seq") - F.min_by("cb", "seq")).alias("d"))
-    first_promo = rows.filter("promo").groupBy("label").agg(F.min("b").alias("b"))
-    d_b = per_lb.groupBy("b").agg(F.sum("d").alias("d"))
-    p_b = first_promo.groupBy("b").agg(F.count(F.lit(1)).alias("p"))
-    # three scalars of the (bounded) pattern table, read once
-    b = patterns.agg(F.count(F.lit(1)).alias("total"), F.count_if("promoted").alias("p0"),
-                     F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("c0")).first()
-    last = feedback.agg(F.max("seq")).first()[0]
-    n_steps = 0 if last is None else int(last) // every + 1
-    steps = patterns.sparkSession.range(n_steps).select(F.col("id").alias("b"))
-    g = steps.join(d_b, "b", "left").join(p_b, "b", "left").select(
-        "b", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("p", F.lit(0)).cast("long").alias("p"))
-    g = running_sums(g, [], "b", ["d", "p"])
-    total = int(b["total"])
-    return g.select(
-        (F.col("b") * every).alias("step"),
-        F.lit(total).cast("long").alias("total"),
-        (F.lit(int(b["p0"])) + F.col("run_p")).alias("promoted"),
-        ((F.lit(float(b["c0"])) + F.col("run_d")) / total if total > 0 else F.lit(0.0)).alias("avg_conf"),
-    )

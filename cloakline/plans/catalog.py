@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from cloakline import constants as C
 from cloakline.functions.text import route
+from cloakline.operators import lifecycle as LC
 from cloakline.operators import mask as M
 from cloakline.operators import scan as SC
 from cloakline.operators import spans as SP
 from cloakline.plans import mask_job as MJ
-from cloakline.session import checkpoint_dir, read_table, spread
+from cloakline.session import checkpoint_dir, cut_lineage, read_table, spread
 from cloakline.sources import corpus
 from cloakline.functions.text import exact_leakage as leak_expr
 from cloakline.functions.text import quasi_from_tokens, token_set, tokens, utility, utility_from_tokens
@@ -141,32 +142,49 @@ def _warm_patterns(spark, sf_dir) -> DataFrame:
     return MEM.insert_if_absent(PS.seed_patterns(spark), learned)
 
 
-def _lifted_patterns(spark, sf_dir) -> DataFrame:
-    """The warm table after feedback from the notes: each sighting of a learned shape
-    was correct, and every note found one seed wrong, so that it falls below the threshold."""
-    sightings = _learned_table(spark, sf_dir).select(
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("support"))).alias("seq"), "label", F.lit(True).alias("correct"))
-    doubts = _notes(spark, sf_dir).select("seq", F.lit(C.DOUBTED_SEED).alias("label"), F.lit(False).alias("correct"))
-    return MEM.apply_feedback(_warm_patterns(spark, sf_dir), sightings.unionByName(doubts), day="2026-01-01")
+def _sightings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The learned patterns, and (label, seq, pos) of every learnable span of their shape."""
+    d = _with_detector(spark, sf_dir)
+    learn = cut_lineage(d.select("seq", F.posexplode_outer(SP.learnable(F.col("hits"), F.col("detections"))).alias("pos", "s")).filter(
+        "pos IS NOT NULL").select("seq", "pos", F.col("s.span").alias("span"), F.col("s.phi_type").alias("phi_type")))
+    learned = MEM.learn_patterns(learn)
+    shapes = learn.select("seq", "pos", "phi_type", MEM.shape_regex(F.col("span")).alias("regex"))
+    seen = shapes.join(learned.select("label", "phi_type", "regex"), ["phi_type", "regex"]).select("label", "seq", "pos")
+    return learned.drop("support").withColumn("last_updated", F.lit(None).cast("date")), seen
+
+
+def _warm_hits(spark, sf_dir) -> DataFrame:
+    """What the warm system finds in each note: the seeds, and shapes learned from the notes before it.  Its feedback:
+    each sighting of a learned shape was correct, and every note found one seed wrong, so that it falls below the threshold."""
+    n = _notes(spark, sf_dir)
+    learned, seen = _sightings(spark, sf_dir)
+    doubts = n.select(F.lit(C.DOUBTED_SEED).alias("label"), "seq", F.lit(0).alias("pos"), F.lit(False).alias("correct"))
+    feedback = seen.withColumn("correct", F.lit(True)).unionByName(doubts)
+    return EV.warm_hits(n, PS.seed_patterns(spark), learned, seen, feedback, C.MIN_CONFIDENCE_DEFAULT)
 
 
 def _outputs(spark, sf_dir, systems=("cold", "regex", "full_encryption", "ner")) -> DataFrame:
-    """System outputs keyed (system, doc_id): the row-local systems come from
-    one scan of the samples (``systems_wide``); the recogniser system joins
-    its entity table on doc_id."""
+    """System outputs keyed (system, doc_id): the row-local systems come from one scan of the samples
+    (``systems_wide``), cold without detector; the recogniser system joins its entity table on doc_id."""
     n = _notes(spark, sf_dir)
     secret = _secret(spark)
     local = tuple(x for x in systems if x != "ner")
-    warm = PS.inline_patterns(_lifted_patterns(spark, sf_dir), C.MIN_CONFIDENCE_DEFAULT) if "warm" in systems else None
-    outs = []
-    if local:
-        outs.append(EV.systems_wide(n, secret, local, seed_inline(None), 0.75, warm))
+    outs = [EV.systems_wide(n, secret, local, seed_inline(None), C.MIN_CONFIDENCE_DEFAULT)] if local else []
     if "ner" in systems:
         outs.append(EV.offsets_system(n, replies.entities(n), secret))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    return outs[0].unionByName(outs[1]) if len(outs) > 1 else outs[0]
+
+
+def _compared(spark, sf_dir, systems=("cold", "regex", "full_encryption", "ner")) -> DataFrame:
+    """MK-12: as ``_outputs``, with cold and warm as whole pipelines: detector spans merged, misses counted, and the
+    warm patterns as each sample found them."""
+    n = _notes(spark, sf_dir)
+    secret = _secret(spark)
+    rows = MJ.attach_detections(n, replies.detect_raw(n))
+    if "warm" in systems:
+        rows = rows.join(_warm_hits(spark, sf_dir).withColumnRenamed("hits", "warm_hits"), "doc_id", "left")
+    out = EV.systems_wide(rows, secret, tuple(x for x in systems if x != "ner"), seed_inline(None), C.MIN_CONFIDENCE_DEFAULT, detector=True)
+    return out.unionByName(EV.offsets_system(n, replies.entities(n), secret)) if "ner" in systems else out
 
 
 def _latency(spark, sf_dir) -> DataFrame:
@@ -293,7 +311,7 @@ def exact_metrics(spark, sf_dir):
 
 def overlap_metrics(spark, sf_dir):
     """JN-6 / SC-11 / SC-9 / SC-12 per (system, sample)."""
-    rec = EV.records(_outputs(spark, sf_dir))
+    rec = EV.records(_compared(spark, sf_dir))
     return _r(rec.select("system", "doc_id", "tp", "fp", "fn", "precision", "recall", "f1", "leakage",
                          "quasi_risk", "utility"))
 
@@ -305,7 +323,7 @@ def per_type_exact(spark, sf_dir):
 
 def per_type_overlap(spark, sf_dir):
     """AG-5 per (system, type)."""
-    o = _outputs(spark, sf_dir)
+    o = _compared(spark, sf_dir)
     return _r(EV.per_type_overlap(o))
 
 
@@ -377,11 +395,11 @@ def pattern_state(spark, sf_dir):
 
 
 def security_by_system(spark, sf_dir):
-    return _r(MT.security_by_system(EV.records(_outputs(spark, sf_dir))))
+    return _r(MT.security_by_system(EV.records(_compared(spark, sf_dir))))
 
 
 def detection_by_system(spark, sf_dir):
-    return _r(MT.detection_by_system(EV.records(_outputs(spark, sf_dir))))
+    return _r(MT.detection_by_system(EV.records(_compared(spark, sf_dir))))
 
 
 def latency_stats(spark, sf_dir):
@@ -395,7 +413,7 @@ def latency_stats(spark, sf_dir):
 
 def scale_windows(spark, sf_dir):
     """WN-1 over the cold and warm systems with measured latencies."""
-    rec = EV.records(_outputs(spark, sf_dir, ("cold", "warm")), _latency(spark, sf_dir))
+    rec = EV.records(_compared(spark, sf_dir, ("cold", "warm")), _latency(spark, sf_dir))
     return _r(MT.scale_windows(rec))
 
 
@@ -507,16 +525,37 @@ def seed_merge(spark, sf_dir):
     return _r(merged.select("label", "pattern_seq", "phi_type", "hits", "misses", "confidence", "promoted"))
 
 
+def _event_memory(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patterns of one event type, sightings and feedback of all, one event a sentence: labels come, go and come back."""
+    ev = read_table(spark, sf_dir, "events")
+    kind = F.col("user_id") % 8
+    told = ev.select(F.concat_ws("_", "event_type", kind.cast("string")).alias("label"), F.col("event_id").alias("seq"), "event_type",
+                     (F.col("value") >= 20 + 25 * kind).alias("correct"), (F.col("value") >= 40).alias("sighted"))
+    pats = told.filter("event_type = 'view'").select("label").distinct().select(
+        "label", F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("misses"), F.lit(C.NEW_PATTERN_CONFIDENCE).alias("confidence"),
+        F.lit(False).alias("promoted"))
+    return pats, told.filter("sighted").select("label", "seq"), told.select("label", "seq", "correct")
+
+
 def memory_growth(spark, sf_dir):
-    """WN-2: pattern-table stats at every 50th step of the feedback stream."""
-    pats, fb = _event_feedback(spark, sf_dir, False)
-    return _r(MEM.growth(pats, fb))
+    """WN-2: pattern-table stats after every 50th sentence, with inserts, prunes and re-inserts."""
+    return _r(LC.growth(*_event_memory(spark, sf_dir)))
+
+
+def pattern_history(spark, sf_dir):
+    """WN-2 / FLT-6 / ST-4: when each pattern was inserted, pruned and first promoted, by life."""
+    trace = LC.replay(*_event_memory(spark, sf_dir))
+    lives = trace.groupBy("label", "since").agg(
+        F.max(F.when(F.col("kind") == LC.PRUNE, F.col("seq"))).alias("pruned_at"),
+        F.min(F.when(F.col("d_promoted") > 0, F.col("seq"))).alias("promoted_at"),
+        F.count_if(F.col("kind") == LC.FEEDBACK).alias("observations"))
+    return lives.select("label", F.col("since").alias("inserted_at"), "pruned_at", "promoted_at", "observations")
 
 
 # ---------------------------------------------------------------- audit and counters
 def attack_rate(spark, sf_dir):
     """MK-13: reconstruction audit per system from guess replies."""
-    o = _outputs(spark, sf_dir)
+    o = _compared(spark, sf_dir)
     # the adversary replies are derived from the same rows: attach, do not re-join
     return _r(EV.attack(o.withColumn("raw", replies.guess_raw_column(F.col("masked")))))
 
@@ -604,11 +643,13 @@ def exact_leakage(spark, sf_dir):
 
 
 def cold_warm_detection(spark, sf_dir):
-    """MK-12: seed-only (cold) against seeds + learned patterns (warm)."""
-    rec = EV.records(_outputs(spark, sf_dir, ("cold", "warm")))
-    return _r(rec.groupBy("system").agg(
+    """MK-12: the pipeline with the seeds alone (cold) against the one that has learned before each sample (warm)."""
+    out = _compared(spark, sf_dir, ("cold", "warm"))
+    misses = out.groupBy("system").agg(F.sum("cache_hits").alias("cache_hits"), F.sum("cache_misses").alias("cache_misses"))
+    rec = EV.records(out).groupBy("system").agg(
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-        F.sum("tp").alias("tp"), F.avg("utility").alias("utility"), F.count(F.lit(1)).alias("n")))
+        F.sum("tp").alias("tp"), F.avg("utility").alias("utility"), F.count(F.lit(1)).alias("n"))
+    return _r(rec.join(misses, "system"))
 
 
 
@@ -684,6 +725,7 @@ QUERIES = {
     "pattern_learn": pattern_learn,
     "seed_merge": seed_merge,
     "memory_growth": memory_growth,
+    "pattern_history": pattern_history,
     "attack_rate": attack_rate,
     "run_counters": run_counters,
     "span_feedback": span_feedback,

@@ -139,7 +139,15 @@ offs AS (
   FROM notes n CROSS JOIN (VALUES ('ner'), ('pii')) g(system) LEFT JOIN ner0 ON ner0.doc_id = n.doc_id AND ner0.system = g.system),
 ner AS (SELECT * FROM offs WHERE system = 'ner')"""
 
-OUTPUTS = COLD + "," + REGEX + "," + FULLENC + "," + NER + """,
+# the whole pipeline: detector spans after the hits (``det`` has the same hits as ``scanned``)
+COLD_FULL = DET + f""",
+cold AS (
+  SELECT 'cold' AS system, doc_id, seq, text, phi_spans, f.text AS masked,
+    list_transform(f.applied, lambda a: {{'span': a.span, 'phi_type': a.phi_type}}) AS pred, len(hits) AS cache_hits,
+    len(list_filter(dets, lambda d: NOT list_contains(list_transform(hits, lambda h: h.span), d.span))) AS cache_misses
+  FROM (SELECT *, {mask_fold_sql('text', dedup_sql(f"list_concat({hit_spans_sql('hits')}, dets)"), 'doc_id')} AS f FROM det))"""
+
+OUTPUTS = COLD_FULL + "," + REGEX + "," + FULLENC + "," + NER + """,
 outputs AS (
   SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
   UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM regex
@@ -534,17 +542,46 @@ rk AS (SELECT *, count(*) OVER () AS total,
 SELECT label, hits::BIGINT AS hits, misses::BIGINT AS misses, {R('confidence')} AS confidence, promoted FROM rk
 WHERE promoted OR rnk > greatest(total - 200, 0)"""
 
-SQL["memory_growth"] = with_ctes(_feedback_sql(False), """
-steps AS (SELECT range AS b FROM range(0, (SELECT max(seq) FROM fb) // 50 + 1)),
-labs AS (SELECT DISTINCT label FROM fb),
-grid AS (SELECT b, label FROM steps CROSS JOIN labs),
-st AS (
-  SELECT g.b, g.label, arg_max(r.h::DOUBLE / (r.h + r.m), r.seq) AS conf,
-    bool_or(r.h >= 20 AND r.h::DOUBLE / (r.h + r.m) > 0.75) AS promo
-  FROM grid g LEFT JOIN run r ON r.label = g.label AND r.seq <= g.b * 50 GROUP BY g.b, g.label)""") + f"""
-SELECT b * 50 AS step, count(*) AS total, count_if(coalesce(promo, false)) AS promoted,
-  {R('avg(coalesce(conf, 0.5))')} AS avg_conf
-FROM st GROUP BY b"""
+# every event of every label, one after the other: 1 a sighting, 3 feedback; a pattern marked bad at a sentence goes
+# with the next one (after what that one sees, before what is said of it)
+_MEMORY = """
+told AS (SELECT event_type || '_' || (user_id % 8) AS label, event_id AS seq, event_type, value, value >= 20 + 25 * (user_id % 8) AS correct FROM events),
+evs AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq, kind) AS k FROM (
+  SELECT label, seq, 1 AS kind, NULL::BOOLEAN AS correct FROM told WHERE value >= 40
+  UNION ALL SELECT label, seq, 3, correct FROM told)),
+life AS (
+  SELECT DISTINCT label, 0::BIGINT AS k, -1::BIGINT AS seq, event_type = 'view' AS alive, -1::BIGINT AS since, 0::BIGINT AS h, 0::BIGINT AS m,
+    0.5::DOUBLE AS conf, false AS promo, NULL::BIGINT AS doomed, NULL::BIGINT AS gone_at, -1::BIGINT AS gone_since, false AS told FROM told
+  UNION ALL
+  SELECT label, k, seq, up OR fresh, CASE WHEN fresh THEN seq ELSE since END, h1, m1,
+    CASE WHEN fresh THEN 0.5 WHEN fed THEN h1::DOUBLE / (h1 + m1) ELSE conf END,
+    CASE WHEN fresh THEN false WHEN fed THEN promo OR (h1 >= 20 AND h1::DOUBLE / (h1 + m1) > 0.75) ELSE promo END,
+    CASE WHEN fed THEN CASE WHEN h1::DOUBLE / (h1 + m1) < 0.4 AND h1 + m1 > 10 THEN seq + 1 END WHEN gone THEN NULL ELSE doomed END,
+    CASE WHEN gone THEN doomed END, CASE WHEN gone THEN since END, fed
+  FROM (SELECT *, CASE WHEN fresh THEN 0 ELSE h + CASE WHEN fed AND correct THEN 1 ELSE 0 END END AS h1,
+          CASE WHEN fresh THEN 0 ELSE m + CASE WHEN fed AND NOT correct THEN 1 ELSE 0 END END AS m1
+        FROM (SELECT *, kind = 1 AND NOT up AS fresh, kind = 3 AND up AS fed
+              FROM (SELECT *, alive AND NOT gone AS up
+                    FROM (SELECT l.* EXCLUDE (k, seq, gone_at, gone_since, told), e.k, e.seq, e.kind, e.correct,
+                            l.alive AND l.doomed IS NOT NULL AND (e.seq > l.doomed OR (e.seq = l.doomed AND e.kind > 2)) AS gone
+                          FROM life l JOIN evs e ON e.label = l.label AND e.k = l.k + 1)))))"""
+
+SQL["memory_growth"] = "WITH RECURSIVE " + _MEMORY.strip() + """,
+steps AS (SELECT range AS b FROM range(0, (SELECT max(seq) FROM told) // 50 + 1)),
+found AS (
+  SELECT s.b, l.label, arg_max({'alive': l.alive AND NOT coalesce(l.doomed <= s.b * 50, false), 'conf': l.conf, 'promo': l.promo}, l.k) AS x
+  FROM steps s JOIN life l ON l.seq <= s.b * 50 GROUP BY s.b, l.label)""" + f"""
+SELECT b * 50 AS step, count_if(x.alive) AS total, count_if(x.alive AND x.promo) AS promoted,
+  {R('coalesce(avg(x.conf) FILTER (WHERE x.alive), 0.0)')} AS avg_conf
+FROM found GROUP BY b"""
+
+SQL["pattern_history"] = "WITH RECURSIVE " + _MEMORY.strip() + """,
+ends AS (SELECT label, gone_since AS since, gone_at FROM life WHERE gone_at IS NOT NULL
+         UNION ALL SELECT label, since, doomed FROM (SELECT *, max(k) OVER (PARTITION BY label) AS last FROM life)
+         WHERE k = last AND alive AND doomed <= (SELECT max(seq) FROM told)),
+lives AS (SELECT label, since, min(seq) FILTER (WHERE promo) AS promoted_at, count_if(told) AS observations FROM life
+          WHERE told OR (alive AND since = seq) GROUP BY label, since)
+SELECT label, since AS inserted_at, gone_at AS pruned_at, promoted_at, observations FROM lives LEFT JOIN ends USING (label, since)"""
 
 # ====================================================================== audit and counters
 from cloakline.plans.oracle import first_array_sql, repair_critic_sql, tokset_sql  # noqa: E402
@@ -649,24 +686,32 @@ warm AS (
     list_transform(f.applied, lambda a: {{'span': a.span, 'phi_type': a.phi_type}}) AS pred, len(hits) AS cache_hits
   FROM (SELECT *, {mask_fold_sql('text', dedup_sql('hits'), 'doc_id')} AS f FROM wscan))"""
 
-# after feedback: a learned pattern's misses are none, so it fires at confidence 1 (promoted from 20 hits on, and then
-# ahead of the seeds); the seed below the threshold does not fire
+# the table as each note found it: a learned shape is there from the note after its first sighting on, at confidence 1
+# (promoted, and then ahead of the seeds, from the note after its twentieth), and the doubted seed fires until its
+# misses bring it below the threshold; two notes after they bring it below 0.4 it is gone, which changes nothing more
 _WARM = f"""
-lh0 AS (SELECT n.doc_id, l.pattern_seq, l.support >= 20 AS ahead,
-          list_transform(regexp_extract_all(n.text, l.regex), lambda m: {{'pattern_rank': 0, 'label': l.label, 'span': m,
-            'phi_type': l.phi_type, 'abstraction_role': NULL::VARCHAR, 'promoted': l.support >= 20, 'confidence': 1.0::DOUBLE}}) AS hs
-        FROM notes n, learned2 l),
-lh AS (SELECT doc_id, flatten(list(hs ORDER BY pattern_seq) FILTER (WHERE ahead)) AS lfirst,
-         flatten(list(hs ORDER BY pattern_seq) FILTER (WHERE NOT ahead)) AS llast FROM lh0 GROUP BY doc_id),
-wscan AS (SELECT n.doc_id, n.seq, n.text, n.phi_spans, list_concat(list_concat(coalesce(lh.lfirst, []),
-            list_filter({hits_sql('n.text')}, lambda h: h.label <> {q(C.DOUBTED_SEED)})), coalesce(lh.llast, [])) AS hits
-          FROM notes n LEFT JOIN lh USING (doc_id)),
+sight AS (SELECT l.label, s.seq FROM shaped s JOIN learned2 l USING (phi_type, regex)),
+known AS (SELECT n.doc_id, l.pattern_seq, l.label, l.regex, l.phi_type, min(s.seq) AS since, count(s.seq) AS seen
+          FROM notes n, learned2 l JOIN sight s USING (label) WHERE s.seq < n.seq GROUP BY ALL),
+lh0 AS (SELECT k.doc_id, k.since, k.pattern_seq, k.seen >= 20 AS ahead,
+          list_transform(regexp_extract_all(n.text, k.regex), lambda m: {{'pattern_rank': 0, 'label': k.label, 'span': m,
+            'phi_type': k.phi_type, 'abstraction_role': NULL::VARCHAR, 'promoted': k.seen >= 20, 'confidence': 1.0::DOUBLE}}) AS hs
+        FROM notes n JOIN known k USING (doc_id)),
+lh AS (SELECT doc_id, flatten(list(hs ORDER BY since, pattern_seq) FILTER (WHERE ahead)) AS lfirst,
+         flatten(list(hs ORDER BY since, pattern_seq) FILTER (WHERE NOT ahead)) AS llast FROM lh0 GROUP BY doc_id),
+doubt AS (SELECT doc_id, (count(*) OVER (ORDER BY seq) - 1) AS wrong FROM notes),
+wscan AS (SELECT doc_id, seq, text, phi_spans, dets, list_concat(list_concat(list_concat(coalesce(lh.lfirst, []),
+            list_filter(hits, lambda h: h.label <> {q(C.DOUBTED_SEED)} OR wrong = 0)),
+            list_filter(hits, lambda h: h.label = {q(C.DOUBTED_SEED)} AND wrong > 0 AND 48::DOUBLE / (50 + wrong) >= 0.75)),
+            coalesce(lh.llast, [])) AS hits
+          FROM det JOIN doubt USING (doc_id) LEFT JOIN lh USING (doc_id)),
 warm AS (
   SELECT 'warm' AS system, doc_id, seq, text, phi_spans, f.text AS masked,
-    list_transform(f.applied, lambda a: {{'span': a.span, 'phi_type': a.phi_type}}) AS pred, len(hits) AS cache_hits
-  FROM (SELECT *, {mask_fold_sql('text', dedup_sql('hits'), 'doc_id')} AS f FROM wscan))"""
+    list_transform(f.applied, lambda a: {{'span': a.span, 'phi_type': a.phi_type}}) AS pred, len(hits) AS cache_hits,
+    len(list_filter(dets, lambda d: NOT list_contains(list_transform(hits, lambda h: h.span), d.span))) AS cache_misses
+  FROM (SELECT *, {mask_fold_sql('text', dedup_sql(f"list_concat({hit_spans_sql('hits')}, dets)"), 'doc_id')} AS f FROM wscan))"""
 
-SQL["scale_windows"] = with_ctes(NOTES, DET, LEARN, COLD, _WARM, """
+SQL["scale_windows"] = with_ctes(NOTES, COLD_FULL, LEARN, _WARM, """
 outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
             UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM warm)""", RECORDS, """
 rl AS (SELECT r.*, coalesce(e.value, 0.0) AS latency_ms FROM records r LEFT JOIN events e ON e.event_id = r.doc_id),
@@ -677,13 +722,16 @@ SELECT system, CAST((bucket + 1) * 100 AS BIGINT) AS step, {R('f1')} AS f1, {R('
   {R('cache_hit_rate')} AS cache_hit_rate
 FROM w WHERE n = 100"""
 
-SQL["cold_warm_detection"] = with_ctes(NOTES, DET, LEARN, COLD, _WARM, """
-outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM cold
-            UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM warm)""",
+SQL["cold_warm_detection"] = with_ctes(NOTES, COLD_FULL, LEARN, _WARM, """
+outputs AS (SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits, cache_misses FROM cold
+            UNION ALL SELECT system, doc_id, seq, text, phi_spans, masked, pred, cache_hits, cache_misses FROM warm),
+counted AS (SELECT system, CAST(sum(cache_hits) AS BIGINT) AS cache_hits, CAST(sum(cache_misses) AS BIGINT) AS cache_misses
+            FROM outputs GROUP BY system)""",
                                        RECORDS) + f"""
 SELECT system, {R('avg(precision)')} AS precision, {R('avg(recall)')} AS recall, {R('avg(f1)')} AS f1,
-  CAST(sum(tp) AS BIGINT) AS tp, {R('avg(utility)')} AS utility, count(*) AS n
-FROM records GROUP BY system"""
+  CAST(sum(tp) AS BIGINT) AS tp, {R('avg(utility)')} AS utility, count(*) AS n,
+  any_value(c.cache_hits) AS cache_hits, any_value(c.cache_misses) AS cache_misses
+FROM records JOIN counted c USING (system) GROUP BY system"""
 
 _WARM_PH = _WARM_MERGED.replace(
     "warm AS (", "warm_ph AS (").replace(

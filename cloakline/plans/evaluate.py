@@ -7,18 +7,22 @@ unioned and scored in one job, keyed by ``(system, doc_id)``.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakline import constants as C
 from cloakline.functions.text import (exact_leakage, quasi_from_tokens, token_set, token_text, tokens,
                                       utility_from_tokens)
+from cloakline.operators import lifecycle as LC
 from cloakline.operators import mask as M
+from cloakline.operators import memory as MEM
 from cloakline.operators import metrics as MT
 from cloakline.operators import scan as SC
 from cloakline.operators import spans as SP
-from cloakline.plans import mask_job as MJ
-from cloakline.sources.patterns import InlinePattern
+from cloakline.session import cut_lineage
+from cloakline.sources.patterns import InlinePattern, inline_patterns
 
 PRED_T = "array<struct<span:string,phi_type:string>>"
 
@@ -186,47 +190,75 @@ def with_fallback(samples: DataFrame, outputs: DataFrame, systems: list[str]) ->
 
 
 def systems_wide(samples: DataFrame, secret: Column, names: tuple[str, ...],
-                 seed_patterns: list[InlinePattern], min_confidence: float = 0.75,
-                 warm_patterns: list[InlinePattern] | None = None) -> DataFrame:
+                 seed_patterns: list[InlinePattern], min_confidence: float = 0.75, detector: bool = False) -> DataFrame:
     """Row-local systems (cold, warm, regex, full_encryption) from ONE scan of
     the samples: each system is a struct column of the same projection, then
     the row is unpivoted into one row per system (``explode`` of a fixed-size
     array).  Cold and regex share the seed scan; cold's FLT-3 threshold is a
     filter on the hit array (order kept).
+
+    ``detector``: the samples carry ``detections``, which cold and warm merge
+    after their hits and count as misses where no hit has their text (MK-12).
+    Warm takes its hits from the samples' column ``warm_hits`` (``warm_hits``).
     """
-    s = SC.scan(samples.withColumn("_secret", secret), seed_patterns, offsets=True, out="_hoff")
+    s = samples.withColumn("_secret", secret)
+    if "cold" in names or "regex" in names:
+        s = SC.scan(s, seed_patterns, offsets=True, out="_hoff")
     text, doc, sec = F.col("text"), F.col("doc_id"), F.col("_secret")
+    found = "detections" if detector else None
 
     def pred_of(applied):
         return F.transform(applied, lambda a: F.struct(a["span"].alias("span"), a["phi_type"].alias("phi_type")))
 
     def mask_system(df, name):
         # merge -> order/route/replace -> fold, each a named column built from SQL text
-        df = df.withColumn(f"_{name}_merged", F.expr(SP.merge_sql(f"_{name}_hits")))
+        df = df.withColumn(f"_{name}_merged", F.expr(SP.merge_sql(f"_{name}_hits", found)))
         df = df.withColumn(f"_{name}_items", F.expr(M.items_sql(f"_{name}_merged", "text", "doc_id", "_secret", None)))
         return df.withColumn(f"_{name}_fold", F.expr(M.fold_sql("text", f"_{name}_items")))
 
+    def pipeline(name):
+        misses = SP.cache_misses(F.col(f"_{name}_hits"), F.col(found)) if found else F.lit(0)
+        return F.col(f"_{name}_fold.text"), pred_of(F.col(f"_{name}_fold.applied")), F.size(f"_{name}_hits"), misses
+
     cols = {}
     if "cold" in names:
         s = s.withColumn("_cold_hits", F.filter("_hoff", lambda h: h["confidence"] >= F.lit(float(min_confidence))))
         s = mask_system(s, "cold")
-        cols["cold"] = (F.col("_cold_fold.text"), pred_of(F.col("_cold_fold.applied")), F.size("_cold_hits"))
-    if "warm" in names and warm_patterns is not None:
-        s = s.withColumn("_warm_hits", SC.hits_expr(text, warm_patterns, False, "text"))
-        s = mask_system(s, "warm")
-        cols["warm"] = (F.col("_warm_fold.text"), pred_of(F.col("_warm_fold.applied")), F.size("_warm_hits"))
+        cols["cold"] = pipeline("cold")
+    if "warm" in names:
+        s = mask_system(s.withColumn("_warm_hits", F.coalesce("warm_hits", F.array().cast(SC.HIT_TYPE))), "warm")
+        cols["warm"] = pipeline("warm")
     if "regex" in names:
         pred = F.transform("_hoff", lambda h: F.struct(h["span"].alias("span"), h["phi_type"].alias("phi_type")))
-        cols["regex"] = (M.regex_baseline(text, F.col("_hoff"), doc, sec), pred, F.lit(0))
+        cols["regex"] = (M.regex_baseline(text, F.col("_hoff"), doc, sec), pred, F.lit(0), F.lit(0))
     if "full_encryption" in names:
         r = M.full_encryption(text, F.transform("phi_spans", lambda x: x["span"]), doc, sec)
         pred = F.transform(r["pred"], lambda x: F.struct(x.alias("span"), F.lit(C.UNKNOWN_TYPE).alias("phi_type")))
-        cols["full_encryption"] = (r["masked"], pred, F.lit(0))
+        cols["full_encryption"] = (r["masked"], pred, F.lit(0), F.lit(0))
     arr = F.array(*[F.struct(F.lit(k).alias("system"), m.alias("masked"), p.cast(PRED_T).alias("pred"),
-                             h.cast("int").alias("cache_hits")) for k, (m, p, h) in cols.items()])
+                             h.cast("int").alias("cache_hits"), x.cast("int").alias("cache_misses")) for k, (m, p, h, x) in cols.items()])
     return s.select("doc_id", "seq", "text", "phi_spans", F.explode(arr).alias("o")).select(
         F.col("o.system").alias("system"), "doc_id", "seq", "text", "phi_spans", F.col("o.masked").alias("masked"),
-        F.col("o.pred").alias("pred"), F.col("o.cache_hits").alias("cache_hits"), F.lit(0).alias("cache_misses"))
+        F.col("o.pred").alias("pred"), F.col("o.cache_hits").alias("cache_hits"), F.col("o.cache_misses").alias("cache_misses"))
+
+
+def warm_hits(samples: DataFrame, table: DataFrame, learned: DataFrame, sightings: DataFrame, feedback: DataFrame,
+              min_confidence: float) -> DataFrame:
+    """(doc_id, hits): what each sample finds with the patterns as they were before it (FLT-3 as of the sample).
+
+    ``table``: the patterns before the first sample; ``learned``: those that sightings insert on the way.
+    The texts are scanned once, for all patterns that ever are; the hits, without the texts, are written,
+    and the labels that change along the samples are asked for their state at each sample that they hit.
+    """
+    known = MEM.insert_if_absent(table, learned)
+    place = {r.label: r.pattern_seq for r in known.select("label", "pattern_seq").collect()}  # as many as are inlined
+    inline = [replace(p, rank=k + 1) for k, p in enumerate(sorted(inline_patterns(known), key=lambda p: place[p.label]))]
+    hits = cut_lineage(SC.scan(samples.select("doc_id", "seq", "text"), inline).select("doc_id", "seq", "hits"))
+    moving = [r.label for r in feedback.select("label").unionByName(sightings.select("label")).distinct()
+              .join(known.select("label"), "label", "left_semi").collect()]
+    asked = F.filter(F.array_distinct(F.transform("hits", lambda h: h["label"])), lambda x: x.isin(moving))
+    trace = LC.replay(table, sightings, feedback, hits.select("seq", F.explode(asked).alias("label")))
+    return LC.as_of(hits, trace, min_confidence)
 
 
 def per_type_exact(outputs: DataFrame) -> DataFrame:

@@ -20,9 +20,11 @@ capacity rule (SO-3) is left to the end of a batch (``memory.cap``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ TRACE = ("label string, seq long, kind int, alive boolean, since long, confidenc
          "d_total long, d_promoted long, d_confidence double")
 STATE = "label string, alive boolean, since long, hits long, misses long, confidence double, promoted boolean, doomed long"
 CHUNK = 1 << 20
+#: executors need pandas, not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(C)
 
 
 def bad(confidence, observations):
@@ -101,29 +106,32 @@ def replay(patterns: DataFrame, sightings: DataFrame, feedback: DataFrame, probe
         events = events.unionByName(event(probes.select("label", "seq").distinct(), PROBE))
     worn = patterns.filter(bad(F.col("confidence"), F.col("hits") + F.col("misses"))).withColumn("seq", F.lit(first))
     events = events.unionByName(event(worn, PRUNE)).filter("label IS NOT NULL AND seq IS NOT NULL")
-    # number the events of a label by sentence, so that chunks end between sentences
-    sizes = events.groupBy("label", "seq").agg(F.count(F.lit(1)).alias("n"))
-    events = events.join(running_sums(sizes, ["label"], "seq", ["n"]).select(
-        "label", "seq", F.floor((F.col("run_n") - F.col("n")) / chunk).cast("long").alias("chunk")), ["label", "seq"])
-    events = cut_lineage(events)
-    span = events.agg(F.max("chunk").alias("chunks"), F.max("seq").alias("last")).first()
+    load = events.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+    load = load.agg(F.max("n").alias("n"), F.max("last").alias("last")).first()
+    if (load.n or 0) > chunk:  # number the events of a label by sentence, so that chunks end between sentences
+        sizes = events.groupBy("label", "seq").agg(F.count(F.lit(1)).alias("n"))
+        events = cut_lineage(events.join(running_sums(sizes, ["label"], "seq", ["n"]).select(
+            "label", "seq", F.floor((F.col("run_n") - F.col("n")) / chunk).cast("long").alias("chunk")), ["label", "seq"]))
+    else:
+        events = events.withColumn("chunk", F.lit(0))
+    chunks = -(-(load.n or 0) // chunk)
     state = patterns.select("label", F.lit(True).alias("alive"), F.lit(-1).cast("long").alias("since"), "hits", "misses", "confidence",
                             "promoted", F.lit(None).cast("long").alias("doomed"))
     out = None
     both = TRACE + ", hits long, misses long, doomed long"
-    for k in range(0 if span.chunks is None else span.chunks + 1):
+    for k in range(chunks):
         now = events.filter(F.col("chunk") == k)
         named = now.select("label").distinct()
         done = cut_lineage(now.groupBy("label").cogroup(state.join(named, "label", "left_semi").groupBy("label"))
                            .applyInPandas(_folded, both))
         new = done.filter("kind = -1").select(*[c.split()[0] for c in STATE.split(", ")])
-        state = new if k == span.chunks and k == 0 else state.join(named, "label", "left_anti").unionByName(new)
+        state = new if chunks == 1 else state.join(named, "label", "left_anti").unionByName(new)  # a label without events is never due
         trace = done.filter("kind >= 0").select(*[c.split()[0] for c in TRACE.split(", ")])
         out = trace if out is None else out.unionByName(trace)
     if out is None:
         return patterns.sparkSession.createDataFrame([], TRACE)
     # patterns still to be pruned, by a sentence that is there
-    end = span.last if last is None else last
+    end = load.last if last is None else last
     due = state.filter(F.col("alive") & (F.col("doomed") <= F.lit(end).cast("long"))).select(
         "label", F.col("doomed").alias("seq"), F.lit(PRUNE).alias("kind"), F.lit(False).alias("alive"), "since", "confidence", "promoted",
         F.lit(-1).cast("long").alias("d_total"), (-F.col("promoted").cast("long")).alias("d_promoted"), (-F.col("confidence")).alias("d_confidence"))

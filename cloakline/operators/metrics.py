@@ -176,12 +176,14 @@ def detection_by_system(records: DataFrame) -> DataFrame:
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
 
 
-def scale_windows(records: DataFrame, size: int = 100) -> DataFrame:
-    """WN-1: complete tumbling count windows in ``seq`` order per system; gaps in ``seq`` do not matter."""
+def scale_windows(records: DataFrame, samples: DataFrame, size: int = 100) -> DataFrame:
+    """WN-1: complete tumbling count windows in ``seq`` order per system; gaps in ``seq`` do not matter.
+
+    Places come from the samples' ``seq`` alone (every system has every sample), so the systems run once.
+    """
     from cloakline.operators.running import ordinal
 
-    place = ordinal(records.select("seq").distinct(), ["seq"], "_place")  # every system has every sample
-    records = records.join(place, "seq")
+    records = records.join(ordinal(samples.select("seq"), ["seq"], "_place"), "seq")
     b = F.floor((F.col("_place") - 1) / size)
     agg = records.groupBy("system", b.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1"), F.avg("latency_ms").alias("latency_ms"),

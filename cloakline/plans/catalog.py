@@ -414,7 +414,7 @@ def latency_stats(spark, sf_dir):
 def scale_windows(spark, sf_dir):
     """WN-1 over the cold and warm systems with measured latencies."""
     rec = EV.records(_compared(spark, sf_dir, ("cold", "warm")), _latency(spark, sf_dir))
-    return _r(MT.scale_windows(rec))
+    return _r(MT.scale_windows(rec, _notes(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- critic and control

@@ -17,13 +17,13 @@ from cloakline.functions.text import (exact_leakage, quasi_from_tokens, token_se
                                       utility_from_tokens)
 from cloakline.operators import lifecycle as LC
 from cloakline.operators import mask as M
-from cloakline.operators import memory as MEM
 from cloakline.operators import metrics as MT
 from cloakline.operators import scan as SC
 from cloakline.operators import spans as SP
 from cloakline.session import cut_lineage
 from cloakline.sources.patterns import InlinePattern, inline_patterns
 
+LATER = 1 << 30  # place of the first learned pattern: after all of the table's own
 PRED_T = "array<struct<span:string,phi_type:string>>"
 
 
@@ -250,12 +250,13 @@ def warm_hits(samples: DataFrame, table: DataFrame, learned: DataFrame, sighting
     The texts are scanned once, for all patterns that ever are; the hits, without the texts, are written,
     and the labels that change along the samples are asked for their state at each sample that they hit.
     """
-    known = MEM.insert_if_absent(table, learned)
-    place = {r.label: r.pattern_seq for r in known.select("label", "pattern_seq").collect()}  # as many as are inlined
-    inline = [replace(p, rank=k + 1) for k, p in enumerate(sorted(inline_patterns(known), key=lambda p: place[p.label]))]
+    # every pattern that ever is, in the order of insertion: ST-4 without a new table
+    fresh = learned.join(table.select("label"), "label", "left_anti").withColumn("pattern_seq", F.col("pattern_seq") + F.lit(LATER))
+    inline = sorted(inline_patterns(table.unionByName(fresh.select(*table.columns))), key=lambda p: p.place)
+    inline = [replace(p, rank=k + 1) for k, p in enumerate(inline)]
     hits = cut_lineage(SC.scan(samples.select("doc_id", "seq", "text"), inline).select("doc_id", "seq", "hits"))
-    moving = [r.label for r in feedback.select("label").unionByName(sightings.select("label")).distinct()
-              .join(known.select("label"), "label", "left_semi").collect()]
+    told = {r.label for r in feedback.select("label").unionByName(sightings.select("label")).distinct().collect()}
+    moving = [p.label for p in inline if p.label in told]
     asked = F.filter(F.array_distinct(F.transform("hits", lambda h: h["label"])), lambda x: x.isin(moving))
     trace = LC.replay(table, sightings, feedback, hits.select("seq", F.explode(asked).alias("label")))
     return LC.as_of(hits, trace, min_confidence)

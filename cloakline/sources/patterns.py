@@ -29,6 +29,7 @@ class InlinePattern:
     promoted: bool
     confidence: float
     requires: str | None = None  # exact prefilter hint ("digit" / "at"), see constants.SEED_REQUIRES
+    place: int = 0  # insertion order (pattern_seq)
 
 
 _SEED_REGEX = {label: rx for label, rx, _t, _r in C.SEED_PATTERNS}
@@ -118,7 +119,7 @@ def inline_patterns(patterns: DataFrame, min_confidence: float | None = None,
     rows.sort(key=lambda r: (not r["promoted"], -r["confidence"], r["pattern_seq"]))
     return [
         InlinePattern(i + 1, r["label"], r["regex"], r["phi_type"], r["abstraction_role"],
-                      bool(r["promoted"]), float(r["confidence"]), requirement(r["label"], r["regex"]))
+                      bool(r["promoted"]), float(r["confidence"]), requirement(r["label"], r["regex"]), r["pattern_seq"])
         for i, r in enumerate(rows)
     ]
 

@@ -14,7 +14,7 @@ import numpy as np
 from cloakline.llm.common import mix, worker_store
 
 THRESHOLD = 100             # bytes in a repeated string
-SEGMENT = 2 << 20           # bytes that numpy looks at together; places in it fit PLACE bits
+SEGMENT = 1 << 17           # bytes that numpy looks at together; places in it fit PLACE bits
 PLACE = 24
 BASE = 0x9E3779B97F4A7C15   # odd, so it has an inverse modulo 2**64
 TABLES = np.random.default_rng(3).integers(0, 1 << 62, (2, 256), dtype=np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(1)

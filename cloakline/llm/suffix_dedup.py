@@ -40,7 +40,7 @@ from cloakline.llm.byte_names import THRESHOLD, runs
 from cloakline.llm.common import documents, mix, slices, written
 
 LENGTHS = (32, 64, 100)   # of the names, doubling up to the threshold
-SLICE = 4 << 20           # bytes in which copies are settled before anything is shuffled
+SLICE = 2 << 20           # bytes in which copies are settled before anything is shuffled
 #: name, region: of a run, or where it goes; at: start * 256 + number of strings; spans: several of them, settled
 RUN = "name long, region long, doc_id long, tie long, at long, spans binary"
 MARK = "doc_id long, tie long, at long, spans binary, name long, id long"
@@ -65,21 +65,30 @@ def _identity(name: np.ndarray, region: np.ndarray, doc: np.ndarray, tie: np.nda
         return mix(name ^ mix(region + mix(doc.view(np.uint64) + mix(tie.view(np.uint64) + mix(at.view(np.uint64))))))
 
 
-def ranked(batch: pa.RecordBatch, opened: list[np.ndarray]) -> dict:
+def _texts(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """One hash for each text."""
+    with np.errstate(over="ignore"):
+        return mix(doc.view(np.uint64) + mix(tie.view(np.uint64)))
+
+
+def ranked(batch: pa.RecordBatch, opened: list[tuple[np.ndarray, np.ndarray]]) -> dict:
     """Runs of a slice at length LENGTHS[len(opened)], among the strings still open after the rounds before.
 
-    ``settled`` marks runs that an earlier equal run of the slice settles.
+    ``opened`` has a filter of the open runs and one of the texts that hold any, for each round before; a text
+    that the last one does not know is not looked at.  ``settled`` marks runs that an earlier equal run of the slice settles.
     """
     data, ends = _bytes(batch.column("text"))
     doc_id, tie = _number(batch.column("doc_id")), batch.column("tie").to_numpy(zero_copy_only=False)
     at, count = ends[:-1], np.maximum(np.diff(ends) - THRESHOLD + 1, 0)
+    if opened:
+        count = np.where(bloom.reported(_texts(doc_id, tie), opened[-1][1]), count, 0)
     for level in range(len(opened) + 1):
         name, region, place, n = runs(data, at[count > 0], count[count > 0], LENGTHS[level])
         doc = np.searchsorted(ends, place, "right") - 1
         start = place - ends[doc]
         packed = start * 256 + n
         if level < len(opened):
-            on = bloom.reported(_identity(name, region, doc_id[doc], tie[doc], packed), opened[level])
+            on = bloom.reported(_identity(name, region, doc_id[doc], tie[doc], packed), opened[level][0])
             at, count = place[on], n[on]
     order = np.lexsort((start, tie[doc], doc_id[doc], region, name))
     key = np.stack([name[order], region[order]])
@@ -93,7 +102,7 @@ def ranked(batch: pa.RecordBatch, opened: list[np.ndarray]) -> dict:
     return {"name": name, "region": region, "doc": doc, "at": packed, "settled": settled, "on": ~once, "doc_id": doc_id, "tie": tie}
 
 
-def _pairs(docs: DataFrame, opened: list[np.ndarray], bits: np.ndarray) -> DataFrame:
+def _pairs(docs: DataFrame, opened: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray) -> DataFrame:
     """Rows of RUN: runs whose anchor may occur again, and per document what its slice settled."""
     shared = docs.sparkSession.sparkContext.broadcast((opened, bits))
     kinds = pa.schema([("name", pa.int64()), ("region", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()),
@@ -170,7 +179,7 @@ def settled(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.crc32(F.col("text").cast("binary")))
     strings = rows.agg(F.sum(F.greatest(F.octet_length("text") - THRESHOLD + 1, F.lit(0)).cast("long"))).first()[0] or 0
-    opened: list[np.ndarray] = []
+    opened: list[tuple[np.ndarray, np.ndarray]] = []
     found = None
     for gram in LENGTHS:
         expected = int(2 * strings / (THRESHOLD - gram + 2)) + 1
@@ -194,10 +203,15 @@ def settled(docs: DataFrame) -> DataFrame:
                 name = batch.column("name").to_numpy(zero_copy_only=False).view(np.uint64)
                 yield batch.filter(pa.array(bloom.reported(name, shared.value)))
 
-        left = written(heads.select("name", "id", "at").mapInArrow(still_open, "name long, id long, at long"), "open")
+        left = written(heads.select("name", "id", "at", "doc_id", "tie").mapInArrow(
+            still_open, "name long, id long, at long, doc_id long, tie long"), "open")
         size = left.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("at") % 256).alias("strings")).first()
         strings = size.strings or 0
-        opened.append(bloom.counted(left.select("id"), 4 * size.n, 1))  # every run is asked for, so few wrong reports
+        runs_open = bloom.counted(left.select("id"), 4 * size.n, 1)  # every run is asked for, so few wrong reports
+        texts = left.select("doc_id", "tie").distinct()
+        texts_open = bloom.counted(texts, texts.count(), 1, lambda batch: _texts(
+            _number(batch.column("doc_id")), batch.column("tie").to_numpy(zero_copy_only=False)))
+        opened.append((runs_open, texts_open))
     return found.where("id IS NULL").select("doc_id", "tie", "at", "spans")
 
 

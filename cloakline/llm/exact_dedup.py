@@ -64,9 +64,9 @@ def duplicates(docs: DataFrame) -> DataFrame:
     groups = same.groupBy("text_sha256").agg(
         F.sum("_copies").alias("group_size"), F.count(F.lit(1)).alias("_members"),
         F.max(F.struct(F.col("_n").alias("n"), F.col("doc_id").isNull().alias("null"),
-                       (-F.col("doc_id")).alias("id"))).alias("_best"))
+                       F.bitwise_not("doc_id").alias("id"))).alias("_best"))  # falls as the id grows, for every long
     full = attach(same, groups, "text_sha256", "_members", rows.count())
-    met = full.select("doc_id", (-F.col("_best.id")).alias("keep_id"), "group_size", "_n", "_best", "text_sha256",
+    met = full.select("doc_id", F.bitwise_not("_best.id").alias("keep_id"), "group_size", "_n", "_best", "text_sha256",
                       F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
     stays = ((F.col("_copy") == 1) & (F.col("_n") == F.col("_best.n"))
              & F.col("doc_id").eqNullSafe(F.col("keep_id")))
@@ -84,7 +84,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     marked = _marked(rows)
     order = F.struct(F.length(F.coalesce(F.col("_row.text"), F.lit(""))).alias("n"),
-                     F.col("_row.doc_id").isNull().alias("null"), (-F.col("_row.doc_id")).alias("id"))
+                     F.col("_row.doc_id").isNull().alias("null"), F.bitwise_not(F.col("_row.doc_id").cast("long")).alias("id"))
     met = marked.where("maybe").groupBy("text_sha256").agg(F.max_by("_row", order).alias("_row"))
     return marked.where(~F.col("maybe")).select("_row.*").unionByName(met.select("_row.*"))
 

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from cloakline.llm.common import attach, read_table, shared_path, slices, written
 
+READS = 5000              # range reads in a task
 BLOCK_LINES = 1000        # captures in a compressed index block
 ARCHIVE_BYTES = 1 << 30   # an archive is closed at this size
 DATE = "1970-01-01T00:00:00Z"  # pages carry no capture date
@@ -257,7 +258,10 @@ def lookup(keys: DataFrame, top: list[tuple], base: str, payloads: bool = False)
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     want = keys.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(keyed, "key string, page_id long").distinct()
-    dealt = want.repartitionByRange("key", F.col("page_id").asc_nulls_first()).sortWithinPartitions(
+    want = written(want, "wanted")
+    # keys are few bytes, what they read is not: a task for so many reads, whatever the planner makes of the keys' size
+    tasks = max(1, -(-want.count() // READS))
+    dealt = want.repartitionByRange(tasks, "key", F.col("page_id").asc_nulls_first()).sortWithinPartitions(
         "key", F.col("page_id").asc_nulls_first())
     return dealt.mapInArrow(search, RECORD)
 

@@ -45,6 +45,14 @@ def sketch(text: Column, fraction: float = FRACTION, width: int = SHINGLE) -> Co
         .otherwise(F.slice(F.array_sort(h), 1, 1)))[0])[0]
 
 
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Sketch of the union of two texts' shingles, from their sketches alone."""
+    below = -(1 << 63) + int(fraction * (1 << 64))
+    return F.transform(F.array(F.array_sort(F.array_union(a, b))), lambda h: F.transform(
+        F.array(F.filter(h, lambda x: x < F.lit(below).cast("long"))),
+        lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.slice(h, 1, 1)))[0])[0]
+
+
 def printed(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, F.hex), ",")
 

@@ -56,6 +56,16 @@ def test_exact_dedup_of_repeated_rows_and_null_ids(spark):
     assert exact_dedup.duplicates(empty(spark)).count() == 0
 
 
+def test_exact_dedup_takes_every_id(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    df = spark.createDataFrame([(least, "a b"), (most, "ab "), (0, "c"), (least, "c "), (most, "d")], "doc_id long, text string")
+    got = {(r.doc_id, r.text_sha256[:4]): (r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicates(df).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
+    assert got == {(least, sha("ab")): (least, 2, True), (most, sha("ab")): (least, 2, False), (0, sha("c")): (least, 2, False),
+                   (least, sha("c")): (least, 2, True), (most, sha("d")): (most, 1, True)}
+    assert {(r.doc_id, r.text) for r in exact_dedup.deduplicated(df).collect()} == {(least, "a b"), (least, "c "), (most, "d")}
+
+
 def brute_bytes(rows):
     seen, out = {}, {}
     for i, t in sorted(rows):
@@ -159,6 +169,23 @@ def block_rows(sets, cluster=None, side=None):
              "shingles": np.array(sorted(s), np.uint64).tobytes()} for k, s in enumerate(sets)]
 
 
+def test_components_of_hubs(spark):
+    rng = np.random.default_rng(5)
+    links = [(7, int(b)) for b in rng.integers(100, 9000, 3000)] + [(9500, int(b)) for b in rng.integers(8990, 12000, 3000)] + [(20000, 20001)]
+    got = dict(tuple(r) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
 def test_a_block_of_many_short_rows_stays_small():
     """Templated texts: few shingles each, so a block bounded by shingles alone holds very many rows."""
     import tracemalloc

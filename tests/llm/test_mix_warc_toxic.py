@@ -118,6 +118,17 @@ def test_lookup_finds_only_what_is_asked_for(spark, monkeypatch):
     assert sorted(r.page_id for r in warc.lookup(want, top, base).collect()) == [3, 200]
 
 
+def test_reads_are_dealt_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(warc, "READS", 20)
+    pages = spark.createDataFrame([(k, f"http://h{k % 9}.org/{k}", f"page {k}") for k in range(200)], "page_id long, url string, html string")
+    base, top = warc.archive(pages)
+    read = warc.lookup(pages.select("url", "page_id"), top, base)
+    per = [r.n for r in read.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(per) == 200 and len(per) >= 8 and max(per) < 60
+
+
 def test_query_resolves_revisits(spark, tmp_path):
     rows, df = pages(spark)
     df.write.parquet(f"{tmp_path}/pages.parquet")

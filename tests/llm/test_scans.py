@@ -162,9 +162,36 @@ def test_plan_is_best_fit_decreasing():
         assert sorted(free.values()) == one_by_one(lengths, window)
 
 
-def test_units_join_to_the_text():
-    for t in ["a b", " a", "a  b", "a \n b ", "", "  ", "a  b", "x\ty z"]:
-        assert " ".join(packing.units(t)) == t
+def test_ids_of_odd_texts_equal_the_tokenizers():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tokenizer, encode, rng = Tokenizer.from_file(path), packing.encoder(path), random.Random(8)
+    parts = ["a", "'s", "'ll", "12", "\u00e9", "<|endoftext|>", "\u4f60\u597d", "!", "_", "\u0663", "\u2167", "\u0301", " ", " ", " ", "\t", "\n", "\x0b", "\x1c",
+             "\x85", "\xa0", "\u3000", "\u200b"]
+    names = {b: c for c, b in packing.byte_names().items()}
+    words = [t for t in tokenizer.get_vocab() if all(c in names.values() for c in t)]
+    back = {c: b for b, c in names.items()}
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        glued = bytes(back[c] for t in rng.choices(words, k=rng.randint(0, 6)) for c in t).decode(errors="ignore")
+        for x in (text, glued):
+            assert encode(x).tolist() == tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_go_to_their_own_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        told = json.load(f)
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "spaced.json").write_text(json.dumps(told), encoding="utf-8")
+    path = str(tmp_path / "spaced.json")
+    assert packing.encoder(path)("hello you").tolist() == Tokenizer.from_file(path).encode("hello you", add_special_tokens=False).ids
 
 
 def test_packing_edges(spark):
@@ -195,6 +222,32 @@ def test_fingerprints(docs):
     assert rows[0].fingerprint == rows[3].fingerprint == rows[4].fingerprint != rows[2].fingerprint
 
 
+def test_sketches_match_brute_force_and_merge(spark, docs):
+    import xxhash
+
+    from pyspark.sql import functions as F
+
+    def chained(words):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    def brute(*texts):
+        found = set()
+        for t in texts:
+            w = [x for x in re.split("[ \t-\r]+", t.lower()) if x]
+            found |= {chained(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+        low = {h for h in found if h < -(1 << 63) + (1 << 61)}
+        return sorted(low or ([min(found)] if found else []))
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("s", fingerprints.sketch(F.col("t"))).collect()
+    assert all(r.s == brute(r.t) for r in rows)
+    pairs = spark.createDataFrame([(a.s, b.s, a.t, b.t) for a, b in zip(rows, rows[7:])], "a array<long>, b array<long>, t string, u string")
+    got = pairs.select(fingerprints.merged(F.col("a"), F.col("b")).alias("m"), "t", "u").collect()
+    assert all(r.m == brute(r.t, r.u) for r in got)
+
+
 def test_sketch_estimates_containment(spark):
     import random
 

@@ -98,6 +98,11 @@ def focus_trace(v: DataFrame, spans: DataFrame) -> DataFrame:
     span, phi_type) processed spans.  Types of processed spans whose text
     leaked are appended in first-seen order; a clean validation clears the
     list.  Island = running count of clean validations (skew-safe scan).
+
+    An island's types with the place where each was first seen are one short
+    list (as long as there are types); a validation's list is the part of it
+    up to its own place.  The lists of the few long islands are broadcast, so
+    a run without any clean validation stays spread over all tasks.
     """
     vv = v.withColumn("_clean", F.col("is_clean").cast("long"))
     isl = running_sums(vv, [], "seq", ["_clean"]).withColumnRenamed("run__clean", "island")
@@ -105,9 +110,23 @@ def focus_trace(v: DataFrame, spans: DataFrame) -> DataFrame:
     typed = leak_rows.join(spans, "doc_id").filter(F.array_contains(F.col("leaked_spans"), F.col("span"))) \
         .filter(F.col("phi_type").isNotNull() & (F.col("phi_type") != ""))
     first = typed.groupBy("island", "phi_type").agg(F.min(F.struct("seq", "pos")).alias("first"))
-    rows = isl.filter(~F.col("is_clean")).select("seq", "island")
-    j = rows.join(first, "island").filter(F.col("first.seq") <= F.col("seq"))
-    lists = j.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("first", "phi_type"))).alias("xs"))
-    out = isl.select("seq").join(lists, "seq", "left")
-    return out.select("seq", F.coalesce(F.transform("xs", lambda x: x["phi_type"]),
-                                        F.array().cast("array<string>")).alias("phi_types_focus"))
+    lists = first.groupBy("island").agg(F.array_sort(F.collect_list(F.struct("first", "phi_type"))).alias("xs"))
+    sizes = isl.groupBy("island").agg(F.count(F.lit(1)).alias("_n"))
+    out = attach_lists(isl.select("seq", "is_clean", "island"), lists.join(sizes, "island"), "island", "xs")
+    seen = F.filter("xs", lambda x: ~F.col("is_clean") & (x["first"]["seq"] <= F.col("seq")))
+    return out.select("seq", F.coalesce(F.transform(seen, lambda x: x["phi_type"]), F.array().cast("array<string>")).alias("phi_types_focus"))
+
+
+def attach_lists(rows: DataFrame, groups: DataFrame, key: str, value: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the column ``value`` of their group (null without one); no task gets a large group's rows.
+
+    ``groups``: (key >= 0, value, _n = its rows), one row per key.  Keys with more than a ``share``-th of all
+    rows, so at most ``share`` of them, are broadcast; their rows go to the other join under keys of their own.
+    """
+    least = rows.agg((F.count(F.lit(1)) / share)).scalar()
+    large = groups.filter(F.col("_n") > least).select(F.col(key).alias("_large"), F.col(value).alias("_own"))
+    small = groups.filter(F.col("_n") <= least).select(F.col(key).alias("_key"), F.col(value).alias("_other"))
+    j = rows.join(F.broadcast(large), F.col(key) == F.col("_large"), "left")
+    j = j.withColumn("_dealt", F.when(F.col("_large").isNull(), F.col(key)).otherwise(-1 - F.monotonically_increasing_id()))
+    j = j.join(small, F.col("_dealt") == F.col("_key"), "left")
+    return j.select(*rows.columns, F.coalesce("_own", "_other").alias(value))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cloakline.functions import scoring as S
 from cloakline.functions.text import exact_leakage, quasi_risk, shares_token, token_set, utility
+from cloakline.operators.quantiles import quantiles, with_quantiles
 
 
 def _c(x) -> Column:
@@ -132,17 +133,17 @@ def round_cols(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def latency_stats(df: DataFrame, latency: str, group: tuple[str, ...] = ()) -> DataFrame:
-    """AG-6 / AG-7: mean, median, p95 (linear interpolation), min, hit/miss means."""
+    """AG-6 / AG-7: mean, median, p95 (linear interpolation, exact), min, hit/miss means; groups of any size."""
     lat = F.col(latency)
-    return df.groupBy(*group).agg(
+    base = df.groupBy(*group).agg(
         F.avg(lat).alias("mean_ms"),
-        F.percentile(lat, 0.5).alias("median_ms"),
-        F.percentile(lat, 0.95).alias("p95_ms"),
         F.min(lat).alias("min_ms"),
         F.coalesce(F.avg(F.when(F.col("cache_hits") > 0, lat)), F.lit(0.0)).alias("cache_hit_mean_ms"),
         F.coalesce(F.avg(F.when(F.col("cache_misses") > 0, lat)), F.lit(0.0)).alias("cache_miss_mean_ms"),
         F.count(F.lit(1)).alias("n"),
     )
+    both = with_quantiles(base, quantiles(df, group, latency, [0.5, 0.95]), group, ["median_ms", "p95_ms"])
+    return both.select(*group, "mean_ms", "median_ms", "p95_ms", "min_ms", "cache_hit_mean_ms", "cache_miss_mean_ms", "n")
 
 
 def micro_macro(records: DataFrame) -> DataFrame:

@@ -402,7 +402,7 @@ SELECT e.doc_id, e.seq, length(text) AS text_len, len(phi_spans) AS gt_count, le
 FROM e2 e LEFT JOIN valr v USING (doc_id)"""
 
 SQL["system_latency"] = with_ctes(NOTES, COLD, REGEX) + f"""
-SELECT system, {R('avg(l)')} AS mean_ms, {R('quantile_cont(l, 0.95)')} AS p95_ms, {R('min(l)')} AS min_ms, count(*) AS n
+SELECT system, {R('avg(l)')} AS mean_ms, {R('quantile_cont(l, 0.5)')} AS median_ms, {R('quantile_cont(l, 0.95)')} AS p95_ms, {R('min(l)')} AS min_ms, count(*) AS n
 FROM (SELECT system, coalesce(e.value, 0.0) AS l FROM (SELECT system, doc_id FROM cold UNION ALL SELECT system, doc_id FROM regex) s
       LEFT JOIN events e ON e.event_id = s.doc_id) GROUP BY system"""
 

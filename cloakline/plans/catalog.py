@@ -8,6 +8,7 @@ the SQL twin in ``catalog_sql``.
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ from cloakline.sources import replies
 from cloakline.sources.patterns import seed_inline
 
 DEMO_KEY_ID = "demo"
+LONG_NUMBER = "[0-9]{3,}"  # what the "digits" system of the comparison masks
 SPAN_ORDER = 1 << 32  # places between two samples in the order of their spans: no text has as many
 
 
@@ -655,6 +657,39 @@ def cold_warm_detection(spark, sf_dir):
 
 
 
+def _digits_system(samples: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """A masker of long numbers, registered beside the library's own systems."""
+    runs = F.regexp_extract_all("text", F.lit(LONG_NUMBER), 0)
+    pred = F.transform(runs, lambda x: F.struct(x.alias("span"), F.lit(C.UNKNOWN_TYPE).alias("phi_type")))
+    return samples.select(F.lit(names[0]).alias("system"), "doc_id", F.regexp_replace("text", LONG_NUMBER, C.REDACTED.replace("$", "\\$")).alias("masked"),
+                          pred.cast(EV.PRED_T).alias("pred"), F.lit(0).alias("cache_hits"), F.lit(0).alias("cache_misses"))
+
+
+def _no_system(samples: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    raise RuntimeError("the model of this system is not there")
+
+
+def _dataset_comparison(spark, sf_dir) -> DataFrame:
+    secret = _secret(spark)
+    known = {"notes": _notes(spark, sf_dir),
+             "annotated": corpus.load_annotated(corpus.raw_annotated(spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))))}
+    wide = lambda samples, names: EV.systems_wide(samples, secret, names, seed_inline(None), C.MIN_CONFIDENCE_DEFAULT)
+    compared = EV.Comparison().register(("cold", "regex"), wide).register(("digits",), _digits_system).register(("absent",), _no_system)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # "absent" fails on purpose
+        return compared.outputs(known, ("notes", "unheard of", "annotated"))
+
+
+def benchmark_detection(spark, sf_dir):
+    """MK-12 / UDF-2 / JN-11 / SNK-4: registered systems over several datasets, one that fails scored as the fallback."""
+    return _r(EV.benchmark_tables(_dataset_comparison(spark, sf_dir))["detection"])
+
+
+def benchmark_per_type(spark, sf_dir):
+    """AG-5 by dataset, system and type for the same comparison."""
+    return _r(EV.benchmark_tables(_dataset_comparison(spark, sf_dir))["per_type"])
+
+
 def negative_control(spark, sf_dir):
     """The corpus job over ``conversations`` (every turn, whole text): a
     negative control where the seeds should find (almost) nothing."""
@@ -737,6 +772,8 @@ QUERIES = {
     "quasi_risk": quasi_risk_scores,
     "exact_leakage": exact_leakage,
     "cold_warm_detection": cold_warm_detection,
+    "benchmark_detection": benchmark_detection,
+    "benchmark_per_type": benchmark_per_type,
     "negative_control": negative_control,
 }
 QUERIES = {k: _normalized(v) for k, v in QUERIES.items()}

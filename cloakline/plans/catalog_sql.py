@@ -314,7 +314,7 @@ SELECT phi_type, tp, fp, fn, {R('precision')} AS precision, {R('recall')} AS rec
   tp + fn AS support
 FROM b"""
 
-SQL["per_type_overlap"] = with_ctes(NOTES, OUTPUTS, """
+_BY_TYPE = """
 gl AS (SELECT o.system, o.doc_id, coalesce(s.phi_type, 'UNKNOWN') AS phi_type, list(s.span ORDER BY i) AS gt
        FROM outputs o, range(1, len(o.phi_spans) + 1) r(i), LATERAL (SELECT o.phi_spans[i] AS s)
        GROUP BY ALL),
@@ -327,11 +327,14 @@ j AS (SELECT coalesce(gl.system, pl.system) AS system, coalesce(gl.phi_type, pl.
 m AS (SELECT system, phi_type, """ + overlap_record_sql("gt", "pred") + """ AS m FROM j),
 a AS (SELECT system, phi_type, sum(m.tp) AS tp, sum(m.fp) AS fp, sum(m.fn) AS fn FROM m GROUP BY system, phi_type),
 b AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
-        CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall FROM a)""") + f"""
+        CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall FROM a)"""
+_BY_TYPE_ROWS = f"""
 SELECT system, phi_type, tp, fp, fn, {R('precision')} AS precision, {R('recall')} AS recall,
   {R('CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END')} AS f1
 FROM b"""
 
+SQL["per_type_overlap"] = with_ctes(NOTES, OUTPUTS, _BY_TYPE) + _BY_TYPE_ROWS
+
 SQL["security_by_system"] = with_ctes(NOTES, OUTPUTS, RECORDS) + f"""
 SELECT system, {R('avg(leakage)')} AS exact_leakage, {R('avg(quasi_risk)')} AS quasi_id_risk,
   {R('avg(utility)')} AS utility_score, count(*) AS n
@@ -733,6 +736,39 @@ SELECT system, {R('avg(precision)')} AS precision, {R('avg(recall)')} AS recall,
   any_value(c.cache_hits) AS cache_hits, any_value(c.cache_misses) AS cache_misses
 FROM records JOIN counted c USING (system) GROUP BY system"""
 
+_LOADED = SQL["corpus_load"].split("\nSELECT doc_id, text, len(spans)")[0]
+
+
+def _over(cte: str, source: str, mark: str) -> str:
+    """The cold and regex tables of another source, under names of their own."""
+    for name in ("scanned", "cold", "rx0", "rx1", "rx2", "regex"):
+        cte = cte.replace(f"{name} AS (", f"{name}{mark} AS (").replace(f"FROM {name}", f"FROM {name}{mark}")
+    return cte.replace("FROM notes", f"FROM {source}")
+
+
+def _digits(source: str, dataset: str) -> str:
+    masked = "regexp_replace(text, '[0-9]{3,}', '[REDACTED]', 'g')"
+    pred = "list_transform(regexp_extract_all(text, '[0-9]{3,}'), lambda x: {'span': x, 'phi_type': 'UNKNOWN'})"
+    return (f"SELECT '{dataset}/digits' AS system, doc_id, seq, text, phi_spans, {masked} AS masked, {pred} AS pred, 0 AS cache_hits FROM {source}\n"
+            f"UNION ALL SELECT '{dataset}/absent', doc_id, seq, text, phi_spans, text, [], 0 FROM {source}")
+
+
+_DATASETS = _LOADED + ",\n" + ",\n".join([
+    "annot AS (SELECT doc_id, doc_id AS seq, text, spans AS phi_spans FROM ld2)", COLD.strip(), REGEX.strip(),
+    _over(COLD.strip(), "annot", "_a"), _over(REGEX.strip(), "annot", "_a"), "outputs AS (" + " UNION ALL ".join(
+        [f"SELECT '{d}/' || system AS system, doc_id, seq, text, phi_spans, masked, pred, cache_hits FROM {t}{m}"
+         for d, m in (("notes", ""), ("annotated", "_a")) for t in ("cold", "regex")] + [_digits("notes", "notes"), _digits("annot", "annotated")]) + ")"])
+
+SQL["benchmark_detection"] = _DATASETS + ",\n" + RECORDS.strip() + f"""
+SELECT split_part(system, '/', 1) AS dataset, split_part(system, '/', 2) AS system, {R('avg(precision)')} AS precision,
+  {R('avg(recall)')} AS recall, {R('avg(f1)')} AS f1, count(*) AS n, count_if(ends_with(system, '/absent')) AS n_fallback
+FROM records GROUP BY records.system"""
+
+SQL["benchmark_per_type"] = f"""SELECT split_part(system, '/', 1) AS dataset, * REPLACE (split_part(system, '/', 2) AS system,
+  CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn) FROM (
+{_DATASETS},
+{_BY_TYPE.strip()} {_BY_TYPE_ROWS})"""
+
 _WARM_PH = _WARM_MERGED.replace(
     "warm AS (", "warm_ph AS (").replace(
     mask_fold_sql('text', dedup_sql('hits'), 'doc_id'), mask_fold_sql('text', dedup_sql('hits'), 'doc_id', _PHRASE)).replace(

@@ -7,7 +7,10 @@ unioned and scored in one job, keyed by ``(system, doc_id)``.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from cloakline.operators import mask as M
 from cloakline.operators import metrics as MT
 from cloakline.operators import scan as SC
 from cloakline.operators import spans as SP
+from cloakline.operators.quantiles import quantiles, with_quantiles
 from cloakline.session import cut_lineage
 from cloakline.sources.patterns import InlinePattern, inline_patterns
 
@@ -97,8 +101,8 @@ def offsets_system(samples: DataFrame, entities: DataFrame, secret: Column, syst
                     pred.cast(PRED_T).alias("pred"), F.lit(0).alias("cache_hits"), F.lit(0).alias("cache_misses"))
 
 
-def records(outputs: DataFrame, latency: DataFrame | None = None) -> DataFrame:
-    """Per (system, sample): overlap P/R/F1, leakage, quasi risk, utility, latency.
+def records(outputs: DataFrame, latency: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per (system, sample): overlap P/R/F1, leakage, quasi risk, utility, latency, and the columns ``keep``.
 
     Every text is tokenised once, in its own column, and reused; the
     expressions are built from SQL text (``metrics.*_sql``).
@@ -117,7 +121,7 @@ def records(outputs: DataFrame, latency: DataFrame | None = None) -> DataFrame:
         r = r.join(latency, "doc_id", "left")
     else:
         r = r.withColumn("latency_ms", F.lit(0.0))
-    return r.select("system", "doc_id", "seq", "m.tp", "m.fp", "m.fn", "m.precision", "m.recall", "m.f1",
+    return r.select(*keep, "system", "doc_id", "seq", "m.tp", "m.fp", "m.fn", "m.precision", "m.recall", "m.f1",
                     F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"), "cache_hits", "leakage",
                     "quasi_risk", "utility")
 
@@ -173,12 +177,9 @@ def attack(outputs: DataFrame, guesses: DataFrame | None = None) -> DataFrame:
 
 def with_fallback(samples: DataFrame, outputs: DataFrame, systems: list[str]) -> DataFrame:
     """PRJ-6: a (system, sample) without output falls back to the original
-    text, no predictions, zero latency (one literal-tagged copy of the
-    samples per system, left-joined to the outputs)."""
-    frames = [samples.select(F.lit(s).alias("system"), "doc_id", "seq", "text", "phi_spans") for s in systems]
-    grid = frames[0]
-    for f in frames[1:]:
-        grid = grid.unionByName(f)
+    text, no predictions, zero latency (the samples once for every system,
+    left-joined to the outputs)."""
+    grid = samples.select(F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"), "doc_id", "seq", "text", "phi_spans")
     o = outputs.select("system", "doc_id", F.col("masked").alias("_m"), F.col("pred").alias("_p"),
                        F.col("cache_hits").alias("_h"), F.col("cache_misses").alias("_x"))
     j = grid.join(o, ["system", "doc_id"], "left")
@@ -189,6 +190,76 @@ def with_fallback(samples: DataFrame, outputs: DataFrame, systems: list[str]) ->
                     F.col("_m").isNull().alias("fallback"))
 
 
+#: (samples, names) -> outputs of the named systems
+Builder = Callable[[DataFrame, tuple[str, ...]], DataFrame]
+
+
+class Comparison:
+    """UDF-2 / JN-11: named systems compared over named datasets.
+
+    A builder is registered with the systems it serves, so that systems made
+    from one scan of the samples share it.  Every (dataset, system, sample) has
+    a row: where a builder fails, or leaves a sample out, it is the fallback of
+    PRJ-6 (``fallback`` says so), and the other systems are compared all the same.
+    """
+
+    def __init__(self) -> None:
+        self._builders: list[tuple[tuple[str, ...], Builder]] = []
+
+    @property
+    def systems(self) -> tuple[str, ...]:
+        return tuple(name for names, _ in self._builders for name in names)
+
+    def register(self, names: tuple[str, ...], builder: Builder) -> Comparison:
+        if known := set(names) & set(self.systems):
+            raise ValueError(f"registered already: {sorted(known)}")
+        self._builders.append((tuple(names), builder))
+        return self
+
+    def outputs(self, datasets: dict[str, DataFrame], wanted: tuple[str, ...], systems: tuple[str, ...] | None = None) -> DataFrame:
+        """Outputs of the ``systems`` (default: all) over the ``wanted`` datasets, with the column ``dataset`` (SNK-4).
+
+        Names that are no dataset or no system are skipped; without any dataset left there is nothing to compare.
+        """
+        chosen = [x for x in dict.fromkeys(wanted) if x in datasets]
+        if not chosen:
+            raise ValueError(f"no such dataset: {', '.join(wanted) or 'none given'}")
+        out = None
+        for dataset in chosen:
+            samples, made = datasets[dataset], []
+            for names, builder in self._builders:
+                asked = tuple(x for x in names if systems is None or x in systems)
+                if asked:
+                    try:
+                        made.append(builder(samples, asked).select("system", "doc_id", "masked", "pred", "cache_hits", "cache_misses"))
+                    except Exception as failed:  # one system's failure is its own: its samples fall back
+                        warnings.warn(f"{', '.join(asked)} on {dataset}: {failed}", stacklevel=2)
+            names = [x for x in self.systems if systems is None or x in systems]
+            if not made:
+                made = [samples.select(F.lit("").alias("system"), "doc_id", F.col("text").alias("masked"), F.array().cast(PRED_T).alias("pred"),
+                                       F.lit(0).alias("cache_hits"), F.lit(0).alias("cache_misses")).limit(0)]
+            done = with_fallback(samples, reduce(DataFrame.unionByName, made), names).withColumn("dataset", F.lit(dataset))
+            out = done if out is None else out.unionByName(done)
+        return out
+
+
+def benchmark_tables(outputs: DataFrame, latency: DataFrame | None = None) -> dict[str, DataFrame]:
+    """SNK-4: the detection, latency, security and per-type tables by dataset and system, for ``sinks.write_benchmark``."""
+    rec = cut_lineage(records(outputs, latency, ("dataset", "fallback")))
+    by = ("dataset", "system")
+    detection = rec.groupBy(*by).agg(
+        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
+        F.count(F.lit(1)).alias("n"), F.count_if("fallback").alias("n_fallback"))
+    security = rec.groupBy(*by).agg(F.avg("leakage").alias("exact_leakage"), F.avg("quasi_risk").alias("quasi_id_risk"),
+                                    F.avg("utility").alias("utility_score"))
+    timed = rec.groupBy(*by).agg(F.avg("latency_ms").alias("mean_ms"), F.min("latency_ms").alias("min_ms"))
+    timed = with_quantiles(timed, quantiles(rec, by, "latency_ms", [0.5, 0.95]), by, ["median_ms", "p95_ms"])
+    types = per_type_overlap(outputs.withColumn("system", F.to_json(F.struct("dataset", "system"))))
+    told = F.from_json("system", "dataset string, system string")
+    types = types.withColumn("_by", told).select("_by.dataset", "_by.system", *[c for c in types.columns if c != "system"])
+    return {"detection": detection, "latency": timed, "security": security, "per_type": types}
+
+
 def systems_wide(samples: DataFrame, secret: Column, names: tuple[str, ...],
                  seed_patterns: list[InlinePattern], min_confidence: float = 0.75, detector: bool = False) -> DataFrame:
     """Row-local systems (cold, warm, regex, full_encryption) from ONE scan of

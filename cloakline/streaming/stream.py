@@ -181,15 +181,25 @@ def params_stream(spark: SparkSession, validation_dir: str, params_root: str, na
     return w.start()
 
 
-def counters_stream(spark: SparkSession, masked_dir: str, name: str = "counters", query_name: str = "run_counters"):
-    """SM-5: running counters over the masked stream (streaming aggregation,
-    complete mode, in-memory sink for inspection); a reset is a new
-    checkpoint name."""
-    schema = spark.read.parquet(masked_dir).schema
-    src = spark.readStream.schema(schema).parquet(masked_dir)
-    agg = src.agg(
-        F.count(F.lit(1)).alias("total_sentences"), F.sum("span_count").alias("total_spans"),
-        F.sum("encrypted_count").alias("total_encrypted"), F.sum("abstracted_count").alias("total_abstracted"),
-        F.sum("cache_hits").alias("total_cache_hits"), F.sum("cache_misses").alias("total_cache_misses"))
+def counters_stream(spark: SparkSession, masked_dir: str, name: str = "counters", query_name: str = "run_counters",
+                    validation_dir: str | None = None):
+    """SM-5: running counters over the masked stream and, with ``validation_dir``, the stream of its validations
+    (streaming aggregation of both, complete mode, in-memory sink for inspection); a reset is a new checkpoint name.
+
+    Rewards and missed values count as their validations arrive, whenever that is.
+    """
+    sums = ("total_spans", "total_encrypted", "total_abstracted", "total_cache_hits", "total_cache_misses", "missed_phi_count")
+    src = spark.readStream.schema(spark.read.parquet(masked_dir).schema).parquet(masked_dir)
+    none = F.lit(None).cast("long")
+    told = src.select(F.lit(1).alias("sentence"), none.alias("validated"), F.lit(None).cast("double").alias("total_reward"), *[
+        (F.lit(0) if c is None else F.coalesce(c, F.lit(0))).cast("long").alias(n) for n, c in zip(
+            sums, ("span_count", "encrypted_count", "abstracted_count", "cache_hits", "cache_misses", None), strict=True)])
+    if validation_dir:
+        val = spark.readStream.schema(spark.read.parquet(validation_dir).schema).parquet(validation_dir)
+        told = told.unionByName(val.select(
+            F.lit(None).cast("int").alias("sentence"), F.lit(1).cast("long").alias("validated"), "total_reward",
+            *[F.lit(0).cast("long").alias(n) for n in sums[:-1]], F.coalesce(F.size("leaked_spans"), F.lit(0)).cast("long").alias(sums[-1])))
+    agg = told.agg(F.count("sentence").alias("total_sentences"), F.count("validated").alias("total_validated"),
+                   F.coalesce(F.sum("total_reward"), F.lit(0.0)).alias("total_reward"), *[F.sum(n).alias(n) for n in sums])
     return (agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
             .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())

@@ -34,7 +34,13 @@ def test_mask_stream_equals_batch(spark, secret):
     c = ST.counters_stream(spark, out + "/masked", name="t_counters", query_name="t_counters")
     c.awaitTermination()
     row = spark.sql("SELECT * FROM t_counters").collect()[0]
-    assert row.total_sentences == batch.count()
+    assert row.total_sentences == batch.count() and row.total_validated == 0 and row.total_reward == 0.0
+    # with the validations: the rewards and the missed values of the batch job
+    ST.counters_stream(spark, out + "/masked", name="t_counters2", query_name="t_counters2", validation_dir=out + "/validation").awaitTermination()
+    both = spark.sql("SELECT * FROM t_counters2").collect()[0]
+    want = v.agg(F.sum("total_reward"), F.sum(F.size("leaked_spans")), F.count(F.lit(1))).first()
+    assert (both.missed_phi_count, both.total_validated, both.total_sentences) == (want[1], want[2], row.total_sentences)
+    assert abs(both.total_reward - want[0]) < 1e-6 and both.total_spans == row.total_spans and want[1] > 0
 
 
 def test_memory_and_params_streams(spark):

@@ -216,6 +216,13 @@ def cache_misses(spark, sf_dir):
                     F.size(SP.learnable(F.col("hits"), F.col("detections"))).alias("n_learnable"))
 
 
+def reply_rejects(spark, sf_dir):
+    """SRC-5: replies that the jobs pass over.  Some notes were answered twice, some of them in the same words."""
+    told = replies.detect_raw(_notes(spark, sf_dir))
+    again = told.filter("doc_id % 10 = 0").withColumn("raw", F.concat("raw", F.lit(" ")))
+    return replies.duplicates(told.unionByName(again).unionByName(told.filter("doc_id % 15 = 0")))
+
+
 def skip_gate(spark, sf_dir):
     """FLT-4: documents whose promoted hits make the detector call unnecessary."""
     s = SC.scan(_notes(spark, sf_dir).select("doc_id", "text"), seed_inline(0.75))
@@ -727,6 +734,7 @@ QUERIES = {
     "mask_all": mask_all,
     "detector_parse": detector_parse,
     "cache_misses": cache_misses,
+    "reply_rejects": reply_rejects,
     "skip_gate": skip_gate,
     "mask_with_detector": mask_with_detector,
     "mask_regex_baseline": mask_regex_baseline,

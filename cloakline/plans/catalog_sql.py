@@ -180,6 +180,11 @@ SELECT doc_id, len(hits) AS cache_hits,
   len(list_filter(dets, lambda d: NOT list_contains(list_transform(hits, lambda h: h.span), d.span) AND d.has_pattern)) AS n_learnable
 FROM det"""
 
+SQL["reply_rejects"] = with_ctes(NOTES, detect_raw_sql(), """
+told AS (SELECT doc_id, raw FROM detect UNION ALL SELECT doc_id, raw || ' ' FROM detect WHERE doc_id % 10 = 0
+         UNION ALL SELECT doc_id, raw FROM detect WHERE doc_id % 15 = 0)""") + """
+SELECT doc_id, 'detect' AS kind, raw FROM told QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC) > 1"""
+
 SQL["skip_gate"] = with_ctes(NOTES, f"s AS (SELECT doc_id, {hits_sql('text')} AS hits FROM notes)") + """
 SELECT doc_id, len(list_filter(hits, lambda h: h.promoted)) AS promoted_hits,
   len(list_filter(hits, lambda h: h.promoted)) >= 2 AS skip_detector

@@ -23,6 +23,7 @@ from cloakline.operators import mask as M
 from cloakline.operators import metrics as MT
 from cloakline.operators import scan as SC
 from cloakline.operators import spans as SP
+from cloakline.operators.matching import matched
 from cloakline.operators.quantiles import quantiles, with_quantiles
 from cloakline.session import cut_lineage
 from cloakline.sources.patterns import InlinePattern, inline_patterns
@@ -112,7 +113,7 @@ def records(outputs: DataFrame, latency: DataFrame | None = None, keep: tuple[st
     tok = outputs.select("*", F.expr(MT.with_tokens_sql(gt)).alias("_gt"), F.expr(MT.with_tokens_sql(pr)).alias("_pr"),
                          F.expr(MT.tokens_sql("text")).alias("_ot"),
                          F.expr(f"array_distinct({MT.tokens_sql('masked')})").alias("_ms"))
-    tok = tok.select("*", F.expr(MT.overlap_tp_sql("_gt", "_pr")).alias("_tp0"))
+    tok = tok.select("*", matched("_gt", "_pr").alias("_tp0"))
     r = tok.select("*", F.expr(MT.overlap_record_sql("_gt", "_pr", "_tp0")).alias("m"),
                    F.expr(MT.leakage_sql("masked", gt)).alias("leakage"),
                    F.expr(MT.quasi_sql("_ot", "_ms")).alias("quasi_risk"),
@@ -140,7 +141,7 @@ def per_type_overlap(outputs: DataFrame, samples: DataFrame | None = None) -> Da
     e = outputs.select("system", F.explode_outer(F.expr(cut)).alias("c")).filter(F.col("c").isNotNull())
     e = e.select("system", F.col("c.phi_type").alias("phi_type"),
                  F.expr(MT.with_tokens_sql("c.gt")).alias("gt"), F.expr(MT.with_tokens_sql("c.pred")).alias("pred"))
-    e = e.select("*", F.expr(MT.overlap_tp_sql("gt", "pred")).alias("_tp0"))
+    e = e.select("*", matched("gt", "pred").alias("_tp0"))
     m = e.select("system", "phi_type", F.expr(MT.overlap_record_sql("gt", "pred", "_tp0")).alias("m"))
     agg = m.groupBy("system", "phi_type").agg(F.sum("m.tp").alias("tp"), F.sum("m.fp").alias("fp"),
                                               F.sum("m.fn").alias("fn"))

@@ -115,7 +115,8 @@ def replay(patterns: DataFrame, sightings: DataFrame, feedback: DataFrame, probe
     else:
         events = events.withColumn("chunk", F.lit(0))
     chunks = -(-(load.n or 0) // chunk)
-    state = patterns.select("label", F.lit(True).alias("alive"), F.lit(-1).cast("long").alias("since"), "hits", "misses", "confidence",
+    # names of its own, since patterns and events may come from one table
+    state = patterns.select(F.col("label").alias("label"), F.lit(True).alias("alive"), F.lit(-1).cast("long").alias("since"), "hits", "misses", "confidence",
                             "promoted", F.lit(None).cast("long").alias("doomed"))
     out = None
     both = TRACE + ", hits long, misses long, doomed long"

@@ -252,7 +252,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every 100-byte string written out and numbered in order (fit for the small table only).
 SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM d, unnest(range(0, length(h) // 2 - 99)) t(i)),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS i,
+        unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: substr(h, 2 * i + 1, 200))) AS s FROM d),
 f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
 g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM f),
 k AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),

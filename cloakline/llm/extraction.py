@@ -66,11 +66,13 @@ CLOSES_P = BLOCK - {"body", "html", "head", "caption", "legend", "option", "optg
 JUNK = frozenset("head script style noscript template textarea title iframe noembed noframes xmp svg math nav footer aside form button select "
                  "input object canvas dialog menu search datalist audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-COMMENTS = frozenset("comment comments commentlist commentary disqus respond replies".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted "
                   "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar header pagination pager "
                   "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
-                  "share sharing social related recommended widget toolbar skip".split())
+                  "share sharing social related recommended widget toolbar skip adbox adslot adunit adbanner adcontainer".split())
+#: and words that end so: "topnav", "sitefooter", "usercomments"
+ENDINGS, COMMENT_ENDINGS = ("nav", "menu", "sidebar", "footer", "banner", "navigation", "breadcrumbs"), ("comments", "commentlist")
 #: "no-sidebar" says how the page is laid out
 LAYOUT = frozenset("has no with without".split())
 #: a part named by the first set, with nothing but the second beside it, is an article
@@ -172,6 +174,10 @@ def _named(marks: str) -> tuple[dict[str, str], list[set[str]]]:
     return given, [{w.lower() for w in NAME.findall(value)} for value in (given.get("id", ""), *given.get("class", "").split())]
 
 
+def _says(names: set[str], known: frozenset[str], endings: tuple[str, ...]) -> set[str]:
+    return {n for n in names if n in known or n.endswith(endings)}
+
+
 def _kind(tag: str, marks: str, inside: bool) -> str:
     """What an element is by its name: "junk", "layout" (junk unless it holds the article), "home" (an article) or ""."""
     if tag in JUNK:
@@ -179,25 +185,25 @@ def _kind(tag: str, marks: str, inside: bool) -> str:
     given, names = _named(marks) if tag not in ("html", "body") else ({}, [])
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         return "junk"
-    if given.get("role", "").lower() in ROLES or any(n & COMMENTS for n in names):
+    if given.get("role", "").lower() in ROLES or any(_says(n, COMMENTS, COMMENT_ENDINGS) for n in names):
         return "junk"
     if tag == "main" or given.get("role", "").lower() in ("main", "article"):
         return "home"
     if tag == "header" and not inside:
         return "layout"
-    if tag not in HEADING and any(n & NAMES and not n & LAYOUT and not (inside and n & NAMES == {"header"}) for n in names):
+    if tag not in HEADING and any((junk := _says(n, NAMES, ENDINGS)) and not n & LAYOUT and not (inside and junk == {"header"}) for n in names):
         return "layout"
     return "home" if tag == "article" or any(n & ARTICLE and n <= BESIDE for n in names) and tag in ("div", "section") else ""
 
 
 def _parts(tree: Tree) -> tuple[list[bool], list[int]]:
-    """Which nodes are no article text, and the article or main element around each (0: none): the nearest article, else the outermost main."""
+    """Which nodes are no article text, and the element around each that is the article (0: none): the nearest ``article``, else the outermost other."""
     tag, parent, size = tree.tag, tree.parent, len(tree.tag)
     kind, home, holds = [""] * size, [0] * size, [False] * size
     for k in range(1, size):
         p = parent[k]
         kind[k] = "junk" if kind[p] == "junk" else _kind(tag[k], tree.marks[k], home[p] > 0)
-        home[k] = k if kind[k] == "home" and (tag[k] != "main" or not home[p]) else home[p]
+        home[k] = k if kind[k] == "home" and (tag[k] == "article" or not home[p]) else home[p]
     homes = {h for h, name in zip(home, kind, strict=True) if h and name != "junk"}
     titles = [k for k in range(1, size) if tag[k] == "h1" and kind[k] != "junk"]
     for k in homes or titles[-1:]:

@@ -101,6 +101,8 @@ PAGES = {
                   f'</article></section></main><div class="ad-container">{P}</div><script>"</p>{P}"</script></body>', ["T", P, "a", "b"]),
     "named": (f'<body><div class="menu">{P}</div><div class="post"><div class="article-header"><h1>T</h1></div><div><p>{P}</p><p>{P}</p></div><p>End.</p>'
               f'</div><div>{P} {P} {P}</div></body>', ["T", P, P, "End."]),
+    "named within": (f'<body><div id="topnav"><a href=/>x</a> y</div><div class="post"><h1>T</h1><div class="post-body"><p>{P}</p><p>{P}</p><p>ok</p></div></div>'
+                     f'<div class="usercomments"><p>{P} {P} {P} {P}</p></div><div id="sitefooter">{P}</div></body>', ["T", P, P, "ok"]),
     "text": ("just text &amp; more", ["just text & more"]),
     "cut in a tag": ('<body><article><p>abc</p><p class="x', ["abc"]),
     "cut in a comment": ("<p>abc<!-- def", ["abc"]),

@@ -4,29 +4,37 @@ Base spans come from fixed patterns.  Their values, labelled by the kind that
 found them, train one probabilistic automaton per kind: a prefix tree of the
 values is folded by merging states whose continuation frequencies are
 statistically compatible (Hoeffding bound), and the counts become
-probabilities.  Every other token-like run in the corpus is then scored by its
-mean log likelihood per character under each automaton, and runs that look
-like the held-out credentials of a kind, and unlike ordinary words, are added
-as spans of kind ``format``.
-
-Training reads a bounded sample: the ``TRAIN`` values of each kind with the
-smallest hash among the distinct values of the whole corpus.  Everything else
-reads every text whole, and all work is per document, so no key can be hot.
+probabilities.  Another automaton is inferred from ordinary runs in the same way.
+Every run of value characters in the corpus that is as long as the shortest value
+may be, words, numbers and dotted runs included, is then scored under all of them.
+Added as spans of kind ``format`` are the runs outside the base spans whose mean log
+likelihood under some kind is that of its held-out credentials and whose likelihood
+ratio against ordinary runs outweighs the prior odds (``PRIOR``).
+
+Training reads bounded samples: the ``TRAIN`` values of each kind and the ``WORDS``
+ordinary runs with the smallest hash among the distinct ones of the whole corpus
+(of at most ``LONGEST`` characters).  Everything else reads every text whole, and
+all work is per document, so no key can be hot.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one
-by one; without any credential in the corpus there is no automaton and only
-base spans are returned; an empty table gives an empty result.
+by one; without any credential in the corpus there is no automaton of a kind and
+only base spans are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +46,19 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ["assign", "access", "hex", "format"]
 LEAST = {"assign": 6, "access": 20, "hex": 24}
+SHORTEST = min(LEAST.values())
 
 TRAIN = 600          # labelled values of each kind to train on
-HELD_OUT = 5         # every so many of them set the threshold instead
+WORDS = 20_000       # ordinary runs to train on
+LONGEST = 256        # characters of a training value, at most
+HELD_OUT = 5         # every so many of the values set the threshold instead
 ALPHA = 0.05         # confidence of the state merging test
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # what may be a credential without a name before it
 TAIL = 0.02          # share of held-out credentials that may score below the threshold
+PRIOR = 1e-4         # assumed share of credentials among the runs without a name before them
+SEEN, UNSEEN = 0.05, 0.5  # smoothing of a kind's moves, and of ordinary ones, which have far more formats
+SIGN = 1 << 63       # Spark's xxhash64 (seed 42) is signed
+#: What may be a credential without a name before it: runs of value characters, no dot at either end.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 
 _assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _access = re.compile(ACCESS)
@@ -149,30 +164,26 @@ class Automaton:
                 red.append(blue)
 
 
-def score(states: list, value: str) -> float:
-    """Mean log likelihood per character under an automaton, unseen moves being rarer than any seen one."""
+def likelihood(states: list, value: str, smoothing: float = SEEN) -> float:
+    """Log likelihood of a whole value, its end included; unseen moves are rarer than any seen one."""
     at, total = 0, 0.0
     for c in value:
         name, within = SYMBOL.get(c, (c, 0.0))
         n, _, to = states[at]
         nxt, m = to.get(name, (0, 0))
-        total += math.log((m + 0.05) / (n + 1)) - within
+        total += math.log((m + smoothing) / (n + 20 * smoothing)) - within
         at = nxt
-    return total / len(value)
+    n, ends, _ = states[at]
+    return total + math.log((ends + smoothing) / (n + 20 * smoothing))
 
 
-def ordinary(values: list[str]) -> dict[str, float]:
-    """Log probability of each symbol in ordinary runs (add-one), for comparison."""
-    count = {s: 1 for s in [*(name for name, _ in _CLASSES), *"+/_=-"]}
-    for value in values:
-        for s in symbols(value):
-            count[s] = count.get(s, 0) + 1
-    total = sum(count.values())
-    return {s: math.log(n / total) for s, n in count.items()}
+def score(states: list, value: str) -> float:
+    """Mean log likelihood per move (each character, and the end)."""
+    return likelihood(states, value) / (len(value) + 1)
 
 
 def train(values: dict[str, list[str]], words: list[str]) -> dict:
-    """Automata, thresholds and the background from bounded samples."""
+    """Automata and thresholds of the kinds, and the automaton of ordinary runs, from bounded samples."""
     automata = {}
     for kind, own in values.items():
         held = own[::HELD_OUT]
@@ -182,41 +193,48 @@ def train(values: dict[str, list[str]], words: list[str]) -> dict:
         states = Automaton(rest).states
         scores = sorted(score(states, v) for v in held)
         automata[kind] = (states, scores[int(TAIL * len(scores))])
-    return {"automata": automata, "ordinary": ordinary(words)}
+    return {"automata": automata, "ordinary": Automaton(words).states, "odds": math.log((1 - PRIOR) / PRIOR)}
 
 
 def is_credential(run: str, model: dict) -> bool:
-    """A mixed run that some automaton finds as likely as its held-out credentials, and likelier than a word."""
-    if not any("0" <= c <= "9" for c in run) or not any(c.isalpha() for c in run):
+    """Whether some automaton finds the run as likely as its held-out credentials, and a credential likelier than a word."""
+    if not model["automata"]:
         return False
-    plain = 0.0
-    for c in run:
-        name, within = SYMBOL.get(c, (c, 0.0))
-        plain += model["ordinary"].get(name, -10.0) - within
-    return any((s := score(states, run)) >= least and s > plain / len(run)
-               for states, least in model["automata"].values())
+    least = likelihood(model["ordinary"], run, UNSEEN) + model["odds"]
+    return any((s := likelihood(states, run)) > least and s >= bound * (len(run) + 1)
+               for states, bound in model["automata"].values())
 
 
 # ------------------------------------------------------------------ jobs
 def labelled(docs: DataFrame, size: int = TRAIN) -> tuple[dict[str, list[str]], list[str]]:
-    """The bounded training sample: per kind ``size`` distinct values, and as many ordinary long runs."""
+    """The bounded training samples: per kind ``size`` distinct values, and ``WORDS`` distinct runs of the texts without any."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda rows: pa.record_batch([pa.array(c, pa.string()) for c in (list(zip(*rows, strict=True)) or [(), ()])],
+                                            names=["kind", "value"])
+        words: dict[str, int] = {}  # the runs of smallest hash of this task: those of the corpus are among them
+        bound = 1 << 64
         for batch in slices(batches):
             texts = pc.fill_null(batch.column("text"), "")
             found = set()
             for text, may in zip(texts.to_pylist(), may_match(texts), strict=True):
                 spans = base_spans(text) if may else []
-                found |= {(KINDS[k], text[at:to]) for _, k, to, at in spans}
-                if not may:  # one ordinary run of each text without credentials
-                    found |= {("word", m[0]) for m in [RUN.search(text)] if m and m[0].isalpha()}
-            kinds, own = zip(*sorted(found), strict=True) if found else ((), ())
-            yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(own, pa.string())], names=["kind", "value"])
+                found |= {(KINDS[k], text[at:to]) for _, k, to, at in spans if to - at <= LONGEST}
+                if not spans:
+                    for run in {r for r in RUN.findall(text) if SHORTEST <= len(r) <= LONGEST}:
+                        if (h := xxhash.xxh64_intdigest(run, 42) ^ SIGN) <= bound:
+                            words[run] = h
+                    if len(words) > 2 * WORDS:
+                        words = dict(heapq.nsmallest(WORDS, words.items(), key=lambda w: (w[1], w[0])))
+                        bound = max(words.values())
+            yield told(sorted(found))
+        words = dict(heapq.nsmallest(WORDS, words.items(), key=lambda w: (w[1], w[0])))
+        yield told([("word", run) for run in sorted(words)])
 
     every = written(docs.select("text").mapInArrow(values, "kind string, value string").distinct(), "secrets")
     order = [F.xxhash64("value"), F.col("value")]
-    first = lambda kind: [r.value for r in every.where(F.col("kind") == kind).orderBy(*order).limit(size).collect()]
-    return {k: first(k) for k in KINDS[:3]}, first("word")
+    first = lambda kind, n: [r.value for r in every.where(F.col("kind") == kind).orderBy(*order).limit(n).collect()]
+    return {k: first(k, size) for k in KINDS[:3]}, first("word", WORDS)
 
 
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -226,13 +244,20 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        judged = lru_cache(1 << 16)(lambda run: is_credential(run, model))  # short runs come again and again
         for batch in slices(batches):
             texts = pc.fill_null(batch.column("text"), "")
             out = []
             for text, may in zip(texts.to_pylist(), may_match(texts), strict=True):
                 base = [(a, k, b) for a, k, b, _ in (base_spans(text) if may else [])]
-                more = [(m.start(), 3, m.end()) for m in RUN.finditer(text)
-                        if not any(a < m.end() and m.start() < b for a, _, b in base) and is_credential(m[0], model)]
+                starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+                more = []
+                for m in RUN.finditer(text):
+                    a, b = m.span()
+                    if b - a >= SHORTEST and (judged(m[0]) if b - a <= LONGEST else is_credential(m[0], model)):
+                        before = bisect_left(starts, b)  # base spans that start before the run ends
+                        if not before or reach[before - 1] <= a:
+                            more.append((a, 3, b))
                 told = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
                 out.append((*(sum(s[1] == k for s in base) for k in range(3)),
                             hashlib.sha256(told(base).encode()).hexdigest(), told(base + more)))

@@ -83,6 +83,39 @@ def test_grammar_learns_a_format(spark):
     assert got[1001] == "" and got[1002] == ""
 
 
+def test_every_run_is_scored_whatever_its_form(spark):
+    """Formats that are short, dotted, all digits or all letters are found without a name; words and numbers are not."""
+    import random
+
+    rng = random.Random(3)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    forms = [lambda: "q7" + pick("XKWVZ", 2) + pick("0123456789", 6),
+             lambda: pick("GHJKMNPQ", 8) + "." + pick("GHJKMNPQ", 8) + "." + pick("0123456789", 6),
+             lambda: "771" + pick("0123456789", 15), lambda: pick("XKWVZQJ", 18)]
+    words = ["".join(rng.choice(["an", "der", "tion", "heit", "ou", "re"]) for _ in range(rng.randrange(2, 5))) for _ in range(3000)]
+    plain = [" ".join(rng.sample(words, 20)) + f" {rng.randrange(10**8)} 10.{rng.randrange(255)}.7.{rng.randrange(255)}. Done." for _ in range(300)]
+    rows = [(k, f"token = {forms[k % 4]()}") for k in range(1200)] + [(2000 + k, t) for k, t in enumerate(plain)]
+    alone = [(3000 + k, f"see {forms[k % 4]()}. Then {rng.choice(words)}") for k in range(200)]
+    docs = spark.createDataFrame(rows + alone, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in credentials.scan(docs, credentials.train(*credentials.labelled(
+        spark.createDataFrame(rows, "doc_id long, text string")))).collect()}
+    for f in range(4):
+        found = [got[i] == f"format:4:{t.index('. Then')}" for i, t in alone if i % 4 == f]
+        assert sum(found) >= 45, (f, sum(found))
+    assert sum(got[2000 + k] != "" for k in range(300)) <= 1
+
+
+def test_training_runs_are_those_of_smallest_hash(spark, monkeypatch):
+    """The bottom-k of the tasks holds the bottom-k of the corpus, by Spark's own hash."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(credentials, "WORDS", 50)
+    rows = [(k, " ".join(f"run{(7 * k + j) % 900:05d}x" for j in range(30)) + " " + "y" * 300) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    runs = docs.select(F.explode(F.split("text", " ")).alias("v")).where("length(v) <= 256").distinct().orderBy(F.xxhash64("v")).limit(50)
+    assert credentials.labelled(docs)[1] == [r.v for r in runs.collect()]
+
+
 def test_automaton_folds_equal_states():
     values = [f"ab{k:04d}" for k in range(300)]
     states = credentials.Automaton(values).states

@@ -24,15 +24,51 @@ PY_HIT_SCHEMA = ("doc_id long, hit_pos int, pattern_rank int, label string, span
                  "start int, end int")
 
 
-def model_replies(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], kind: str) -> DataFrame:
-    """UDF-1: ``scorer(pdf[doc_id, text]) -> pdf[doc_id, raw]``; output is an SRC-5 table."""
+ERROR_CHARS = 500  # of a failure's message that are kept
+
+
+def _scored(scorer: Callable[[pd.DataFrame], pd.DataFrame], pdf: pd.DataFrame, kind: str) -> Iterator[pd.DataFrame]:
+    """The scorer's rows of ``pdf``; a part that raises is halved until the rows that fail stand alone.
+
+    A row that fails costs about 2 log2(rows) more calls; rows of the good parts are scored again only along that path.
+    """
+    todo = [pdf]
+    while todo:
+        part = todo.pop()
+        try:
+            out = scorer(part[["doc_id", "text"]])
+            raw = out["raw"].astype(object).where(out["raw"].notna(), None)
+            yield pd.DataFrame({"doc_id": out["doc_id"].astype("int64"), "kind": kind,
+                                "raw": raw.map(lambda r: None if r is None else str(r)), "error": None})
+        except Exception as failure:  # noqa: BLE001 (whatever a scorer raises belongs to its row)
+            if len(part) > 1:
+                half = len(part) // 2
+                todo += [part.iloc[half:], part.iloc[:half]]
+            else:
+                told = f"{type(failure).__name__}: {failure}"[:ERROR_CHARS]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("int64"), "kind": kind, "raw": None, "error": told})
+
+
+def model_replies(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], kind: str,
+                  errors: bool = False) -> DataFrame:
+    """UDF-1: ``scorer(pdf[doc_id, text]) -> pdf[doc_id, raw]``; output is an SRC-5 table.
+
+    With ``errors`` (PRJ-5) a scorer that raises loses only the rows it raises on:
+    they come with a null ``raw`` and the failure in a further column ``error``
+    (null elsewhere).  A scorer must then be free to see a row more than once.
+    Without, the first failure ends the job.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if errors:
+                yield from _scored(scorer, pdf, kind)
+                continue
             out = scorer(pdf[["doc_id", "text"]])
             yield pd.DataFrame({"doc_id": out["doc_id"].astype("int64"), "kind": kind, "raw": out["raw"].astype(str)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, kind string, raw string")
+    schema = "doc_id long, kind string, raw string" + (", error string" if errors else "")
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 def python_scan(docs: DataFrame, patterns: list[InlinePattern], ascii_classes: bool = True) -> DataFrame:

@@ -30,6 +30,25 @@ def test_model_reply_hook(spark):
     assert [(x.doc_id, x.kind, x.raw) for x in r] == [(1, "detect", "[]"), (2, "detect", "[]")]
 
 
+def test_a_row_that_fails_is_lost_alone(spark):
+    bad = {0, 7, 8, 1500, 2999}
+    docs = spark.createDataFrame([(i, None if i == 9 else f"t{i}") for i in range(3000)], "doc_id long, text string").repartition(3)
+
+    def scorer(pdf: pd.DataFrame) -> pd.DataFrame:
+        if set(pdf["doc_id"]) & bad:
+            raise ValueError("no reply " + "x" * 1000)
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "raw": pdf["text"]})
+
+    got = {r.doc_id: r for r in hooks.model_replies(docs, scorer, "detect", errors=True).collect()}
+    assert set(got) == set(range(3000)) and {i for i, r in got.items() if r.error} == bad
+    for i, r in got.items():
+        if i in bad:
+            assert r.raw is None and r.error.startswith("ValueError: no reply") and len(r.error) == hooks.ERROR_CHARS
+        else:
+            assert (r.raw, r.kind) == (None if i == 9 else f"t{i}", "detect")
+    assert hooks.model_replies(docs.limit(0), scorer, "detect", errors=True).count() == 0
+
+
 def test_sinks_write(spark):
     root = tempfile.mkdtemp(prefix="cloakline-sinks-")
     summary = spark.createDataFrame([(3, 0.5)], "n_samples long, macro_f1 double")

@@ -27,26 +27,35 @@ PY_HIT_SCHEMA = ("doc_id long, hit_pos int, pattern_rank int, label string, span
 ERROR_CHARS = 500  # of a failure's message that are kept
 
 
-def _scored(scorer: Callable[[pd.DataFrame], pd.DataFrame], pdf: pd.DataFrame, kind: str) -> Iterator[pd.DataFrame]:
-    """The scorer's rows of ``pdf``; a part that raises is halved until the rows that fail stand alone.
+def _halved(call: Callable, part) -> Iterator[tuple]:
+    """(rows, what ``call`` makes of them, failure): a part that raises is halved until the rows that fail stand alone.
 
     A row that fails costs about 2 log2(rows) more calls; rows of the good parts are scored again only along that path.
     """
-    todo = [pdf]
+    todo = [part]
     while todo:
         part = todo.pop()
         try:
-            out = scorer(part[["doc_id", "text"]])
-            raw = out["raw"].astype(object).where(out["raw"].notna(), None)
-            yield pd.DataFrame({"doc_id": out["doc_id"].astype("int64"), "kind": kind,
-                                "raw": raw.map(lambda r: None if r is None else str(r)), "error": None})
+            made = call(part)
         except Exception as failure:  # noqa: BLE001 (whatever a scorer raises belongs to its row)
             if len(part) > 1:
                 half = len(part) // 2
                 todo += [part.iloc[half:], part.iloc[:half]]
             else:
-                told = f"{type(failure).__name__}: {failure}"[:ERROR_CHARS]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("int64"), "kind": kind, "raw": None, "error": told})
+                yield part, None, f"{type(failure).__name__}: {failure}"[:ERROR_CHARS]
+        else:
+            yield part, made, None
+
+
+def _replies(raw: pd.Series) -> pd.Series:
+    return raw.astype(object).map(lambda r: None if pd.isna(r) else str(r))
+
+
+def _scored(scorer: Callable[[pd.DataFrame], pd.DataFrame], pdf: pd.DataFrame, kind: str) -> Iterator[pd.DataFrame]:
+    for part, out, failure in _halved(lambda p: scorer(p[["doc_id", "text"]]), pdf):
+        rows = part["doc_id"] if out is None else out["doc_id"]
+        yield pd.DataFrame({"doc_id": rows.astype("int64"), "kind": kind,
+                            "raw": None if out is None else _replies(out["raw"]), "error": failure})
 
 
 def model_replies(docs: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], kind: str,
@@ -97,14 +106,21 @@ def python_scan(docs: DataFrame, patterns: list[InlinePattern], ascii_classes: b
     return docs.select("doc_id", "text").mapInPandas(run, PY_HIT_SCHEMA)
 
 
-def reply_column(scorer: Callable[[pd.Series], pd.Series]):
+def reply_column(scorer: Callable[[pd.Series], pd.Series], errors: bool = False):
     """UDF-1 as a column: an Arrow-batched ``pandas_udf`` turning the text
     column into raw replies on the same row.  Replies born next to their
-    document need no join, hence no shuffle of the text."""
+    document need no join, hence no shuffle of the text.  With ``errors`` it is a
+    struct of ``raw`` and ``error``, as in ``model_replies``."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
     def _reply(text: pd.Series) -> pd.Series:
         return scorer(text).astype(str)
 
-    return _reply
+    @pandas_udf("raw string, error string")
+    def _reply_or_error(text: pd.Series) -> pd.DataFrame:
+        parts = [pd.DataFrame({"raw": None if out is None else _replies(out).to_numpy(), "error": failure}, index=part.index)
+                 for part, out, failure in _halved(scorer, text)]
+        return pd.concat(parts).sort_index() if parts else pd.DataFrame({"raw": [], "error": []}, dtype=object)
+
+    return _reply_or_error if errors else _reply

@@ -48,6 +48,17 @@ def test_a_row_that_fails_is_lost_alone(spark):
             assert (r.raw, r.kind) == (None if i == 9 else f"t{i}", "detect")
     assert hooks.model_replies(docs.limit(0), scorer, "detect", errors=True).count() == 0
 
+    def told(text: pd.Series) -> pd.Series:
+        if text.isin([f"t{i}" for i in bad]).any():
+            raise ValueError("no reply")
+        return text
+
+    column = docs.withColumn("r", hooks.reply_column(told, errors=True)("text")).collect()
+    assert len(column) == 3000
+    for r in column:
+        want = (None, "ValueError: no reply") if r.doc_id in bad else (r.text, None)
+        assert (r.r.raw, r.r.error) == want
+
 
 def test_sinks_write(spark):
     root = tempfile.mkdtemp(prefix="cloakline-sinks-")

@@ -5,12 +5,13 @@ with it, holds its text or is held by it.  Per row, an index from token to
 predictions gives the first free one that shares a token, an index of their
 texts the first one inside the true text, and only a text that occurs in some
 prediction makes the free ones before that be looked at.  Rows travel in Arrow
-batches.
+batches; rows with few spans never leave the JVM.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import sys
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+FEW = 256  # at most so many (truth, prediction) pairs of a row are tried one by one
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need pyarrow, not this package
 
 
@@ -87,7 +90,10 @@ def _spans(column: pa.Array) -> list[list[tuple[str, list]] | None]:
 
 
 def matched(truth: Column | str, predicted: Column | str) -> Column:
-    """Number of pairs of the match, of two columns made by ``metrics.with_tokens``; a null text matches nothing."""
+    """Number of pairs of the match, of two columns made by ``metrics.with_tokens``; a null text matches nothing.
+
+    Every row goes through the index; ``matched_each`` keeps rows with few spans in the JVM.
+    """
 
     def count(truth: pa.Array, predicted: pa.Array) -> pa.Array:
         import pyarrow.compute  # noqa: F401
@@ -95,3 +101,35 @@ def matched(truth: Column | str, predicted: Column | str) -> Column:
         return pa.array([len(greedy(g, p)) if g and p else 0 for g, p in zip(_spans(truth), _spans(predicted), strict=True)], pa.int32())
 
     return F.arrow_udf(count, "int")(truth, predicted)
+
+
+def _fold(truth: str, predicted: str) -> str:
+    """The same match as a fold in the row: per true span the place (from 1) of what it takes, 0 where it takes nothing."""
+    ok = (f"transform({predicted}, (x, j) -> NOT array_contains(used, CAST(j + 1 AS BIGINT)) AND (contains(gt.t, x.t) "
+          f"OR contains(x.t, gt.t) OR coalesce(arrays_overlap(x.k, gt.k), false)))")
+    fold = (f"aggregate({truth}, CAST(array() AS array<bigint>), (used, gt) -> array_append(used, array_position({ok}, true)))")
+    return f"CASE WHEN size({truth}) = 0 OR size({predicted}) = 0 THEN 0 ELSE size(array_remove({fold}, 0)) END"
+
+
+def matched_few(pairs: str) -> Column:
+    """Number of pairs of each match, of a column array<struct<g, p>> of lists made by ``metrics.with_tokens``, or null.
+
+    The first pair holds all spans of the row, the others parts of it; a null text matches nothing.  Rows with
+    few spans, nearly all as a rule, are folded in the JVM; the others are null here and go through the index.
+    """
+    few = F.expr(f"CAST(size({pairs}[0].g) AS BIGINT) * size({pairs}[0].p) <= {FEW}")
+    return F.when(few, F.expr(f"transform({pairs}, x -> {_fold('x.g', 'x.p')})"))
+
+
+def matched_many(pairs: str) -> Column:
+    """The same through the index, for rows of any number of spans; none for a null list of pairs."""
+
+    def count(pairs: pa.Array) -> pa.Array:
+        import pyarrow.compute  # noqa: F401
+
+        flat = pa.compute.list_flatten(pairs)
+        done = pa.array([len(greedy(g, p)) if g and p else 0 for g, p in zip(_spans(flat.field("g")), _spans(flat.field("p")), strict=True)], pa.int32())
+        n = pa.compute.fill_null(pa.compute.list_value_length(pairs), 0).to_pylist()
+        return pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(n)], pa.int32()), done)
+
+    return F.arrow_udf(count, "array<int>")(F.col(pairs))

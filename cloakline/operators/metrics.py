@@ -214,14 +214,53 @@ def _ws() -> str:
     return "r'" + WHITESPACE_RUN + "'"
 
 
+# --- FIXED VALUES: the white space of an ASCII text, blanks aside ---
+ASCII_SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20)]))
+
+
 def tokens_sql(x: str) -> str:
-    return f"filter(split(lower({x}), {_ws()}, -1), t -> t != '')"
+    """An ASCII text is split at single blanks, which needs no regex (it is compiled on every call)."""
+    blanks = f"translate(lower({x}), '{ASCII_SPACE.encode('unicode_escape').decode().replace('x', 'u00')}', '{' ' * len(ASCII_SPACE)}')"
+    return (f"CASE WHEN length({x}) = octet_length({x}) THEN array_remove(split({blanks}, ' ', -1), '') "
+            f"ELSE filter(split(lower({x}), {_ws()}, -1), t -> t != '') END")
 
 
 def with_tokens_sql(arr: str) -> str:
     return f"transform({arr}, x -> named_struct('t', x, 'k', array_distinct({tokens_sql('x')})))"
 
 
+def typed_tokens_sql(spans: str) -> str:
+    """``with_tokens`` of span structs, with their types."""
+    return (f"transform({spans}, s -> named_struct('t', s.span, 'k', array_distinct({tokens_sql('s.span')}), "
+            f"'y', coalesce(s.phi_type, 'UNKNOWN')))")
+
+
+def types_sql(g: str, p: str) -> str:
+    """The types of two ``typed_tokens`` lists, in the order in which they are met."""
+    return f"array_distinct(concat(transform({g}, s -> s.y), transform({p}, s -> s.y)))"
+
+
+def pairs_sql(g: str, p: str, types: str | None = None) -> str:
+    """Both lists as a pair, then cut by each of the ``types`` (list order kept)."""
+    whole = f"array(named_struct('g', {g}, 'p', {p}))"
+    if types is None:
+        return whole
+    parts = f"transform({types}, y -> named_struct('g', filter({g}, s -> s.y = y), 'p', filter({p}, s -> s.y = y)))"
+    return f"CASE WHEN {types} IS NULL THEN {whole} ELSE concat({whole}, {parts}) END"
+
+
+def sizes_sql(pairs: str, types: str | None = None) -> str:
+    """Lengths of both lists of every pair, with its type (null: of all spans)."""
+    name = "CAST(NULL AS STRING)" if types is None else f"CASE WHEN i > 0 THEN {types}[i - 1] END"
+    return f"transform({pairs}, (x, i) -> named_struct('y', {name}, 'g', size(x.g), 'p', size(x.p)))"
+
+
+def typed_counts_sql(sizes: str, n: str) -> str:
+    """(phi_type, tp, fp, fn) by type, of ``sizes_sql`` and the matches ``n`` of the same pairs."""
+    return (f"transform(slice({sizes}, 2, size({sizes})), (x, i) -> named_struct('phi_type', x.y, 'tp', {n}[i + 1], "
+            f"'fp', x.p - {n}[i + 1], 'fn', x.g - {n}[i + 1]))")
+
+
 def overlap_tp_sql(g: str, p: str) -> str:
     free = (f"filter(transform({p}, (x, j) -> named_struct('j', j, 'x', x)), e -> NOT array_contains(used, e.j) "
             f"AND (coalesce(arrays_overlap(e.x.k, gt.k), false) OR contains(gt.t, e.x.t) OR contains(e.x.t, gt.t)))")
@@ -231,7 +270,11 @@ def overlap_tp_sql(g: str, p: str) -> str:
 
 
 def overlap_record_sql(g: str, p: str, tp0: str) -> str:
-    ng, np_ = f"size({g})", f"size({p})"
+    return counted_record_sql(f"size({g})", f"size({p})", tp0)
+
+
+def counted_record_sql(ng: str, np_: str, tp0: str) -> str:
+    """``overlap_record_sql`` of the numbers of spans."""
     none, one = f"({ng} = 0 AND {np_} = 0)", f"({ng} = 0 OR {np_} = 0)"  # nothing matches an empty side: tp0 is 0
     prec = f"CASE WHEN {none} THEN 1.0D WHEN {one} THEN 0.0D ELSE CAST({tp0} AS DOUBLE) / {np_} END"
     rec = f"CASE WHEN {ng} = 0 THEN 1.0D WHEN {np_} = 0 THEN 0.0D ELSE CAST({tp0} AS DOUBLE) / {ng} END"

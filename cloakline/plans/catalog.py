@@ -689,12 +689,12 @@ def _dataset_comparison(spark, sf_dir) -> DataFrame:
 
 def benchmark_detection(spark, sf_dir):
     """MK-12 / UDF-2 / JN-11 / SNK-4: registered systems over several datasets, one that fails scored as the fallback."""
-    return _r(EV.benchmark_tables(_dataset_comparison(spark, sf_dir))["detection"])
+    return _r(EV.benchmark_tables(_dataset_comparison(spark, sf_dir), wanted=("detection",))["detection"])
 
 
 def benchmark_per_type(spark, sf_dir):
     """AG-5 by dataset, system and type for the same comparison."""
-    return _r(EV.benchmark_tables(_dataset_comparison(spark, sf_dir))["per_type"])
+    return _r(EV.benchmark_tables(_dataset_comparison(spark, sf_dir), wanted=("per_type",))["per_type"])
 
 
 def negative_control(spark, sf_dir):

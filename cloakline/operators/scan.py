@@ -153,12 +153,14 @@ def offsets_sql(text_col: str, patterns: list[InlinePattern], gated: bool) -> st
         rx, label, typ, role = _raw(p.regex), _raw(p.label), _raw(p.phi_type), _raw(p.abstraction_role)
         if None in (rx, label, typ, role):
             return None
-        gaps = f"split({t}, {rx}, -1)"
-        pairs = (f"zip_with(regexp_extract_all({t}, {rx}, 0), slice({gaps}, 1, size({gaps}) - 1), "
+        # a split compiles its regex on every call: only texts with matches are split, and once
+        pairs = (f"zip_with(ms, transform(array(split({t}, {rx}, -1)), gaps -> slice(gaps, 1, size(gaps) - 1))[0], "
                  f"(m, g) -> named_struct('m', m, 'g', g))")
-        fold = (f"aggregate({pairs}, named_struct('pos', 0, 'out', CAST(array() AS array<struct<m:string,s:int>>)), "
+        none = "CAST(array() AS array<struct<m:string,s:int>>)"
+        fold = (f"transform(array(regexp_extract_all({t}, {rx}, 0)), ms -> CASE WHEN size(ms) = 0 THEN {none} ELSE "
+                f"aggregate({pairs}, named_struct('pos', 0, 'out', {none}), "
                 f"(acc, x) -> named_struct('pos', acc.pos + length(x.g) + length(x.m), 'out', "
-                f"array_append(acc.out, named_struct('m', x.m, 's', acc.pos + length(x.g))))).out")
+                f"array_append(acc.out, named_struct('m', x.m, 's', acc.pos + length(x.g))))).out END)[0]")
         e = (f"transform({fold}, e -> named_struct('pattern_rank', {int(p.rank)}, 'label', {label}, 'span', e.m, "
              f"'phi_type', {typ}, 'abstraction_role', CAST({role} AS STRING), "
              f"'promoted', {str(bool(p.promoted)).lower()}, 'confidence', CAST({float(p.confidence)!r} AS DOUBLE), "

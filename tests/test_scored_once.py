@@ -68,3 +68,14 @@ def test_tokens_are_those_of_a_plain_split(spark):
     texts = ["", " ", "A b\tC\n\nd\x0be\x0cf\rg\x1ch\x1di\x1ej\x1fk ", "fan xf u00 f", "É ß\x85x Y  z　", None, "a\\t'b"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.expr(MT.tokens_sql("t")).alias("k"))
     assert {r.i: r.k for r in rows.collect()} == {i: None if t is None else t.lower().split() for i, t in enumerate(texts)}
+
+
+def test_offsets_split_only_texts_with_matches_and_once(spark):
+    patterns = [InlinePattern(k, f"p{k}", rx, "X", None, False, 1.0) for k, rx in enumerate([r"\d+", r"\b[a-z]+\b", "é", r"^a|z$"])]
+    sql = SC.offsets_sql("text", patterns, False)
+    assert sql.count("split(") == len(patterns) == sql.count("size(ms) = 0")
+    texts = ["", "a1é22 bz", "éé 7", "12", "zzz", "none a"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, text string")
+    got = {r.i: r.hits and [(h.label, h.span, h.start, h.end) for h in r.hits] for r in SC.scan(rows, patterns, offsets=True).collect()}
+    told = {i: [(p.label, m.group(), *m.span()) for p in patterns for m in re.finditer(p.regex, t)] for i, t in enumerate(texts)}
+    assert {i: x or [] for i, x in got.items() if i < len(texts)} == told

@@ -297,7 +297,7 @@ def systems_wide(samples: DataFrame, secret: Column, names: tuple[str, ...],
     """
     s = samples.withColumn("_secret", secret)
     if "cold" in names or "regex" in names:
-        s = SC.scan(s, seed_patterns, offsets=True, out="_hoff")
+        s = SC.scan(s, seed_patterns, offsets="regex" in names, out="_hoff")  # only regex asks where the hits are
     text, doc, sec = F.col("text"), F.col("doc_id"), F.col("_secret")
     found = "detections" if detector else None
 

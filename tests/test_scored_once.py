@@ -79,3 +79,11 @@ def test_offsets_split_only_texts_with_matches_and_once(spark):
     got = {r.i: r.hits and [(h.label, h.span, h.start, h.end) for h in r.hits] for r in SC.scan(rows, patterns, offsets=True).collect()}
     told = {i: [(p.label, m.group(), *m.span()) for p in patterns for m in re.finditer(p.regex, t)] for i, t in enumerate(texts)}
     assert {i: x or [] for i, x in got.items() if i < len(texts)} == told
+
+
+def test_systems_without_regex_need_no_offsets(spark, secret):
+    data = samples(spark, [(1, "call 555-123-4567", [])])
+    plan = lambda *names: EV.systems_wide(data, secret, names, seed_inline(None))._jdf.queryExecution().analyzed().toString()
+    assert "split(text" in plan("cold", "regex") and "split(text" not in plan("cold")
+    (row,) = EV.systems_wide(data, secret, ("cold",), seed_inline(None)).collect()
+    assert [p.span for p in row.pred] == ["555-123-4567"]

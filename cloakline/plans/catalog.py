@@ -655,12 +655,11 @@ def exact_leakage(spark, sf_dir):
 
 def cold_warm_detection(spark, sf_dir):
     """MK-12: the pipeline with the seeds alone (cold) against the one that has learned before each sample (warm)."""
-    out = _compared(spark, sf_dir, ("cold", "warm"))
-    misses = out.groupBy("system").agg(F.sum("cache_hits").alias("cache_hits"), F.sum("cache_misses").alias("cache_misses"))
-    rec = EV.records(out).groupBy("system").agg(
+    rec = EV.records(_compared(spark, sf_dir, ("cold", "warm")), keep=("cache_misses",))
+    return _r(rec.groupBy("system").agg(
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-        F.sum("tp").alias("tp"), F.avg("utility").alias("utility"), F.count(F.lit(1)).alias("n"))
-    return _r(rec.join(misses, "system"))
+        F.sum("tp").alias("tp"), F.avg("utility").alias("utility"), F.count(F.lit(1)).alias("n"),
+        F.sum("cache_hits").alias("cache_hits"), F.sum("cache_misses").alias("cache_misses")))
 
 
 

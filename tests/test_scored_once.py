@@ -87,3 +87,13 @@ def test_systems_without_regex_need_no_offsets(spark, secret):
     assert "split(text" in plan("cold", "regex") and "split(text" not in plan("cold")
     (row,) = EV.systems_wide(data, secret, ("cold",), seed_inline(None)).collect()
     assert [p.span for p in row.pred] == ["555-123-4567"]
+
+
+def test_cold_and_warm_run_once(spark, tmp_path):
+    customers = spark.createDataFrame([(k, f"Customer#{k:09d}") for k in range(40)], "c_custkey long, c_name string")
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    out = catalog.cold_warm_detection(spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # all columns from one run of the systems
+    rows = {r.system: r for r in out.collect()}
+    assert set(rows) == {"cold", "warm"} and rows["cold"].n == rows["warm"].n == 40
+    assert rows["warm"].cache_hits > 0 and rows["cold"].cache_misses >= rows["warm"].cache_misses

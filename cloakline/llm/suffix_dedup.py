@@ -2,9 +2,10 @@
 
 Every 100-byte string that also starts earlier (smaller ``doc_id``, or same
 document, earlier start) is removed.  Positions are ranked by names of their
-prefixes at doubled lengths, 32, 64 and 100 bytes.  In each round Spark sorts
-(name, position) pairs, the first of equals stands for all, and only positions
-whose name is neither unique nor settled go on to the next length.
+prefixes at doubled lengths, 32, 64 and 100 bytes.  In each round (name,
+position) pairs are dealt by their names and sorted, the first of equals stands
+for all, and only positions whose name is neither unique nor settled go on to
+the next length.
 
 Two things keep the sorts small.  Neighbouring positions are ranked together
 as a run when they share an anchor (``byte_names``): a run whose anchor occurs
@@ -14,8 +15,15 @@ surroundings are the ambiguous ones; at 100 bytes a run is a single string, so
 nothing is left open.  And copies within one slice of a task are settled
 there, so that however often a passage occurs, few of its runs are shuffled.
 
-Bloom filters (bounded, see ``bloom``) tell which anchors occur again and which
-runs are still open; what they report wrongly costs a row, never a result.
+A slice sends its runs as packed columns, one blob for each bucket of names.
+There are as many buckets as it takes for each to be sorted in little memory,
+so a round costs the same for each byte whatever the size of the table.  An
+anchor with very many different runs in a slice (a common line) would fill its
+bucket: such runs are dealt by all their bytes, their anchor's bucket gets a
+mark, and the few first ones meet those of other slices in a step of their own.
+
+A Bloom filter (bounded, see ``bloom``) tells which runs are still open when the
+texts are read again; what it reports wrongly costs a row, never a result.
 
 Defined cases: a null text is empty; a text under 100 bytes loses nothing; a
 null ``doc_id`` sorts first; different texts of one ``doc_id`` are ordered by
@@ -32,18 +40,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakline.llm import bloom
 from cloakline.llm.byte_names import THRESHOLD, runs
-from cloakline.llm.common import documents, mix, slices, written
+from cloakline.llm.common import documents, mix, slices, trimmed, written
 
 LENGTHS = (32, 64, 100)   # of the names, doubling up to the threshold
-SLICE = 2 << 20           # bytes in which copies are settled before anything is shuffled
-#: name, region: of a run, or where it goes; at: start * 256 + number of strings; spans: several of them, settled
-RUN = "name long, region long, doc_id long, tie long, at long, spans binary"
-MARK = "doc_id long, tie long, at long, spans binary, name long, id long"
+SLICE = 8 << 20           # bytes in which copies are settled before anything is shuffled; of single strings, a quarter
+BATCH = 2048              # rows of text or blobs that a task takes at a time
+BUCKETS, BUCKET = 256, 1 << 18  # buckets of names at least; runs expected in one at most
+MANY = 32                 # different runs with one anchor in a slice, from which they are dealt by all their bytes
+#: Columns of a blob. at: start * 256 + number of strings; flags: of the id, of an anchor with MANY runs, of the mark for its bucket.
+COLUMNS = {"name": np.uint64, "region": np.uint64, "doc_id": np.int64, "tie": np.uint32, "at": np.int64, "flags": np.uint8}
+NULL_ID, DEALT, MARKED = np.uint8(1), np.uint8(2), np.uint8(4)
+SETTLED, OPEN, PENDING = 0, 1, 2
+#: runs: a blob; spans: several ``at`` of one text, settled
+SENT = "bucket int, runs binary, doc_id long, tie long, spans binary"
+FOUND = "doc_id long, tie long, at long, spans binary, name long, region long, id long, state byte"
 
 
 def _bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +90,8 @@ def ranked(batch: pa.RecordBatch, opened: list[tuple[np.ndarray, np.ndarray]]) -
     """Runs of a slice at length LENGTHS[len(opened)], among the strings still open after the rounds before.
 
     ``opened`` has a filter of the open runs and one of the texts that hold any, for each round before; a text
-    that the last one does not know is not looked at.  ``settled`` marks runs that an earlier equal run of the slice settles.
+    that the last one does not know is not looked at.  ``settled`` are runs that an earlier equal run of the slice
+    settles, ``on`` the first ones, in the order of their names.
     """
     data, ends = _bytes(batch.column("text"))
     doc_id, tie = _number(batch.column("doc_id")), batch.column("tie").to_numpy(zero_copy_only=False)
@@ -90,88 +106,169 @@ def ranked(batch: pa.RecordBatch, opened: list[tuple[np.ndarray, np.ndarray]]) -
         if level < len(opened):
             on = bloom.reported(_identity(name, region, doc_id[doc], tie[doc], packed), opened[level][0])
             at, count = place[on], n[on]
-    order = np.lexsort((start, tie[doc], doc_id[doc], region, name))
-    key = np.stack([name[order], region[order]])
-    head = np.ones(len(order), bool)
-    head[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]  # the first of equals
-    settled = np.zeros(len(order), bool)
-    settled[order] = (doc_id[doc][order] != doc_id[doc][first]) | (tie[doc][order] != tie[doc][first]) | (start[order] != start[first])
-    once = settled.copy()  # of rows repeating id and text, one goes on
-    once[order] |= ~head
-    return {"name": name, "region": region, "doc": doc, "at": packed, "settled": settled, "on": ~once, "doc_id": doc_id, "tie": tie}
-
-
-def _pairs(docs: DataFrame, opened: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray) -> DataFrame:
-    """Rows of RUN: runs whose anchor may occur again, and per document what its slice settled."""
-    shared = docs.sparkSession.sparkContext.broadcast((opened, bits))
-    kinds = pa.schema([("name", pa.int64()), ("region", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()),
-                       ("at", pa.int64()), ("spans", pa.binary())])
+    order, head, later = _groups(name, region, doc_id[doc], tie[doc], packed)
+    return {"name": name, "region": region, "doc": doc, "at": packed, "settled": order[later], "on": order[head], "doc_id": doc_id, "tie": tie}
+
+
+def _groups(name: np.ndarray, region: np.ndarray, *position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by name, region and position; in it, which are the first of equal runs and which equal an earlier one elsewhere."""
+    order = np.argsort(name)
+    same = name[order[1:]] == name[order[:-1]]
+    again = np.flatnonzero(np.append(same, False) | np.append(False, same)[:len(order)])  # names that occur once need no more
+    pick = order[again]
+    pick = order[again] = pick[np.lexsort((*(x[pick] for x in position[::-1]), region[pick], name[pick]))]
+    head = np.ones(len(pick), bool)
+    head[1:] = (name[pick[1:]] != name[pick[:-1]]) | (region[pick[1:]] != region[pick[:-1]])
+    first = pick[np.maximum.accumulate(np.where(head, np.arange(len(pick)), 0))]
+    heads, later = np.ones(len(order), bool), np.zeros(len(order), bool)
+    heads[again] = head
+    for x in position:  # a row that repeats id and text is neither
+        later[again] |= x[pick] != x[first]
+    return order, heads, later
+
+
+def _spread(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((mix(hashes) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _packed(r: dict, null: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """The first runs of a slice as one blob for each bucket."""
+    on, doc = r["on"], r["doc"][r["on"]]
+    columns = {"name": r["name"][on], "region": r["region"][on], "doc_id": r["doc_id"][doc], "tie": r["tie"][doc], "at": r["at"][on],
+               "flags": null[doc] * NULL_ID}
+    bucket = _spread(columns["name"], buckets)
+    new = np.append(True, columns["name"][1:] != columns["name"][:-1])[:len(on)]
+    size = np.diff(np.append(np.flatnonzero(new), len(on)))
+    many = np.repeat(size >= MANY, size)
+    if many.any():
+        columns["flags"][many] |= DEALT
+        marks = many & new
+        bucket = np.append(bucket, bucket[marks])
+        with np.errstate(over="ignore"):
+            bucket[:len(on)][many] = _spread(columns["name"][many] + mix(columns["region"][many]), buckets)
+        columns = {k: np.append(v, v[marks]) for k, v in columns.items()}
+        columns["flags"][len(on):] = MARKED
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    held = [columns[k][order].astype(kind) for k, kind in COLUMNS.items()]
+    blobs = [b"".join([c[a:z].tobytes() for c in held]) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=False)]
+    return bucket[order][cut], blobs
+
+
+def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    width = sum(np.dtype(kind).itemsize for kind in COLUMNS.values())
+    sizes, base, out = [len(b) // width for b in blobs], 0, {}
+    for k, kind in COLUMNS.items():
+        out[k] = np.concatenate([np.frombuffer(b, kind, n, base * n) for b, n in zip(blobs, sizes, strict=True)])
+        base += np.dtype(kind).itemsize
+    return out
+
+
+def _pairs(docs: DataFrame, opened: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """Rows of SENT: the runs of each slice, and per document what the slice settled."""
+    shared = docs.sparkSession.sparkContext.broadcast(opened)
+    kinds = pa.schema([("bucket", pa.int32()), ("runs", pa.binary()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("spans", pa.binary())])
+    most = SLICE if len(opened) + 1 < len(LENGTHS) else SLICE // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, bits = shared.value
-        for batch in slices(batches, most=SLICE):
+        opened = shared.value
+        for batch in slices(batches, most=most):
             r = ranked(batch, opened)
-            on = np.flatnonzero(r["on"])
-            on = on[bloom.reported(r["name"][on], bits)]
-            doc = pa.array(r["doc"][on])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(r["name"][on].view(np.int64)), pa.array(r["region"][on].view(np.int64)),
-                batch.column("doc_id").take(doc), batch.column("tie").take(doc), pa.array(r["at"][on]),
-                pa.nulls(len(on), pa.binary())], schema=kinds)
-            done = np.flatnonzero(r["settled"])
+            bucket, blobs = _packed(r, pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False), buckets)
+            none = pa.nulls(len(blobs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(blobs, pa.binary()), none, none, pa.nulls(len(blobs), pa.binary())],
+                                             schema=kinds)
+            done = r["settled"]
             if len(done):
                 done = done[np.argsort(r["doc"][done], kind="stable")]
                 cut = np.flatnonzero(np.diff(r["doc"][done])) + 1
                 own = r["doc"][done][np.concatenate([[0], cut])]
                 doc = pa.array(own)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(mix(r["doc_id"][own].view(np.uint64)).view(np.int64)), pa.nulls(len(own), pa.int64()),
-                    batch.column("doc_id").take(doc), batch.column("tie").take(doc), pa.nulls(len(own), pa.int64()),
+                    pa.array(_spread(r["doc_id"][own].view(np.uint64), buckets)), pa.nulls(len(own), pa.binary()),
+                    batch.column("doc_id").take(doc), batch.column("tie").take(doc),
                     pa.array([x.tobytes() for x in np.split(r["at"][done], cut)], pa.binary())], schema=kinds)
 
-    return docs.mapInArrow(run, RUN)
+    return docs.mapInArrow(run, SENT)
+
+
+def sorted_bucket(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs of a bucket are settled, open or pending (dealt by all their bytes, or with an anchor that has such runs), and their state."""
+    marked = r["flags"] & MARKED > 0
+    marks = np.unique(r["name"][marked])
+    if len(marks):
+        r.update({k: v[~marked] for k, v in r.items()})
+    order, head, later = _groups(r["name"], r["region"], r["doc_id"], r["tie"], r["at"])
+    name = r["name"][order]
+    pending = r["flags"][order] & DEALT > 0
+    if len(marks):
+        pending |= np.isin(name, marks)
+    state = np.full(len(order), -1, np.int8)
+    state[later] = SETTLED
+    lead = np.flatnonzero(head)
+    same = name[lead[1:]] == name[lead[:-1]]
+    state[lead[np.append(same, False) | np.append(False, same)[:len(lead)]]] = OPEN  # anchors with different surroundings
+    state[head & pending] = PENDING
+    keep = state >= 0
+    return order[keep], state[keep]
 
 
 def _marks(pairs: DataFrame) -> DataFrame:
-    """Sort the pairs: the first of equal runs stands for them (``id``), the others are settled (``at``)."""
-    keys = ["name", "region", "doc_id", "tie", "at"]
-    kinds = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("at", pa.int64()), ("spans", pa.binary()),
-                       ("name", pa.int64()), ("id", pa.int64())])
+    """Sort the pairs of each bucket: the first of equal runs stands for them, the others are settled."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("at", pa.int64()), ("spans", pa.binary()), ("name", pa.int64()),
+                       ("region", pa.int64()), ("id", pa.int64()), ("state", pa.int8())])
+
+    def whole(blobs: list[bytes]) -> pa.RecordBatch:
+        r = _unpacked(blobs)
+        at, state = sorted_bucket(r)
+        r = {k: v[at] for k, v in r.items()}
+        same = _identity(r["name"], r["region"], r["doc_id"], r["tie"].astype(np.int64), r["at"])
+        wait, done = state != PENDING, state == SETTLED
+        return pa.RecordBatch.from_arrays([
+            pa.array(r["doc_id"], mask=r["flags"] & NULL_ID > 0), pa.array(r["tie"].astype(np.int64)), pa.array(r["at"]),
+            pa.nulls(len(at), pa.binary()), pa.array(r["name"].view(np.int64), mask=wait), pa.array(r["region"].view(np.int64), mask=wait),
+            pa.array(same.view(np.int64), mask=done), pa.array(state)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key and position of the first of the group that the batch before ended in
+        held, own = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            local = pc.is_valid(batch.column("spans")).to_numpy(zero_copy_only=False)
-            if local.any():
-                done = batch.filter(pa.array(local))
-                yield pa.RecordBatch.from_arrays([done.column("doc_id"), done.column("tie"), done.column("at"), done.column("spans"),
-                                                  pa.nulls(len(done), pa.int64()), pa.nulls(len(done), pa.int64())], schema=kinds)
-                batch = batch.filter(pa.array(~local))
-                if not batch.num_rows:
-                    continue
-            name, region, tie, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "region", "tie", "at"))
-            doc = _number(batch.column("doc_id"))
-            head = np.ones(len(name), bool)
-            head[1:] = (name[1:] != name[:-1]) | (region[1:] != region[:-1])
-            head[0] = last is None or (name[0], region[0]) != last[0]
-            group = np.maximum.accumulate(np.where(head, np.arange(len(name)), -1))
-            where = np.stack([doc, tie, at])
-            lead = where[:, np.maximum(group, 0)]
-            if last is not None:
-                lead[:, group < 0] = np.array(last[1])[:, None]
-            later = ~head & (where != lead).any(axis=0)
-            last = (name[-1], region[-1]), lead[:, -1].tolist()
-            same = _identity(name.view(np.uint64), region.view(np.uint64), doc, tie, at).view(np.int64)
-            keep = head | later
-            out = pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("tie"), batch.column("at"), batch.column("spans"),
-                pa.array(name, mask=~head), pa.array(same, mask=~head)], schema=kinds)
-            yield out.filter(pa.array(keep))
-
-    return pairs.repartition("name", "region").sortWithinPartitions(*keys).mapInArrow(run, MARK)
+            local = pc.is_valid(batch.column("spans"))
+            done = batch.filter(local)
+            if len(done):
+                none = pa.nulls(len(done), pa.int64())
+                yield pa.RecordBatch.from_arrays([done.column("doc_id"), done.column("tie"), none, done.column("spans"), none, none, none,
+                                                  pa.array(np.full(len(done), SETTLED, np.int8))], schema=kinds)
+                batch = batch.filter(pc.invert(local))
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                if bucket != own and held:
+                    yield whole(held)
+                    held = []
+                own = bucket
+                held.append(blob)
+        if held:
+            yield whole(held)
+        trimmed()
+
+    return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+
+
+def _met(pending: DataFrame) -> DataFrame:
+    """Pending runs, one or two of each kind: the first is open, the other one settled."""
+    where = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), "tie", "at")
+    rows = pending.withColumn("_at", where).withColumn("_first", F.min("_at").over(Window.partitionBy("name", "region")))
+    return rows.withColumn("state", F.when(F.col("_at") == F.col("_first"), F.lit(OPEN)).otherwise(F.lit(SETTLED)).cast("byte")).select(*pending.columns)
+
+
+def _stored(df: DataFrame, what: str) -> DataFrame:
+    """``written``; what the round shuffled goes from the disks as soon as it is written, not when the driver collects its garbage."""
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        return written(df, what, BATCH)
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
 
 
 def settled(docs: DataFrame) -> DataFrame:
@@ -180,73 +277,69 @@ def settled(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("tie", F.crc32(F.col("text").cast("binary")))
     strings = rows.agg(F.sum(F.greatest(F.octet_length("text") - THRESHOLD + 1, F.lit(0)).cast("long"))).first()[0] or 0
     opened: list[tuple[np.ndarray, np.ndarray]] = []
-    found = None
+    parts = []
     for gram in LENGTHS:
-        expected = int(2 * strings / (THRESHOLD - gram + 2)) + 1
-        before = list(opened)
-
-        def names(batch: pa.RecordBatch) -> np.ndarray:
-            parts = [ranked(piece, before) for piece in slices([batch], most=SLICE)]
-            return np.concatenate([np.zeros(0, np.uint64), *(r["name"][r["on"]] for r in parts)])
-
-        again = bloom.counted(rows, expected, 2, names)
-        marks = written(_marks(_pairs(rows, before, again)), "marks")
-        found = marks if found is None else found.unionByName(marks)
+        expected = 2 * strings // (THRESHOLD - gram + 2)
+        marks = _stored(_marks(_pairs(rows, list(opened), max(BUCKETS, -(-expected // BUCKET)))), "marks")
+        parts.append(marks.where(F.col("state") == SETTLED))
         if gram == LENGTHS[-1]:
             break
-        heads = marks.where("id IS NOT NULL")
-        several = bloom.counted(heads.select("name"), heads.count(), 2)  # anchors with different surroundings
-        shared = docs.sparkSession.sparkContext.broadcast(several)
-
-        def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                name = batch.column("name").to_numpy(zero_copy_only=False).view(np.uint64)
-                yield batch.filter(pa.array(bloom.reported(name, shared.value)))
-
-        left = written(heads.select("name", "id", "at", "doc_id", "tie").mapInArrow(
-            still_open, "name long, id long, at long, doc_id long, tie long"), "open")
+        left = marks.where(F.col("state") == OPEN)
+        if marks.where(F.col("state") == PENDING).limit(1).count():
+            met = _stored(_met(marks.where(F.col("state") == PENDING)), "met")
+            parts.append(met.where(F.col("state") == SETTLED))
+            left = left.unionByName(met.where(F.col("state") == OPEN))
         size = left.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("at") % 256).alias("strings")).first()
         strings = size.strings or 0
+        if not strings:
+            break
         runs_open = bloom.counted(left.select("id"), 4 * size.n, 1)  # every run is asked for, so few wrong reports
         texts = left.select("doc_id", "tie").distinct()
         texts_open = bloom.counted(texts, texts.count(), 1, lambda batch: _texts(
             _number(batch.column("doc_id")), batch.column("tie").to_numpy(zero_copy_only=False)))
         opened.append((runs_open, texts_open))
-    return found.where("id IS NULL").select("doc_id", "tie", "at", "spans")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.select("doc_id", "tie", "at", "spans")
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text that is left, as bytes."""
+def removed(docs: DataFrame, kept: bool = True) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text that is left, as bytes."""
     marks = settled(docs).groupBy("doc_id", "tie").agg(F.collect_list("at").alias("_at"), F.collect_list("spans").alias("_spans"))
     marks = marks.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.crc32(F.col("text").cast("binary")))
     rows = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
             data, ends = _bytes(batch.column("text"))
-            for k, (ats, spans) in enumerate(zip(batch.column("_at").to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
+            several = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_at")), 0).to_numpy(zero_copy_only=False)))
+            ats = pc.list_flatten(batch.column("_at")).to_numpy(zero_copy_only=False)
+            for k, spans in enumerate(batch.column("_spans").to_pylist()):
                 own = data[ends[k]:ends[k + 1]]
-                at = np.concatenate([np.array(ats or [], np.int64), *(np.frombuffer(s, np.int64) for s in spans or [])])
-                edge = np.zeros(len(own) + 1, np.int64)
-                np.add.at(edge, at // 256, 1)
-                np.add.at(edge, at // 256 + at % 256 - 1 + THRESHOLD, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                kept = own[~gone].tobytes()
-                rises = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((len(own), int(gone.sum()), rises, hashlib.sha256(kept).hexdigest(), kept))
-            columns = zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string(), pa.binary()], strict=True)
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in columns)],
-                                  names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return rows.select("doc_id", "text", "_at", "_spans").mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                at = np.concatenate([ats[several[k]:several[k + 1]], *(np.frombuffer(s, np.int64) for s in spans or [])])
+                if not len(at):
+                    out.append((len(own), 0, 0, hashlib.sha256(own).hexdigest(), *[own.tobytes()] * kept))
+                    continue
+                at = np.sort(at)
+                lo, hi = at // 256, np.maximum.accumulate(at // 256 + at % 256 - 1 + THRESHOLD)
+                apart = lo[1:] > hi[:-1]
+                lo, hi = lo[np.append(True, apart)], hi[np.append(apart, True)]
+                left = b"".join([own[a:z] for a, z in zip([0, *hi.tolist()], [*lo.tolist(), len(own)], strict=True)])
+                out.append((len(own), int((hi - lo).sum()), len(lo), hashlib.sha256(left).hexdigest(), *[left] * kept))
+            columns = zip(zip(*out, strict=True), [*[pa.int64()] * 3, pa.string(), *[pa.binary()] * kept], strict=True)
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in columns)], names=names)
+
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return rows.select("doc_id", "text", "_at", "_spans").mapInArrow(cut, kinds + ", kept binary" * kept)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(documents(spark, sf_dir)).drop("kept")
+    return removed(documents(spark, sf_dir), kept=False)
 
 
 #: Every 100-byte string written out and numbered in order (fit for the small table only).

@@ -5,6 +5,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cloakline.llm import bloom, byte_names, components, exact_dedup, near_dedup, suffix_dedup
@@ -93,6 +94,59 @@ def test_suffix_dedup_edges(spark):
     assert suffix_dedup.removed(empty(spark)).count() == 0
 
 
+def common_line(n):
+    """Texts around one line; every seventh takes 120 bytes over from an earlier one, every ninth is a copy."""
+    rng, line = np.random.default_rng(9), "".join(chr(97 + (k * k + k // 5) % 26) for k in range(70))
+    word = lambda m: bytes(rng.integers(97, 123, m).astype(np.uint8)).decode()
+    out = []
+    for k in range(n):
+        out.append(word(150) + line + word(int(rng.integers(20, 160))))
+        if k % 7 == 6:
+            out[k] += out[k // 2][90:210]
+        if k % 9 == 8:
+            out[k] = out[k // 3]
+    return out
+
+
+def test_suffix_dedup_builds_no_filter_of_all_names(docs, monkeypatch):
+    asked, before = [], bloom.counted
+    monkeypatch.setattr(bloom, "counted", lambda rows, n, least, *more: asked.append(least) or before(rows, n, least, *more))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs, kept=False).collect()}
+    assert got == brute_bytes(table(docs))
+    assert asked and set(asked) == {1}  # of what is open only; one of all names fills as the table grows
+
+
+def test_suffix_dedup_deals_the_runs_of_a_common_line(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", 4)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 10)
+    met, before = [], suffix_dedup._met
+    monkeypatch.setattr(suffix_dedup, "_met", lambda rows: met.append(rows.count()) or before(rows))
+    rows = list(enumerate(common_line(120)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(df).collect()}
+    assert got == brute_bytes(rows)
+    assert met and min(met) > 0
+
+
+def test_a_bucket_gets_few_runs_of_a_common_line():
+    texts, buckets = common_line(400), {}
+    for k in range(0, 400, 100):
+        ids = pa.array(range(k, k + 100), pa.int64())
+        batch = pa.record_batch([ids, pa.array(texts[k:k + 100]), ids], names=["doc_id", "text", "tie"])
+        for bucket, blob in zip(*suffix_dedup._packed(suffix_dedup.ranked(batch, []), np.zeros(100, bool), 64), strict=True):
+            buckets.setdefault(int(bucket), []).append(blob)
+    sizes = [len(suffix_dedup._unpacked(b)["name"]) for b in buckets.values()]
+    assert max(sizes) < 3 * np.mean(sizes)
+
+
+def test_repeats_in_a_bucket_are_settled_wherever_they_were_sent():
+    u, z = (lambda *x: np.array(x, np.uint64)), np.zeros(7, np.int64)
+    rows = {"name": u(1, 1, 2, 2, 3, 4, 4), "region": u(5, 5, 6, 7, 8, 9, 0), "doc_id": np.array([2, 1, 1, 1, 1, 1, 0]), "tie": z, "at": z,
+            "flags": np.array([0, 0, 0, 0, suffix_dedup.DEALT, 0, suffix_dedup.MARKED], np.uint8)}
+    at, state = suffix_dedup.sorted_bucket(rows)
+    assert dict(zip(at.tolist(), state.tolist(), strict=True)) == {0: 0, 2: 1, 3: 1, 4: 2, 5: 2}
+
+
 def test_runs_are_the_same_wherever_a_string_stands(monkeypatch):
     rng = np.random.default_rng(5)
     text = rng.integers(97, 101, 700).astype(np.uint8)

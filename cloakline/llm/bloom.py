@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cloakline.llm.common import mix
+from cloakline.llm.common import mix, written
 
 BITS = 16          # positions per expected hash
 PROBES = 2         # positions per hash
@@ -44,8 +44,12 @@ def first_column(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def counted(rows: DataFrame, n: int, least: int, hashes: Callable[[pa.RecordBatch], np.ndarray] = first_column) -> np.ndarray:
-    """The merged filter of about ``n`` hashes in ``rows``: bits of positions counted at least ``least`` (1 or 2) times."""
+def counted(rows: DataFrame, n: int, least: int, hashes: Callable[[pa.RecordBatch], np.ndarray] = first_column,
+            store: bool = False) -> np.ndarray:
+    """The merged filter of about ``n`` hashes in ``rows``: bits of positions counted at least ``least`` (1 or 2) times.
+
+    With ``store`` the shards are written before the driver takes them, so they are merged side by side; without, one partition after the other.
+    """
     size = filter_size(n)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +76,7 @@ def counted(rows: DataFrame, n: int, least: int, hashes: Callable[[pa.RecordBatc
     shards = (rows.mapInArrow(local, "shard int, codes binary")
               .groupBy("shard").applyInPandas(merged, "shard int, bits binary"))
     bits = np.zeros(size // 8, np.uint8)  # at most MAX_BYTES
-    for row in shards.toLocalIterator():
+    for row in (written(shards, "filter") if store else shards).toLocalIterator():
         bits[row.shard * SHARD // 8:(row.shard + 1) * SHARD // 8] = np.frombuffer(row.bits, np.uint8)
     return bits
 

@@ -293,10 +293,10 @@ def settled(docs: DataFrame) -> DataFrame:
         strings = size.strings or 0
         if not strings:
             break
-        runs_open = bloom.counted(left.select("id"), 4 * size.n, 1)  # every run is asked for, so few wrong reports
+        runs_open = bloom.counted(left.select("id"), 4 * size.n, 1, store=True)  # every run is asked for, so few wrong reports
         texts = left.select("doc_id", "tie").distinct()
         texts_open = bloom.counted(texts, texts.count(), 1, lambda batch: _texts(
-            _number(batch.column("doc_id")), batch.column("tie").to_numpy(zero_copy_only=False)))
+            _number(batch.column("doc_id")), batch.column("tie").to_numpy(zero_copy_only=False)), store=True)
         opened.append((runs_open, texts_open))
     found = parts[0]
     for part in parts[1:]:

@@ -110,7 +110,7 @@ def common_line(n):
 
 def test_suffix_dedup_builds_no_filter_of_all_names(docs, monkeypatch):
     asked, before = [], bloom.counted
-    monkeypatch.setattr(bloom, "counted", lambda rows, n, least, *more: asked.append(least) or before(rows, n, least, *more))
+    monkeypatch.setattr(bloom, "counted", lambda rows, n, least, *a, **b: asked.append(least) or before(rows, n, least, *a, **b))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs, kept=False).collect()}
     assert got == brute_bytes(table(docs))
     assert asked and set(asked) == {1}  # of what is open only; one of all names fills as the table grows
